@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # What counts as a word and as white space.
@@ -9,6 +11,15 @@ WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    Inside a higher-order function a plain expression is computed again for every
+    element; a lambda variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     """Drop leading and trailing Unicode white space (``trim`` drops spaces only)."""
     return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
@@ -29,20 +40,25 @@ def words(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct runs of ``n`` tokens; none when there are fewer tokens."""
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(F.size(tokens) >= n, F.array_distinct(grams)).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def runs(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        grams = F.transform(places, lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    return let(tokens, runs)
 
 
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Set of k-word shingles; a shorter text is one shingle, an empty one none."""
-    return F.when(
-        F.size(tokens).between(1, k - 1), F.array(F.array_join(tokens, " "))
-    ).otherwise(ngrams(tokens, k))
+    return let(
+        tokens,
+        lambda w: F.when(
+            F.size(w).between(1, k - 1), F.array(F.array_join(w, " "))
+        ).otherwise(ngrams(w, k)),
+    )
 
 
 def jaccard(a: Column, b: Column) -> Column:

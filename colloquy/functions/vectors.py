@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from colloquy.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -16,14 +18,23 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0.0 when either vector has no length."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+    return let(
+        norm(a) * norm(b), lambda size: F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+    )
 
 
 def unit(a: Column) -> Column:
     """The vector scaled to length one; a zero vector stays as it is."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
+
+    def scaled(v: Column) -> Column:
+        return let(
+            norm(v),
+            lambda length: F.transform(
+                v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0)
+            ),
+        )
+
+    return let(a, scaled)
 
 
 def hashed_terms(tokens: Column, dim: int) -> Column:
@@ -39,12 +50,13 @@ def hashed_terms(tokens: Column, dim: int) -> Column:
         negative = F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") >= 8
         return F.when(negative, place + dim).otherwise(place)
 
-    slots = F.transform(tokens, slot)
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: (
-            F.size(F.filter(slots, lambda s: s == d))
-            - F.size(F.filter(slots, lambda s: s == d + dim))
-        ).cast("double"),
-    )
-    return unit(counts)
+    def counts(slots: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda d: (
+                F.size(F.filter(slots, lambda s: s == d))
+                - F.size(F.filter(slots, lambda s: s == d + dim))
+            ).cast("double"),
+        )
+
+    return unit(let(F.transform(tokens, slot), counts))

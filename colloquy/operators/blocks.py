@@ -277,13 +277,14 @@ def working_view(
 def message_array(text: Column) -> Column:
     """ARRAY<STRUCT<speaker, body>> of the turns inside a rendered transcript."""
     marks = F.regexp_extract_all(text, F.lit(MESSAGE_MARK), F.lit(1))
-    bodies = F.split(text, MESSAGE_MARK, -1)
+    # The piece before the first mark belongs to nobody.
+    bodies = F.transform(F.split(text, MESSAGE_MARK, -1), tx.strip)
     pairs = F.zip_with(
-        marks,
-        F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))),
-        lambda m, b: F.struct(F.lower(m).alias("speaker"), tx.strip(b).alias("body")),
+        F.concat(F.array(F.lit("")), marks),
+        bodies,
+        lambda m, b: F.struct(F.lower(m).alias("speaker"), b.alias("body")),
     )
-    return F.filter(pairs, lambda p: p["body"] != "")
+    return F.filter(pairs, lambda p: (p["speaker"] != "") & (p["body"] != ""))
 
 
 def split_by_message(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

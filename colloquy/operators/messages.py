@@ -75,10 +75,26 @@ def collapse_retries(messages: DataFrame) -> DataFrame:
 
 
 def assign_positions(messages: DataFrame) -> DataFrame:
-    """Add the 0-based ``position`` inside each conversation."""
-    return ordered_scan(
-        messages, ["conv_id"], "ordinal", sums={"_rank": F.lit(1)}
-    ).select(*messages.columns, (F.col("_rank") - 1).cast("bigint").alias("position"))
+    """Number the messages of each conversation, in one scan.
+
+    Adds the 0-based ``position`` and ``segment_index``, the group a message belongs
+    to: a user message with the replies after it. Assistant messages before the
+    first user message form a group of their own. Groups are gap-free from 0.
+    """
+    user = (F.col("speaker") == "user").cast("bigint")
+    numbered = ordered_scan(
+        messages,
+        ["conv_id"],
+        "ordinal",
+        sums={"_rank": F.lit(1), "_users": user},
+        firsts={"_first_speaker": F.col("speaker")},
+    )
+    shift = F.when(F.col("_first_speaker") == "user", 1).otherwise(0)
+    return numbered.select(
+        *messages.columns,
+        (F.col("_rank") - 1).cast("bigint").alias("position"),
+        (F.col("_users") - shift).cast("bigint").alias("segment_index"),
+    )
 
 
 def merge_messages(existing: DataFrame, incoming: DataFrame) -> DataFrame:

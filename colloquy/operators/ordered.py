@@ -21,16 +21,18 @@ def ordered_scan(
     maxes: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
+    firsts: dict[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add running sums, running maxima and neighbouring values to ``df``.
 
     ``order`` is an integer column, unique inside a group, so a chunk never holds
     more than ``chunk_rows`` rows. ``sums`` and ``maxes`` include the current row.
-    ``previous`` and ``following`` give the neighbour's value, null at the ends.
+    ``previous`` and ``following`` give the neighbour's value, null at the ends;
+    ``firsts`` the value of the group's first row.
     """
     sums, maxes = sums or {}, maxes or {}
-    previous, following = previous or {}, following or {}
+    previous, following, firsts = previous or {}, following or {}, firsts or {}
     key = [*group, "_chunk"]
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk_rows))
 
@@ -42,6 +44,9 @@ def ordered_scan(
     if following:
         first = F.struct(*[e.alias(n) for n, e in following.items()])
         per_chunk.append(F.min_by(first, order).alias("_first"))
+    if firsts:
+        opening = F.struct(*[e.alias(n) for n, e in firsts.items()])
+        per_chunk.append(F.min_by(opening, order).alias("_opening"))
     totals = chunked.groupBy(*key).agg(*per_chunk)
 
     across = Window.partitionBy(*group).orderBy("_chunk")
@@ -52,6 +57,9 @@ def ordered_scan(
         carried.append(F.lag("_last").over(across).alias("_carry_last"))
     if following:
         carried.append(F.lead("_first").over(across).alias("_carry_first"))
+    if firsts:
+        whole = across.rowsBetween(Window.unboundedPreceding, 0)
+        carried.append(F.first("_opening").over(whole).alias("_carry_opening"))
     carry = totals.select(*key, *carried)
 
     inside = Window.partitionBy(*key).orderBy(order)
@@ -69,6 +77,7 @@ def ordered_scan(
     out += [F.greatest(f"_carry_{n}", f"_local_{n}").alias(n) for n in maxes]
     out += [F.coalesce("_local_last", "_carry_last").getField(n).alias(n) for n in previous]
     out += [F.coalesce("_local_first", "_carry_first").getField(n).alias(n) for n in following]
+    out += [F.col("_carry_opening").getField(n).alias(n) for n in firsts]
     return (
         chunked.select("*", *local)
         .join(carry, key)

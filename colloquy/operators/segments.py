@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions import ids, text
-from colloquy.operators.ordered import ordered_scan, with_earlier_rows
+from colloquy.operators.ordered import with_earlier_rows
 
 PREVIEW_CHARS = 120
 PREVIEW_MARK = "…"
 PAGE_ROWS = 1000
 
 
-def message_groups(messages: DataFrame) -> DataFrame:
-    """Assign each message to a group: a user message with the replies after it.
-
-    Assistant messages before the first user message form a group of their own.
-    Adds ``segment_index``, gap-free from 0 in each conversation.
-    """
-    opens = (F.col("speaker") == "user") | (F.col("position") == 0)
-    return ordered_scan(
-        messages, ["conv_id"], "position", sums={"_opened": opens.cast("bigint")}
-    ).select(*messages.columns, (F.col("_opened") - 1).alias("segment_index"))
-
-
 def _with_overlap(grouped: DataFrame) -> DataFrame:
     """Let a user message also close the group before it."""
     own = F.col("_own")
@@ -43,7 +31,7 @@ def _assemble(messages: DataFrame) -> DataFrame:
         )
     )
     built = (
-        _with_overlap(message_groups(messages))
+        _with_overlap(messages)
         .groupBy("conv_id", "segment_index")
         .agg(entries.alias("_all"))
         .withColumn("_led", F.element_at("_all", 1).getField("speaker") == "user")
@@ -65,7 +53,7 @@ def segment_text(rows: Column) -> Column:
 
 
 def segment_conversations(messages: DataFrame) -> DataFrame:
-    """One row per segment; input as numbered visible messages.
+    """One row per segment; input as from ``assign_positions``.
 
     A segment is a user message, the replies to it and the next user message, which
     also opens the next segment. Users in a row give one-message segments. The text
@@ -106,11 +94,6 @@ def pending_tails(messages: DataFrame) -> DataFrame:
     )
 
 
-def open_groups(messages: DataFrame) -> DataFrame:
-    """Each conversation's last group, whose segment may still grow."""
-    return _assemble(messages).where(~F.col("_followed")).select("conv_id", "segment_index")
-
-
 def segment_manifest(
     messages: DataFrame, segments: DataFrame, tails: DataFrame, page_rows: int = PAGE_ROWS
 ) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from colloquy.operators.ordered import ordered_scan
 from colloquy.session import durable
 
+ROUNDS_PER_CUT = 6
+
 
 def _walk(steps: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
     """All nodes reached from ``starts`` along ``steps`` with their first distance.
@@ -18,19 +20,22 @@ def _walk(steps: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
     ``steps``: conv_id, node_id, next_id. ``longest`` bounds the rounds, so a cycle
     ends; a node met twice keeps its first distance.
     """
-    reached = durable(starts.select("conv_id", "node_id", F.lit(0).cast("bigint").alias("distance")), "reached")
+    reached = starts.select("conv_id", "node_id", F.lit(0).cast("bigint").alias("distance"))
     jumps = durable(steps.where("next_id is not null"), "jumps")
-    stride = 1
+    stride, rounds = 1, 0
     while stride < longest:
         hop = jumps.withColumnRenamed("next_id", "_to")
-        further = reached.join(hop, ["conv_id", "node_id"]).select(
-            "conv_id", F.col("_to").alias("node_id"), (F.col("distance") + stride).alias("distance")
-        )
-        reached = durable(
-            reached.unionByName(further).groupBy("conv_id", "node_id").agg(F.min("distance").alias("distance")),
-            "reached",
+        here = F.struct("node_id", "distance")
+        there = F.struct(F.col("_to").alias("node_id"), (F.col("distance") + stride).alias("distance"))
+        # One reference to the nodes reached so far, so the plan grows by one join.
+        reached = (
+            reached.join(hop, ["conv_id", "node_id"], "left")
+            .select("conv_id", F.explode(F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("_n"))
+            .select("conv_id", "_n.node_id", "_n.distance")
         )
-        stride *= 2
+        stride, rounds = stride * 2, rounds + 1
+        if rounds % ROUNDS_PER_CUT == 0:
+            reached = durable(_nearest(reached), "reached")
         if stride < longest:
             ahead = jumps.select("conv_id", F.col("node_id").alias("_to"), F.col("next_id").alias("_next"))
             jumps = durable(
@@ -39,7 +44,11 @@ def _walk(steps: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
             )
             if jumps.isEmpty():
                 break
-    return reached
+    return _nearest(reached)
+
+
+def _nearest(reached: DataFrame) -> DataFrame:
+    return reached.groupBy("conv_id", "node_id").agg(F.min("distance").alias("distance"))
 
 
 def _longest(nodes: DataFrame) -> int:

@@ -8,6 +8,7 @@ from colloquy import schemas
 from colloquy.functions import text as tx
 from colloquy.operators import messages as ms
 from colloquy.operators import tree
+from colloquy.session import durable
 
 PLATFORM = "chatgpt"
 
@@ -28,7 +29,7 @@ def parse_exports(files: DataFrame) -> DataFrame:
     bad = F.when(whole.isNull(), "invalid JSON").when(
         ~F.schema_of_variant(whole).startswith("OBJECT"), "not a JSON object"
     )
-    parsed = F.from_json("value", schemas.EXPORT.replace("struct<", "", 1)[:-1])
+    parsed = F.from_json("value", schemas.EXPORT)
     return (
         files.withColumn("bad_reason", bad)
         .withColumn("export", F.when(F.col("bad_reason").isNull(), parsed))
@@ -44,17 +45,25 @@ def parse_exports(files: DataFrame) -> DataFrame:
 
 
 def export_nodes(exports: DataFrame) -> DataFrame:
-    """Tree nodes: conv_id, node_id, parent_id, map_position, children, message."""
+    """Tree nodes with the fields of their message, one row per map entry."""
     entries = exports.where("bad_reason is null").select(
         "conv_id", F.posexplode(F.map_entries("export.mapping")).alias("map_position", "_e")
     )
+    message = F.col("_e.value.message")
     return entries.select(
         "conv_id",
         F.col("_e.key").alias("node_id"),
         F.col("_e.value.parent").alias("parent_id"),
         F.col("map_position").cast("bigint").alias("map_position"),
         F.coalesce("_e.value.children", F.array().cast("array<string>")).alias("children"),
-        F.col("_e.value.message").alias("message"),
+        message.isNotNull().alias("has_message"),
+        message["id"].alias("raw_id"),
+        message["author"]["role"].alias("role"),
+        message["recipient"].alias("recipient"),
+        message["content"]["content_type"].alias("content_type"),
+        message["metadata"]["is_visually_hidden_from_conversation"].alias("hidden"),
+        message["create_time"].alias("create_time"),
+        ms.message_text(message["content"]["parts"]).alias("content"),
     )
 
 
@@ -65,23 +74,17 @@ def export_heads(exports: DataFrame) -> DataFrame:
 
 
 def export_messages(exports: DataFrame) -> DataFrame:
-    """Linear, visible, numbered messages of every export."""
-    nodes = export_nodes(exports)
+    """Linear, visible, numbered messages of every export.
+
+    The JSON is parsed once, into a node table; the walk then reads its ids only.
+    """
+    nodes = durable(export_nodes(exports), "nodes")
     links = nodes.select("conv_id", "node_id", "parent_id", "map_position", "children")
     path = tree.conversation_paths(links, export_heads(exports))
-    placed = nodes.where("message is not null").join(path, ["conv_id", "node_id"])
-    raw = placed.select(
-        "conv_id",
-        F.col("position").alias("ordinal"),
-        F.col("message.id").alias("raw_id"),
-        F.col("message.author.role").alias("role"),
-        F.col("message.recipient").alias("recipient"),
-        F.col("message.content.content_type").alias("content_type"),
-        F.col("message.metadata.is_visually_hidden_from_conversation").alias("hidden"),
-        F.col("message.create_time").alias("create_time"),
-        ms.message_text(F.col("message.content.parts")).alias("content"),
+    placed = nodes.where("has_message").join(path, ["conv_id", "node_id"]).withColumn(
+        "ordinal", F.col("position")
     )
-    keyed = ms.with_message_key(ms.visible_messages(raw)).select(
+    keyed = ms.with_message_key(ms.visible_messages(placed)).select(
         "conv_id",
         "message_id",
         F.col("role").alias("speaker"),

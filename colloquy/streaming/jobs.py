@@ -82,15 +82,14 @@ def segment_sink(path: str) -> Callable[[DataFrame, int], None]:
         touched = fresh.select("conv_id").distinct()
         resumed = state.join(touched, "conv_id", "left_semi")
         base = resumed.groupBy("conv_id").agg(F.max("first_index").alias("first_index"))
-        known = ms.assign_positions(
+        grouped = ms.assign_positions(
             ms.collapse_retries(resumed.select(*columns).unionByName(fresh))
         )
-        grouped = sg.message_groups(known)
         last = grouped.groupBy("conv_id").agg(F.max("segment_index").alias("_last"))
         shifted = last.join(base, "conv_id", "left").select(
             "conv_id", "_last", F.coalesce("first_index", F.lit(0)).alias("_base")
         )
-        closed = sg.segment_conversations(known).join(shifted, "conv_id").where(
+        closed = sg.segment_conversations(grouped).join(shifted, "conv_id").where(
             F.col("segment_index") < F.col("_last")
         )
         index = F.col("segment_index") + F.col("_base")
