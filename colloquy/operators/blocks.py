@@ -19,6 +19,7 @@ JSON_SCHEMA = (
 )
 XML_TAG = r"(?U)</?[\w:-]+[\s>]"
 LINE_END = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c-\x1e\x85  ])"
+CANDIDATE = r'(?mU)^(?:```|~~~)|"type"|"properties"|</?[\w:-]'
 MIN_CHARS = 400
 MIN_LINES = 6
 MIN_SCHEMA_LINES = 8
@@ -157,6 +158,8 @@ def block_spans(texts: DataFrame, key: str = "id", text: str = "text") -> DataFr
             (F.col("end_at") - F.col("start_at") >= MIN_CHARS) | (F.col("line_count") >= MIN_LINES)
         )
 
+    # Texts that cannot hold a block are told apart in their row.
+    texts = texts.select(key, text).where(F.col(text).rlike(CANDIDATE))
     lines = text_lines(texts, key, text)
     accepted = large(fenced_blocks(texts, key, text))
     accepted = _drop_overlapping(accepted, large(json_schema_blocks(texts, key, text)), key)

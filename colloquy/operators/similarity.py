@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions import text as tx
+from colloquy.session import durable
 
 # Thresholds of the drift rules.
 NEAR_DUPLICATE = 0.70
@@ -83,7 +84,7 @@ def near_dup_pairs(
     ``pairs`` is how many statement pairs a row stands for: equal copies of one
     class (a = b), or all pairs across two near classes. The sum is the pair count.
     """
-    classes = shingle_classes(statements, [group], order, text)
+    classes = durable(shingle_classes(statements, [group], order, text), "classes")
     counted = classes.select(group, "first_at", "members")
     within = counted.where("members > 1").select(
         group,
@@ -139,30 +140,38 @@ def near_duplicate_turns(turns: DataFrame, key: str = "id") -> DataFrame:
     so only the last of each class is compared further.
     """
     order = Window.partitionBy(key).orderBy("turn_index")
-    runs = (
-        turns.withColumn("_run", F.sum(F.when(F.col("speaker") != "assistant", 1).otherwise(0)).over(order))
-        .where("speaker = 'assistant'")
-        .withColumn("_run_size", F.count("*").over(Window.partitionBy(key, "_run")))
-        .where("_run_size > 1")
-        .withColumn("_shingles", F.array_sort(tx.shingles(tx.words(F.col("body")), SHINGLE_WORDS)))
-    )
+    runs = durable(_assistant_runs(turns, key, order), "runs")
     group = [key, "_run"]
     same = Window.partitionBy(*group, "_shingles")
     copies = (
-        runs.where(F.size("_shingles") > 0)
-        .withColumn("_last", F.max("turn_index").over(same))
+        runs.withColumn("_last", F.max("turn_index").over(same))
         .where(F.col("turn_index") < F.col("_last"))
         .select(key, "turn_index")
     )
-    last_ones = (
-        runs.where(F.size("_shingles") > 0)
-        .groupBy(*group, F.col("_shingles").alias("shingles"))
-        .agg(F.max("turn_index").alias("first_at"))
+    last_ones = runs.groupBy(*group, F.col("_shingles").alias("shingles")).agg(
+        F.max("turn_index").alias("first_at")
     )
     near = near_duplicate_classes(last_ones, group).select(key, F.col("a").alias("turn_index"))
     return copies.unionByName(near).distinct()
 
 
+def _assistant_runs(turns: DataFrame, key: str, order) -> DataFrame:
+    """Turns of assistant runs of two or more, with their shingles."""
+    return (
+        turns.withColumn("_run", F.sum(F.when(F.col("speaker") != "assistant", 1).otherwise(0)).over(order))
+        .where("speaker = 'assistant'")
+        .withColumn("_run_size", F.count("*").over(Window.partitionBy(key, "_run")))
+        .where("_run_size > 1")
+        .select(
+            key,
+            "_run",
+            "turn_index",
+            F.array_sort(tx.shingles(tx.words(F.col("body")), SHINGLE_WORDS)).alias("_shingles"),
+        )
+        .where(F.size("_shingles") > 0)
+    )
+
+
 def dedup_assistant_turns(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Drop repeated assistant turns and render the rest again.
 
@@ -170,8 +179,13 @@ def dedup_assistant_turns(texts: DataFrame, key: str = "id", text: str = "text")
     """
     from colloquy.operators.blocks import message_array
 
-    turns = texts.select(key, F.posexplode(message_array(F.col(text))).alias("turn_index", "_m")).select(
-        key, "turn_index", "_m.speaker", "_m.body"
+    # Most texts have no two assistant turns in a row: they never leave their row.
+    speakers = F.array_join(F.transform("_turns", lambda m: m["speaker"]), ",")
+    turns = (
+        texts.select(key, message_array(F.col(text)).alias("_turns"))
+        .where(speakers.contains("assistant,assistant"))
+        .select(key, F.posexplode("_turns").alias("turn_index", "_m"))
+        .select(key, "turn_index", "_m.speaker", "_m.body")
     )
     dropped = (
         near_duplicate_turns(turns, key)

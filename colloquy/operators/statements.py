@@ -10,6 +10,7 @@ from colloquy.functions import ids, lenient_json, text as tx
 from colloquy.operators import blocks as bl
 from colloquy.operators import similarity
 from colloquy.operators.models import TextModel, run_text_model
+from colloquy.session import durable
 
 # Limits of the statement rules.
 MIN_PLAUSIBLE = 40
@@ -114,6 +115,7 @@ def validate_statements(answers: DataFrame, key: list[str], view: str = "working
 
     Adds ``reasons`` (empty = accepted), ``is_valid`` and ``statement_count``.
     """
+    answers = durable(answers, "answers")
     parsed = F.col("parsed")
     is_object = _kind(parsed) == "object"
     keys = F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>"))
@@ -124,8 +126,11 @@ def validate_statements(answers: DataFrame, key: list[str], view: str = "working
     speakers = items.groupBy(*key).agg(
         F.count_if(F.col("is_object") & ~F.coalesce(F.col("speaker").isin("user", "assistant"), F.lit(False))).alias("_bad")
     )
-    texts = items.where(F.col("text").isNotNull()).withColumn(
-        "_id", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key])
+    texts = durable(
+        items.where(F.col("text").isNotNull()).withColumn(
+            "_id", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key])
+        ),
+        "items",
     )
     names = texts.select("_id", *key).distinct()
     pairs = (
@@ -290,8 +295,6 @@ def extract_with_model(
     Returns (extracts, statements). Each step runs over all segments that the step
     before left without a usable answer. ``template`` holds ``{segment_text}``.
     """
-    from colloquy.session import durable
-
     def prompt(view: Column) -> Column:
         return F.replace(F.lit(template), F.lit("{segment_text}"), view)
 

@@ -359,7 +359,7 @@ FROM segments
 """,
 )
 def segments(kb):
-    return kb.segments.select(
+    return sg.segment_conversations(kb.messages).select(
         "segment_id", "conv_id", "segment_index", "start_position", "end_position",
         F.array_join("message_ids", ",").alias("message_ids"), _iso("conversation_date"),
     )
@@ -367,7 +367,7 @@ def segments(kb):
 
 @query("segment_text", "SELECT segment_id, segment_text FROM segments")
 def segment_text(kb):
-    return kb.segments.select("segment_id", "segment_text")
+    return sg.segment_conversations(kb.messages).select("segment_id", "segment_text")
 
 
 @query(

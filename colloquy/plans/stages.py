@@ -13,7 +13,7 @@ from colloquy.operators import messages as ms
 from colloquy.operators import models
 from colloquy.operators import segments as sg
 from colloquy.operators import statements as st
-from colloquy.session import configure
+from colloquy.session import configure, durable
 from colloquy.sources.messages import read_messages
 
 VECTOR_SIZE = 64
@@ -23,8 +23,9 @@ VECTOR_SIZE = 64
 class KnowledgeBase:
     """Stage tables derived from the turns of ``conversations``.
 
-    Nothing runs until a result is asked for, and a plan reads only the columns and
-    stages it needs.
+    Segments, statements and grouped statements are written as stage tables when
+    first asked for: later stages read the columns they need instead of deriving
+    them again. All else is lazy.
     """
 
     spark: SparkSession
@@ -45,7 +46,7 @@ class KnowledgeBase:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return sg.segment_conversations(self.messages)
+        return durable(sg.segment_conversations(self.messages), "segments")
 
     @cached_property
     def tails(self) -> DataFrame:
@@ -84,11 +85,11 @@ class KnowledgeBase:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return st.extract_statements(self.segments)
+        return durable(st.extract_statements(self.segments), "statements")
 
     @cached_property
     def grouped(self) -> DataFrame:
-        return fr.group_statements(self.statements)
+        return durable(fr.group_statements(self.statements), "grouped")
 
     @cached_property
     def fragments(self) -> DataFrame:
