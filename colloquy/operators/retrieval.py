@@ -106,6 +106,10 @@ def search(
     )
 
 
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+
+
 def _search_blocks(asked: DataFrame, stored: DataFrame, k: int, local_queries: int) -> DataFrame:
     """Exact search for many queries: blocks of queries meet blocks of vectors.
 
@@ -117,12 +121,12 @@ def _search_blocks(asked: DataFrame, stored: DataFrame, k: int, local_queries: i
         "query_id",
         "vector",
         F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("q"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).cast("bigint").alias("v"),
+        F.explode(_numbers(item_blocks)).alias("v"),
     )
     right = stored.select(
         "item_id",
         "vector",
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("bigint").alias("q"),
+        F.explode(_numbers(query_blocks)).alias("q"),
         F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).alias("v"),
     )
 
@@ -168,7 +172,7 @@ def search_approx(
 
     left = buckets(stored, "item_id").withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)))
     right = buckets(asked, "query_id").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+        "_salt", F.explode(_numbers(salts))
     )
     pairs = left.join(right, ["_table", "_bucket", "_salt"]).select("query_id", "item_id").distinct()
     scored = (

@@ -22,7 +22,7 @@ ITEM_CHARS = 200
 STRONG_CONFIDENCE = 0.8
 WEAK_CONFIDENCE = 0.4
 
-ACTION = r"(?i)^(todo|action|please|remember to|make sure|do|add|fix|check|send|write|update|create|review)\b"
+ACTION = r"(?i)^(todo|action|please|remember to|make sure|do|add|fix|check|send|write|update|create|review)(?:[^\p{L}\p{N}_]|$)"
 
 
 def sentence_scores(sentences: DataFrame, group: list[str], order: str, text: str = "text") -> DataFrame:
@@ -196,3 +196,38 @@ def embedding_text(kind: Column, text: Column, bullets: Column, actions: Column,
             tx.null_if_empty(tx.strip(F.coalesce(summary, F.lit("")))),
         )
     )
+
+
+def _fenced_part(name: str, body: Column) -> Column:
+    return F.concat(F.lit(f"---BEGIN {name}---\n"), body, F.lit(f"\n---END {name}---"))
+
+
+def segment_prompts(segments: DataFrame, system: str) -> DataFrame:
+    """(id, system, user) per segment: earlier summaries, then the transcript.
+
+    Rows need segment_id, segment_text and context (empty when there is none).
+    """
+    context = F.when(F.col("context") != "", _fenced_part("PREVIOUS CONTEXT", F.col("context")))
+    return segments.select(
+        F.col("segment_id").alias("id"),
+        F.lit(system).alias("system"),
+        F.concat_ws("\n\n", context, _fenced_part("SEGMENT TRANSCRIPT", F.col("segment_text"))).alias("user"),
+    )
+
+
+def topic_prompts(member_lines: DataFrame, system: str) -> DataFrame:
+    """(id, system, user) per topic page, from ``topic_member_lines``."""
+    return member_lines.select(
+        F.format_string("%s_t%03d#%d", "conv_id", "topic_index", "page").alias("id"),
+        F.lit(system).alias("system"),
+        _fenced_part("TOPIC SEGMENTS", F.col("member_lines")).alias("user"),
+    )
+
+
+def transcript_prompts(transcripts: DataFrame, system: str) -> DataFrame:
+    """(id, system, user) per transcript page."""
+    return transcripts.select(
+        F.concat_ws("#", "conv_id", F.col("page").cast("string")).alias("id"),
+        F.lit(system).alias("system"),
+        _fenced_part("TRANSCRIPT", F.col("transcript")).alias("user"),
+    )

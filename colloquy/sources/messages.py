@@ -10,7 +10,11 @@ FIRST_EPOCH = 1704067200
 
 def read_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of ``conversations`` as normalized messages, system turns included."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return normalize_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def normalize_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) rows, batch or stream, as normalized messages."""
     epoch = F.lit(FIRST_EPOCH) + F.col("conv_id") * 3600 + F.col("turn") * 60
     return turns.select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv_id"),
