@@ -41,13 +41,14 @@ def shingle_classes(rows: DataFrame, group: list[str], order: str, text: str) ->
 
 
 def _prefixes(classes: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """The rarest shingles of each class, enough of them to meet any near copy."""
+    """The rarest shingles of each class, enough of them to meet any near copy.
+
+    Any order shared by all classes is exact; rare ones first give few candidates.
+    """
     terms = classes.select(*group, "first_at", F.size("shingles").alias("_size"), F.explode("shingles").alias("_term"))
-    # A hash gives every class the same order of shingles without counting them.
-    hashed = F.xxhash64("_term")
-    ranked = terms.withColumn(
+    ranked = terms.withColumn("_uses", F.count("*").over(Window.partitionBy(*group, "_term"))).withColumn(
         "_rank",
-        F.row_number().over(Window.partitionBy(*group, "first_at").orderBy(hashed, "_term")),
+        F.row_number().over(Window.partitionBy(*group, "first_at").orderBy("_uses", "_term")),
     )
     keep = F.col("_size") - F.ceil(F.lit(threshold) * F.col("_size") - 1e-9) + 1
     return ranked.where(F.col("_rank") <= keep).select(*group, "first_at", "_size", "_term")

@@ -31,7 +31,10 @@ def insert_ignore(
     """
     fresh = batch
     for key in keys:
-        fresh = fresh.join(target.select(*key).distinct(), key, "left_anti")
+        # Stored keys are cut to the batch's first: a small batch is broadcast by
+        # its size, and a large target is then scanned without a shuffle.
+        taken = target.select(*key).join(batch.select(*key), key, "left_semi")
+        fresh = fresh.join(taken, key, "left_anti")
     if len(keys) == 1:
         return first_per_key(fresh, keys[0], arrival).drop(arrival)
     left = durable(fresh, "insert")

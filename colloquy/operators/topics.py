@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions import ids, vectors
 from colloquy.operators.ordered import ordered_scan
+from colloquy.session import durable
 
 DEFAULT_THRESHOLD = 0.55
 PAGE_ROWS = 1000
@@ -22,20 +23,27 @@ def topic_boundaries(rows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> D
         rows,
         ["conv_id"],
         "segment_index",
+        sums={"_rank": F.lit(1)},
         previous={"_before": F.col("vector"), "previous_segment_id": F.col("segment_id")},
     )
-    compared = neighbours.withColumn(
-        "similarity",
-        F.when(F.col("previous_segment_id").isNotNull(), vectors.cosine(F.col("_before"), F.col("vector"))),
-    ).drop("_before", "vector")
-    opens = F.coalesce((F.col("similarity") < threshold).cast("bigint"), F.lit(0))
-    numbered = ordered_scan(
-        compared, ["conv_id"], "segment_index", sums={"topic_index": opens, "_rank": F.lit(1)}
+    # Similarities are written once: the second scan reads numbers, not vectors.
+    compared = durable(
+        neighbours.withColumn(
+            "similarity",
+            F.when(
+                F.col("previous_segment_id").isNotNull(),
+                vectors.cosine(F.col("_before"), F.col("vector")),
+            ),
+        ).drop("_before", "vector"),
+        "similarities",
     )
+    opens = F.coalesce((F.col("similarity") < threshold).cast("bigint"), F.lit(0))
     # The rank at which the current topic began is a running maximum.
     begins = F.when((F.col("similarity") < threshold) | F.col("similarity").isNull(), F.col("_rank"))
     return (
-        ordered_scan(numbered, ["conv_id"], "segment_index", maxes={"_began": begins})
+        ordered_scan(
+            compared, ["conv_id"], "segment_index", sums={"topic_index": opens}, maxes={"_began": begins}
+        )
         .withColumn("position", (F.col("_rank") - F.col("_began")).cast("bigint"))
         .drop("_rank", "_began")
     )

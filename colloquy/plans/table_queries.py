@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions import ids, text as tx
 from colloquy.operators import reports as rp
-from colloquy.operators import segments as sg
 from colloquy.operators import tables as tb
 from colloquy.plans.registry import query
 from colloquy.plans.stages import KnowledgeBase
 from colloquy.session import durable, new_path
+from colloquy.sources.messages import normalize_turns
 from colloquy.streaming import jobs as sj
 
 number = lambda c="conv_id": F.substring(c, 2, 20).cast("bigint")
@@ -480,11 +480,7 @@ def job_result(kb):
 
 def _turn_stream(kb: KnowledgeBase) -> DataFrame:
     """The turns table as a file stream of visible messages."""
-    source = f"{kb.sf_dir}/conversations.parquet"
-    schema = kb.spark.read.parquet(source).schema
-    from colloquy.sources.messages import normalize_turns
-
-    stream = sj.stream_messages(kb.spark, source, schema)
+    stream = sj.table_stream(kb.spark, f"{kb.sf_dir}/conversations.parquet")
     return normalize_turns(stream).where(F.col("speaker").isin("user", "assistant"))
 
 
@@ -536,9 +532,8 @@ SELECT job_id, arg_max(status, event_id) AS status, count(*) FILTER (illegal) AS
 def stream_job_state(kb):
     """Last status of every job, and how many of its transitions are not allowed."""
     out = new_path(kb.spark, "stream")
-    source = f"{kb.sf_dir}/events.parquet"
     kind = F.col("event_type")
-    stream = kb.spark.readStream.schema(kb.spark.read.parquet(source).schema).parquet(source).where(kind != "click").select(
+    stream = sj.table_stream(kb.spark, f"{kb.sf_dir}/events.parquet").where(kind != "click").select(
         F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"),
         F.when(kind == "signup", "pending").when(kind == "view", "running").when(kind == "purchase", "succeeded").otherwise("failed").alias("status"),
         F.col("ts").alias("at"),

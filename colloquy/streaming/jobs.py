@@ -16,7 +16,6 @@ from colloquy.functions import ids
 from colloquy.operators import messages as ms
 from colloquy.operators import segments as sg
 from colloquy.operators import tables as tb
-from colloquy.session import new_path
 
 # Which job states may follow which.
 NEXT_STATUSES = {None: ("pending",), "pending": ("running",), "running": ("succeeded", "failed")}
@@ -53,12 +52,9 @@ def insert_ignore_sink(path: str, keys: list[str], arrival: str) -> Callable[[Da
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = batch.drop(arrival).schema
-        stored = spark.createDataFrame([], schema)
+        stored = spark.createDataFrame([], batch.drop(arrival).schema)
         if batch_id > 0:
-            stored = spark.read.schema(schema).option("basePath", path).parquet(
-                *[f"{path}/batch={n}" for n in range(batch_id)]
-            )
+            stored = spark.read.parquet(path).where(F.col("batch") < batch_id).drop("batch")
         fresh = tb.insert_ignore(stored, batch, [keys], arrival)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -159,10 +155,11 @@ def stuck_jobs(state: DataFrame, now, limit: str = "1 hour") -> DataFrame:
     return state.where((F.col("status") == "running") & (F.col("at") < now - F.expr(f"interval {limit}")))
 
 
-def stream_messages(spark: SparkSession, path: str, schema, name: str = "messages") -> DataFrame:
-    """File-source stream of message files."""
-    return spark.readStream.schema(schema).parquet(path)
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """File-source stream of a Parquet table, be it one file or a folder of parts.
 
-
-def workspace(spark: SparkSession, name: str) -> str:
-    return new_path(spark, name)
+    The last letter is written as a pattern: the source takes a plain path for a
+    folder only, a pattern for either.
+    """
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
