@@ -44,19 +44,21 @@ def hashed_terms(tokens: Column, dim: int) -> Column:
     any engine with MD5 gives the same vector.
     """
 
-    def slot(token: Column) -> Column:
-        digest = F.md5(token)
-        place = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dim
-        negative = F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") >= 8
-        return F.when(negative, place + dim).otherwise(place)
+    # Five hex digits as one number: its last digit is the sign, the rest the slot.
+    digits = F.transform(
+        tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 5), 16, 10).cast("int")
+    )
+    slots = F.transform(
+        digits, lambda n: F.floor(n / 16).cast("int") % dim + F.when(n % 16 >= 8, dim).otherwise(0)
+    )
+
+    def counts(found: Column) -> Column:
+        def kept(d: Column) -> Column:
+            return F.size(F.array_remove(found, d))
 
-    def counts(slots: Column) -> Column:
+        # What removing a slot takes away is its count; no lambda per token.
         return F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda d: (
-                F.size(F.filter(slots, lambda s: s == d))
-                - F.size(F.filter(slots, lambda s: s == d + dim))
-            ).cast("double"),
+            F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (kept(d + dim) - kept(d)).cast("double")
         )
 
-    return unit(let(F.transform(tokens, slot), counts))
+    return unit(let(slots, counts))

@@ -157,22 +157,28 @@ def summarize_with_model(
             rows, columns=["segment_id", "conv_id", "segment_index", "summary", "raw", "error"]
         )
 
+    known = ["segment_id", "conv_id", "segment_index", "segment_text", "prior_summary"]
+    latest = Window.partitionBy("conv_id").orderBy(F.col("segment_index").desc())
     done: list[DataFrame] = []
+    prior: DataFrame | None = None
     for number in range(rounds):
-        todo = windows.where(F.col("_window") == number).select(
-            "segment_id", "conv_id", "segment_index", "segment_text", F.lit(None).cast("string").alias("prior_summary")
+        todo = windows.where(F.col("_window") == number).withColumn(
+            "prior_summary", F.lit(None).cast("string")
+        )
+        batch = todo.select(*known)
+        if prior is not None:
+            batch = batch.unionByName(prior.join(todo.select("conv_id").distinct(), "conv_id", "left_semi"))
+        made = durable(batch.groupBy("conv_id").applyInPandas(in_order, SEQUENTIAL_SCHEMA), "summaries")
+        done.append(made)
+        # What the next round needs: the last few summaries of each conversation.
+        fresh = made.where("summary is not null").select(
+            "segment_id", "conv_id", "segment_index", F.lit("").alias("segment_text"), F.col("summary").alias("prior_summary")
+        )
+        recent = fresh if prior is None else prior.unionByName(fresh)
+        prior = durable(
+            recent.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= size).select(*known),
+            "context",
         )
-        if done:
-            order = Window.partitionBy("conv_id").orderBy(F.col("segment_index").desc())
-            before = (
-                done[-1].where("summary is not null")
-                .withColumn("_n", F.row_number().over(order))
-                .where(F.col("_n") <= size)
-                .select("segment_id", "conv_id", "segment_index", F.lit("").alias("segment_text"), F.col("summary").alias("prior_summary"))
-            )
-            active = todo.select("conv_id").distinct()
-            todo = todo.unionByName(before.join(active, "conv_id", "left_semi"))
-        done.append(durable(todo.groupBy("conv_id").applyInPandas(in_order, SEQUENTIAL_SCHEMA), "summaries"))
     if not done:
         return segments.sparkSession.createDataFrame([], SEQUENTIAL_SCHEMA)
     whole = done[0]

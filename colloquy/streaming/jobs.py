@@ -16,6 +16,7 @@ from colloquy.functions import ids
 from colloquy.operators import messages as ms
 from colloquy.operators import segments as sg
 from colloquy.operators import tables as tb
+from colloquy.session import durable
 
 # Which job states may follow which.
 NEXT_STATUSES = {None: ("pending",), "pending": ("running",), "running": ("succeeded", "failed")}
@@ -78,8 +79,9 @@ def segment_sink(path: str) -> Callable[[DataFrame, int], None]:
         touched = fresh.select("conv_id").distinct()
         resumed = state.join(touched, "conv_id", "left_semi")
         base = resumed.groupBy("conv_id").agg(F.max("first_index").alias("first_index"))
-        grouped = ms.assign_positions(
-            ms.collapse_retries(resumed.select(*columns).unionByName(fresh))
+        grouped = durable(
+            ms.assign_positions(ms.collapse_retries(resumed.select(*columns).unionByName(fresh))),
+            "grouped",
         )
         last = grouped.groupBy("conv_id").agg(F.max("segment_index").alias("_last"))
         shifted = last.join(base, "conv_id", "left").select(
