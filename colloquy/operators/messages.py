@@ -56,21 +56,27 @@ def with_message_key(messages: DataFrame) -> DataFrame:
 def collapse_retries(messages: DataFrame) -> DataFrame:
     """Drop a user message followed by a user message with the same words.
 
-    Chains collapse to the last one. Texts are compared by SHA-256, so the scan
-    moves a digest instead of the neighbour's text.
+    Chains collapse to the last one. Texts are compared by 120 bits of their
+    SHA-256, held in two integers, so the scan moves no text of a neighbour.
     """
     digest = F.sha2(text.squeeze(F.col("content")), 256)
-    seen = ordered_scan(
-        messages.withColumn("_digest", digest),
-        ["conv_id"],
-        "ordinal",
-        following={"_next_speaker": F.col("speaker"), "_next_digest": F.col("_digest")},
+
+    def bits(first: int) -> Column:
+        return F.conv(F.substring(F.col("_digest"), first, 15), 16, 10).cast("bigint")
+
+    hashed = messages.withColumn("_digest", digest).select(
+        *messages.columns,
+        (F.col("speaker") == "user").cast("int").alias("_user"),
+        bits(1).alias("_high"),
+        bits(16).alias("_low"),
     )
-    retried = (
-        (F.col("speaker") == "user")
-        & F.col("_next_speaker").eqNullSafe("user")
-        & F.col("_next_digest").eqNullSafe(F.col("_digest"))
+    marks = ["_user", "_high", "_low"]
+    seen = ordered_scan(
+        hashed, ["conv_id"], "ordinal", following={f"_next{m}": F.col(m) for m in marks}
     )
+    retried = F.col("_user") == 1
+    for mark in marks:
+        retried = retried & F.col(f"_next{mark}").eqNullSafe(F.col(mark))
     return seen.where(~retried).select(*messages.columns)
 
 
@@ -87,13 +93,12 @@ def assign_positions(messages: DataFrame) -> DataFrame:
         ["conv_id"],
         "ordinal",
         sums={"_rank": F.lit(1), "_users": user},
-        firsts={"_first_speaker": F.col("speaker")},
+        firsts={"_first_user": user},
     )
-    shift = F.when(F.col("_first_speaker") == "user", 1).otherwise(0)
     return numbered.select(
         *messages.columns,
         (F.col("_rank") - 1).cast("bigint").alias("position"),
-        (F.col("_users") - shift).cast("bigint").alias("segment_index"),
+        (F.col("_users") - F.col("_first_user")).cast("bigint").alias("segment_index"),
     )
 
 

@@ -82,7 +82,9 @@ def embed(
     """Dense vectors by the given embedder, or by signed hashed terms without one."""
     if factory is not None:
         return run_embedder(texts, factory, text_column)
-    wordless = F.size(text.words(F.coalesce(text_column, F.lit("")))) == 0
-    return texts.withColumn(
-        "vector", F.when(~wordless, hashed_vector(F.col(text_column), dim))
-    ).withColumn("error", F.when(wordless, "empty text"))
+    tokens = F.col("_tokens")
+    return texts.withColumn("_tokens", text.words(F.coalesce(text_column, F.lit("")))).select(
+        *texts.columns,
+        F.when(F.size(tokens) > 0, vectors.hashed_terms(tokens, dim)).alias("vector"),
+        F.when(F.size(tokens) == 0, "empty text").alias("error"),
+    )

@@ -36,53 +36,45 @@ def ordered_scan(
     key = [*group, "_chunk"]
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk_rows))
 
+    # One row per chunk. Values of fixed width keep this a hash aggregation.
     per_chunk = [F.sum(e).alias(f"_sum_{n}") for n, e in sums.items()]
     per_chunk += [F.max(e).alias(f"_max_{n}") for n, e in maxes.items()]
-    if previous:
-        last = F.struct(*[e.alias(n) for n, e in previous.items()])
-        per_chunk.append(F.max_by(last, order).alias("_last"))
-    if following:
-        first = F.struct(*[e.alias(n) for n, e in following.items()])
-        per_chunk.append(F.min_by(first, order).alias("_first"))
-    if firsts:
-        opening = F.struct(*[e.alias(n) for n, e in firsts.items()])
-        per_chunk.append(F.min_by(opening, order).alias("_opening"))
+    per_chunk += [F.max_by(e, order).alias(f"_last_{n}") for n, e in previous.items()]
+    per_chunk += [F.min_by(e, order).alias(f"_next_{n}") for n, e in following.items()]
+    per_chunk += [F.min_by(e, order).alias(f"_first_{n}") for n, e in firsts.items()]
     totals = chunked.groupBy(*key).agg(*per_chunk)
 
     across = Window.partitionBy(*group).orderBy("_chunk")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
+    whole = across.rowsBetween(Window.unboundedPreceding, 0)
     carried = [F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in sums]
     carried += [F.max(f"_max_{n}").over(before).alias(f"_carry_{n}") for n in maxes]
-    if previous:
-        carried.append(F.lag("_last").over(across).alias("_carry_last"))
-    if following:
-        carried.append(F.lead("_first").over(across).alias("_carry_first"))
-    if firsts:
-        whole = across.rowsBetween(Window.unboundedPreceding, 0)
-        carried.append(F.first("_opening").over(whole).alias("_carry_opening"))
+    carried += [F.lag(f"_last_{n}").over(across).alias(f"_carry_{n}") for n in previous]
+    carried += [F.lead(f"_next_{n}").over(across).alias(f"_carry_{n}") for n in following]
+    carried += [F.first(f"_first_{n}").over(whole).alias(f"_carry_{n}") for n in firsts]
     carry = totals.select(*key, *carried)
 
     inside = Window.partitionBy(*key).orderBy(order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = [F.sum(e).over(so_far).alias(f"_local_{n}") for n, e in sums.items()]
     local += [F.max(e).over(so_far).alias(f"_local_{n}") for n, e in maxes.items()]
+    local += [F.lag(e).over(inside).alias(f"_local_{n}") for n, e in previous.items()]
+    local += [F.lead(e).over(inside).alias(f"_local_{n}") for n, e in following.items()]
+    # At a chunk's edge the neighbour is the carried one; inside, it may be null.
     if previous:
-        local.append(F.lag(last).over(inside).alias("_local_last"))
+        local.append(F.lag(order).over(inside).isNull().alias("_opens"))
     if following:
-        local.append(F.lead(first).over(inside).alias("_local_first"))
+        local.append(F.lead(order).over(inside).isNull().alias("_closes"))
+
+    def at(edge: str, name: str) -> Column:
+        return F.when(F.col(edge), F.col(f"_carry_{name}")).otherwise(F.col(f"_local_{name}"))
 
-    out = [
-        (F.coalesce(f"_carry_{n}", F.lit(0)) + F.col(f"_local_{n}")).alias(n) for n in sums
-    ]
+    out = [(F.coalesce(f"_carry_{n}", F.lit(0)) + F.col(f"_local_{n}")).alias(n) for n in sums]
     out += [F.greatest(f"_carry_{n}", f"_local_{n}").alias(n) for n in maxes]
-    out += [F.coalesce("_local_last", "_carry_last").getField(n).alias(n) for n in previous]
-    out += [F.coalesce("_local_first", "_carry_first").getField(n).alias(n) for n in following]
-    out += [F.col("_carry_opening").getField(n).alias(n) for n in firsts]
-    return (
-        chunked.select("*", *local)
-        .join(carry, key)
-        .select(*df.columns, *out)
-    )
+    out += [at("_opens", n).alias(n) for n in previous]
+    out += [at("_closes", n).alias(n) for n in following]
+    out += [F.col(f"_carry_{n}").alias(n) for n in firsts]
+    return chunked.select("*", *local).join(carry, key).select(*df.columns, *out)
 
 
 def with_earlier_rows(

@@ -37,40 +37,41 @@ def _unit_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[float, str]]]:
-    """Per query the k best (score, id) of a batch; equal scores by id."""
-    order = np.argsort(ids, kind="stable")
-    scores, ids = scores[order], ids[order]
-    keep = min(k, len(ids))
-    limit = np.partition(scores, len(ids) - keep, axis=0)[len(ids) - keep]
-    out = []
-    for column in range(scores.shape[1]):
-        rows = np.flatnonzero(scores[:, column] >= limit[column])
-        rows = rows[np.argsort(-scores[rows, column], kind="stable")][:keep]
-        out.append([(float(scores[r, column]), ids[r]) for r in rows])
-    return out
+def _best(scores: np.ndarray, at_least: float, k: int) -> np.ndarray:
+    """Places of the k best of one query's scores; equal scores by place."""
+    places = np.flatnonzero(scores >= at_least)
+    if len(places) > k:
+        limit = np.partition(scores[places], len(places) - k)[len(places) - k]
+        places = places[scores[places] >= limit]
+    return places[np.argsort(-scores[places], kind="stable")][:k]
 
 
 def _top_k(query_ids: list[str], matrix: np.ndarray, batches: Iterator[pa.RecordBatch], k: int) -> pa.Table:
-    """Run over vector batches, holding only k hits per query."""
+    """Run over vector batches, holding only k hits per query.
+
+    Once a query has k hits, only scores that reach its last one are looked at.
+    """
     kept: list[list[tuple[float, str]]] = [[] for _ in query_ids]
+    floor = np.full(len(query_ids), -np.inf)
     for batch in batches:
         if batch.num_rows == 0 or not query_ids:
             continue
         items = batch.column("item_id").to_numpy(zero_copy_only=False).astype(str)
-        rows = _unit_matrix(batch.column("vector"), matrix.shape[1])
+        order = np.argsort(items, kind="stable")
+        items, rows = items[order], _unit_matrix(batch.column("vector"), matrix.shape[1])[order]
         for first in range(0, len(query_ids), 256):
-            scores = np.round(rows @ matrix[first : first + 256].T, SCORE_DIGITS) + 0.0
-            for offset, hits in enumerate(_best(scores, items, k)):
-                mine = kept[first + offset] + hits
+            scores = np.round(matrix[first : first + 256] @ rows.T, SCORE_DIGITS) + 0.0
+            for q in np.flatnonzero(scores.max(axis=1) >= floor[first : first + 256]):
+                mine = kept[first + q]
+                mine += [(float(scores[q, p]), items[p]) for p in _best(scores[q], floor[first + q], k)]
                 mine.sort(key=lambda h: (-h[0], h[1]))
-                kept[first + offset] = mine[:k]
+                del mine[k:]
+                if len(mine) == k:
+                    floor[first + q] = mine[-1][0]
     flat = [(q, i, s) for q, hits in zip(query_ids, kept) for s, i in hits]
     names = ["query_id", "item_id", "score"]
     types = [pa.string(), pa.string(), pa.float64()]
-    return pa.table(
-        [pa.array([row[n] for row in flat], t) for n, t in enumerate(types)], names=names
-    )
+    return pa.table([pa.array([row[n] for row in flat], t) for n, t in enumerate(types)], names=names)
 
 
 HITS = "query_id string, item_id string, score double"
