@@ -6,10 +6,9 @@ from pyspark.sql import Column, functions as F
 
 from colloquy.functions.text import strip
 
-# The fence lines a model may put around its JSON.
+# The fence lines a model may put around its JSON, and the warning.
 LEADING_FENCE = r"(?md)^```(?:json)?\s*\n?"
 TRAILING_FENCE = r"(?md)\n?```\s*$"
-
 CLEANUP_WARNING = "Model output required cleanup (code fences removed)"
 
 

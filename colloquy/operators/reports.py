@@ -13,6 +13,11 @@ PAGE_LIMIT = 100
 RECENT_ROWS = 10
 RESULT_IDS = 200
 
+# Texts that stand in for absent parts of a report.
+NO_SUMMARY = "No summary available."
+NO_ACTIONS = "*No action items identified.*"
+DEGRADED_BADGE = " *(Degraded)*"
+
 
 def count_all(tables: dict[str, DataFrame]) -> DataFrame:
     """Row counts of all tables in one job."""
@@ -127,9 +132,14 @@ def lineage(sources: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def job_events(created: DataFrame) -> DataFrame:
-    """Events in log form: job_id, status, at, job_type, input, result, error."""
-    columns = ["job_id", "status", "at", "job_type", "input", "result", "error"]
+def ordered_children(rows: DataFrame) -> DataFrame:
+    """Children (table, parent, id, position) in the order of their parent."""
+    return rows.orderBy("table", "parent", "position")
+
+
+def job_events(created: DataFrame, tie: str = "event_id") -> DataFrame:
+    """Events in log form; rows with a status outside the allowed four are left out."""
+    columns = ["job_id", tie, "status", "at", "job_type", "input", "result", "error"]
     return created.where(F.col("status").isin(*JOB_STATUSES)).select(*columns)
 
 
@@ -234,14 +244,14 @@ def render_report(rows: DataFrame) -> DataFrame:
         return F.when(F.coalesce(F.col(column), F.lit("")) != "", F.array(pair(name, F.col(column)))).otherwise(none)
 
     title = tx.title_case(F.replace(tx.file_stem(F.col("source_file")), F.lit("_"), F.lit(" ")))
-    badge = F.when(F.col("status") == "degraded", " *(Degraded)*").otherwise("")
+    badge = F.when(F.col("status") == "degraded", DEGRADED_BADGE).otherwise("")
     confidence = F.concat(F.lit("**Confidence:** "), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0))), badge)
     bullets = F.when(
         F.size("bullets") > 0,
         F.concat(F.array(F.lit("## Bullets"), F.lit("")), listing(F.col("bullets"), "- "), F.array(F.lit(""))),
     ).otherwise(none)
     actions = F.when(F.size("action_items") > 0, listing(F.col("action_items"), "- [ ] ")).otherwise(
-        F.array(F.lit("*No action items identified.*"))
+        F.array(F.lit(NO_ACTIONS))
     )
     meta = F.concat(
         F.array(
@@ -261,7 +271,7 @@ def render_report(rows: DataFrame) -> DataFrame:
     ).otherwise(none)
     lines = F.concat(
         F.array(F.concat(F.lit("# "), title), F.lit(""), confidence, F.lit(""), F.lit("## Summary"), F.lit(""),
-                F.coalesce("summary", F.lit("No summary available.")), F.lit("")),
+                F.coalesce("summary", F.lit(NO_SUMMARY)), F.lit("")),
         bullets,
         F.array(F.lit("## Action Items"), F.lit("")), actions, F.array(F.lit("")),
         meta,

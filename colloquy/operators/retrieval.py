@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions import text as tx, vectors as vx
 from colloquy.operators.models import TextModel, run_text_model
+from colloquy.session import durable
 
 # Retrieval defaults and bounds.
 TOP_K = 10
@@ -19,6 +20,14 @@ MIN_SCORE = 0.50
 SNIPPET_CHARS = 160
 ANSWER_MARK = "## Answer"
 
+# The identity sentence of an answer prompt.
+NAMED_USER = (
+    "The person who owns this assistant is ",
+    ". In the context excerpts, 'user' and '",
+    "' refer to the same person — the one speaking or being spoken about.",
+)
+UNNAMED_USER = "In the context excerpts, 'user' refers to the person who owns this assistant."
+
 # Queries up to this many travel to every task; more are met block by block.
 LOCAL_QUERIES = 4096
 BLOCK_VECTORS = 200_000
@@ -260,7 +269,8 @@ def retrieve(
     """
     hits = search(questions, indexed.select(F.col("fragment_id").alias("item_id"), "vector"), min(max(k, 1), MAX_TOP_K))
     kept = hybrid_cutoff(hits, min_results, min_score).withColumnRenamed("item_id", "fragment_id")
-    return hydrate_fragments(kept, tables)
+    # Hits are few and dear: written once, so that no join runs the search again.
+    return hydrate_fragments(durable(kept, "hits"), tables)
 
 
 def context_blocks(hydrated: DataFrame) -> DataFrame:
@@ -307,14 +317,8 @@ def citations(hydrated: DataFrame) -> DataFrame:
 
 def user_context(user_name: Column) -> Column:
     name = tx.strip(F.coalesce(user_name, F.lit("")))
-    named = F.concat(
-        F.lit("The person who owns this assistant is "), name,
-        F.lit(". In the context excerpts, 'user' and '"), name,
-        F.lit("' refer to the same person — the one speaking or being spoken about."),
-    )
-    return F.when(name != "", named).otherwise(
-        "In the context excerpts, 'user' refers to the person who owns this assistant."
-    )
+    first, second, third = map(F.lit, NAMED_USER)
+    return F.when(name != "", F.concat(first, name, second, name, third)).otherwise(UNNAMED_USER)
 
 
 def answer_post(raw: Column) -> Column:

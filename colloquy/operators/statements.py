@@ -15,7 +15,18 @@ from colloquy.session import durable
 # Limits of the statement rules.
 MIN_PLAUSIBLE = 40
 NON_EMPTY_CHARS = 200
-REDO_STATUSES = ("skipped", "partial")
+
+# Texts of the reasons for rejecting an answer.
+NOT_OBJECT = "output is not a JSON object"
+NOT_LIST = "'statements' is not a list"
+ZERO_STATEMENTS = "zero statements extracted from non-empty segment"
+UNEXPECTED_KEYS = "unexpected keys in output: "
+TOO_MANY = "statement count %d exceeds plausible max %d for %d-line input"
+
+NOT_JSON = "output is not JSON"
+BAD_SPEAKERS = "invalid speaker in %d statement(s)"
+NEAR_DUPLICATES = "found %d near-duplicate statement pair(s)"
+DOMINANT_GRAM = "4-gram '%s' appears in %d/%d statements"
 
 
 def statement_array(text: Column) -> Column:
@@ -160,29 +171,29 @@ def validate_statements(answers: DataFrame, key: list[str], view: str = "working
         return F.when(F.coalesce(broken, F.lit(False)), words)
 
     in_list = [
-        rule(F.size(unexpected) > 0, F.concat(F.lit("unexpected keys in output: "), F.array_join(unexpected, ", "))),
-        rule(~listed, F.lit("'statements' is not a list")),
-        rule(listed & (F.col("_bad") > 0), F.format_string("invalid speaker in %d statement(s)", "_bad")),
+        rule(F.size(unexpected) > 0, F.concat(F.lit(UNEXPECTED_KEYS), F.array_join(unexpected, ", "))),
+        rule(~listed, F.lit(NOT_LIST)),
+        rule(listed & (F.col("_bad") > 0), F.format_string(BAD_SPEAKERS, "_bad")),
         rule(
             listed & (count > ceiling),
-            F.format_string("statement count %d exceeds plausible max %d for %d-line input", count, ceiling, "_lines"),
+            F.format_string(TOO_MANY, count, ceiling, "_lines"),
         ),
         rule(
             listed & (count == 0) & (F.length(tx.strip(F.col(view))) > NON_EMPTY_CHARS),
-            F.lit("zero statements extracted from non-empty segment"),
+            F.lit(ZERO_STATEMENTS),
         ),
         rule(
             listed & (F.col("_pairs") >= similarity.MAX_NEAR_DUPLICATE_PAIRS),
-            F.format_string("found %d near-duplicate statement pair(s)", "_pairs"),
+            F.format_string(NEAR_DUPLICATES, "_pairs"),
         ),
         rule(
             listed & (count >= similarity.MIN_STATEMENTS_FOR_GRAM) & (F.col("statements_with") >= gram_limit),
-            F.format_string("4-gram '%s' appears in %d/%d statements", "gram", "statements_with", "_texts"),
+            F.format_string(DOMINANT_GRAM, "gram", "statements_with", "_texts"),
         ),
     ]
     reasons = (
-        F.when(parsed.isNull(), F.array(F.lit("output is not JSON")))
-        .when(~is_object, F.array(F.lit("output is not a JSON object")))
+        F.when(parsed.isNull(), F.array(F.lit(NOT_JSON)))
+        .when(~is_object, F.array(F.lit(NOT_OBJECT)))
         .otherwise(F.array_compact(F.array(*in_list)))
     )
     return (
@@ -287,6 +298,14 @@ def clean_model_statements(picked: DataFrame) -> DataFrame:
     )
 
 
+def extract_prompts(
+    views: DataFrame, template: str, text: str = "working_view", key: str = "segment_id"
+) -> DataFrame:
+    """(id, user) per row; ``template`` holds ``{segment_text}``."""
+    filled = F.replace(F.lit(template), F.lit("{segment_text}"), F.col(text))
+    return views.select(F.col(key).alias("id"), filled.alias("user"))
+
+
 def extract_with_model(
     segments: DataFrame, factory: Callable[[], TextModel], template: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -295,12 +314,9 @@ def extract_with_model(
     Returns (extracts, statements). Each step runs over all segments that the step
     before left without a usable answer. ``template`` holds ``{segment_text}``.
     """
-    def prompt(view: Column) -> Column:
-        return F.replace(F.lit(template), F.lit("{segment_text}"), view)
-
     def attempt(todo: DataFrame, number: int, mode: str) -> DataFrame:
         viewed = safe_segments(todo, mode)
-        asked = viewed.select(F.col("segment_id").alias("id"), prompt(F.col("working_view")).alias("prompt"))
+        asked = extract_prompts(viewed, template).withColumnRenamed("user", "prompt")
         answers = durable(run_text_model(asked, factory), "answers").withColumnRenamed("id", "segment_id")
         joined = answers.join(viewed.select("segment_id", "working_view"), "segment_id")
         checked = validate_statements(read_model_output(joined), ["segment_id"])
@@ -322,7 +338,7 @@ def extract_with_model(
     )
     turns = turns.unionByName(whole)
     views = bl.working_view(turns, bl.archive_blocks(turns, "id", "body"), "id", "body")
-    answers = durable(run_text_model(views.select("id", prompt(F.col("working_view")).alias("prompt")), factory), "answers")
+    answers = durable(run_text_model(extract_prompts(views, template, key="id").withColumnRenamed("user", "prompt"), factory), "answers")
     per_turn = read_model_output(answers).join(turns.select("id", "segment_id", "turn_index", "speaker"), "id")
     merged = merge_message_answers(per_turn).join(
         left.select("segment_id", F.col("segment_text").alias("working_view")), "segment_id"

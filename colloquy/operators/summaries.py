@@ -142,12 +142,13 @@ def summarize_with_model(
                 prior.append(row["prior_summary"])
                 continue
             context = "\n".join(f"Segment {i}: {s}" for i, s in enumerate(prior[-size:]))
-            parts = [f"---BEGIN SEGMENT TRANSCRIPT---\n{row['segment_text']}\n---END SEGMENT TRANSCRIPT---"]
+            parts = [(SEGMENT_PART, row["segment_text"])]
             if context:
-                parts.insert(0, f"---BEGIN PREVIOUS CONTEXT---\n{context}\n---END PREVIOUS CONTEXT---")
+                parts.insert(0, (CONTEXT_PART, context))
+            prompt = "\n\n".join(f"---BEGIN {n}---\n{body}\n---END {n}---" for n, body in parts)
             raw, summary, error = None, None, None
             try:
-                raw = model("\n\n".join(parts))
+                raw = model(prompt)
                 summary = str(json.loads(raw).get("summary", ""))
                 prior.append(summary)
             except Exception as problem:
@@ -204,6 +205,13 @@ def embedding_text(kind: Column, text: Column, bullets: Column, actions: Column,
     )
 
 
+# Names of the fenced parts of a prompt.
+CONTEXT_PART = "PREVIOUS CONTEXT"
+SEGMENT_PART = "SEGMENT TRANSCRIPT"
+TOPIC_PART = "TOPIC SEGMENTS"
+TRANSCRIPT_PART = "TRANSCRIPT"
+
+
 def _fenced_part(name: str, body: Column) -> Column:
     return F.concat(F.lit(f"---BEGIN {name}---\n"), body, F.lit(f"\n---END {name}---"))
 
@@ -213,11 +221,11 @@ def segment_prompts(segments: DataFrame, system: str) -> DataFrame:
 
     Rows need segment_id, segment_text and context (empty when there is none).
     """
-    context = F.when(F.col("context") != "", _fenced_part("PREVIOUS CONTEXT", F.col("context")))
+    context = F.when(F.col("context") != "", _fenced_part(CONTEXT_PART, F.col("context")))
     return segments.select(
         F.col("segment_id").alias("id"),
         F.lit(system).alias("system"),
-        F.concat_ws("\n\n", context, _fenced_part("SEGMENT TRANSCRIPT", F.col("segment_text"))).alias("user"),
+        F.concat_ws("\n\n", context, _fenced_part(SEGMENT_PART, F.col("segment_text"))).alias("user"),
     )
 
 
@@ -226,7 +234,7 @@ def topic_prompts(member_lines: DataFrame, system: str) -> DataFrame:
     return member_lines.select(
         F.format_string("%s_t%03d#%d", "conv_id", "topic_index", "page").alias("id"),
         F.lit(system).alias("system"),
-        _fenced_part("TOPIC SEGMENTS", F.col("member_lines")).alias("user"),
+        _fenced_part(TOPIC_PART, F.col("member_lines")).alias("user"),
     )
 
 
@@ -235,5 +243,5 @@ def transcript_prompts(transcripts: DataFrame, system: str) -> DataFrame:
     return transcripts.select(
         F.concat_ws("#", "conv_id", F.col("page").cast("string")).alias("id"),
         F.lit(system).alias("system"),
-        _fenced_part("TRANSCRIPT", F.col("transcript")).alias("user"),
+        _fenced_part(TRANSCRIPT_PART, F.col("transcript")).alias("user"),
     )

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions import ids, text as tx, vectors as vx
+from colloquy.operators import fragments as fr
 from colloquy.operators import models
 from colloquy.operators import reports as rp
 from colloquy.operators import retrieval as rt
 from colloquy.operators import segments as sg
 from colloquy.operators import statements as st
 from colloquy.operators import summaries as sm
-from colloquy.operators import tables as tb
 from colloquy.operators import topics as tp
 from colloquy.plans.registry import hashed_vectors, query
 from colloquy.plans.stages import VECTOR_SIZE, KnowledgeBase
@@ -599,12 +599,46 @@ def resolve_status(kb):
 , ctx AS (
   SELECT segment_id, segment_text, list(substr(segment_text, 1, 40)) OVER (PARTITION BY conv_id ORDER BY segment_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prior FROM segments
 )
-SELECT segment_id AS id, 'Summarize.' AS system,
+SELECT 'segment' AS kind, segment_id AS id,
   CASE WHEN prior IS NULL OR len(prior) = 0 THEN '' ELSE '---BEGIN PREVIOUS CONTEXT---' || chr(10) || array_to_string(list_transform(prior, lambda s, i: 'Segment ' || (i - 1) || ': ' || s), chr(10)) || chr(10) || '---END PREVIOUS CONTEXT---' || chr(10) || chr(10) END
   || '---BEGIN SEGMENT TRANSCRIPT---' || chr(10) || segment_text || chr(10) || '---END SEGMENT TRANSCRIPT---' AS "user"
 FROM ctx
+UNION ALL
+SELECT 'extract', segment_id, 'List the statements.' || chr(10) || segment_text FROM segments
+UNION ALL
+SELECT 'fragment', extract_id || '#' || (statement_index // 50), 'Group these.' || chr(10) || string_agg(speaker || ': ' || text, chr(10) ORDER BY statement_index)
+FROM statements GROUP BY extract_id, statement_index // 50
+UNION ALL
+SELECT 'transcript', conv_id || '#0', '---BEGIN TRANSCRIPT---' || chr(10)
+  || regexp_replace(string_agg('[' || speaker || ']:' || chr(10) || content || chr(10), chr(10) ORDER BY position), '^\\s+|\\s+$', '', 'g') || chr(10) || '---END TRANSCRIPT---'
+FROM messages GROUP BY conv_id
 """,
 )
 def prompts(kb):
+    """One row per unit that a model would be asked about, of four kinds."""
     heads = kb.segments.withColumn("summary", F.substring("segment_text", 1, 40))
-    return sm.segment_prompts(sg.rolling_context(heads), "Summarize.")
+    untimed = kb.messages.withColumn("ts", F.lit(None).cast("string"))
+    kinds = {
+        "segment": sm.segment_prompts(sg.rolling_context(heads), "Summarize."),
+        "extract": st.extract_prompts(kb.segments, "List the statements.\n{segment_text}", "segment_text"),
+        "fragment": fr.fragment_prompts(kb.statements, "Group these.\n{statements_text}").withColumnRenamed("prompt", "user"),
+        "transcript": sm.transcript_prompts(sg.transcript(untimed), "Summarize."),
+    }
+    parts = [df.select(F.lit(kind).alias("kind"), "id", "user") for kind, df in kinds.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
+@query(
+    "topic_prompts",
+    TOPIC_SUMMARY_SQL
+    + """
+SELECT printf('%s_t%03d#0', conv_id, topic_index) AS id,
+       '---BEGIN TOPIC SEGMENTS---' || chr(10) || string_agg('Segment ' || position || ': ' || summary, chr(10) ORDER BY position) || chr(10) || '---END TOPIC SEGMENTS---' AS "user"
+FROM members GROUP BY conv_id, topic_index
+""",
+)
+def topic_prompts(kb):
+    return sm.topic_prompts(tp.topic_member_lines(_summarized(kb)), "Summarize.").select("id", "user")

@@ -332,9 +332,23 @@ def list_page(kb):
     )
 
 
-@query("children", "SELECT conv_id, segment_id, segment_index, start_position FROM segments")
+@query(
+    "children",
+    """
+SELECT 'segments' AS "table", conv_id AS parent, segment_id AS id, segment_index AS position FROM segments
+UNION ALL SELECT 'statements', extract_id, statement_id, statement_index FROM statements
+UNION ALL SELECT 'fragments', extract_id, fragment_id, fragment_index FROM fragments
+""",
+)
 def children(kb):
-    return kb.segments.select("conv_id", "segment_id", "segment_index", "start_position").orderBy("conv_id", "segment_index")
+    """Segments, statements and fragments below their parent, in order."""
+    def below(name, df, parent, key, position):
+        return df.select(F.lit(name).alias("table"), F.col(parent).alias("parent"), F.col(key).alias("id"), F.col(position).alias("position"))
+
+    rows = below("segments", kb.segments, "conv_id", "segment_id", "segment_index")
+    rows = rows.unionByName(below("statements", kb.statements, "extract_id", "statement_id", "statement_index"))
+    rows = rows.unionByName(below("fragments", kb.fragments, "extract_id", "fragment_id", "fragment_index"))
+    return rp.ordered_children(rows)
 
 
 @query("lookup", "SELECT extract_id, segment_id, status FROM extracts WHERE segment_index = 0")
@@ -436,6 +450,20 @@ times AS (
 )"""
 
 
+@query(
+    "job_events",
+    JOBS_SQL + "\nSELECT job_id, status, event_id, coalesce(result, '') AS result, coalesce(error, '') AS error FROM log",
+)
+def job_events(kb):
+    """The log as appended to its table and read back."""
+    path = new_path(kb.spark, "jobs")
+    log = rp.job_events(_events(kb).select("*", F.lit("extract").alias("job_type"), F.lit(None).cast("string").alias("input")), "event_id")
+    tb.append_table(log, path)
+    return kb.spark.read.parquet(path).select(
+        "job_id", "status", "event_id", F.coalesce("result", F.lit("")).alias("result"), F.coalesce("error", F.lit("")).alias("error")
+    )
+
+
 @query(
     "job_state",
     JOBS_SQL
