@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions import ids, text
 from colloquy.operators.ordered import ordered_scan
+from colloquy.session import durable
 
 # Who is shown, and which recipient marks a hidden memory note.
 SPEAKERS = ("user", "assistant")
@@ -53,31 +54,55 @@ def with_message_key(messages: DataFrame) -> DataFrame:
     )
 
 
-def collapse_retries(messages: DataFrame) -> DataFrame:
-    """Drop a user message followed by a user message with the same words.
+RETRY_MARKS = ["_user", "_high", "_low"]
+
 
-    Chains collapse to the last one. Texts are compared by 120 bits of their
-    SHA-256, held in two integers, so the scan moves no text of a neighbour.
+def _with_retry_marks(messages: DataFrame) -> DataFrame:
+    """Add what decides a retry: a user flag and 120 bits of the words' SHA-256.
+
+    Two integers stand for a text, so no scan moves a neighbour's text.
     """
-    digest = F.sha2(text.squeeze(F.col("content")), 256)
+    user = F.col("speaker") == "user"
+    digest = F.when(user, F.sha2(text.squeeze(F.col("content")), 256))
 
     def bits(first: int) -> Column:
         return F.conv(F.substring(F.col("_digest"), first, 15), 16, 10).cast("bigint")
 
-    hashed = messages.withColumn("_digest", digest).select(
+    return messages.withColumn("_digest", digest).select(
         *messages.columns,
-        (F.col("speaker") == "user").cast("int").alias("_user"),
+        user.cast("bigint").alias("_user"),
         bits(1).alias("_high"),
         bits(16).alias("_low"),
     )
-    marks = ["_user", "_high", "_low"]
-    seen = ordered_scan(
-        hashed, ["conv_id"], "ordinal", following={f"_next{m}": F.col(m) for m in marks}
-    )
+
+
+def _without_retries(marked: DataFrame) -> DataFrame:
+    following = {f"_next{m}": F.col(m) for m in RETRY_MARKS}
+    seen = ordered_scan(marked, ["conv_id"], "ordinal", following=following)
     retried = F.col("_user") == 1
-    for mark in marks:
+    for mark in RETRY_MARKS:
         retried = retried & F.col(f"_next{mark}").eqNullSafe(F.col(mark))
-    return seen.where(~retried).select(*messages.columns)
+    return seen.where(~retried).select(*marked.columns)
+
+
+def collapse_retries(messages: DataFrame) -> DataFrame:
+    """Drop a user message followed by a user message with the same words.
+
+    Chains collapse to the last one.
+    """
+    return _without_retries(_with_retry_marks(messages)).drop(*RETRY_MARKS)
+
+
+def linear_messages(messages: DataFrame) -> DataFrame:
+    """Visible messages without retries, with ``position`` and ``segment_index``.
+
+    Order is settled on a narrow table of ordinals and marks, written once; texts
+    are read for the marks and meet their numbers in one even join.
+    """
+    key = ["conv_id", "ordinal"]
+    marks = durable(_with_retry_marks(messages).select(*key, "speaker", *RETRY_MARKS), "marks")
+    numbers = assign_positions(_without_retries(marks)).select(*key, "position", "segment_index")
+    return messages.join(numbers, key).select(*messages.columns, "position", "segment_index")
 
 
 def assign_positions(messages: DataFrame) -> DataFrame:

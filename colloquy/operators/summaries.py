@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions import text as tx
-from colloquy.operators.models import TextModel
+from colloquy.operators.models import TextModel, run_text_model
 from colloquy.session import durable
 
 SUMMARY_SENTENCES = 3
@@ -245,3 +245,34 @@ def transcript_prompts(transcripts: DataFrame, system: str) -> DataFrame:
         F.lit(system).alias("system"),
         _fenced_part(TRANSCRIPT_PART, F.col("transcript")).alias("user"),
     )
+
+
+def summary_rows(answers: DataFrame) -> DataFrame:
+    """Summary fields of model answers (id, raw, error), read leniently.
+
+    An unreadable answer gives status "partial", a repaired one "degraded".
+    """
+    from colloquy.operators.statements import clean_warnings, read_model_output, resolve_status
+
+    parsed = read_model_output(answers)
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get("parsed", f"$.{name}", kind)
+
+    none = F.array().cast("array<string>")
+    return parsed.select(
+        "id",
+        F.coalesce(field("summary", "string"), F.lit("")).alias("summary"),
+        F.coalesce(field("bullets", "array<string>"), none).alias("bullets"),
+        F.coalesce(field("action_items", "array<string>"), none).alias("action_items"),
+        F.coalesce(field("confidence", "double"), F.lit(0.0)).alias("confidence"),
+        field("lang", "string").alias("lang"),
+        resolve_status(F.col("error").isNotNull(), F.col("parsed").isNull(), F.col("is_degraded")).alias("status"),
+        clean_warnings(F.array("error", "parse_warning")).alias("warnings"),
+    )
+
+
+def summarize_prompts(prompts: DataFrame, factory: Callable[[], TextModel]) -> DataFrame:
+    """Model summaries of topics or files from their (id, system, user) prompts."""
+    asked = prompts.select("id", F.concat_ws("\n\n", "system", "user").alias("prompt"))
+    return summary_rows(durable(run_text_model(asked, factory), "answers"))

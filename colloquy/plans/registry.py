@@ -32,9 +32,14 @@ WITH turns AS (
          turn AS ordinal, text AS content
   FROM conversations
 ),
+shown AS (
+  SELECT *, trim(regexp_replace(content, '\s+', ' ', 'g')) AS norm FROM turns
+  WHERE speaker IN ('user', 'assistant') AND regexp_replace(content, '^\s+|\s+$', '', 'g') <> ''
+),
+heard AS (SELECT *, lead(speaker) OVER w AS next_speaker, lead(norm) OVER w AS next_norm FROM shown WINDOW w AS (PARTITION BY conv_id ORDER BY ordinal)),
 messages AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ordinal) - 1 AS position
-  FROM turns WHERE speaker IN ('user', 'assistant')
+  SELECT conv_id, message_id, speaker, created_at, ordinal, content, row_number() OVER (PARTITION BY conv_id ORDER BY ordinal) - 1 AS position
+  FROM heard WHERE NOT (speaker = 'user' AND coalesce(next_speaker = 'user' AND next_norm = norm, false))
 ),
 grp AS (
   SELECT *, CAST(sum(CASE WHEN speaker = 'user' OR position = 0 THEN 1 ELSE 0 END)

@@ -23,8 +23,8 @@ VECTOR_SIZE = 64
 class KnowledgeBase:
     """Stage tables derived from the turns of ``conversations``.
 
-    Segments, statements and grouped statements are written as stage tables when
-    first asked for: later stages read the columns they need instead of deriving
+    Messages, segments, statements and grouped statements are written as stage tables
+    when first asked for: later stages read the columns they need instead of deriving
     them again. All else is lazy.
     """
 
@@ -40,9 +40,15 @@ class KnowledgeBase:
 
     @cached_property
     def messages(self) -> DataFrame:
-        """Visible messages. Turns are dense and free of retries as stored."""
-        shown = self.turns.where(F.col("speaker").isin(*ms.SPEAKERS))
-        return ms.assign_positions(shown)
+        """Visible messages without retries, numbered. A turn has text alone."""
+        shown = ms.visible_messages(
+            self.turns.withColumnRenamed("speaker", "role")
+            .withColumn("recipient", F.lit(None).cast("string"))
+            .withColumn("content_type", F.lit(ms.TEXT_CONTENT))
+            .withColumn("hidden", F.lit(False))
+        )
+        linear = shown.withColumnRenamed("role", "speaker").select(*self.turns.columns)
+        return durable(ms.linear_messages(linear), "messages")
 
     @cached_property
     def segments(self) -> DataFrame:

@@ -92,7 +92,7 @@ def export_messages(exports: DataFrame) -> DataFrame:
         "ordinal",
         "content",
     )
-    return ms.assign_positions(ms.collapse_retries(keyed))
+    return ms.linear_messages(keyed)
 
 
 def conversation_headers(exports: DataFrame) -> DataFrame:

@@ -244,3 +244,22 @@ def test_embedder_errors_become_rows(spark):
     assert got["ok"] == ([1.0, 2.0], None) and "empty text" in got[""][1] and "empty vector" in got["odd"][1]
     base = {r.text: r for r in models.embed(texts(spark, "one two two", "..."), "text", dim=8).collect()}
     assert abs(sum(x * x for x in base["one two two"].vector) - 1) < 1e-12 and base["..."].error == "empty text"
+
+
+def test_model_summaries_from_prompts(spark):
+    def factory():
+        def model(prompt):
+            if "bad" in prompt:
+                return "no json"
+            if "late" in prompt:
+                raise TimeoutError("late")
+            body = json.dumps({"summary": "S", "bullets": ["a", "b"], "confidence": 0.9, "lang": "en"})
+            return f"```json\n{body}\n```" if "fenced" in prompt else body
+
+        return model
+
+    pages = spark.createDataFrame([("c", i, 0, t) for i, t in enumerate(["plain", "fenced", "bad", "late"])], "conv_id string, topic_index bigint, page bigint, member_lines string")
+    got = {r.id: r for r in sm.summarize_prompts(sm.topic_prompts(pages, "Sum up."), factory).collect()}
+    assert [got[f"c_t{i:03d}#0"].status for i in range(4)] == ["ok", "degraded", "partial", "skipped"]
+    assert got["c_t000#0"].bullets == ["a", "b"] and got["c_t000#0"].lang == "en" and got["c_t002#0"].summary == ""
+    assert got["c_t003#0"].warnings == ["TimeoutError: late"]
