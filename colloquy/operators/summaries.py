@@ -36,11 +36,8 @@ def sentence_scores(sentences: DataFrame, group: list[str], order: str, text: st
     )
     documents = terms.select(*group, "_word").distinct()
     frequency = documents.groupBy("_word").agg(F.count("*").alias("_df"))
-    total = sentences.select(*group).distinct().agg(F.count("*").alias("_total"))
-    # One row with one number: its size does not depend on the data.
-    weights = frequency.join(F.broadcast(total)).select(
-        "_word", F.log(1 + F.col("_total") / F.col("_df")).alias("_weight")
-    )
+    total = sentences.select(*group).distinct().agg(F.count("*")).scalar()
+    weights = frequency.select("_word", F.log(1 + total / F.col("_df")).alias("_weight"))
     return terms.join(weights, "_word").groupBy(*group, order).agg(
         F.round(F.avg("_weight"), 6).alias("score")
     )

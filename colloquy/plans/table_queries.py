@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions import ids, text as tx
+from colloquy.operators import messages as ms
 from colloquy.operators import reports as rp
+from colloquy.operators import segments as sg
 from colloquy.operators import tables as tb
 from colloquy.plans.registry import query
 from colloquy.plans.stages import KnowledgeBase
@@ -535,6 +537,15 @@ def stream_segments(kb):
     return segments.select("segment_id", "conv_id", "segment_index", F.array_join("message_ids", ",").alias("message_ids"), "segment_text")
 
 
+@query("late_messages", "SELECT segment_id, conv_id, segment_index, segment_text FROM segments")
+def late_messages(kb):
+    """Segments of the first four turns, cut again once the later turns are there."""
+    messages = kb.messages.drop("position", "segment_index")
+    early = durable(sg.segment_conversations(ms.linear_messages(messages.where("ordinal < 4"))), "early")
+    late = messages.where("ordinal >= 4")
+    return sj.resegment(early, messages, late).select("segment_id", "conv_id", "segment_index", "segment_text")
+
+
 @query("stream_insert_ignore", "SELECT conv_id, message_id, content FROM messages")
 def stream_insert_ignore(kb):
     out = new_path(kb.spark, "stream")

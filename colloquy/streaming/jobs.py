@@ -124,6 +124,18 @@ def flush_segments(spark: SparkSession, path: str, last_batch: int) -> tuple[Dat
     return emitted.unionByName(final), sg.pending_tails(numbered)
 
 
+def resegment(segments: DataFrame, messages: DataFrame, late: DataFrame) -> DataFrame:
+    """The segment table after late messages: their conversations are cut again.
+
+    ``messages`` holds all messages, the late ones included; conversations without
+    late messages keep their rows.
+    """
+    touched = late.select("conv_id").distinct()
+    again = messages.join(touched, "conv_id", "left_semi")
+    fresh = sg.segment_conversations(ms.linear_messages(again))
+    return tb.force_rerun(segments, fresh, touched)
+
+
 def job_state_sink(path: str, order: str = "event_id") -> Callable[[DataFrame, int], None]:
     """Latest status per job, and a side output of transitions that are not allowed."""
 
