@@ -266,9 +266,22 @@ def branch_stats(kb):
     return tree.branch_stats(nodes, tree.active_path(nodes, _heads(nodes)))
 
 
+FILE_TURNS = 1000
+
+
+def _file_of_turn():
+    """Name of the file a turn is in: a conversation fills one file per 1,000 turns."""
+    page = F.floor(F.col("ordinal") / FILE_TURNS)
+    suffix = F.when(page > 0, F.concat(F.lit("_p"), page.cast("string"))).otherwise("")
+    return F.concat("conv_id", suffix)
+
+
+FILE_OF_TURN = "conv_id || CASE WHEN ordinal >= 1000 THEN '_p' || (ordinal // 1000) ELSE '' END"
+
+
 def _export_files(kb: KnowledgeBase) -> DataFrame:
     """Export files whose JSON is built from the turns of each conversation."""
-    n = F.col("ordinal")
+    n = F.col("ordinal") % FILE_TURNS
     node = F.concat(F.lit("n"), n.cast("string"))
     message = F.struct(
         F.col("message_id").alias("id"),
@@ -284,18 +297,19 @@ def _export_files(kb: KnowledgeBase) -> DataFrame:
     )
     entries = F.array_sort(F.collect_list(F.struct(n.alias("n"), node.alias("k"), value.alias("v"))))
     mapping = F.map_from_entries(F.transform("_e", lambda e: F.struct(e["k"], e["v"])))
-    body = F.struct(F.concat(F.lit("Talk "), "conv_id").alias("title"), mapping.alias("mapping"))
-    return kb.turns.groupBy("conv_id").agg(entries.alias("_e")).select(
-        F.concat(F.lit("/exports/"), "conv_id", F.lit(".json")).alias("path"),
-        F.concat("conv_id", F.lit(".json")).alias("file_name"),
+    body = F.struct(F.concat(F.lit("Talk "), "file").alias("title"), mapping.alias("mapping"))
+    return kb.turns.groupBy(_file_of_turn().alias("file")).agg(entries.alias("_e")).select(
+        F.concat(F.lit("/exports/"), "file", F.lit(".json")).alias("path"),
+        F.concat("file", F.lit(".json")).alias("file_name"),
         F.to_json(body).alias("value"),
     )
 
 
 @query(
     "read_exports",
-    """
-SELECT conv_id, message_id, speaker, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, position, content FROM messages
+    f"""
+SELECT {FILE_OF_TURN} AS conv_id, message_id, speaker, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at,
+       row_number() OVER (PARTITION BY {FILE_OF_TURN} ORDER BY ordinal) - 1 AS position, content FROM messages
 """,
 )
 def read_exports(kb):
@@ -306,17 +320,18 @@ def read_exports(kb):
 
 @query(
     "read_chat_lists",
-    """
-SELECT 'c' || conv_id || '.json' AS conv_id, turn AS position, role AS speaker, text AS content,
-       CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) END AS ts
-FROM conversations
+    f"""
+SELECT {FILE_OF_TURN} || '.json' AS conv_id, ordinal % 1000 AS position, speaker, content,
+       CASE WHEN ordinal % 2 = 0 THEN CAST(ordinal AS VARCHAR) END AS ts
+FROM turns
 """,
 )
 def read_chat_lists(kb):
     n = F.col("ordinal")
     item = F.struct("speaker", "content", F.when(n % 2 == 0, n.cast("string")).alias("ts"))
-    files = kb.turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), item.alias("i")))).alias("_t")).select(
-        F.concat("conv_id", F.lit(".json")).alias("file_name"), F.to_json(F.transform("_t", lambda t: t["i"])).alias("value")
+    listed = F.array_sort(F.collect_list(F.struct(n.alias("n"), item.alias("i"))))
+    files = kb.turns.groupBy(_file_of_turn().alias("file")).agg(listed.alias("_t")).select(
+        F.concat("file", F.lit(".json")).alias("file_name"), F.to_json(F.transform("_t", lambda t: t["i"])).alias("value")
     )
     return fl.parse_chat_lists(files)[0]
 
