@@ -30,7 +30,8 @@ UNNAMED_USER = "In the context excerpts, 'user' refers to the person who owns th
 
 # Queries up to this many travel to every task; more are met block by block.
 LOCAL_QUERIES = 4096
-BLOCK_VECTORS = 200_000
+# A block of vectors holds at most this many numbers, so wide vectors come in fewer.
+BLOCK_NUMBERS = 16_000_000
 SCORE_DIGITS = 9
 
 
@@ -109,7 +110,8 @@ def search(
 
         partial = stored.mapInArrow(score, HITS)
     else:
-        partial = _search_blocks(asked, stored, k, local_queries)
+        dim = len(head.column("vector")[0])
+        partial = _search_blocks(asked, stored, k, local_queries, max(1, BLOCK_NUMBERS // max(1, dim)))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "item_id", "score", F.col("rank").cast("bigint").alias("rank")
@@ -120,13 +122,15 @@ def _numbers(count: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
 
 
-def _search_blocks(asked: DataFrame, stored: DataFrame, k: int, local_queries: int) -> DataFrame:
+def _search_blocks(
+    asked: DataFrame, stored: DataFrame, k: int, local_queries: int, block_vectors: int
+) -> DataFrame:
     """Exact search for many queries: blocks of queries meet blocks of vectors.
 
     Ids spread evenly over the blocks, so no block grows with a hot value.
     """
     query_blocks = -(-asked.count() // local_queries)
-    item_blocks = max(1, -(-stored.count() // BLOCK_VECTORS))
+    item_blocks = max(1, -(-stored.count() // block_vectors))
     left = asked.select(
         "query_id",
         "vector",
