@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +26,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A local folder is made only where the session names none, as in tests.
+    Where the session names none, a local master gets a folder beside its
+    warehouse. Other masters must name one: a folder of the driver's own machine
+    would lose rows.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if not named:
-        named = tempfile.mkdtemp(prefix="colloquy-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
         spark.conf.set(CHECKPOINT_SETTING, named)
     return named.rstrip("/")
 
