@@ -1,10 +1,15 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate
+from colloquy.llm import decontaminate, lines, order_minhash, packing, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op6_order_minhash": order_minhash.op6_order_minhash,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_line_dedup": lines.op8_line_dedup,
+    "op10_pack": packing.op10_pack,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op8_line_dedup": lines.ORACLE,
 }

@@ -290,9 +290,9 @@ def pack(found: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id",
     )
 
 
-def op10_pack(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+def op10_pack(spark, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
     import public_tokenizers
 
-    docs = table(prepared(spark), sf_dir, "documents") if docs is None else docs
+    docs = table(prepared(spark), sf_dir, "documents")
     return pack(durable(pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces"))

@@ -14,17 +14,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from colloquy.llm.common import Words, hash_of, prepared, table, words_of
 
-#: Labelled rows that a model is fitted on: those of the smallest hash of their id.
-SAMPLE_ROWS = 6_000
+#: Labelled rows of each label that a model is fitted on: those of the smallest hash of their id.
+SAMPLE_ROWS = 3_000
 #: Slots that features are hashed to, and the bytes of a word's beginnings.
 SLOTS_BITS = 18
-HEADS = (4, 6)
-STEPS, RATE, RIDGE = 300, 0.3, 1e-4
+HEADS = (4, 5, 6)
+#: A feature is used where its likelihood-ratio statistic between the labels is as large.
+EVIDENCE = 8.0
+STEPS, RATE, RIDGE = 200, 0.3, 1e-4
 #: Weight of the squared difference between a text's score and its counterfactual's.
 SWAP_WEIGHT = 4.0
 
@@ -105,10 +107,23 @@ def _design(column: pa.Array, swap: bool) -> tuple[np.ndarray, np.ndarray]:
     return keys >> SLOTS_BITS, keys & ((1 << SLOTS_BITS) - 1)
 
 
+def _evidence(rows: np.ndarray, slots: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """G statistic of each slot: how unlike the labels are in whether they have it."""
+    total = np.array([len(y) - y.sum(), y.sum()])
+    out = np.zeros(size)
+    have = [np.bincount(slots[y[rows] == k], minlength=size).astype(float) for k in (0, 1)]
+    share = (have[0] + have[1]) / total.sum()
+    for k in (0, 1):
+        for seen, expected in ((have[k], share * total[k]), (total[k] - have[k], (1 - share) * total[k])):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out += np.where(seen > 0, 2 * seen * np.log(seen / expected), 0)
+    return out
+
+
 def fit(texts: list[str], labels: list[int], swap_weight: float = SWAP_WEIGHT) -> Model:
     """Fit on labelled texts in the driver; both classes weigh the same.
 
-    Features seen in fewer than two texts are left out. Without both labels the model
+    Features of too little evidence are left out. Without both labels the model
     is a constant: the share of label 1, or 0 if there are no texts.
     """
     y = np.array(labels, float)
@@ -124,8 +139,7 @@ def fit(texts: list[str], labels: list[int], swap_weight: float = SWAP_WEIGHT) -
             np.concatenate([r + 256 * i for i, (r, _) in enumerate(found)]),
             np.concatenate([s for _, s in found]),
         )
-    seen = np.bincount(designs[False][1], minlength=size)
-    used = np.flatnonzero(seen >= 2)
+    used = np.flatnonzero(_evidence(*designs[False], y, size) >= EVIDENCE)
     column = np.full(size, -1)
     column[used] = np.arange(len(used))
 
@@ -156,9 +170,7 @@ def fit(texts: list[str], labels: list[int], swap_weight: float = SWAP_WEIGHT) -
         full = np.append(grad, push.sum() + pull.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) * (1 - step / (STEPS + 1))
-        # Soft thresholding keeps the model to features that carry evidence.
         w = w - move[:-1]
-        w = np.sign(w) * np.maximum(0, np.abs(w) - RATE * 2e-3)
         b -= move[-1]
     weights = np.zeros(size)
     weights[used] = w
@@ -170,16 +182,19 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents, none of them held out.
+    """Fit on at most ``rows`` labelled documents of each label, none of them held out.
 
-    The rows are those whose ids hash smallest. Rows without label or id are not used.
+    The rows are those whose ids hash smallest. Rows without label or id are not used;
+    an id with both labels counts as 1.
     """
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .dropDuplicates(["doc_id"])
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
+        .withColumn("rank", rank)
+        .where(F.col("rank") <= rows)
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
     )
     found = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
