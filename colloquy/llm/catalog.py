@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, lines, order_minhash, packing, toxicity
+from colloquy.llm import decontaminate, licenses, lines, order_minhash, packing, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_licenses": licenses.op3_licenses,
     "op6_order_minhash": order_minhash.op6_order_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": lines.op8_line_dedup,
@@ -11,5 +12,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op3_licenses": licenses.ORACLE,
     "op8_line_dedup": lines.ORACLE,
 }
