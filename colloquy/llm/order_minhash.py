@@ -13,10 +13,13 @@ shingles, similarity is A / (n + m - A), at least 0.8. An alignment further than
 1 - similarity is a metric, which is what spares comparisons inside a group.
 
 No group is ever expanded into pairs. Equal word sequences are one class from the start.
-The texts of a band are compared with the smallest of them; those that are not near it
-form a smaller group, which is treated alike until nothing is left. A text just outside
-(distance up to 0.4) can still be near one that is inside: such pairs, cut down by the
-triangle inequality, are compared where the links found so far leave both apart.
+The texts of a band are compared with the smallest of them, its hub. A text just outside
+the hub's reach (distance up to 0.4) can still be near one that is inside, as far as the
+triangle inequality allows; where the links found so far leave both apart, these are
+compared in blocks of bounded size: a task compares two blocks in place and yields links
+only, enough to join what is to be joined. Groups that the links connect by then need no
+more work; in the others, the texts that are not near the hub, mostly not alike at all,
+are compared with each other in such blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,6 +41,8 @@ NEAR = 0.8
 #: Elements of a sketch, sketches of a band, and bands. At similarity 0.8 two sketches
 #: agree with about 0.64, so a pair is missed with (1 - 0.64^2)^24, or 3 in a million.
 ORDER, ROWS, BANDS = 2, 2, 24
+#: Texts of a block.
+BLOCK_ROWS = 128
 _SEEDS = np.random.default_rng(6).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -151,7 +157,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Distance of each pair ``(a, b)``: 1 where it is over 0.4. ``texts`` has ``id, text``.
 
     Both joins are equi-joins on ids; the second leaves the rows sorted by ``a``, whose
-    elements are kept from one row to the next.
+    elements are made once for a run of rows.
     """
     left = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -159,15 +165,14 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in slices(batches, 3):
-            words = words_of(batch.column(3))
-            out = []
-            for i, (a, body) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
-                if kept is None or a != last:
-                    last, kept = a, _elements(words_of(pa.array([body.as_py()], pa.string())), 0)
+        for batch in slices(slices(batches, 3), 2):
+            hubs, words = words_of(batch.column(2)), words_of(batch.column(3))
+            out, last = [], None
+            for i, a in enumerate(batch.column(0).to_pylist()):
+                if not i or a != last:
+                    last, kept = a, _elements(hubs, i)
                 out.append(1.0 - similarity(kept, _elements(words, i)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "d"])
 
     return both.mapInArrow(run, f"a {kind}, b {kind}, d double")
 
@@ -187,75 +192,140 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bucketed = copies.select(F.explode("bands").alias("bucket"), "id", "n")
     # Only buckets of two texts or more; the count is aggregated before its shuffle.
     shared = bucketed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = durable(bucketed.join(shared, "bucket"), "members")
+    members = durable(bucketed.join(shared, "bucket").select("bucket", "id", "n"), "members")
     wanted = members.select("id").distinct()
     texts = durable(
         docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
         .join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")),
         "candidates",
     )
-    links, rims, inners = [], [], []
-    tested = None
-    while not members.isEmpty():
-        hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"))
-        rest = members.join(hubs, "bucket").where("id <> hub")
-        pairs = rest.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = durable(_compare(pairs, texts), "compared")
-        tested = found if tested is None else durable(tested.union(found), "tested")
-        links.append(found.where(F.col("d") <= 1 - NEAR + 1e-9).select("a", "b"))
-        known = rest.join(tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), "d"), ["hub", "id"])
-        known = durable(known, "known")
-        near = F.col("d") <= 1 - NEAR + 1e-9
-        rims.append(known.where(~near & (F.col("d") < 1)))
-        inners.append(known.where(near))
-        left = known.where(~near).select("bucket", "id", "n")
-        alone = left.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-        members = durable(left.join(alone, "bucket"), "members")
-    edges = _union(links)
-    if edges is not None:
-        edges = durable(edges, "links")
-        classes = durable(components(edges), "near-classes")
-        more = _outside(rims, inners, classes, texts)
-        if more is not None:
-            classes = durable(components(edges.union(more)), "near-classes")
+    roots = copies.select("same", F.col("id").alias("class_id"))
+    if not members.isEmpty():
+        classes = _linked(members, texts)
         joined = copies.select("same", "id").join(classes.withColumnRenamed("node", "id"), "id", "left")
         roots = joined.select("same", F.coalesce("component", "id").alias("class_id"))
-    else:
-        roots = copies.select("same", F.col("id").alias("class_id"))
     return (
         signed.select("id", "same", "n").join(roots, "same")
         .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
     )
 
 
-def _union(frames: list[DataFrame]) -> DataFrame | None:
-    out = None
-    for frame in frames:
-        out = frame if out is None else out.union(frame)
+def _linked(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Classes ``(node, component)`` of the texts that are near another of their bucket."""
+    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"))
+    rest = members.join(hubs, "bucket").where("id <> hub")
+    found = durable(_compare(rest.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts), "compared")
+    near = F.col("d") <= 1 - NEAR + 1e-9
+    known = durable(rest.join(found.withColumnsRenamed({"a": "hub", "b": "id"}), ["hub", "id"]), "known")
+    links = found.where(near).select("a", "b")
+    classes = durable(components(links), "near-classes")
+    more = _outside(known, classes, texts)
+    if not more.isEmpty():
+        links = durable(links.union(more), "links")
+        classes = durable(components(links), "near-classes")
+    more = _rest(_apart(known.where(~near).select("bucket", "id"), classes), texts)
+    if not more.isEmpty():
+        classes = durable(components(links.union(more)), "near-classes")
+    return classes
+
+
+def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the groups that hold two classes or more, with their ``class``."""
+    named = members.join(classes.withColumnRenamed("node", "id"), "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("class")
+    )
+    named = durable(named, "members")
+    several = named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    return durable(named.join(several.select("bucket"), "bucket"), "members")
+
+
+def _common(elements: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some texts share."""
+    owner = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
+    _, column, counts = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    out = np.zeros((len(elements), len(elements)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        held = np.zeros((len(elements), 4096), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        out += held @ held.T
     return out
 
 
-def _outside(rims: list[DataFrame], inners: list[DataFrame], classes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links between texts just outside a hub's reach and those inside it, if any."""
-    of = lambda name: classes.select(F.col("node").alias(name), F.col("component").alias(f"{name}_class"))
-    out = []
-    for rim, inner in zip(rims, inners):
-        open_rim = (
-            rim.join(of("id"), "id", "left").join(of("hub"), "hub", "left")
-            .where("hub_class is not null and not (id_class <=> hub_class)")
-            .select("bucket", "hub", F.col("id").alias("x"), F.col("d").alias("dx"))
-        )
-        pairs = durable(
-            open_rim.join(inner.select("bucket", "hub", F.col("id").alias("y"), F.col("d").alias("dy")), ["bucket", "hub"])
-            .where(F.col("dy") >= F.col("dx") - (1 - NEAR) - 1e-9)
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
-            "rim",
-        )
-        if not pairs.isEmpty():
-            out.append(durable(_compare(pairs, texts), "compared").where(F.col("d") <= 1 - NEAR + 1e-9).select("a", "b"))
-    return _union(out)
+def _block_links(part: pd.DataFrame, allowed: np.ndarray) -> pd.DataFrame:
+    """Links among the allowed pairs of a block's texts that join what is apart."""
+    words = words_of(pa.array(part["text"]))
+    elements = [_elements(words, k) for k in range(len(part))]
+    size = np.array([len(e) for e in elements])
+    group, ids, out = part["class"].to_numpy().copy(), part["id"].tolist(), []
+    allowed = allowed & (group[:, None] != group[None, :])
+    enough = _common(elements) >= NEAR / (1 + NEAR) * (size[:, None] + size[None, :]) - 1e-3
+    for x, y in np.argwhere(np.triu(allowed & enough, 1)):
+        if group[x] != group[y] and similarity(elements[x], elements[y]) >= NEAR - 1e-9:
+            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+            # One link connects both classes here; the others follow from it.
+            group[group == group[y]] = group[x]
+    return pd.DataFrame(out, columns=["a", "b"]) if out else pd.DataFrame({"a": part["id"][:0], "b": part["id"][:0]})
+
+
+def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of a group that are in different classes so far."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    dealt = (
+        members.join(blocks, "bucket")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "class")
+        .join(texts, "id")
+    )
+    kind = members.schema["id"].dataType.simpleString()
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        block = part["block"].to_numpy()
+        return _block_links(part, (part["i"].iat[0] == part["j"].iat[0]) | (block[:, None] != block[None, :]))
+
+    return durable(dealt.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}"), "links")
+
+
+def _outside(known: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts just outside a hub's reach and those inside it, if any.
+
+    ``known`` has the distances of texts from hubs. The texts around a hub are taken
+    together over all bands, so a pair is compared once for each hub.
+    """
+    around = durable(
+        known.where("d < 1").select("hub", "id", "d").distinct()
+        .join(classes.withColumnRenamed("node", "id"), "id", "left")
+        .select("hub", "id", "d", F.coalesce("component", "id").alias("class"))
+        .withColumn("inner", F.col("d") <= 1 - NEAR + 1e-9),
+        "around",
+    )
+    # Outside texts of another class than the hub's, which is that of all inside.
+    own = classes.select(F.col("node").alias("hub"), F.col("component").alias("hub_class"))
+    rim = durable(around.where("not inner").join(own, "hub").where("class <> hub_class").drop("hub_class"), "rim")
+    inside = around.where("inner").join(rim.select("hub").distinct(), "hub")
+    size = lambda x, name: x.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name))
+    sizes = size(rim, "rims").join(size(inside, "insides"), "hub")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["hub", "i", "j", "id", "d", "class", "inner"]
+    dealt = (
+        rim.join(sizes, "hub").withColumn("i", deal("rims")).withColumn("j", every("insides")).select(*columns)
+        .union(inside.join(sizes, "hub").withColumn("j", deal("insides")).withColumn("i", every("rims")).select(*columns))
+        .join(texts, "id")
+    )
+    kind = around.schema["id"].dataType.simpleString()
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        inner, d = part["inner"].to_numpy(), part["d"].to_numpy()
+        reach = np.abs(d[:, None] - d[None, :]) <= 1 - NEAR + 1e-9
+        return _block_links(part, reach & (inner[:, None] != inner[None, :]))
+
+    return durable(dealt.groupBy("hub", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}"), "links")
 
 
 def op6_order_minhash(spark, sf_dir: str) -> DataFrame:
