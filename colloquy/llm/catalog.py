@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, embedding_dedup, html_extract, licenses, lines, order_minhash, packing, toxicity
+from colloquy.llm import decontaminate, embedding_dedup, html_extract, licenses, lines, order_minhash, packing, toxicity, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_html_extract": html_extract.op2_html_extract,
     "op3_licenses": licenses.op3_licenses,
+    "op4_url_rules": url_rules.op4_url_rules,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_order_minhash": order_minhash.op6_order_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
