@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, embedding_dedup, html_extract, licenses, lines, order_minhash, packing, toxicity, url_rules
+from colloquy.llm import decontaminate, embedding_dedup, html_extract, licenses, lines, order_minhash, packing, pii, toxicity, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_order_minhash": order_minhash.op6_order_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_pack": packing.op10_pack,
 }
 ORACLES = {
