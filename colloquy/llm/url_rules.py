@@ -22,6 +22,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.01, 0.8, "allow"
+#: A combination has at least so many urls, and a url takes part in combinations of its
+#: so many most frequent tokens: a few equal urls of a thousand parts have 2^1000.
+MIN_URLS, BASKET_TOKENS = 2, 12
 _LABEL = "="
 
 
@@ -65,7 +68,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """Rules ``(antecedent, verdict, confidence, support)`` from ``labelled(tokens, verdict)``.
 
     Rare tokens are left out before mining; so at most 1 / ``min_support`` times the
-    tokens of a url remain. A rule stays if no part of it gives the same verdict with as
+    tokens of a url remain, which bounds what the driver gets. A rule stays if no part of it gives the same verdict with as
     much confidence; ties go to the smaller rule.
     """
     rows = labelled.where("verdict is not null")
@@ -73,14 +76,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     schema = "antecedent array<string>, verdict string, confidence double, support double"
     if not total:
         return labelled.sparkSession.createDataFrame([], schema)
-    often = (
-        rows.select(F.explode("tokens").alias("token")).groupBy("token").count()
-        .where(F.col("count") >= min_support * total).select("token")
-    )
-    frequent = sorted(r["token"] for r in often.collect())
-    kept = F.array_intersect("tokens", F.array(*[F.lit(t) for t in frequent]).cast("array<string>"))
+    least = max(MIN_URLS, min_support * total)
+    often = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
+    frequent = [r["token"] for r in often.orderBy(F.desc("count"), "token").collect()]
+    ordered = F.array_intersect(F.array(*[F.lit(t) for t in frequent]).cast("array<string>"), "tokens")
+    kept = F.slice(ordered, 1, BASKET_TOKENS)
     baskets = rows.select(F.concat(kept, F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
     rules = durable(
         rules.select(
