@@ -89,7 +89,9 @@ def epoch_to_timestamp(seconds: Column) -> Column:
 
 def float_text(number: Column) -> Column:
     """Decimal text of an epoch float: one digit after the point at least, no exponent."""
-    exact = F.regexp_replace(F.format_string("%.6f", number), r"0+$", "")
+    # The shortest text of a double may have an exponent; as a decimal it has none.
+    decimal = number.cast("double").cast("string").cast("decimal(38,18)").cast("string")
+    exact = F.regexp_replace(decimal, r"0+$", "")
     return F.when(exact.endswith("."), F.concat(exact, F.lit("0"))).otherwise(exact)
 
 

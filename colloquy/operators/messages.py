@@ -40,13 +40,16 @@ def visible_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-def with_message_key(messages: DataFrame) -> DataFrame:
-    """Fill ``message_id`` from ``raw_id`` or, failing that, from a content hash."""
+def with_message_key(messages: DataFrame, hashed_id: str = "conv_id") -> DataFrame:
+    """Fill ``message_id`` from ``raw_id`` or, failing that, from a content hash.
+
+    ``hashed_id`` names the conversation id that goes into the hash.
+    """
     return messages.withColumn(
         "message_id",
         ids.message_key(
             F.col("raw_id"),
-            F.col("conv_id"),
+            F.col(hashed_id),
             F.col("role"),
             F.col("content"),
             F.when(F.col("create_time") != 0, text.float_text(F.col("create_time"))),

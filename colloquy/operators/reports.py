@@ -116,7 +116,7 @@ def lineage(sources: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     )
     chain = (
         sources.select("source_file_id")
-        .join(tables["conversations"].select("conv_id", F.col("raw_source_file_id").alias("source_file_id")), "source_file_id", "left")
+        .join(source_conversations(tables["conversations"], sources), "source_file_id", "left")
         .join(tables["segments"].select("conv_id", "segment_id", "segment_index"), "conv_id", "left")
         .join(tables["extracts"].select("segment_id", "extract_id"), "segment_id", "left")
         .join(statements, "extract_id", "left")

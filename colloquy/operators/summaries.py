@@ -14,11 +14,10 @@ from colloquy.session import durable
 
 SUMMARY_SENTENCES = 3
 
-# List limits, item length and confidence bands of a summary.
+# List limits and confidence bands of a summary.
 MAX_BULLETS = 10
 MIN_BULLETS = 3
 MAX_ACTION_ITEMS = 10
-ITEM_CHARS = 200
 STRONG_CONFIDENCE = 0.8
 WEAK_CONFIDENCE = 0.4
 
@@ -61,7 +60,7 @@ def summarize(sentences: DataFrame, group: list[str], order: str, text: str = "t
     early = Window.partitionBy(*group).orderBy(order)
     actions = (
         sentences.where(F.col(text).rlike(ACTION))
-        .select(*group, order, F.substring(text, 1, ITEM_CHARS).alias("_text"))
+        .select(*group, order, F.col(text).alias("_text"))
         .withColumn("_rank", F.row_number().over(early))
         .where(F.col("_rank") <= MAX_ACTION_ITEMS)
         .groupBy(*group)
@@ -72,7 +71,7 @@ def summarize(sentences: DataFrame, group: list[str], order: str, text: str = "t
     return lists.join(actions, group, "left").select(
         *group,
         F.array_join(texts(F.filter("_top", lambda r: r["_rank"] <= SUMMARY_SENTENCES)), " ").alias("summary"),
-        F.transform("_top", lambda r: F.substring(r["_text"], 1, ITEM_CHARS)).alias("bullets"),
+        texts(F.col("_top")).alias("bullets"),
         F.coalesce(texts(F.col("_actions")), F.array().cast("array<string>")).alias("action_items"),
         F.when(enough, STRONG_CONFIDENCE).otherwise(WEAK_CONFIDENCE).alias("confidence"),
         F.when(enough, "ok").otherwise("degraded").alias("status"),
@@ -99,7 +98,7 @@ def summarize_topics(members: DataFrame) -> DataFrame:
         "segment_index",
         F.posexplode(tx.sentences(F.col("summary"))).alias("_n", "text"),
     ).select(
-        "conv_id", "topic_index", (F.col("segment_index") * (1 << 20) + F.col("_n")).alias("sentence_index"), "text"
+        "conv_id", "topic_index", F.struct("segment_index", "_n").alias("sentence_index"), "text"
     )
     return summarize(sentences, ["conv_id", "topic_index"], "sentence_index")
 
@@ -108,7 +107,7 @@ def summarize_files(messages: DataFrame) -> DataFrame:
     """One summary per chat list; rows need conv_id, position and content."""
     sentences = messages.select(
         "conv_id", "position", F.posexplode(tx.sentences(F.col("content"))).alias("_n", "text")
-    ).select("conv_id", (F.col("position") * (1 << 20) + F.col("_n")).alias("sentence_index"), "text")
+    ).select("conv_id", F.struct("position", "_n").alias("sentence_index"), "text")
     return summarize(sentences, ["conv_id"], "sentence_index")
 
 

@@ -21,7 +21,9 @@ def _walk(steps: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
     ends; a node met twice keeps its first distance.
     """
     reached = starts.select("conv_id", "node_id", F.lit(0).cast("bigint").alias("distance"))
-    jumps = durable(steps.where("next_id is not null"), "jumps")
+    # One row per node: repeated edges would multiply in every round.
+    single = steps.where("next_id is not null").groupBy("conv_id", "node_id").agg(F.min("next_id").alias("next_id"))
+    jumps = durable(single, "jumps")
     stride, rounds = 1, 0
     while stride < longest:
         hop = jumps.withColumnRenamed("next_id", "_to")

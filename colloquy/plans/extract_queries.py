@@ -277,7 +277,7 @@ def _answers(kb: KnowledgeBase) -> DataFrame:
         kb.statements.groupBy("segment_id", "conv_id", "segment_index")
         .agg(listed.alias("_l"))
         .withColumn("_s", F.transform("_l", lambda x: x["s"]))
-        .withColumn("fault", (F.substring("conv_id", 2, 20).cast("bigint") + F.col("segment_index")) % 7)
+        .withColumn("fault", (F.substr(F.col("conv_id"), F.lit(2)).cast("bigint") + F.col("segment_index")) % 7)
     )
     items = F.to_json(F.struct(F.col("_s").alias("statements")))
     fault = F.col("fault")

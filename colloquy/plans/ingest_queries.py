@@ -266,22 +266,27 @@ def branch_stats(kb):
     return tree.branch_stats(nodes, tree.active_path(nodes, _heads(nodes)))
 
 
-FILE_TURNS = 1000
-
-
-def _file_of_turn():
-    """Name of the file a turn is in: a conversation fills one file per 1,000 turns."""
-    page = F.floor(F.col("ordinal") / FILE_TURNS)
-    suffix = F.when(page > 0, F.concat(F.lit("_p"), page.cast("string"))).otherwise("")
-    return F.concat("conv_id", suffix)
+def _in_files(kb: KnowledgeBase) -> DataFrame:
+    """Messages with the file they are in, a group of a user message and its replies, and their number there."""
+    first = F.min("position").alias("_first")
+    groups = kb.messages.groupBy("conv_id", "segment_index").agg(first)
+    return kb.messages.join(groups, ["conv_id", "segment_index"]).select(
+        F.format_string("%s_g%d", "conv_id", "segment_index").alias("file"),
+        (F.col("position") - F.col("_first")).alias("n"),
+        "message_id", "speaker", "created_at", "content", "ordinal",
+    )
 
 
-FILE_OF_TURN = "conv_id || CASE WHEN ordinal >= 1000 THEN '_p' || (ordinal // 1000) ELSE '' END"
+FILES_SQL = """
+, infile AS (
+  SELECT conv_id || '_g' || g AS file, row_number() OVER (PARTITION BY conv_id, g ORDER BY position) - 1 AS n,
+         message_id, speaker, created_at, content, ordinal FROM grp
+)"""
 
 
-def _export_files(kb: KnowledgeBase) -> DataFrame:
-    """Export files whose JSON is built from the turns of each conversation."""
-    n = F.col("ordinal") % FILE_TURNS
+def _export_files(rows: DataFrame, version: int = 0) -> DataFrame:
+    """Export files whose JSON is built from rows of ``_in_files``; ``version`` is their age."""
+    n = F.col("n")
     node = F.concat(F.lit("n"), n.cast("string"))
     message = F.struct(
         F.col("message_id").alias("id"),
@@ -295,42 +300,82 @@ def _export_files(kb: KnowledgeBase) -> DataFrame:
         F.array(F.concat(F.lit("n"), (n + 1).cast("string"))).alias("children"),
         message.alias("message"),
     )
-    entries = F.array_sort(F.collect_list(F.struct(n.alias("n"), node.alias("k"), value.alias("v"))))
+    entries = F.array_sort(F.collect_list(F.struct("n", node.alias("k"), value.alias("v"))))
     mapping = F.map_from_entries(F.transform("_e", lambda e: F.struct(e["k"], e["v"])))
-    body = F.struct(F.concat(F.lit("Talk "), "file").alias("title"), mapping.alias("mapping"))
-    return kb.turns.groupBy(_file_of_turn().alias("file")).agg(entries.alias("_e")).select(
-        F.concat(F.lit("/exports/"), "file", F.lit(".json")).alias("path"),
+    body = F.struct(
+        F.concat(F.lit("Talk "), "file").alias("title"),
+        F.col("file").alias("conversation_id"),
+        F.lit(float(version)).alias("update_time"),
+        mapping.alias("mapping"),
+    )
+    return rows.groupBy("file").agg(entries.alias("_e")).select(
+        F.concat(F.lit(f"/exports/{version}/"), "file", F.lit(".json")).alias("path"),
         F.concat("file", F.lit(".json")).alias("file_name"),
         F.to_json(body).alias("value"),
     )
 
 
+READ_SQL = FILES_SQL + """
+SELECT file AS conv_id, message_id, speaker, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, n AS position, content FROM infile
+"""
+
+
+def _read(files: DataFrame) -> DataFrame:
+    messages = ex.export_messages(ex.parse_exports(files))
+    return messages.select("conv_id", "message_id", "speaker", _iso("created_at"), "position", "content")
+
+
+@query("read_exports", READ_SQL)
+def read_exports(kb):
+    """Whole export path: parse, fallback walk (no head), visibility, numbering."""
+    return _read(_export_files(_in_files(kb)))
+
+
+@query("reimport_exports", READ_SQL)
+def reimport_exports(kb):
+    """Three exports of each conversation: its first messages, all of them, and all again."""
+    rows = _in_files(kb)
+    early = _export_files(rows.where("n < 2"))
+    return _read(early.unionByName(_export_files(rows, 1)).unionByName(_export_files(rows, 2)))
+
+
 @query(
-    "read_exports",
-    f"""
-SELECT {FILE_OF_TURN} AS conv_id, message_id, speaker, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at,
-       row_number() OVER (PARTITION BY {FILE_OF_TURN} ORDER BY ordinal) - 1 AS position, content FROM messages
+    "ingest_tables",
+    FILES_SQL + """
+SELECT 'conversations' AS "table", file AS id, count(*) AS n FROM infile GROUP BY file
+UNION ALL
+SELECT 'messages', message_id, n FROM infile
+UNION ALL
+SELECT 'source_files', sha256('/exports/' || v || '/' || file || '.json'), v FROM (SELECT DISTINCT file FROM infile), (SELECT unnest([1, 2]) AS v)
 """,
 )
-def read_exports(kb):
-    """Whole export path: parse, fallback walk (no head), visibility, numbering."""
-    exports = ex.parse_exports(_export_files(kb))
-    return ex.export_messages(exports).select("conv_id", "message_id", "speaker", _iso("created_at"), "position", "content")
+def ingest_tables(kb):
+    """Tables after two ingests: first messages first, then all of them."""
+    rows = _in_files(kb)
+    first = ex.ingest(ex.parse_exports(_export_files(rows.where("n < 2"), 1)))
+    tables = ex.ingest(ex.parse_exports(_export_files(rows, 2)), first)
+    parts = {
+        "conversations": tables["conversations"].select(F.col("conv_id").alias("id"), F.col("message_count").alias("n")),
+        "messages": tables["messages"].select(F.col("message_id").alias("id"), F.col("position").alias("n")),
+        "source_files": tables["source_files"].select(
+            F.sha2("raw_export_path", 256).alias("id"), F.element_at(F.split("raw_export_path", "/"), 3).cast("bigint").alias("n")
+        ),
+    }
+    named = [df.select(F.lit(name).alias("table"), "id", "n") for name, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @query(
     "read_chat_lists",
-    f"""
-SELECT {FILE_OF_TURN} || '.json' AS conv_id, ordinal % 1000 AS position, speaker, content,
-       CASE WHEN ordinal % 2 = 0 THEN CAST(ordinal AS VARCHAR) END AS ts
-FROM turns
+    FILES_SQL + """
+SELECT file || '.json' AS conv_id, n AS position, speaker, content, CASE WHEN n % 2 = 0 THEN CAST(n AS VARCHAR) END AS ts FROM infile
 """,
 )
 def read_chat_lists(kb):
-    n = F.col("ordinal")
+    n = F.col("n")
     item = F.struct("speaker", "content", F.when(n % 2 == 0, n.cast("string")).alias("ts"))
-    listed = F.array_sort(F.collect_list(F.struct(n.alias("n"), item.alias("i"))))
-    files = kb.turns.groupBy(_file_of_turn().alias("file")).agg(listed.alias("_t")).select(
+    listed = F.array_sort(F.collect_list(F.struct("n", item.alias("i"))))
+    files = _in_files(kb).groupBy("file").agg(listed.alias("_t")).select(
         F.concat("file", F.lit(".json")).alias("file_name"), F.to_json(F.transform("_t", lambda t: t["i"])).alias("value")
     )
     return fl.parse_chat_lists(files)[0]
@@ -399,10 +444,11 @@ def pending_tail(kb):
 @query(
     "manifest",
     """
-SELECT m.conv_id, m.message_count, coalesce(s.segment_count, 0) AS segment_count, CAST(0 AS BIGINT) AS page,
+SELECT m.conv_id, m.message_count, coalesce(n.segment_count, 0) AS segment_count, coalesce(s.page, 0) AS page,
        coalesce(s.segment_ids, '') AS segment_ids, coalesce(t.message_id, '') AS tail_message_id, coalesce(t.position, -1) AS tail_position
 FROM (SELECT conv_id, count(*) AS message_count FROM messages GROUP BY conv_id) m
-LEFT JOIN (SELECT conv_id, count(*) AS segment_count, string_agg(segment_id, ',' ORDER BY segment_index) AS segment_ids FROM segments GROUP BY conv_id) s USING (conv_id)
+LEFT JOIN (SELECT conv_id, count(*) AS segment_count FROM segments GROUP BY conv_id) n USING (conv_id)
+LEFT JOIN (SELECT conv_id, segment_index // 1000 AS page, string_agg(segment_id, ',' ORDER BY segment_index) AS segment_ids FROM segments GROUP BY ALL) s USING (conv_id)
 LEFT JOIN tails t USING (conv_id)
 """,
 )
@@ -418,10 +464,10 @@ def manifest(kb):
 @query(
     "transcript",
     r"""
-SELECT conv_id, CAST(0 AS BIGINT) AS page,
+SELECT conv_id, position // 1000 AS page,
        regexp_replace(string_agg('[' || speaker || ']' || CASE WHEN position % 2 = 0 THEN ' (' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || ')' ELSE '' END
                   || ':' || chr(10) || content || chr(10), chr(10) ORDER BY position), '^\s+|\s+$', '', 'g') AS transcript
-FROM messages GROUP BY conv_id
+FROM messages GROUP BY conv_id, position // 1000
 """,
 )
 def transcript(kb):
@@ -443,20 +489,6 @@ def conversations_dim(kb):
     )
 
 
-@query(
-    "rolling_context",
-    """
-, ctx AS (
-  SELECT segment_id, list(substr(segment_text, 1, 40)) OVER (PARTITION BY conv_id ORDER BY segment_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prior FROM segments
-)
-SELECT segment_id, coalesce(array_to_string(list_transform(prior, lambda s, i: 'Segment ' || (i - 1) || ': ' || s), chr(10)), '') AS context FROM ctx
-""",
-)
-def rolling_context(kb):
-    heads = kb.segments.withColumn("summary", F.substring("segment_text", 1, 40))
-    return sg.rolling_context(heads).select("segment_id", "context")
-
-
 @query(
     "read_stage",
     """

@@ -205,7 +205,7 @@ def embed(kb):
     "index_fragments",
     hashed_vectors("fragments", "fragment_id", "retrieval_text")
     + """
-SELECT fragment_id, 'pt_' || fragment_id AS point_id, round(list_extract(vector, 1), 6) AS first_value
+SELECT fragment_id, 'pt_' || fragment_id AS point_id, array_to_string(list_transform(vector, lambda v: printf('%.6f', v + 0.0)), ',') AS vector
 FROM fragments JOIN hv ON hv.id = fragment_id WHERE fragment_index % 4 <> 3
 """,
 )
@@ -214,7 +214,8 @@ def index_fragments(kb):
     fragments = durable(kb.fragments, "fragments")
     have = F.when(F.col("fragment_index") % 4 == 3, F.array(F.lit(1.0)))
     return rt.index_fragments(fragments.withColumn("vector", have), dim=VECTOR_SIZE).select(
-        "fragment_id", "point_id", F.round(F.element_at("vector", 1), 6).alias("first_value")
+        "fragment_id", "point_id",
+        F.array_join(F.transform("vector", lambda v: F.format_string("%.6f", v + F.lit(0.0))), ",").alias("vector"),
     )
 
 
@@ -346,7 +347,7 @@ FROM conversations_dim
 """,
 )
 def user_context(kb):
-    even = F.substring("conv_id", 2, 20).cast("bigint") % 2 == 0
+    even = F.substr(F.col("conv_id"), F.lit(2)).cast("bigint") % 2 == 0
     name = F.when(even, F.concat(F.lit(" "), "conv_id")).otherwise("  ")
     return kb.messages.select("conv_id").distinct().select("conv_id", rt.user_context(name).alias("user_context"))
 
@@ -378,7 +379,7 @@ def summary_sql(source: str, group: str, order: str, text: str, prefix: str) ->
 ),
 {prefix}_lists AS (
   SELECT {group}, string_agg({text}, ' ' ORDER BY {order}) FILTER (r <= 3) AS summary,
-         string_agg(substr({text}, 1, 200), '|' ORDER BY {order}) AS bullets, count(*) AS n
+         string_agg({text}, '|' ORDER BY {order}) AS bullets, count(*) AS n
   FROM {prefix}_best WHERE r <= 10 GROUP BY {group}
 ),
 {prefix}_act AS (
@@ -387,7 +388,7 @@ def summary_sql(source: str, group: str, order: str, text: str, prefix: str) ->
 ),
 {prefix} AS (
   SELECT l.*, coalesce(a.items, '') AS action_items, CASE WHEN n >= 3 THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence, CASE WHEN n >= 3 THEN 'ok' ELSE 'degraded' END AS status
-  FROM {prefix}_lists l LEFT JOIN (SELECT {group}, string_agg(substr({text}, 1, 200), '|' ORDER BY {order}) AS items FROM {prefix}_act WHERE r <= 10 GROUP BY {group}) a USING ({group})
+  FROM {prefix}_lists l LEFT JOIN (SELECT {group}, string_agg({text}, '|' ORDER BY {order}) AS items FROM {prefix}_act WHERE r <= 10 GROUP BY {group}) a USING ({group})
 )"""
 
 
@@ -450,8 +451,8 @@ def topic_summary(kb):
     "topic_member_lines",
     TOPIC_SUMMARY_SQL
     + """
-SELECT conv_id, topic_index, CAST(0 AS BIGINT) AS page, string_agg('Segment ' || position || ': ' || summary, chr(10) ORDER BY position) AS member_lines
-FROM members GROUP BY conv_id, topic_index
+SELECT conv_id, topic_index, position // 1000 AS page, string_agg('Segment ' || position || ': ' || summary, chr(10) ORDER BY position) AS member_lines
+FROM members GROUP BY conv_id, topic_index, position // 1000
 """,
 )
 def topic_member_lines(kb):
@@ -512,7 +513,7 @@ SUMMARY_ROWS_SQL = """
 
 def _summary_rows(kb: KnowledgeBase) -> DataFrame:
     """Summary rows with a fault per kind, made from the segments."""
-    k = F.substring("conv_id", 2, 20).cast("bigint") % 6
+    k = F.substr(F.col("conv_id"), F.lit(2)).cast("bigint") % 6
     none = F.array().cast("array<string>")
     return kb.segments.select(
         "segment_id",
@@ -593,12 +594,36 @@ def resolve_status(kb):
     )
 
 
-@query(
-    "prompts",
-    """
+ROLLING_SQL = (
+    SEGMENT_SUMMARY_SQL
+    + """
 , ctx AS (
-  SELECT segment_id, segment_text, list(substr(segment_text, 1, 40)) OVER (PARTITION BY conv_id ORDER BY segment_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prior FROM segments
+  SELECT segment_id, segment_text, list(summary) OVER (PARTITION BY conv_id ORDER BY segment_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prior
+  FROM segments LEFT JOIN ss USING (segment_id)
+)"""
 )
+
+
+def _with_summaries(kb: KnowledgeBase) -> DataFrame:
+    found = sm.summarize_segments(kb.segments).select("segment_id", "summary")
+    return durable(kb.segments.join(found, "segment_id", "left"), "summarized")
+
+
+@query(
+    "rolling_context",
+    ROLLING_SQL
+    + """
+SELECT segment_id, coalesce(array_to_string(list_transform(prior, lambda s, i: 'Segment ' || (i - 1) || ': ' || s), chr(10)), '') AS context FROM ctx
+""",
+)
+def rolling_context(kb):
+    return sg.rolling_context(_with_summaries(kb)).select("segment_id", "context")
+
+
+@query(
+    "prompts",
+    ROLLING_SQL
+    + """
 SELECT 'segment' AS kind, segment_id AS id,
   CASE WHEN prior IS NULL OR len(prior) = 0 THEN '' ELSE '---BEGIN PREVIOUS CONTEXT---' || chr(10) || array_to_string(list_transform(prior, lambda s, i: 'Segment ' || (i - 1) || ': ' || s), chr(10)) || chr(10) || '---END PREVIOUS CONTEXT---' || chr(10) || chr(10) END
   || '---BEGIN SEGMENT TRANSCRIPT---' || chr(10) || segment_text || chr(10) || '---END SEGMENT TRANSCRIPT---' AS "user"
@@ -609,14 +634,14 @@ UNION ALL
 SELECT 'fragment', extract_id || '#' || (statement_index // 50), 'Group these.' || chr(10) || string_agg(speaker || ': ' || text, chr(10) ORDER BY statement_index)
 FROM statements GROUP BY extract_id, statement_index // 50
 UNION ALL
-SELECT 'transcript', conv_id || '#0', '---BEGIN TRANSCRIPT---' || chr(10)
+SELECT 'transcript', conv_id || '#' || (position // 1000), '---BEGIN TRANSCRIPT---' || chr(10)
   || regexp_replace(string_agg('[' || speaker || ']:' || chr(10) || content || chr(10), chr(10) ORDER BY position), '^\\s+|\\s+$', '', 'g') || chr(10) || '---END TRANSCRIPT---'
-FROM messages GROUP BY conv_id
+FROM messages GROUP BY conv_id, position // 1000
 """,
 )
 def prompts(kb):
     """One row per unit that a model would be asked about, of four kinds."""
-    heads = kb.segments.withColumn("summary", F.substring("segment_text", 1, 40))
+    heads = _with_summaries(kb)
     untimed = kb.messages.withColumn("ts", F.lit(None).cast("string"))
     kinds = {
         "segment": sm.segment_prompts(sg.rolling_context(heads), "Summarize."),
@@ -635,9 +660,9 @@ def prompts(kb):
     "topic_prompts",
     TOPIC_SUMMARY_SQL
     + """
-SELECT printf('%s_t%03d#0', conv_id, topic_index) AS id,
+SELECT printf('%s_t%03d#%d', conv_id, topic_index, position // 1000) AS id,
        '---BEGIN TOPIC SEGMENTS---' || chr(10) || string_agg('Segment ' || position || ': ' || summary, chr(10) ORDER BY position) || chr(10) || '---END TOPIC SEGMENTS---' AS "user"
-FROM members GROUP BY conv_id, topic_index
+FROM members GROUP BY conv_id, topic_index, position // 1000
 """,
 )
 def topic_prompts(kb):

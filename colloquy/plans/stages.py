@@ -63,7 +63,7 @@ class KnowledgeBase:
         """Dimension rows with file ids derived from the conversation id."""
         headers = self.messages.select("conv_id").distinct().select(
             "conv_id",
-            F.concat(F.lit("Conversation "), F.substring("conv_id", 2, 20)).alias("title"),
+            F.concat(F.lit("Conversation "), F.substr(F.col("conv_id"), F.lit(2))).alias("title"),
             F.lit("chatgpt").alias("source_platform"),
             F.sha2(F.concat(F.lit("raw:"), "conv_id"), 256).alias("raw_source_file_id"),
             F.sha2(F.concat(F.lit("normalized:"), "conv_id"), 256).alias("normalized_source_file_id"),

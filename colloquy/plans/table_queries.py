@@ -15,7 +15,7 @@ from colloquy.session import durable, new_path
 from colloquy.sources.messages import normalize_turns
 from colloquy.streaming import jobs as sj
 
-number = lambda c="conv_id": F.substring(c, 2, 20).cast("bigint")
+number = lambda c="conv_id": F.substr(F.col(c), F.lit(2)).cast("bigint")
 
 
 @query(
@@ -365,7 +365,7 @@ def lookup(kb):
 SELECT s.source_file_id, coalesce(c.conv_id, '') AS conv_id, coalesce(g.segment_id, '') AS segment_id, coalesce(e.extract_id, '') AS extract_id,
        coalesce((SELECT string_agg(statement_id, ',' ORDER BY statement_index) FROM statements t WHERE t.extract_id = e.extract_id), '') AS statements,
        coalesce((SELECT string_agg(fragment_id, ',' ORDER BY fragment_index) FROM fragments f WHERE f.extract_id = e.extract_id), '') AS fragments
-FROM sources s LEFT JOIN conversations_dim c ON c.raw_source_file_id = s.source_file_id
+FROM sources s LEFT JOIN conversations_dim c ON s.source_file_id IN (c.raw_source_file_id, c.normalized_source_file_id)
 LEFT JOIN segments g ON g.conv_id = c.conv_id LEFT JOIN extracts e ON e.segment_id = g.segment_id
 """,
 )

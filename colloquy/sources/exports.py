@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from colloquy import schemas
 from colloquy.functions import text as tx
 from colloquy.operators import messages as ms
+from colloquy.operators import segments as sg
 from colloquy.operators import tree
 from colloquy.session import durable
 
@@ -45,13 +46,21 @@ def parse_exports(files: DataFrame) -> DataFrame:
 
 
 def export_nodes(exports: DataFrame) -> DataFrame:
-    """Tree nodes with the fields of their message, one row per map entry."""
+    """Tree nodes with the fields of their message, one row per map entry.
+
+    A tree belongs to one file: ``conv_id`` is the file's path here, as one conversation
+    may have several exports. ``hashed_id`` is what a missing message id is hashed with:
+    the export's own conversation id, empty where it has none.
+    """
     entries = exports.where("bad_reason is null").select(
-        "conv_id", F.posexplode(F.map_entries("export.mapping")).alias("map_position", "_e")
+        F.col("path").alias("conv_id"),
+        F.coalesce("export.conversation_id", F.lit("")).alias("hashed_id"),
+        F.posexplode(F.map_entries("export.mapping")).alias("map_position", "_e")
     )
     message = F.col("_e.value.message")
     return entries.select(
         "conv_id",
+        "hashed_id",
         F.col("_e.key").alias("node_id"),
         F.col("_e.value.parent").alias("parent_id"),
         F.col("map_position").cast("bigint").alias("map_position"),
@@ -69,12 +78,12 @@ def export_nodes(exports: DataFrame) -> DataFrame:
 
 def export_heads(exports: DataFrame) -> DataFrame:
     return exports.where("export.current_node is not null").select(
-        "conv_id", F.col("export.current_node").alias("node_id")
+        F.col("path").alias("conv_id"), F.col("export.current_node").alias("node_id")
     )
 
 
-def export_messages(exports: DataFrame) -> DataFrame:
-    """Linear, visible, numbered messages of every export.
+def _file_messages(exports: DataFrame) -> DataFrame:
+    """Linear, visible messages of every file, ``conv_id`` being its path.
 
     The JSON is parsed once, into a node table; the walk then reads its ids only.
     """
@@ -84,7 +93,7 @@ def export_messages(exports: DataFrame) -> DataFrame:
     placed = nodes.where("has_message").join(path, ["conv_id", "node_id"]).withColumn(
         "ordinal", F.col("position")
     )
-    keyed = ms.with_message_key(ms.visible_messages(placed)).select(
+    keyed = ms.with_message_key(ms.visible_messages(placed), "hashed_id").select(
         "conv_id",
         "message_id",
         F.col("role").alias("speaker"),
@@ -95,6 +104,73 @@ def export_messages(exports: DataFrame) -> DataFrame:
     return ms.linear_messages(keyed)
 
 
+def import_order(exports: DataFrame) -> DataFrame:
+    """``path, conv_id, import_rank``: a conversation's exports from oldest to newest.
+
+    Age is the update time, then the path; an export without a time comes first.
+    """
+    oldest = Window.partitionBy("conv_id").orderBy(F.col("export.update_time").asc_nulls_first(), "path")
+    return exports.where("bad_reason is null").select(
+        "path", "conv_id", (F.row_number().over(oldest).cast("bigint") - 1).alias("import_rank")
+    )
+
+
+def export_messages(exports: DataFrame) -> DataFrame:
+    """Linear, visible, numbered messages of every conversation.
+
+    Each file is walked by itself. A conversation with several exports keeps the
+    messages of its oldest one in their order, then takes what each later one adds;
+    the first copy of a message id within a conversation wins.
+    """
+    ranked = import_order(exports)
+    columns = ["message_id", "speaker", "created_at", "content"]
+    rows = _file_messages(exports).withColumnRenamed("conv_id", "path").join(ranked, "path")
+    order = (F.col("import_rank") * ms.NEW_SIDE + F.col("position")).alias("ordinal")
+    row = F.struct("ordinal", *columns[1:])
+    first = (
+        rows.select("conv_id", *columns, order)
+        .groupBy("conv_id", "message_id").agg(F.min_by(row, "ordinal").alias("_row"))
+        .select("conv_id", "message_id", "_row.*")
+    )
+    return ms.assign_positions(durable(first, "imported"))
+
+
+def ingest(exports: DataFrame, stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables after importing ``exports``: source_files, conversations, messages, segments.
+
+    ``stored`` are the tables so far. Known messages stay as they are, new ones are
+    added behind them; headers and segments of the conversations that came in are
+    replaced, all others are not touched. Importing the same files again changes nothing.
+    """
+    headers = import_order(exports).join(conversation_headers(exports).withColumnRenamed("raw_export_path", "path"), ["path", "conv_id"])
+    headers = durable(headers.withColumnRenamed("path", "raw_export_path"), "headers")
+    newest = headers.groupBy("conv_id").agg(F.max_by(F.struct(*[c for c in headers.columns if c not in ("conv_id", "import_rank")]), "import_rank").alias("_h"))
+    incoming = durable(export_messages(exports).select("conv_id", "message_id", "speaker", "created_at", "content", "position"), "incoming")
+    touched = newest.select("conv_id")
+    files = headers.select("raw_export_path", F.col("source_file").alias("original_filename"), "conv_id")
+    if stored is None:
+        messages = incoming
+    else:
+        again = stored["messages"].join(touched, "conv_id", "left_semi").select(*incoming.columns)
+        messages = durable(ms.merge_messages(again, incoming).select(*incoming.columns), "merged")
+    numbered = ms.assign_positions(messages.withColumn("ordinal", F.col("position")).drop("position"))
+    counts = messages.groupBy("conv_id").agg(F.count("*").alias("message_count"))
+    fresh = {
+        "source_files": files,
+        "conversations": newest.select("conv_id", "_h.*").join(counts, "conv_id", "left").fillna(0, ["message_count"]),
+        "messages": messages,
+        "segments": sg.segment_conversations(numbered),
+    }
+    if stored is None:
+        return fresh
+    keys = {name: "raw_export_path" if name == "source_files" else "conv_id" for name in fresh}
+    gone = {name: fresh[name].select(k).distinct() if name == "source_files" else touched for name, k in keys.items()}
+    return {
+        name: stored[name].join(gone[name], keys[name], "left_anti").unionByName(df.select(*stored[name].columns))
+        for name, df in fresh.items()
+    }
+
+
 def conversation_headers(exports: DataFrame) -> DataFrame:
     """Title, platform, times and provenance of every export."""
     def at(seconds: str) -> Column:
