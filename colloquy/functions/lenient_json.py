@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, functions as F
 
 from colloquy.functions.text import strip
@@ -19,3 +22,12 @@ def strip_fences(raw: Column) -> Column:
 def parse_strict(raw: Column) -> Column:
     """VARIANT of a JSON text, null when it is none."""
     return F.try_parse_json(F.when(strip(raw) != "", raw))
+
+
+def loads(raw: str) -> dict:
+    """The object of a model's answer inside a task: strictly, then without its fences."""
+    try:
+        return json.loads(raw)
+    except ValueError:
+        bare = re.sub(r"\A\s*```(?:json)?\s*\n?|\n?```\s*\Z", "", raw)
+        return json.loads(bare.strip())

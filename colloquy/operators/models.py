@@ -50,18 +50,33 @@ def run_embedder(
     @F.pandas_udf("vector array<float>, error string")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
+
+        def checked(vector) -> tuple[list[float], None]:
+            numbers = [float(x) for x in vector]
+            if not numbers:
+                raise ValueError("empty vector")
+            return numbers, None
+
+        def alone(value: str) -> tuple[list[float] | None, str | None]:
+            try:
+                return checked(model([value])[0])
+            except Exception as problem:
+                return None, f"{type(problem).__name__}: {problem}"
+
         for batch in batches:
-            out = []
-            for value in batch:
-                try:
-                    if not value:
-                        raise ValueError("empty text")
-                    vector = [float(x) for x in model([value])[0]]
-                    if not vector:
-                        raise ValueError("empty vector")
-                    out.append((vector, None))
-                except Exception as problem:
-                    out.append((None, f"{type(problem).__name__}: {problem}"))
+            out = [(None, "ValueError: empty text")] * len(batch)
+            asked = [i for i, value in enumerate(batch) if value]
+            values = [batch.iat[i] for i in asked]
+            # One call for a batch; texts are tried alone where it fails.
+            try:
+                found = model(values) if values else []
+                if len(found) != len(values):
+                    raise ValueError("as many vectors as texts are asked for")
+                answers = [checked(v) for v in found]
+            except Exception:
+                answers = [alone(value) for value in values]
+            for i, answer in zip(asked, answers):
+                out[i] = answer
             yield pd.DataFrame(out, columns=["vector", "error"])
 
     return texts.withColumn("_embedded", embed(F.col(text_column))).select(

@@ -29,7 +29,8 @@ NAMED_USER = (
 UNNAMED_USER = "In the context excerpts, 'user' refers to the person who owns this assistant."
 
 # Queries up to this many travel to every task; more are met block by block.
-LOCAL_QUERIES = 4096
+# Bytes of the query matrix that is sent to the tasks.
+LOCAL_BYTES = 16 << 20
 # A block of vectors holds at most this many numbers, so wide vectors come in fewer.
 BLOCK_NUMBERS = 16_000_000
 SCORE_DIGITS = 9
@@ -88,7 +89,7 @@ HITS = "query_id string, item_id string, score double"
 
 
 def search(
-    queries: DataFrame, items: DataFrame, k: int = TOP_K, local_queries: int = LOCAL_QUERIES
+    queries: DataFrame, items: DataFrame, k: int = TOP_K, local_bytes: int = LOCAL_BYTES
 ) -> DataFrame:
     """The k nearest items by cosine for every query: query_id, item_id, score, rank.
 
@@ -98,6 +99,8 @@ def search(
     """
     asked = queries.where("query_id is not null and vector is not null").select("query_id", "vector")
     stored = items.where("item_id is not null and vector is not null").select("item_id", "vector")
+    widest = asked.agg(F.max(F.size("vector"))).first()[0] or 1
+    local_queries = max(1, local_bytes // (8 * widest))
     head = asked.limit(local_queries + 1).toArrow()
     if head.num_rows <= local_queries:
         query_ids = head.column("query_id").to_pylist()

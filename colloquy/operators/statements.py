@@ -64,8 +64,17 @@ def extract_statements(segments: DataFrame, text: str = "segment_text") -> DataF
 
 def safe_segments(segments: DataFrame, mode: str = "inventory") -> DataFrame:
     """Drop repeated turns, archive blocks, and add the safe ``working_view``."""
+    return archived_segments(without_repeats(segments), mode)
+
+
+def without_repeats(segments: DataFrame) -> DataFrame:
     keyed = segments.withColumn("id", F.col("segment_id"))
-    deduped = similarity.dedup_assistant_turns(keyed, "id", "segment_text")
+    return similarity.dedup_assistant_turns(keyed, "id", "segment_text").drop("id")
+
+
+def archived_segments(segments: DataFrame, mode: str = "inventory") -> DataFrame:
+    """Archive blocks and add the safe ``working_view``; turns stay as they are."""
+    deduped = segments.withColumn("id", F.col("segment_id"))
     found = bl.archive_blocks(deduped, "id", "segment_text")
     if mode == "archival":
         found = bl.describe_blocks(found)
@@ -315,7 +324,7 @@ def extract_with_model(
     before left without a usable answer. ``template`` holds ``{segment_text}``.
     """
     def attempt(todo: DataFrame, number: int, mode: str) -> DataFrame:
-        viewed = safe_segments(todo, mode)
+        viewed = archived_segments(todo, mode)
         asked = extract_prompts(viewed, template).withColumnRenamed("user", "prompt")
         answers = durable(run_text_model(asked, factory), "answers").withColumnRenamed("id", "segment_id")
         joined = answers.join(viewed.select("segment_id", "working_view"), "segment_id")
@@ -326,6 +335,8 @@ def extract_with_model(
         usable = done.where(F.col("is_valid") & (F.col("statement_count") > 0))
         return todo.join(usable.select("segment_id"), "segment_id", "left_anti")
 
+    # Repeated turns go once, before the ladder: no attempt sees them again.
+    segments = durable(without_repeats(segments), "deduped")
     first = attempt(segments, 1, "inventory")
     second = attempt(unanswered(segments, first), 2, "archival")
     left = unanswered(unanswered(segments, first), second)

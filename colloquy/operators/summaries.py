@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colloquy.functions import text as tx
+from colloquy.functions import lenient_json, text as tx
 from colloquy.operators.models import TextModel, run_text_model
 from colloquy.session import durable
 
@@ -123,36 +122,39 @@ def summarize_with_model(
 
     A prompt needs earlier outputs, so a conversation is worked through in order.
     Round n takes window n of every conversation, side by side, with the last
-    summaries of round n-1; a task holds one window, however long a conversation is.
+    summaries of round n-1; a task reads its rows in order and holds the last summaries
+    only. The model is built once per task; fenced answers are read too.
     """
     last = segments.agg(F.max("segment_index")).first()[0]
     rounds = 0 if last is None else last // window_rows + 1
     windows = segments.withColumn("_window", F.floor(F.col("segment_index") / window_rows))
 
-    def in_order(window: pd.DataFrame) -> pd.DataFrame:
-        model = factory()
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted; a conversation may go on in the next batch.
+        model, conversation = factory(), None
         prior: list[str] = []
-        rows = []
-        for row in window.sort_values("segment_index").to_dict("records"):
-            if row["prior_summary"] is not None:
-                prior.append(row["prior_summary"])
-                continue
-            context = "\n".join(f"Segment {i}: {s}" for i, s in enumerate(prior[-size:]))
-            parts = [(SEGMENT_PART, row["segment_text"])]
-            if context:
-                parts.insert(0, (CONTEXT_PART, context))
-            prompt = "\n\n".join(f"---BEGIN {n}---\n{body}\n---END {n}---" for n, body in parts)
-            raw, summary, error = None, None, None
-            try:
-                raw = model(prompt)
-                summary = str(json.loads(raw).get("summary", ""))
-                prior.append(summary)
-            except Exception as problem:
-                error = f"{type(problem).__name__}: {problem}"
-            rows.append((row["segment_id"], row["conv_id"], row["segment_index"], summary, raw, error))
-        return pd.DataFrame(
-            rows, columns=["segment_id", "conv_id", "segment_index", "summary", "raw", "error"]
-        )
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                if row["conv_id"] != conversation:
+                    conversation, prior = row["conv_id"], []
+                if row["prior_summary"] is not None:
+                    prior.append(row["prior_summary"])
+                    continue
+                context = "\n".join(f"Segment {i}: {s}" for i, s in enumerate(prior[-size:]))
+                parts = [(SEGMENT_PART, row["segment_text"])]
+                if context:
+                    parts.insert(0, (CONTEXT_PART, context))
+                prompt = "\n\n".join(f"---BEGIN {n}---\n{body}\n---END {n}---" for n, body in parts)
+                raw, summary, error = None, None, None
+                try:
+                    raw = model(prompt)
+                    summary = str(lenient_json.loads(raw).get("summary", ""))
+                    prior = [*prior, summary][-size:]
+                except Exception as problem:
+                    error = f"{type(problem).__name__}: {problem}"
+                rows.append((row["segment_id"], row["conv_id"], row["segment_index"], summary, raw, error))
+            yield pd.DataFrame(rows, columns=["segment_id", "conv_id", "segment_index", "summary", "raw", "error"])
 
     known = ["segment_id", "conv_id", "segment_index", "segment_text", "prior_summary"]
     latest = Window.partitionBy("conv_id").orderBy(F.col("segment_index").desc())
@@ -165,7 +167,8 @@ def summarize_with_model(
         batch = todo.select(*known)
         if prior is not None:
             batch = batch.unionByName(prior.join(todo.select("conv_id").distinct(), "conv_id", "left_semi"))
-        made = durable(batch.groupBy("conv_id").applyInPandas(in_order, SEQUENTIAL_SCHEMA), "summaries")
+        sorted_rows = batch.repartition("conv_id").sortWithinPartitions("conv_id", "segment_index")
+        made = durable(sorted_rows.mapInPandas(in_order, SEQUENTIAL_SCHEMA), "summaries")
         done.append(made)
         # What the next round needs: the last few summaries of each conversation.
         fresh = made.where("summary is not null").select(
@@ -206,6 +209,7 @@ CONTEXT_PART = "PREVIOUS CONTEXT"
 SEGMENT_PART = "SEGMENT TRANSCRIPT"
 TOPIC_PART = "TOPIC SEGMENTS"
 TRANSCRIPT_PART = "TRANSCRIPT"
+PAGES_PART = "PARTIAL SUMMARIES"
 
 
 def _fenced_part(name: str, body: Column) -> Column:
@@ -272,3 +276,37 @@ def summarize_prompts(prompts: DataFrame, factory: Callable[[], TextModel]) -> D
     """Model summaries of topics or files from their (id, system, user) prompts."""
     asked = prompts.select("id", F.concat_ws("\n\n", "system", "user").alias("prompt"))
     return summary_rows(durable(run_text_model(asked, factory), "answers"))
+
+
+def summarize_pages(
+    prompts: DataFrame, factory: Callable[[], TextModel], system: str, page_rows: int = 1000
+) -> DataFrame:
+    """One model summary per unit whose prompt came in pages, ids ``unit#page``.
+
+    Pages are summarised, then the summaries of a unit's pages in their order, until
+    each unit has one; a unit of one page keeps that page's summary. Each round has
+    ``page_rows`` times fewer rows.
+    """
+    made = durable(summarize_prompts(prompts, factory), "summaries")
+    done: DataFrame | None = None
+    while True:
+        named = made.withColumn("_unit", F.regexp_replace("id", "#[0-9]+$", "")).withColumn(
+            "_page", F.regexp_extract("id", "#([0-9]+)$", 1).cast("bigint")
+        )
+        pages = named.groupBy("_unit").agg(F.count("*").alias("_pages"))
+        counted = durable(named.join(pages, "_unit"), "pages")
+        single = counted.where("_pages = 1").select(F.col("_unit").alias("id"), *made.columns[1:])
+        done = single if done is None else done.unionByName(single)
+        several = counted.where("_pages > 1")
+        if several.isEmpty():
+            return done
+        line = F.concat(F.lit("Part "), F.col("_page").cast("string"), F.lit(": "), F.col("summary"))
+        lines = (
+            several.groupBy("_unit", F.floor(F.col("_page") / page_rows).alias("_next"))
+            .agg(F.array_sort(F.collect_list(F.struct("_page", line.alias("_line")))).alias("_lines"))
+        )
+        body = _fenced_part(PAGES_PART, F.array_join(F.transform("_lines", lambda l: l["_line"]), "\n"))
+        again = lines.select(
+            F.concat_ws("#", "_unit", F.col("_next").cast("string")).alias("id"), F.lit(system).alias("system"), body.alias("user")
+        )
+        made = durable(summarize_prompts(again, factory), "summaries")

@@ -166,7 +166,7 @@ def topk(kb):
 @query("topk_blocks", HITS_SQL + "\nSELECT query_id, item_id, round(score, 6) AS score, rank FROM hits")
 def topk_blocks(kb):
     """The way taken when there are too many queries to send to every task."""
-    return rt.search(_centroids(kb), _items(kb), local_queries=4).withColumn("score", F.round("score", 6))
+    return rt.search(_centroids(kb), _items(kb), local_bytes=4 * 8 * VECTOR_SIZE).withColumn("score", F.round("score", 6))
 
 
 @query("search_approx")

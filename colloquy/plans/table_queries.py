@@ -514,26 +514,50 @@ def _turn_stream(kb: KnowledgeBase) -> DataFrame:
     return normalize_turns(stream).where(F.col("speaker").isin("user", "assistant"))
 
 
+STREAM_FILES = 3
+
+
+def _shuffled_stream(kb: KnowledgeBase, columns: list[str]) -> DataFrame:
+    """Visible turns in three files, later turns partly before earlier ones, one file a batch."""
+    path = new_path(kb.spark, "stream-source")
+    turns = kb.turns.where(F.col("speaker").isin("user", "assistant")).select(*columns)
+    for n in range(STREAM_FILES):
+        turns.where(F.col("ordinal") % STREAM_FILES == STREAM_FILES - 1 - n).coalesce(1).write.mode("append").parquet(path)
+    return kb.spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_messages", "SELECT conv_id, message_id, speaker, ordinal FROM messages")
 def stream_messages(kb):
-    """Messages streamed twice over; the second copy is dropped by its id."""
+    """Messages streamed twice over in several batches, out of order; ids are stored once."""
     out = new_path(kb.spark, "stream")
-    stream = _turn_stream(kb).select("conv_id", "message_id", "speaker", "ordinal", "created_at")
-    once = sj.unseen_messages(stream.unionByName(stream))
-    query = (
-        once.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return kb.spark.read.parquet(f"{out}/rows").select("conv_id", "message_id", "speaker", "ordinal")
+    stream = _shuffled_stream(kb, ["conv_id", "message_id", "speaker", "ordinal", "created_at"])
+    twice = stream.unionByName(stream).withColumn("arrival", F.col("ordinal"))
+    sj.run_available(twice, sj.insert_ignore_sink(out, ["conv_id", "message_id"], "arrival"), f"{out}/log")
+    return sj.stored_rows(kb.spark, out).select("conv_id", "message_id", "speaker", "ordinal")
+
+
+@query(
+    "stream_late_messages",
+    """
+SELECT m.conv_id, m.message_id FROM messages m
+WHERE EXISTS (SELECT 1 FROM messages e WHERE e.conv_id = m.conv_id AND e.ordinal > m.ordinal AND e.ordinal % 3 > m.ordinal % 3)
+""",
+)
+def stream_late_messages(kb):
+    """Messages older than what their conversation had before their batch."""
+    out = new_path(kb.spark, "stream")
+    stream = _shuffled_stream(kb, ["conv_id", "message_id", "ordinal", "created_at"]).withColumn("arrival", F.col("ordinal"))
+    sink = sj.insert_ignore_sink(out, ["conv_id", "message_id"], "arrival", late=("conv_id", "created_at"))
+    sj.run_available(stream, sink, f"{out}/log")
+    return sj.late_rows(kb.spark, out).select("conv_id", "message_id")
 
 
 @query("stream_segments", "SELECT segment_id, conv_id, segment_index, message_ids, segment_text FROM segments")
 def stream_segments(kb):
     """Streamed segments, with the open ones flushed at the end."""
     out = new_path(kb.spark, "stream")
-    query = sj.run_available(_turn_stream(kb), sj.segment_sink(out), f"{out}/log")
-    segments, _ = sj.flush_segments(kb.spark, out, query.lastProgress["batchId"])
+    sj.run_available(_turn_stream(kb), sj.segment_sink(out), f"{out}/log")
+    segments, _ = sj.flush_segments(kb.spark, out)
     return segments.select("segment_id", "conv_id", "segment_index", F.array_join("message_ids", ",").alias("message_ids"), "segment_text")
 
 
@@ -549,9 +573,9 @@ def late_messages(kb):
 @query("stream_insert_ignore", "SELECT conv_id, message_id, content FROM messages")
 def stream_insert_ignore(kb):
     out = new_path(kb.spark, "stream")
-    stream = _turn_stream(kb).select("conv_id", "message_id", "content", "ordinal")
-    sj.run_available(stream.unionByName(stream), sj.insert_ignore_sink(f"{out}/rows", ["conv_id", "message_id"], "ordinal"), f"{out}/log")
-    return kb.spark.read.parquet(f"{out}/rows").select("conv_id", "message_id", "content")
+    stream = _turn_stream(kb).select("conv_id", "message_id", "content", F.col("ordinal").alias("arrival"))
+    sj.run_available(stream.unionByName(stream), sj.insert_ignore_sink(out, ["conv_id", "message_id"], "arrival"), f"{out}/log")
+    return sj.stored_rows(kb.spark, out).select("conv_id", "message_id", "content")
 
 
 @query(
@@ -578,8 +602,8 @@ def stream_job_state(kb):
         F.col("ts").alias("at"),
         "event_id",
     )
-    query = sj.run_available(stream, sj.job_state_sink(out), f"{out}/log")
-    state = kb.spark.read.parquet(f"{out}/state/batch={query.lastProgress['batchId']}")
+    sj.run_available(stream, sj.job_state_sink(out), f"{out}/log")
+    state = kb.spark.read.parquet(f"{out}/state/batch={sj.last_batch(kb.spark, out)}")
     illegal = kb.spark.read.parquet(f"{out}/illegal").groupBy("job_id").agg(F.count("*").alias("illegal"))
     return state.select("job_id", "status").join(illegal, "job_id", "left").select(
         "job_id", "status", F.coalesce("illegal", F.lit(0)).alias("illegal")

@@ -229,6 +229,52 @@ def test_exports_from_files(spark, tmp_path):
     assert all(r.sha256 == hashlib.sha256((tmp_path / r.original_filename).read_bytes()).hexdigest() for r in prints)
 
 
+def test_exports_of_one_conversation_are_merged_in_import_order(spark, tmp_path):
+    short = export("q", conversation_id="c", update_time=1.0)
+    whole = export("a2", conversation_id="c", update_time=2.0)
+    other = export("a2")
+    for name, body in {"2.json": short, "1.json": whole, "0.json": whole, "x.json": other}.items():
+        (tmp_path / name).write_text(json.dumps(body))
+    exports = ex.read_exports(spark, str(tmp_path))
+    rows = ex.export_messages(exports).where("conv_id = 'c'").orderBy("position").collect()
+    assert [(r.message_id, r.position, r.segment_index) for r in rows] == [("m-q", 0, 0), ("m-a2", 1, 0)]
+    first = ex.ingest(exports.where("file_name in ('2.json', 'x.json')"))
+    tables = ex.ingest(exports, first)
+    again = ex.ingest(exports, tables)
+    flat = lambda t, name: sorted(map(repr, t[name].select(*sorted(t[name].columns)).collect()))
+    for name in tables:
+        assert flat(tables, name) == flat(again, name)
+    assert tables["source_files"].count() == 4 and tables["conversations"].count() == 2
+    assert {r.conv_id: r.message_count for r in tables["conversations"].collect()} == {"c": 2, "x": 2}
+    assert tables["segments"].count() == 2
+
+
+def test_a_message_without_id_is_hashed_with_the_exports_own_id(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "name.json").write_text(json.dumps(export("a1")))
+    rows = ex.export_messages(ex.read_exports(spark, str(tmp_path))).orderBy("position").collect()
+    digest = hashlib.sha256(b"|assistant|old|1700000001.0").hexdigest()[:16]
+    assert rows[1].conv_id == "name" and rows[1].message_id == f"hash_{digest}"
+
+
+def test_repeated_edges_do_not_multiply(spark):
+    nodes = spark.createDataFrame([("c", f"n{i}", f"n{i - 1}" if i else None) for i in range(40)] * 3, "conv_id string, node_id string, parent_id string")
+    heads = spark.createDataFrame([("c", "n39")], "conv_id string, node_id string")
+    path = tree.active_path(nodes, heads).collect()
+    assert sorted((r.position, r.node_id) for r in path) == [(i, f"n{i}") for i in range(40)]
+
+
+def test_long_conversations_keep_their_pages(spark):
+    chat = chats(spark, {"c": [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(2500)]})
+    numbered = ms.linear_messages(chat)
+    segments = sg.segment_conversations(numbered)
+    manifest = sg.segment_manifest(numbered, segments, sg.pending_tails(numbered)).orderBy("page").collect()
+    assert [len(r.segment_ids) for r in manifest] == [1000, 250] and {r.segment_count for r in manifest} == {1250}
+    pages = sg.transcript(numbered.withColumn("ts", F.lit(None).cast("string"))).orderBy("page").collect()
+    assert [r.page for r in pages] == [0, 1, 2] and "\n\n".join(r.transcript for r in pages).count("[user]") == 1250
+
+
 def test_chat_lists(spark, tmp_path):
     cases = {
         "good.json": [{"speaker": "u", "content": "hi", "ts": "t0"}, {"speaker": "a", "content": "yo"}],
@@ -260,3 +306,25 @@ def test_text_expressions(spark):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get(CHECKPOINT_SETTING)
+
+
+class Session:
+    """Stands in for a session of another master."""
+
+    def __init__(self, master):
+        self.sparkContext, self.conf, self.set_to = self, self, {}
+        self.master, self.set = master, self.set_to.__setitem__
+
+    def get(self, key, default=None):
+        return self.set_to.get(key, "/warehouse" if key == "spark.sql.warehouse.dir" else default)
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_has_to_name_a_shared_folder(master):
+    with pytest.raises(ValueError, match=CHECKPOINT_SETTING):
+        shared_dir(Session(master))
+
+
+def test_a_local_session_uses_a_folder_beside_its_warehouse():
+    session = Session("local[2]")
+    assert shared_dir(session) == shared_dir(session) == "/warehouse/_stages"

@@ -47,14 +47,14 @@ def vectors(spark, matrix, key, prefix):
     return spark.createDataFrame(rows, f"{key} string, vector array<float>")
 
 
-@pytest.mark.parametrize("local_queries", [100, 3])
-def test_search_is_exact_with_many_copies(spark, local_queries):
+@pytest.mark.parametrize("local_bytes", [100 * 64, 3 * 64])
+def test_search_is_exact_with_many_copies(spark, local_bytes):
     rng = np.random.default_rng(1)
     items = np.round(rng.normal(size=(300, 8)), 3).astype(np.float32)
     items[100:200] = items[0]
     queries = np.vstack([items[0:1], rng.normal(size=(9, 8))]).astype(np.float32)
     got = rt.search(
-        vectors(spark, queries, "query_id", "q"), vectors(spark, items, "item_id", "v").repartition(5), 7, local_queries
+        vectors(spark, queries, "query_id", "q"), vectors(spark, items, "item_id", "v").repartition(5), 7, local_bytes
     ).collect()
     unit = lambda m: m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
     scores = np.round(unit(queries) @ unit(items).T, 9)
@@ -188,17 +188,56 @@ def test_stream_over_several_batches_equals_one_pass(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     out = str(tmp_path / "out")
     query = sj.run_available(stream, sj.segment_sink(out), f"{out}/log")
-    assert query.lastProgress["batchId"] == 2
-    segments, tails = sj.flush_segments(spark, out, 2)
+    assert query.lastProgress["batchId"] == sj.last_batch(spark, out) == 2
+    segments, tails = sj.flush_segments(spark, out)
     from colloquy.operators import messages as ms
     from colloquy.operators import segments as sg
 
     whole = ms.assign_positions(spark.createDataFrame(rows, schema))
     flat = lambda df: sorted((r.segment_id, tuple(r.message_ids), r.segment_text) for r in df.collect())
+    assert not sj.run_available(stream, sj.segment_sink(out), f"{out}/log").lastProgress["numInputRows"]
+    assert sj.last_batch(spark, out) == 2
     assert flat(segments) == flat(sg.segment_conversations(whole))
     assert sorted(r.message_id for r in tails.collect()) == sorted(r.message_id for r in sg.pending_tails(whole).collect())
 
 
+def test_retry_in_a_later_batch_changes_the_overlap(spark, tmp_path):
+    schema = "conv_id string, message_id string, speaker string, created_at timestamp, ordinal bigint, content string"
+    rows = [
+        ("c", f"m{i}", s, None, i, t)
+        for i, (s, t) in enumerate([("user", "a"), ("assistant", "b"), ("user", "c  d"), ("user", "c d"), ("assistant", "e"), ("user", "f"), ("user", "g")])
+    ]
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for cut in ((0, 3), (3, 5), (5, 6), (6, 7)):
+        spark.createDataFrame(rows[cut[0] : cut[1]], schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    sj.run_available(stream, sj.segment_sink(out), f"{out}/log")
+    segments, tails = sj.flush_segments(spark, out)
+    from colloquy.operators import messages as ms
+    from colloquy.operators import segments as sg
+
+    whole = ms.linear_messages(spark.createDataFrame(rows, schema))
+    flat = lambda df: sorted((r.segment_id, tuple(r.message_ids)) for r in df.collect())
+    assert flat(segments) == flat(sg.segment_conversations(whole))
+    assert flat(segments)[0] == ("c_s000", ("m0", "m1", "m3"))
+    assert [r.message_id for r in tails.collect()] == [r.message_id for r in sg.pending_tails(whole).collect()]
+
+
+def test_late_messages_are_kept_and_told(spark, tmp_path):
+    """Three files, the newest message first: nothing is lost, late rows come out too."""
+    from datetime import datetime
+
+    schema = "conv_id string, message_id string, created_at timestamp, arrival bigint"
+    rows = [("c", "m9", datetime(2024, 1, 20), 0), ("c", "m1", datetime(2024, 1, 1), 1), ("d", "m2", datetime(2024, 1, 20, 1), 2), ("c", "m9", datetime(2024, 1, 20), 3)]
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    sj.run_available(stream, sj.insert_ignore_sink(out, ["conv_id", "message_id"], "arrival", late=("conv_id", "created_at")), f"{out}/log")
+    assert sorted(r.message_id for r in sj.stored_rows(spark, out).collect()) == ["m1", "m2", "m9"]
+    assert [r.message_id for r in sj.late_rows(spark, out).collect()] == ["m1"]
+
+
 def test_keys_and_references(spark):
     t = knowledge(spark)
     stored = {
