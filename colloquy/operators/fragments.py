@@ -218,7 +218,8 @@ def fragments_with_model(
 
     Returns (members, runs): members carry fragment_index, position_in_fragment,
     title, speaker and text per extract; runs fold the batches' outcomes. A batch
-    that fails leaves the others alone.
+    that fails leaves the others alone. An item that is no statement is a member
+    without speaker and text; a group without statements is one such member.
     """
     from colloquy.operators.statements import read_model_output
     from colloquy.session import durable
@@ -249,10 +250,16 @@ def fragments_with_model(
             "extract_id",
             "fragment_index",
             F.try_variant_get("_g", "$.title", "string").alias("title"),
-            F.posexplode(
-                F.try_variant_get("_g", "$.statements", "array<struct<speaker:string,text:string,statement_index:bigint>>")
-            ).alias("position_in_fragment", "_s"),
+            F.posexplode_outer(F.try_variant_get("_g", "$.statements", "array<variant>")).alias("_at", "_s"),
+        )
+        .select(
+            "extract_id",
+            "fragment_index",
+            "title",
+            F.coalesce("_at", F.lit(0)).alias("position_in_fragment"),
+            F.try_variant_get("_s", "$.speaker", "string").alias("speaker"),
+            F.try_variant_get("_s", "$.text", "string").alias("text"),
+            F.try_variant_get("_s", "$.statement_index", "bigint").alias("statement_index"),
         )
-        .select("extract_id", "fragment_index", "title", "position_in_fragment", "_s.*")
     )
     return members, runs

@@ -91,9 +91,11 @@ def _without_retries(marked: DataFrame) -> DataFrame:
 def collapse_retries(messages: DataFrame) -> DataFrame:
     """Drop a user message followed by a user message with the same words.
 
-    Chains collapse to the last one.
+    Chains collapse to the last one. The order is settled on narrow marks, written once.
     """
-    return _without_retries(_with_retry_marks(messages)).drop(*RETRY_MARKS)
+    key = ["conv_id", "ordinal"]
+    marks = durable(_with_retry_marks(messages).select(*key, *RETRY_MARKS), "marks")
+    return messages.join(_without_retries(marks).select(*key), key).select(*messages.columns)
 
 
 def linear_messages(messages: DataFrame) -> DataFrame:

@@ -175,6 +175,24 @@ def force_rerun(table: DataFrame, recomputed: DataFrame, conversations: DataFram
     return delete_keys(table, chosen, "segment_id").unionByName(fresh.select(*table.columns))
 
 
+def force_rerun_cascade(
+    tables: dict[str, DataFrame], rebuilt: dict[str, DataFrame], conversations: DataFrame, first: int = 0, last: int | None = None
+) -> dict[str, DataFrame]:
+    """The tables after running extraction anew for a segment range of some conversations.
+
+    The range's extracts go with their statements, fragments and links; what ``rebuilt``
+    has for the same segments takes their place. Also returns ``points``: the ids of the
+    vectors to purge. ``rebuilt`` has extracts, statements, fragments and links.
+    """
+    inside, wanted = in_range(F.col("segment_index"), first, last), conversations.select("conv_id").distinct()
+    chosen = lambda t: t["extracts"].where(inside).join(wanted, "conv_id", "left_semi")
+    after = delete_extracts(tables, chosen(tables))
+    fresh = chosen(rebuilt).select("extract_id")
+    part = {name: rebuilt[name].join(fresh, "extract_id", "left_semi") for name in ("extracts", "statements", "fragments")}
+    part["links"] = rebuilt["links"].join(part["fragments"].select("fragment_id"), "fragment_id", "left_semi")
+    return {**{name: after[name].unionByName(df.select(*after[name].columns)) for name, df in part.items()}, "points": after["points"]}
+
+
 def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -124,9 +124,9 @@ def dominant_ngram(kb):
     "dedup_turns",
     r"""
 , doubled AS (
-  SELECT conv_id AS id, 'user: ' || arg_min(regexp_replace(content, '^\s+|\s+$', '', 'g'), position) FILTER (speaker = 'user') AS question,
+  SELECT conv_id || '_g' || g AS id, 'user: ' || arg_min(regexp_replace(content, '^\s+|\s+$', '', 'g'), position) FILTER (speaker = 'user') AS question,
          arg_min(regexp_replace(content, '^\s+|\s+$', '', 'g'), position) FILTER (speaker = 'assistant') AS reply
-  FROM messages GROUP BY conv_id HAVING count(*) FILTER (speaker = 'user') > 0 AND count(*) FILTER (speaker = 'assistant') > 0
+  FROM grp GROUP BY conv_id, g HAVING count(*) FILTER (speaker = 'user') > 0 AND count(*) FILTER (speaker = 'assistant') > 0
 ), sized AS (SELECT *, len(regexp_extract_all(lower(reply), '[\p{L}\p{N}_]+')) AS n FROM doubled)
 SELECT id, CASE WHEN n < 5 THEN CAST(1 AS BIGINT) WHEN n >= 11 THEN CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS dropped_turns,
        question || chr(10) || chr(10) ||
@@ -136,9 +136,9 @@ FROM sized
 """,
 )
 def dedup_turns(kb):
-    """Each first reply twice, then a slightly longer one: copies go, near ones too."""
+    """First reply to every user message twice, then a slightly longer one: copies go, near ones too."""
     body = tx.strip(F.col("content"))
-    first = kb.messages.groupBy("conv_id").agg(
+    first = kb.messages.groupBy(F.format_string("%s_g%d", "conv_id", "segment_index").alias("conv_id")).agg(
         F.min_by(body, F.when(F.col("speaker") == "user", F.col("position"))).alias("question"),
         F.min_by(body, F.when(F.col("speaker") == "assistant", F.col("position"))).alias("reply"),
     ).where("question is not null and reply is not null")

@@ -140,7 +140,7 @@ def collapse_retries(kb):
         .unionByName(copy(users, "_b", 1, again))
         .unionByName(copy(kb.messages, "", 2, content))
     )
-    return ms.assign_positions(ms.collapse_retries(retried)).select("conv_id", "message_id", "position")
+    return ms.linear_messages(retried).select("conv_id", "message_id", "position")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,7 +14,7 @@ from colloquy.operators import messages as ms
 from colloquy.operators import models
 from colloquy.operators import segments as sg
 from colloquy.operators import statements as st
-from colloquy.session import configure, durable
+from colloquy.session import configure, input_version, staged
 from colloquy.sources.messages import read_messages
 
 VECTOR_SIZE = 64
@@ -23,9 +24,10 @@ VECTOR_SIZE = 64
 class KnowledgeBase:
     """Stage tables derived from the turns of ``conversations``.
 
-    Messages, segments, statements and grouped statements are written as stage tables
-    when first asked for: later stages read the columns they need instead of deriving
-    them again. All else is lazy.
+    Messages, segments, statements, grouped statements and fragment vectors are written
+    as stage tables when first asked for in a session, once for each version of the input:
+    later stages and queries read the columns they need instead of deriving them again.
+    All else is lazy.
     """
 
     spark: SparkSession
@@ -34,6 +36,13 @@ class KnowledgeBase:
     def __post_init__(self) -> None:
         configure(self.spark)
 
+    @cached_property
+    def version(self) -> tuple:
+        return input_version(self.spark.read.parquet(f"{self.sf_dir}/conversations.parquet"))
+
+    def _stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return staged(self.spark, self.version, name, build)
+
     @cached_property
     def turns(self) -> DataFrame:
         return read_messages(self.spark, self.sf_dir)
@@ -48,11 +57,11 @@ class KnowledgeBase:
             .withColumn("hidden", F.lit(False))
         )
         linear = shown.withColumnRenamed("role", "speaker").select(*self.turns.columns)
-        return durable(ms.linear_messages(linear), "messages")
+        return self._stage("messages", lambda: ms.linear_messages(linear))
 
     @cached_property
     def segments(self) -> DataFrame:
-        return durable(sg.segment_conversations(self.messages), "segments")
+        return self._stage("segments", lambda: sg.segment_conversations(self.messages))
 
     @cached_property
     def tails(self) -> DataFrame:
@@ -91,11 +100,11 @@ class KnowledgeBase:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return durable(st.extract_statements(self.segments), "statements")
+        return self._stage("statements", lambda: st.extract_statements(self.segments))
 
     @cached_property
     def grouped(self) -> DataFrame:
-        return durable(fr.group_statements(self.statements), "grouped")
+        return self._stage("grouped", lambda: fr.group_statements(self.statements))
 
     @cached_property
     def fragments(self) -> DataFrame:
@@ -108,7 +117,7 @@ class KnowledgeBase:
     @cached_property
     def indexed(self) -> DataFrame:
         """Fragments with their vector."""
-        return models.embed(self.fragments, "retrieval_text", dim=VECTOR_SIZE)
+        return self._stage("indexed", lambda: models.embed(self.fragments, "retrieval_text", dim=VECTOR_SIZE))
 
     @cached_property
     def questions(self) -> DataFrame:

@@ -164,13 +164,15 @@ def delete_extracts(kb):
     "delete_fragments",
     f"""
 SELECT 'fragments' AS "table", fragment_id AS id FROM fragments WHERE extract_id NOT IN {GONE}
+UNION ALL SELECT 'links', l.fragment_id || '/' || l.statement_id FROM links l JOIN fragments f USING (fragment_id) WHERE f.extract_id NOT IN {GONE}
 UNION ALL SELECT 'points', 'pt_' || fragment_id FROM fragments WHERE fragment_index % 3 <> 0 AND extract_id IN {GONE}
 """,
 )
 def delete_fragments(kb):
     tables, gone = _cascade(kb)
     after = tb.delete_fragments(tables, gone)
-    return after["fragments"].select(F.lit("fragments").alias("table"), F.col("fragment_id").alias("id")).unionByName(
+    links = after["links"].select(F.lit("links").alias("table"), F.concat("fragment_id", F.lit("/"), "statement_id").alias("id"))
+    return links.unionByName(after["fragments"].select(F.lit("fragments").alias("table"), F.col("fragment_id").alias("id"))).unionByName(
         after["points"].select(F.lit("points").alias("table"), F.col("point_id").alias("id"))
     )
 
@@ -264,6 +266,31 @@ def force_rerun(kb):
     return tb.force_rerun(table, fresh, _even(kb), 1).select("segment_id", "run")
 
 
+@query(
+    "force_rerun_cascade",
+    f"""
+SELECT 'extracts' AS "table", extract_id AS id, CASE WHEN extract_id IN {GONE} THEN 'again' ELSE 'kept' END AS run FROM extracts
+UNION ALL SELECT 'fragments', fragment_id, CASE WHEN extract_id IN {GONE} THEN 'again' ELSE 'kept' END FROM fragments
+UNION ALL SELECT 'links', l.fragment_id || '/' || l.statement_id, CASE WHEN f.extract_id IN {GONE} THEN 'again' ELSE 'kept' END FROM links l JOIN fragments f USING (fragment_id)
+UNION ALL SELECT 'points', 'pt_' || fragment_id, '' FROM fragments WHERE fragment_index % 3 <> 0 AND extract_id IN {GONE}
+UNION ALL SELECT 'statements', statement_id, CASE WHEN extract_id IN {GONE} THEN 'again' ELSE 'kept' END FROM statements
+""",
+)
+def force_rerun_cascade(kb):
+    """Extraction run anew for two segments of every second conversation."""
+    tables, _ = _cascade(kb)
+    marked = lambda run: {name: df.withColumn("run", F.lit(run)) for name, df in tables.items()}
+    after = tb.force_rerun_cascade(marked("kept"), marked("again"), _even(kb), 1, 2)
+    key = {
+        "extracts": F.col("extract_id"), "fragments": F.col("fragment_id"), "statements": F.col("statement_id"),
+        "links": F.concat("fragment_id", F.lit("/"), "statement_id"),
+    }
+    rows = after["points"].select(F.lit("points").alias("table"), F.col("point_id").alias("id"), F.lit("").alias("run"))
+    for name, column in key.items():
+        rows = rows.unionByName(after[name].select(F.lit(name).alias("table"), column.alias("id"), "run"))
+    return rows
+
+
 @query(
     "count_all",
     """

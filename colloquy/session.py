@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -54,3 +56,33 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Paths of stage tables by application, input version and name.
+_STAGES: dict[tuple, str] = {}
+
+
+def input_version(df: DataFrame) -> tuple:
+    """Files of a table and the newest change among them: another version, another stage."""
+    changed = df.select(F.max("_metadata.file_modification_time")).first()[0]
+    return (*sorted(df.inputFiles()), str(changed))
+
+
+def staged(spark: SparkSession, version: tuple, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stage table ``name`` of this input, written when first asked for in a session."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), version, name)
+    if key in _STAGES:
+        try:
+            return spark.read.parquet(_STAGES[key])
+        except AnalysisException:  # its owner has removed the folder
+            del _STAGES[key]
+    df, path = build(), new_path(spark, name)
+    df.write.parquet(path)
+    _STAGES[key] = path
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_stages(spark: SparkSession) -> list[str]:
+    """Forget this session's stage tables; returns their paths, for the owner to remove."""
+    own = [key for key in _STAGES if key[0] == spark.sparkContext.applicationId]
+    return [_STAGES.pop(key) for key in own]

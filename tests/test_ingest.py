@@ -328,3 +328,33 @@ def test_a_cluster_has_to_name_a_shared_folder(master):
 def test_a_local_session_uses_a_folder_beside_its_warehouse():
     session = Session("local[2]")
     assert shared_dir(session) == shared_dir(session) == "/warehouse/_stages"
+
+
+def test_stage_tables_are_written_once_for_an_input(spark, tmp_path):
+    import shutil
+
+    from colloquy.session import forget_stages, input_version, staged
+
+    source, built = str(tmp_path / "in"), []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    spark.range(5).write.parquet(source)
+    version = input_version(spark.read.parquet(source))
+    assert [staged(spark, version, "t", build).count() for _ in range(2)] == [3, 3] and len(built) == 1
+    spark.range(5).write.mode("append").parquet(source)
+    changed = input_version(spark.read.parquet(source))
+    assert changed != version and staged(spark, changed, "t", build).count() == 3 and len(built) == 2
+    paths = forget_stages(spark)
+    assert len(paths) >= 2 and staged(spark, version, "t", build).count() == 3 and len(built) == 3
+    (path,) = list(session_stages().values())
+    shutil.rmtree(path)
+    assert staged(spark, version, "t", build).count() == 3 and len(built) == 4
+
+
+def session_stages():
+    from colloquy import session
+
+    return session._STAGES
