@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from colloquy.llm.common import Words, hash_of, prepared, table, words_of
+from colloquy.llm.common import Words, durable, hash_of, prepared, slices, table, words_of
 
 #: Labelled rows of each label that a model is fitted on: those of the smallest hash of their id.
 SAMPLE_ROWS = 3_000
@@ -91,8 +91,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _design(column: pa.Array, swap: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) pairs of distinct features; with ``swap`` those of the counterfactuals."""
+def design(column: pa.Array, swap: bool) -> list[np.ndarray]:
+    """Distinct slots of each text; with ``swap`` those of its counterfactual."""
     words = words_of(column)
     rows = np.repeat(np.arange(len(column)), np.diff(words.first))
     kinds = features(words)
@@ -104,7 +104,8 @@ def _design(column: pa.Array, swap: bool) -> tuple[np.ndarray, np.ndarray]:
         # The beginnings of a swapped word go too; no text keeps a trace of the term.
         kinds[1:] = [np.where(same, -1, k) for k in kinds[1:]]
     keys = np.unique(np.concatenate([rows[k >= 0] * (1 << SLOTS_BITS) + k[k >= 0] for k in kinds]))
-    return keys >> SLOTS_BITS, keys & ((1 << SLOTS_BITS) - 1)
+    bounds = np.searchsorted(keys, np.arange(len(column) + 1) * (1 << SLOTS_BITS))
+    return [(keys[i:j] & ((1 << SLOTS_BITS) - 1)).astype(np.int32) for i, j in zip(bounds[:-1], bounds[1:])]
 
 
 def _evidence(rows: np.ndarray, slots: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
@@ -121,7 +122,15 @@ def _evidence(rows: np.ndarray, slots: np.ndarray, y: np.ndarray, size: int) ->
 
 
 def fit(texts: list[str], labels: list[int], swap_weight: float = SWAP_WEIGHT) -> Model:
-    """Fit on labelled texts in the driver; both classes weigh the same.
+    """``fit_slots`` on texts."""
+    column = pa.array(texts, pa.string())
+    return fit_slots(design(column, False), design(column, True), labels, swap_weight)
+
+
+def fit_slots(
+    plain: list[np.ndarray], swapped: list[np.ndarray], labels: list[int], swap_weight: float = SWAP_WEIGHT
+) -> Model:
+    """Fit in the driver on the slots of labelled texts; both classes weigh the same.
 
     Features of too little evidence are left out. Without both labels the model
     is a constant: the share of label 1, or 0 if there are no texts.
@@ -131,14 +140,8 @@ def fit(texts: list[str], labels: list[int], swap_weight: float = SWAP_WEIGHT) -
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
         return Model(np.zeros(size), float(np.clip(np.log((share + 1e-4) / (1 - share + 1e-4)), -9, 9)))
-    parts = [texts[i : i + 256] for i in range(0, len(texts), 256)]
-    designs = {}
-    for swap in (False, True):
-        found = [_design(pa.array(part, pa.string()), swap) for part in parts]
-        designs[swap] = (
-            np.concatenate([r + 256 * i for i, (r, _) in enumerate(found)]),
-            np.concatenate([s for _, s in found]),
-        )
+    rows_of = lambda slots: (np.repeat(np.arange(len(slots)), [len(x) for x in slots]), np.concatenate(slots).astype(np.int64))
+    designs = {False: rows_of(plain), True: rows_of(swapped)}
     used = np.flatnonzero(_evidence(*designs[False], y, size) >= EVIDENCE)
     column = np.full(size, -1)
     column[used] = np.arange(len(used))
@@ -187,23 +190,35 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     The rows are those whose ids hash smallest. Rows without label or id are not used;
     an id with both labels counts as 1.
     """
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = (
+    usable = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= rows)
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
     )
-    found = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .join(chosen, "doc_id")
-        .orderBy("doc_id", "text")
-        .select("text", "toxic")
+    # A share of each label by hash first, with room to spare: the rank then sees about
+    # ``rows`` rows, however many labels there are.
+    counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    share = F.lit(1.0)
+    for label, count in sorted(counts.items()):
+        share = F.when(F.col("toxic") == label, (1.5 * rows + 100) / count).otherwise(share)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(drawn, "doc_id"))
+    chosen = durable(
+        usable.where(drawn < share).withColumn("rank", rank).where(F.col("rank") <= rows)
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")),
+        "sample",
     )
-    data = [(r["text"] or "", r["toxic"]) for r in found.toLocalIterator()]
-    return fit([t for t, _ in data], [y for _, y in data])
+    # At most 2 * rows ids are broadcast; texts stay where they are, their slots come back.
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            both = [pa.array(design(batch.column(0), swap), pa.list_(pa.int32())) for swap in (False, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *both], names=["key", "toxic", "plain", "swapped"])
+
+    keyed = found.select("text", F.xxhash64("doc_id", "text").alias("key"), "toxic")
+    data = keyed.mapInArrow(slots, "key bigint, toxic int, plain array<int>, swapped array<int>").toArrow().sort_by("key")
+    lists = lambda name: [np.array(x, np.int32) for x in data.column(name).to_pylist()]
+    return fit_slots(lists("plain"), lists("swapped"), data.column("toxic").to_pylist())
 
 
 def scorer(spark, model: Model):
@@ -228,6 +243,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Every row keeps its score, repeated rows the same one; null and empty texts get the
     model's bias. Names of other columns play no part.
     """
+    prepared(docs.sparkSession)
     model = train(docs, labels)
     score = scorer(docs.sparkSession, model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
