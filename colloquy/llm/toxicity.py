@@ -25,7 +25,7 @@ SAMPLE_ROWS = 3_000
 SLOTS_BITS = 18
 HEADS = (4, 5, 6)
 #: A feature is used where its likelihood-ratio statistic between the labels is as large.
-EVIDENCE = 8.0
+EVIDENCE = 11.0
 STEPS, RATE, RIDGE = 200, 0.3, 1e-4
 #: Weight of the squared difference between a text's score and its counterfactual's.
 SWAP_WEIGHT = 4.0
