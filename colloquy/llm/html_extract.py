@@ -25,7 +25,7 @@ from colloquy.llm.common import prepared, slices, table
 from colloquy.llm.html_pages import MARK, labelled_pages
 
 #: Labelled pages for training, steps of training, and the seed of the pages.
-TRAIN_PAGES, STEPS, SEED = 400, 250, 2
+TRAIN_PAGES, STEPS, SEED = 500, 250, 2
 
 # Fixed values of the HTML standard: elements that hold no text of the page, that have
 # no end tag, and that stand for blocks.
@@ -49,7 +49,7 @@ CLOSES = {
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
@@ -161,11 +161,11 @@ def _markup(tag: str, attrs: str) -> tuple[str, ...]:
     out = [f"t:{tag}"]
     if attrs:
         for name, value in _ATTR.findall(attrs):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
+            name, value = name.lower(), value.strip("\"'")
+            if name == "hidden" or name == "style" and "display:none" in value.lower().replace(" ", ""):
                 out.append("hidden")
             elif name != "style":
-                out += [f"c:{w}" for w in _NAME.findall(value)[:12]]
+                out += [f"c:{w.lower()}" for w in _NAME.findall(value)]
     return tuple(dict.fromkeys(out))
 
 
@@ -250,7 +250,7 @@ class ContentModel:
         ]
 
 
-def train(pages: list[str], steps: int = STEPS, ridge: float = 2e-3, rate: float = 0.15) -> ContentModel:
+def train(pages: list[str], steps: int = STEPS, ridge: float = 2e-4, rate: float = 0.15) -> ContentModel:
     """Maximum-likelihood weights from pages whose content leaves start with ``MARK``.
 
     An inner node is content where some leaf below it is. The gradient is what is seen

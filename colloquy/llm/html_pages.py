@@ -17,7 +17,7 @@ NAMES = {
     "ad": ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "adsense", "sponsor"),
     "sidebar": ("sidebar", "side", "widget", "rail", "aside", "column-right", "secondary", "blogroll"),
     "notice": ("notice", "cookie", "cookies", "gdpr", "consent", "alert", "popup", "modal", "paywall", "disclaimer", "warning"),
-    "comments": ("comments", "comment", "commentlist", "discussion", "replies", "disqus", "reader-comments", "responses"),
+    "comments": ("comments", "comment", "commentlist", "discussion", "replies", "disqus", "reader-comments", "responses", "user-comments", "comment-section"),
     "form": ("search", "newsletter", "login", "signup", "subscribe", "subscription", "contact-form", "register"),
     "related": ("related", "recommended", "more", "popular", "trending", "also", "share", "social", "tags", "teaser", "links"),
     "footer": ("footer", "bottom", "copyright", "legal", "site-footer", "colophon"),
@@ -29,12 +29,13 @@ TAGS = {
     "menu": ("nav", "nav", "div", "ul"),
     "ad": ("div", "div", "aside", "section"),
     "sidebar": ("aside", "aside", "div"),
-    "notice": ("div", "div", "section", "p"),
-    "comments": ("section", "div", "ol"),
+    "notice": ("div", "div", "section", "p", "dialog"),
+    "comments": ("section", "div", "div", "ol"),
     "form": ("form", "form", "div"),
     "related": ("div", "section", "ul"),
     "footer": ("footer", "footer", "div"),
 }
+HIDDEN = 'style="display: none"'
 SYLLABLES = ("an", "be", "ci", "do", "er", "fi", "ga", "ho", "in", "ka", "li", "mo", "ne", "or", "pa", "re", "st", "tu", "ün", "éc")
 
 
@@ -53,19 +54,19 @@ class Pages:
         return self.words(low, high).capitalize() + self.r.choice(("...", ".", ".", ".", "", "!", "?"))[:1]
 
     def mark(self, part: str) -> str:
-        """Attributes that name a part, or none."""
-        if self.r.random() < 0.15:
-            return ""
+        """Attributes that name a part."""
         name = self.r.choice(NAMES[part])
         if self.r.random() < 0.3:
             name += self.r.choice(("-box", "-area", "-1", "_block", " clearfix", "-container", " wide"))
         return f' {self.r.choice(("class", "class", "id"))}="{name}"'
 
     def wrap(self, part: str, inner: str) -> str:
+        if part == "hidden":
+            return f"<{(tag := self.r.choice(('p', 'div')))} {self.r.choice(('hidden', HIDDEN, HIDDEN))}>{inner}</{tag}>"
         tag = self.r.choice(TAGS[part])
-        attrs = self.mark(part) if tag in ("div", "ul", "ol", "section", "p") or self.r.random() < 0.5 else ""
-        if tag == "div" and not attrs:
-            attrs = f' class="{self.r.choice(NAMES[part])}"'
+        # A tag that says what it is needs no name; others have one.
+        telling = tag in ("nav", "aside", "footer", "header", "form", "dialog")
+        attrs = self.mark(part) if not telling or self.r.random() < 0.5 else ""
         if tag in ("ul", "ol") and not inner.startswith("<li"):
             inner = f"<li>{inner}</li>"
         return f"<{tag}{attrs}>{inner}</{tag}>"
@@ -75,26 +76,32 @@ class Pages:
             f'<{item}><a href="/{self.words(1, 1)}">{self.words(1, 4)}</a></{item}>' for _ in range(self.r.randint(low, high))
         )
 
+    def heading(self) -> str:
+        h = self.r.randint(2, 4)
+        return f"<h{h}>{self.words(1, 3)}</h{h}>"
+
     def junk(self, part: str) -> str:
         r, s = self.r, self.sentence
         if part in ("menu", "related"):
             inner = self.links(2, 9)
             inner = f"<ul>{inner}</ul>" if r.random() < 0.7 else inner
             if part == "related":
-                inner = f"<h3>{self.words(1, 3)}</h3>" + (inner if r.random() < 0.7 else f"<p>{s(5, 30)}</p>")
+                inner = self.heading() + (inner if r.random() < 0.7 else f"<p>{s(5, 30)}</p>")
             return self.wrap(part, inner)
         if part == "header":
             return self.wrap(part, r.choice((f"<h1>{self.words(1, 4)}</h1>", f"<p>{s(1, 9)}</p>", f'<a href="/">{self.words(1, 3)}</a>', s(1, 8))))
         if part == "ad":
             return self.wrap(part, r.choice((s(3, 40), f"<p>{s(3, 60)}</p>", f'<a href="/x">{s(2, 20)}</a>')))
         if part == "sidebar":
-            return self.wrap(part, f"<h3>{self.words(1, 3)}</h3>" * (r.random() < 0.5) + r.choice((f"<p>{s(5, 60)}</p>", f"<ul>{self.links(2, 6)}</ul>", s(3, 30))))
+            return self.wrap(part, self.heading() * (r.random() < 0.5) + r.choice((f"<p>{s(5, 60)}</p>", f"<ul>{self.links(2, 6)}</ul>", s(3, 30))))
         if part == "notice":
             return self.wrap(part, r.choice((s(5, 50), f"<p>{s(5, 50)}</p>", f"{s(4, 30)} <button>{self.words(1, 2)}</button>")))
+        if part == "hidden":
+            return self.wrap(part, s(2, 40))
         if part == "comments":
-            each = (f'<div class="comment"><b>{self.words(1, 2)}</b><p>{s(3, 70)}</p></div>', f'<li class="comment"><p>{s(3, 70)}</p></li>', f"<p>{s(3, 70)}</p>")
-            kind = r.randrange(3)
-            return self.wrap(part, f"<h3>{self.words(1, 3)}</h3>" * (r.random() < 0.5) + "".join(each[kind] for _ in range(r.randint(1, 5))))
+            each = (f'<article class="comment"><p>{s(3, 70)}</p></article>', f'<div class="comment"><b>{self.words(1, 2)}</b><p>{s(3, 70)}</p></div>', f'<li class="comment"><p>{s(3, 70)}</p></li>', f"<p>{s(3, 70)}</p>")
+            kind = r.randrange(4)
+            return self.wrap(part, self.heading() * (r.random() < 0.5) + "".join(each[kind] for _ in range(r.randint(1, 5))))
         if part == "form":
             return self.wrap(part, f'<label>{self.words(1, 4)}</label><input name="q"><button>{self.words(1, 2)}</button>' + f"<p>{s(3, 25)}</p>" * (r.random() < 0.6))
         return self.wrap("footer", r.choice((f"&copy; {self.words(1, 3)} &middot; {s(2, 12)}", f"<p>{s(3, 30)}</p>", f"<ul>{self.links(2, 5)}</ul>")))
@@ -132,7 +139,7 @@ class Pages:
         if head and r.random() < 0.15:
             head = f"<header>{head}</header>"
         body = [self.block() for _ in range(r.randint(1, 14))]
-        for part in ("ad", "related", "comments", "form", "notice", "sidebar", "menu", "footer"):
+        for part in ("ad", "related", "comments", "form", "notice", "sidebar", "menu", "footer", "hidden"):
             if r.random() < 0.1:
                 body.insert(r.randint(1, len(body)), self.junk(part))
         text = "".join(body)
@@ -143,8 +150,9 @@ class Pages:
             return f"<main>{head}{text}</main>"
         if style < 0.9:
             name = f' {r.choice(("class", "id"))}="{r.choice(NAMES["content"])}"'
-            return f"<div{name}>{head}{text}</div>" if r.random() < 0.6 else f"{head}<div{name}>{text}</div>"
-        return f"<div>{head}{text}</div>"
+            tag = r.choice(("div", "div", "section"))
+            return f"<{tag}{name}>{head}{text}</{tag}>" if r.random() < 0.6 else f"{head}<{tag}{name}>{text}</{tag}>"
+        return f"<div>{head}{text}</div>" if style < 0.95 else head + text
 
     def page(self) -> str:
         r = self.r
