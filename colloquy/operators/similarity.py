@@ -22,13 +22,22 @@ MIN_STATEMENTS_FOR_GRAM = 6
 MIN_GRAM_STATEMENTS = 5
 
 
+def hashed_shingles(text: Column) -> Column:
+    """Sorted 64-bit hashes of a text's shingles: a set is moved and compared as numbers.
+
+    Sets are only compared inside one group, where a collision is out of reach.
+    """
+    found = tx.shingles(tx.words(text), SHINGLE_WORDS)
+    return F.array_sort(F.transform(found, lambda s: F.xxhash64(s)))
+
+
 def shingle_classes(rows: DataFrame, group: list[str], order: str, text: str) -> DataFrame:
     """One row per distinct shingle set of a group: its size, first and last row."""
     return (
         rows.select(
             *group,
             F.col(order).alias("_at"),
-            F.array_sort(tx.shingles(tx.words(F.col(text)), SHINGLE_WORDS)).alias("shingles"),
+            hashed_shingles(F.col(text)).alias("shingles"),
         )
         .where(F.size("shingles") > 0)
         .groupBy(*group, "shingles")
@@ -167,7 +176,7 @@ def _assistant_runs(turns: DataFrame, key: str, order) -> DataFrame:
             key,
             "_run",
             "turn_index",
-            F.array_sort(tx.shingles(tx.words(F.col("body")), SHINGLE_WORDS)).alias("_shingles"),
+            hashed_shingles(F.col("body")).alias("_shingles"),
         )
         .where(F.size("_shingles") > 0)
     )

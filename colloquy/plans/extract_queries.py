@@ -344,7 +344,7 @@ own AS (SELECT segment_id, count(*) FILTER (len(s) > 0) AS shingled FROM sh GROU
 grams AS (
   SELECT segment_id, unnest(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))) AS gram FROM cw WHERE len(w) >= 4
 ),
-gtop AS (SELECT segment_id, max(c) AS c FROM (SELECT segment_id, gram, count(*) AS c FROM grams GROUP BY ALL) GROUP BY segment_id),
+gtop AS (SELECT segment_id, max(c) AS c, (array_agg(gram ORDER BY c DESC, gram))[1] AS gram FROM (SELECT segment_id, gram, count(*) AS c FROM grams GROUP BY ALL) GROUP BY segment_id),
 shape AS (
   SELECT p.*, 1 AS attempt, CASE WHEN fault = 6 THEN 2 ELSE 1 END AS times, fault AS f FROM per p
   UNION ALL SELECT p.*, 2, 1, CASE WHEN fault = 5 THEN 4 ELSE 0 END FROM per p
@@ -353,7 +353,7 @@ facts AS (
   SELECT s.segment_id, s.attempt, s.f, s.fault,
          CASE WHEN s.f IN (4, 5) THEN 0 ELSE s.n * s.times END AS statement_count, s.users,
          s.times, coalesce(sp.p, 0) * s.times * s.times + CASE WHEN s.times = 2 THEN o.shingled ELSE 0 END AS pairs,
-         coalesce(g.c, 0) * s.times AS gram_count,
+         coalesce(g.c, 0) * s.times AS gram_count, g.gram, s.n * s.times AS texts,
          length(seg.segment_text) - length(replace(seg.segment_text, chr(10), '')) + 1 AS lines,
          length(trim(seg.segment_text)) AS chars
   FROM shape s JOIN segments seg USING (segment_id) JOIN own o USING (segment_id)
@@ -375,13 +375,19 @@ verdict AS (
     VALID_SQL
     + """
 SELECT segment_id, CAST(attempt AS INTEGER) AS attempt, statement_count,
-       CAST(r_json::INT + r_keys::INT + r_speaker::INT + r_count::INT + r_zero::INT + r_pairs::INT + r_gram::INT AS INTEGER) AS reasons,
+       CASE WHEN r_json THEN 'output is not JSON' ELSE concat_ws('|',
+         CASE WHEN r_keys THEN 'unexpected keys in output: note' END,
+         CASE WHEN r_speaker THEN printf('invalid speaker in %d statement(s)', users) END,
+         CASE WHEN r_count THEN printf('statement count %d exceeds plausible max %d for %d-line input', statement_count, greatest(40, lines // 2), lines) END,
+         CASE WHEN r_zero THEN 'zero statements extracted from non-empty segment' END,
+         CASE WHEN r_pairs THEN printf('found %d near-duplicate statement pair(s)', pairs) END,
+         CASE WHEN r_gram THEN printf('4-gram ''%s'' appears in %d/%d statements', gram, gram_count, texts) END) END AS reasons,
        NOT (r_json OR r_keys OR r_speaker OR r_count OR r_zero OR r_pairs OR r_gram) AS is_valid
 FROM verdict
 """,
 )
 def validate_statements(kb):
-    return _checked(kb).select("segment_id", "attempt", "statement_count", F.size("reasons").alias("reasons"), "is_valid")
+    return _checked(kb).select("segment_id", "attempt", "statement_count", F.array_join("reasons", "|").alias("reasons"), "is_valid")
 
 
 @query(
