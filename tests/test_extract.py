@@ -184,6 +184,49 @@ def test_model_ladder(spark):
     assert any("TimeoutError" in w for w in notes["e"]) and notes["a"] == []
 
 
+def test_repeated_turns_stay_away_in_every_attempt(spark):
+    """Message by message, too, the model never sees a reply that a later one repeats."""
+    reply = " ".join(f"word{i}" for i in range(30))
+
+    def factory():
+        def model(prompt):
+            return "garbage" if "user:" in prompt else answer(("nobody", prompt[:8]))
+
+        return model
+
+    rows = [("a", "c", 0, f"user: ask\n\nassistant: {reply}\n\nassistant: {reply}")]
+    _, statements = st.extract_with_model(spark.createDataFrame(rows, SEGMENT), factory, "{segment_text}")
+    assert [(r.speaker, r.text) for r in statements.orderBy("statement_index").collect()] == [("user", "ask"), ("assistant", "word0 wo")]
+
+
+def test_odd_items_cost_themselves_only(spark):
+    def factory():
+        good = {"speaker": "user", "text": "t"}
+        return lambda prompt: json.dumps({"fragments": [{"title": "A", "statements": [good, 7, {"text": 1}]}, {"title": "B"}, {"title": "C", "statements": []}]})
+
+    members, _ = fr.fragments_with_model(spark.createDataFrame([("s_x", "s", "c", 0, "user", "t")], STATEMENT), factory, "{statements_text}")
+    got = sorted((r.fragment_index, r.title, r.position_in_fragment, r.speaker, r.text) for r in members.collect() if r.text or r.title != "A")
+    assert [g[:3] for g in got if g[1] != "A"] == [(1, "B", 0), (2, "C", 0)] and (0, "A", 0, "user", "t") in got
+    assert members.where("title = 'A'").count() == 3
+
+
+def test_fenced_summaries_are_read_and_pages_merged(spark):
+    def factory():
+        def model(prompt):
+            inside = [line.split(": ")[1] for line in prompt.split("\n") if line.startswith("Part ")]
+            own = prompt.split("---\n")[1].split("\n")[0]
+            return "```json\n" + json.dumps({"summary": "+".join(inside) or own}) + "\n```"
+
+        return model
+
+    rows = [("x0", "x", 0, "a"), ("x1", "x", 1, "b")]
+    got = sm.summarize_with_model(spark.createDataFrame(rows, SEGMENT), factory).orderBy("segment_index").collect()
+    assert [(r.summary, r.error) for r in got] == [("a", None), ("Segment 0: a", None)]
+    prompts = spark.createDataFrame([(f"u#{i}", "S", f"---BEGIN T---\np{i}\n---END T---") for i in range(5)] + [("v#0", "S", "---BEGIN T---\nq\n---END T---")], "id string, system string, user string")
+    merged = {r.id: r.summary for r in sm.summarize_pages(prompts, factory, "S", page_rows=2).collect()}
+    assert merged == {"u": "p0+p1+p2+p3+p4", "v": "q"}
+
+
 STATEMENT = "extract_id string, segment_id string, conv_id string, statement_index bigint, speaker string, text string"
 
 
@@ -237,8 +280,17 @@ def test_sequential_summaries_see_the_three_before(spark, window_rows):
 
 
 def test_embedder_errors_become_rows(spark):
+    calls = spark.sparkContext.accumulator(0)
+
     def factory():
-        return lambda batch: [[] if "odd" in batch[0] else [1.0, 2.0]]
+        def model(batch):
+            calls.add(1)
+            return [[] if "odd" in text else [1.0, 2.0] for text in batch]
+
+        return model
+
+    many = models.embed(texts(spark, *[f"t{i}" for i in range(50)]).coalesce(1), "text", factory).collect()
+    assert all(r.vector == [1.0, 2.0] for r in many) and calls.value == 1
 
     got = {r.text: (r.vector, r.error) for r in models.embed(texts(spark, "ok", "", "odd"), "text", factory).collect()}
     assert got["ok"] == ([1.0, 2.0], None) and "empty text" in got[""][1] and "empty vector" in got["odd"][1]
