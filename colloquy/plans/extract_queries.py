@@ -534,6 +534,33 @@ def working_view(kb):
     return bl.working_view(pages, bl.archive_blocks(pages)).select("id", "working_view")
 
 
+@query(
+    "block_descriptions",
+    XML_SQL
+    + r"""
+, raw AS (SELECT a.*, substr(p.t, a.start_at + 1, a.char_count) AS raw_text FROM archived a JOIN page p USING (id)),
+hits AS (
+  SELECT *, regexp_extract_all(raw_text, '(?m)^\s*\$\s+([^\n]+)', 1) AS c,
+         regexp_extract_all(raw_text, 'https?://[^\s"''<>)]+|(?:[\w.-]+)?/[\w.-]+(?:/[\w.-]+)+') AS q FROM raw
+)
+SELECT id, block_no, 'xml' AS block_kind,
+       substr('xml block of ' || line_count || ' lines and ' || char_count || ' characters', 1, 120) AS brief_description,
+       regexp_matches(raw_text, '(?im)^\s*(you are|you must|do not|never|always|ignore)\b') AS is_instruction_like,
+       array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i)[1:8], '|') AS commands,
+       array_to_string(list_filter(q, lambda x, i: list_position(q, x) = i)[1:8], '|') AS paths
+FROM hits
+""",
+)
+def block_descriptions(kb):
+    """What the model-free description says of every archived block of the pages."""
+    d = F.col("archival_description")
+    return bl.describe_blocks(bl.archive_blocks(_pages(kb))).select(
+        "id", "block_no", d["block_kind"].alias("block_kind"), d["brief_description"].alias("brief_description"),
+        d["is_instruction_like"].alias("is_instruction_like"),
+        F.array_join(d["commands"], "|").alias("commands"), F.array_join(d["paths"], "|").alias("paths"),
+    )
+
+
 @query("describe_blocks")
 def describe_blocks(kb):
     """Archival view of the pages with a description line per block."""
