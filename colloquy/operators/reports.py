@@ -281,7 +281,13 @@ def render_report(rows: DataFrame) -> DataFrame:
 
 
 def render_extract(extracts: DataFrame, statements: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Readable form of an extract: head, statements, archived blocks."""
+    """Readable form of an extract: head, statements, archived blocks.
+
+    Blocks that carry an ``archival_description`` have its brief text on a line below.
+    """
+    brief = F.lit(None).cast("string")
+    if "archival_description" in blocks.columns:
+        brief = F.col("archival_description.brief_description")
     said = statements.groupBy("extract_id").agg(
         F.array_sort(F.collect_list(F.struct("statement_index", F.concat(F.lit("**"), F.col("speaker"), F.lit(":** "), F.col("text"), F.lit("\n")).alias("_line")))).alias("_said")
     )
@@ -290,7 +296,10 @@ def render_extract(extracts: DataFrame, statements: DataFrame, blocks: DataFrame
             F.collect_list(
                 F.struct(
                     "block_no",
-                    F.format_string("- `%s` — %s (%d lines, %d chars, speaker=%s)", "block_id", "block_kind", "line_count", "char_count", F.coalesce("speaker", F.lit("unknown"))).alias("_line"),
+                    F.concat(
+                        F.format_string("- `%s` — %s (%d lines, %d chars, speaker=%s)", "block_id", "block_kind", "line_count", "char_count", F.coalesce("speaker", F.lit("unknown"))),
+                        F.coalesce(F.concat(F.lit("\n  - "), brief), F.lit("")),
+                    ).alias("_line"),
                 )
             )
         ).alias("_listed")

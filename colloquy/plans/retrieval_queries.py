@@ -576,6 +576,54 @@ def render_report(kb):
     return rp.render_report(_summary_rows(kb)).select("segment_id", "report")
 
 
+@query(
+    "render_fragment",
+    """
+, said AS (
+  SELECT l.fragment_id, string_agg('**' || s.speaker || ':** ' || s.text || chr(10), chr(10) ORDER BY l.position_in_fragment) AS spoken
+  FROM links l JOIN statements s USING (statement_id) GROUP BY l.fragment_id
+)
+SELECT fragment_id, '# Fragment — ' || segment_id || ' / ' || fragment_index || chr(10) || chr(10) || '**Title:** ' || title || '  ' || chr(10)
+       || '**Status:** ' || status || '  ' || chr(10) || '**Model:** baseline' || chr(10) || chr(10) || '## Statements' || chr(10) || chr(10) || spoken AS report
+FROM fragments JOIN said USING (fragment_id)
+""",
+)
+def render_fragment(kb):
+    said = kb.links.join(kb.statements.select("statement_id", "speaker", "text"), "statement_id")
+    return rp.render_fragment(kb.fragments.withColumn("model", F.lit("baseline")), said)
+
+
+@query(
+    "render_extract",
+    """
+, said AS (SELECT extract_id, string_agg('**' || speaker || ':** ' || text || chr(10), chr(10) ORDER BY statement_index) AS body FROM statements GROUP BY extract_id),
+whole AS (SELECT segment_id, segment_text, length(segment_text) AS chars, length(segment_text) - length(replace(segment_text, chr(10), '')) + 1 AS lines, segment_index FROM segments)
+SELECT e.extract_id, '# Extract — ' || e.segment_id || chr(10) || chr(10) || '**Status:** ok  ' || chr(10)
+       || '**Attempt:** ' || CASE WHEN e.segment_index % 2 = 0 THEN '1' ELSE '?' END || '  ' || chr(10) || '**Model:** baseline  ' || chr(10)
+       || '**Latency:** ' || w.chars || 'ms' || chr(10) || chr(10) || '## Statements' || chr(10) || chr(10) || coalesce(body, '')
+       || CASE WHEN w.segment_index % 3 = 0 THEN '' ELSE
+            chr(10) || '## Archived Blocks' || chr(10) || chr(10) || '- `ARCHIVED_BLOCK_1` — fenced_code (' || w.lines || ' lines, ' || w.chars || ' chars, speaker=unknown)'
+            || chr(10) || '  - code block of ' || w.lines || ' lines and ' || w.chars || ' characters' || chr(10) END AS report
+FROM extracts e JOIN whole w USING (segment_id) LEFT JOIN said USING (extract_id)
+""",
+)
+def render_extract(kb):
+    """Extracts of every segment; two of three have their whole text archived as a block."""
+    from colloquy.operators import blocks as bl
+
+    text, n = F.col("segment_text"), F.col("segment_index")
+    whole = durable(kb.segments.select("segment_id", "segment_index", "segment_text"), "whole")
+    extracts = kb.extracts.join(whole.select("segment_id", F.length(text).alias("latency_ms")), "segment_id").withColumn("attempt", F.when(n % 2 == 0, 1))
+    blocks = bl.describe_blocks(
+        whole.where(n % 3 != 0).select(
+            ids.extract_id(F.col("segment_id")).alias("extract_id"), F.lit(1).alias("block_no"), F.lit("ARCHIVED_BLOCK_1").alias("block_id"),
+            F.lit("fenced_code").alias("block_kind"), bl.line_count(text).alias("line_count"), F.length(text).alias("char_count"),
+            F.lit(None).cast("string").alias("speaker"), text.alias("raw_text"),
+        )
+    )
+    return rp.render_extract(extracts, kb.statements, blocks)
+
+
 @query(
     "resolve_status",
     """
