@@ -6,19 +6,21 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from colloquy.plans import catalog
 
 SMALL = pathlib.Path("/root/testdata/sf0.001")
 CHECKED = [
     "visible_messages", "message_key", "active_path", "segments", "manifest", "statements", "fragments", "near_dup_pairs",
-    "working_view", "topic_boundaries", "topk", "retrieve", "hydrate", "lineage", "delete_extracts", "job_state",
+    "working_view", "topic_boundaries", "topk", "retrieve", "hydrate", "lineage", "delete_extracts", "job_state", "reimport_exports", "ingest_tables", "stream_messages", "stream_late_messages", "force_rerun_cascade",
 ]
 ROWS_ONLY = {"fingerprint_files", "describe_blocks", "search_approx"}
 
 
 def test_every_query_has_sql_but_a_few():
-    queries, oracles = entry.queries(), entry.oracle_sql()
+    queries, oracles = catalog.QUERIES, catalog.ORACLES
     assert set(oracles) <= set(queries)
     assert set(queries) - set(oracles) == ROWS_ONLY
+    assert set(queries) <= set(entry.queries()) and set(oracles) <= set(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
