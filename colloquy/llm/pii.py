@@ -82,7 +82,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", start, m.end()))
             last = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) < 4 and int(p) <= 255 for p in parts):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:

@@ -392,7 +392,7 @@ def test_base_spans_equal_the_patterns(spark, judge):
 
 
 def test_long_texts_take_linear_time():
-    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "+1" + "(" * 100_000, "1 " * 100_000, "1.2.3." * 30_000):
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "+1" + "(" * 100_000, "1 " * 100_000, "1.2.3." * 30_000, "1.2.3." + "0" * 10_000):
         pii.base_spans(text)
         pii.candidates(text)
 
