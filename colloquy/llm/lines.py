@@ -8,9 +8,13 @@ hashes with the few runs there are. Nothing is ever updated in place.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StringType, StructType
 
 from colloquy.llm.common import durable, new_path, prepared, sha256_of, table
 
@@ -23,15 +27,31 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(SPACE)), _UPPER, _LOWER)
 
 
-def _hash(key: Column) -> Column:
-    """128 bits of a line's key; null for a key without code points."""
-    return F.when(key != "", F.unhex(F.md5(key)))
+def distinct_line_hashes(text: Column) -> Column:
+    """Hashes of the distinct lines of a text that have a key; a null text is empty.
 
-
-def line_hashes(text: Column) -> Column:
-    """Hashes of the lines of a text, in order; a null or empty text is one empty line."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.transform(lines, lambda x: _hash(line_key(x)))
+    Keys are made distinct as strings, which Spark does by hashing; the hashes, being
+    binary, it would compare with each other.
+    """
+    keys = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line_key)
+    return F.transform(F.filter(F.array_distinct(keys), lambda k: k != ""), lambda k: F.unhex(F.md5(k)))
+
+
+@pandas_udf(StructType().add("kept", StringType()).add("n_dropped", LongType()))
+def without_lines(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """Texts without the lines whose keys' hashes are ``gone``; null where there are none."""
+    out = []
+    for text, hashes in zip(texts, gone):
+        if text is None or hashes is None:
+            out.append((None, None))
+            continue
+        hashes, lines, kept = set(map(bytes, hashes)), text.split("\n"), []
+        for line in lines:
+            key = line.strip(SPACE).encode().lower()  # of bytes: A-Z only
+            if not key or hashlib.md5(key).digest() not in hashes:
+                kept.append(line)
+        out.append(("\n".join(kept), len(lines) - len(kept)))
+    return pd.DataFrame(out, columns=["kept", "n_dropped"])
 
 
 @dataclass
@@ -77,8 +97,7 @@ class LineRuns:
 
 def _documents(docs: DataFrame, text: str) -> DataFrame:
     """Distinct line hashes of each row, one row each: a row counts a line once."""
-    hashes = F.filter(F.array_distinct(line_hashes(F.col(text).cast("string"))), lambda h: h.isNotNull())
-    return docs.select(F.explode(hashes).alias("hash"))
+    return docs.select(F.explode(distinct_line_hashes(F.col(text).cast("string"))).alias("hash"))
 
 
 def add_new_lines(runs: LineRuns, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,7 +112,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", batc
     spark = prepared(docs.sparkSession)
     path = new_path(spark, "line-hashes")
     dealt = docs.withColumn("__batch", F.pmod(F.xxhash64(text), F.lit(batches))).select("__batch", text)
-    hashes = F.filter(F.array_distinct(line_hashes(F.col(text).cast("string"))), lambda h: h.isNotNull())
+    hashes = distinct_line_hashes(F.col(text).cast("string"))
     # One pass over the texts; a map task sums its own rows before anything is written.
     (
         dealt.select(F.col("__batch").alias("batch"), F.explode(hashes).alias("hash"))
@@ -120,20 +139,19 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, text: str = "text",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     body = F.coalesce(F.col(f"doc.`{text}`").cast("string"), F.lit(""))
     ident = F.struct(F.col(f"doc.`{key}`"), F.unhex(F.md5(body)))
-    lines = rows.select(ident.alias("ident"), F.explode(F.array_distinct(line_hashes(body))).alias("hash"))
+    lines = rows.select(ident.alias("ident"), F.explode(distinct_line_hashes(body)).alias("hash"))
     hits = durable(
         lines.join(frequent, "hash").groupBy("ident").agg(F.collect_set("hash").alias("gone")),
         "dropped-lines",
     )
     joined = rows.withColumn("ident", ident).join(hits, "ident", "left")
-    split = F.split(body, "\n", -1)
-    stay = F.filter(split, lambda x: ~F.coalesce(F.array_contains("gone", _hash(line_key(x))), F.lit(False)))
-    stayed = joined.withColumn("split", split).withColumn("stay", F.when(F.col("gone").isNotNull(), stay))
-    return stayed.select(
+    # Only texts that lose lines go through Python, where a set of hashes is looked up.
+    changed = joined.withColumn("cut", without_lines(F.when(F.col("gone").isNotNull(), body), F.col("gone")))
+    return changed.select(
         "doc",
-        F.coalesce(F.array_join("stay", "\n"), body).alias("kept"),
-        F.size("split").cast("bigint").alias("n_lines"),
-        F.when(F.col("stay").isNotNull(), F.size("split") - F.size("stay")).otherwise(0).cast("bigint").alias("n_dropped"),
+        F.coalesce("cut.kept", body).alias("kept"),
+        F.size(F.split(body, "\n", -1)).cast("bigint").alias("n_lines"),
+        F.coalesce("cut.n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
     )
 
 

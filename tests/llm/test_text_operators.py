@@ -167,7 +167,8 @@ def test_lines_of_many_documents_go(spark):
     r = random.Random(8)
     pool = ["Menu", " menu\t", "MENU", "é", "É", "", "  ", "a\rb", "long " * 50]
     texts = ["\n".join(r.choices(pool + [prose(r, 3)], k=r.randint(0, 6))) for _ in range(60)]
-    texts += [None, "", "Menu", "Menu", "\n", "x" * 300_000 + "\nMenu"]
+    texts += [None, "", "Menu", "Menu", "\n", "x" * 300_000 + "\nMenu", "\n".join(f"l{i}" for i in range(40_000)) + "\nMenu"]
+    texts += ["\n".join(f"l{i}" for i in range(5_000))] * 5
     docs = clashing(documents(spark, texts), ["doc", "kept", "hash", "gone"])
     out = lines.drop_frequent_lines(docs, 5)
     found = {x["doc"]["doc_id"]: (x["n_lines"], x["kept"]) for x in out.collect()}
