@@ -127,7 +127,7 @@ def _elements(words: Words, i: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, same (hash of the word sequence), n (shingles), bands`` of every row with an id.
+    """``id, mark (of the text), same (of the word sequence), n (shingles), bands`` of every row with an id.
 
     Texts without words are told apart by their characters, null being empty.
     """
@@ -136,21 +136,22 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             words = words_of(batch.column(1))
-            same, sizes, found_bands = [], [], []
+            marks, same, sizes, found_bands = [], [], [], []
             for i in range(batch.num_rows):
                 own = words.hashes[words.first[i] : words.first[i + 1]]
-                raw = own if len(own) else words.data[words.offsets[i] : words.offsets[i + 1]]
-                same.append(hashlib.blake2b(raw.tobytes(), digest_size=16).digest())
+                raw = words.data[words.offsets[i] : words.offsets[i + 1]]
+                marks.append(hashlib.md5(raw).hexdigest())
+                same.append(hashlib.blake2b((own if len(own) else raw).tobytes(), digest_size=16).digest())
                 elements = labelled(shingles(own))
                 sizes.append(len(elements))
                 found_bands.append(bands(elements))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found_bands, pa.list_(pa.int64()))],
-                names=["id", "same", "n", "bands"],
+                [batch.column(0), pa.array(marks, pa.string()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found_bands, pa.list_(pa.int64()))],
+                names=["id", "mark", "same", "n", "bands"],
             )
 
     kind = found.schema["id"].dataType.simpleString()
-    return found.mapInArrow(run, f"id {kind}, same binary, n bigint, bands array<bigint>")
+    return found.mapInArrow(run, f"id {kind}, mark string, same binary, n bigint, bands array<bigint>")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -182,12 +183,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     ``class_id`` is the smallest id reachable by links; ``kept`` marks that document.
     Ids are taken to be unique: rows that repeat an id are one document, told by the
-    smallest of their texts; rows with a null id are left out. Null texts are empty;
+    text of smallest md5; rows with a null id are left out. Null texts are empty;
     texts without words are near nothing but their equals. Other columns play no part.
     """
     spark = prepared(docs.sparkSession)
     signed = durable(sketch(docs, key, text), "sketches")
-    signed = signed.groupBy("id").agg(F.min(F.struct("same", "n", "bands")).alias("s")).select("id", "s.*")
+    signed = signed.groupBy("id").agg(F.min(F.struct("mark", "same", "n", "bands")).alias("s")).select("id", "s.*")
     copies = durable(signed.groupBy("same").agg(F.min(F.struct("id", "n", "bands")).alias("s")).select("same", "s.*"), "classes")
     bucketed = copies.select(F.explode("bands").alias("bucket"), "id", "n")
     # Only buckets of two texts or more; the count is aggregated before its shuffle.
@@ -196,7 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     wanted = members.select("id").distinct()
     texts = durable(
         docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-        .join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")),
+        .join(wanted, "id").groupBy("id").agg(F.min_by("text", F.md5("text")).alias("text")),
         "candidates",
     )
     roots = copies.select("same", F.col("id").alias("class_id"))

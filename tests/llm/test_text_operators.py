@@ -271,6 +271,16 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert om.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_repeated_ids_are_one_document_by_one_of_their_texts(spark):
+    r = random.Random(17)
+    a, b = prose(r, 60), prose(r, 60)
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, a), (4, edited(r, b, 0.02)), (5, edited(r, a, 0.02)), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    told = {i: min((t for k, t in rows if k == i), key=lambda t: hashlib.md5(t.encode()).hexdigest()) for i in range(1, 6)}
+    found = {x["doc_id"]: x["class_id"] for x in om.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(1, 6)] == [x + 1 for x in brute_classes([told[i] for i in range(1, 6)])]
+
+
 def test_components_equal_brute_force(spark):
     r = random.Random(13)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5), (None, 3)]
