@@ -140,7 +140,7 @@ def fit_slots(
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
         return Model(np.zeros(size), float(np.clip(np.log((share + 1e-4) / (1 - share + 1e-4)), -9, 9)))
-    rows_of = lambda slots: (np.repeat(np.arange(len(slots)), [len(x) for x in slots]), np.concatenate(slots).astype(np.int64))
+    rows_of = lambda slots: (np.repeat(np.arange(len(slots), dtype=np.int32), [len(x) for x in slots]), np.concatenate(slots))
     designs = {False: rows_of(plain), True: rows_of(swapped)}
     used = np.flatnonzero(_evidence(*designs[False], y, size) >= EVIDENCE)
     column = np.full(size, -1)
@@ -217,8 +217,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     keyed = found.select("text", F.xxhash64("doc_id", "text").alias("key"), "toxic")
     data = keyed.mapInArrow(slots, "key bigint, toxic int, plain array<int>, swapped array<int>").toArrow().sort_by("key")
-    lists = lambda name: [np.array(x, np.int32) for x in data.column(name).to_pylist()]
-    return fit_slots(lists("plain"), lists("swapped"), data.column("toxic").to_pylist())
+    return fit_slots(_lists(data.column("plain")), _lists(data.column("swapped")), data.column("toxic").to_pylist())
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Lists of integers as views of one array: the driver holds four bytes a number."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        offsets = chunk.offsets.to_numpy()
+        if len(chunk):
+            values = chunk.values.to_numpy()[offsets[0] : offsets[-1]]
+            out += np.split(values, offsets[1:-1] - offsets[0])
+    return out
 
 
 def scorer(spark, model: Model):

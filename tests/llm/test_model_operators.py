@@ -261,6 +261,13 @@ def test_scores_depend_on_the_text_alone(spark):
     assert tx.toxicity(docs.limit(0), marks).count() == 0
 
 
+def test_lists_of_a_sliced_column():
+    rows = [[1, 2], [], [3], [4, 5, 6]]
+    whole = pa.array(rows, pa.list_(pa.int32()))
+    column = pa.chunked_array([whole.slice(1, 3), whole.slice(0, 0), whole])
+    assert [x.tolist() for x in tx._lists(column)] == column.to_pylist()
+
+
 def test_held_out_rows_are_never_learned(spark):
     texts, labels = labelled_texts(60)
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
