@@ -29,12 +29,14 @@ TRAIN_PAGES, STEPS, SEED = 500, 250, 2
 
 # Fixed values of the HTML standard: elements that hold no text of the page, that have
 # no end tag, and that stand for blocks.
-RAW = frozenset("script style noscript template title textarea iframe object svg math canvas audio video xmp noembed noframes".split())
+# Of ``math`` readers see all but its annotations; ``xmp`` shows its text as it is written.
+RAW = frozenset("script style noscript template title textarea iframe object svg canvas audio video noembed noframes annotation annotation-xml".split())
+VERBATIM = "xmp"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol optgroup option p pre search section select "
-    "summary table tbody td tfoot th thead tr ul".split()
+    "summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: An element that opens closes an open one of these, up to the nearest of the others.
 CLOSES = {
@@ -47,10 +49,11 @@ CLOSES = {
     "option": ({"option"}, {"select", "optgroup"}),
 }
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_LETTER = re.compile("[a-zA-Z]")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in (*RAW, VERBATIM)}
 
 
 @dataclass
@@ -104,9 +107,15 @@ def parse(page: str | None) -> Tree:
             stop = page.find(close, lt + 2)
             at = size if stop < 0 else stop + len(close)
             continue
+        if nxt == "/" and not _LETTER.match(page, lt + 2):  # no end tag: a comment up to the next >
+            stop = page.find(">", lt + 2)
+            if stop < 0:
+                break
+            at = stop + 1
+            continue
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
         if not m:
-            if nxt.isalpha() or nxt == "/":  # cut off inside a tag
+            if nxt == "/" or _LETTER.match(nxt):  # cut off inside a tag
                 break
             run.append("<")
             at = lt + 1
@@ -147,7 +156,14 @@ def parse(page: str | None) -> Tree:
                 if t.tag[stack[k]] in closed:
                     del stack[k:]
                     break
-        stack.append(add(name, m[3]))
+        stack.append(add("pre" if name == VERBATIM else name, m[3]))
+        if name == VERBATIM:
+            stop = _END[name].search(page, at)
+            end = stop.start() if stop else size
+            run.append(html.escape(page[at:end], quote=False))
+            flush()
+            stack.pop()
+            at = stop.end() if stop else size
     flush()
     return t
 

@@ -80,6 +80,41 @@ def test_texts_of_pages(spark, model):
     assert hx.extract(rows.limit(0), model).count() == 0
 
 
+def brute_text(page):
+    """Text of a page of inline markup, read character by character as the HTML standard does."""
+    out, at = "", 0
+    while at < len(page):
+        after = page[at + 1 : at + 3]
+        letter = lambda c: c != "" and c in "abcdefghijklmnopqrstuvwxyz"
+        if page[at] == "<" and (letter(after[:1]) or after[:1] == "/"):
+            while at < len(page) and page[at] != ">":
+                at += 1
+        else:
+            out += page[at]
+        at += 1
+    return " ".join(out.split())
+
+
+def test_end_tags_without_a_letter_are_comments():
+    r = random.Random(23)
+    pieces = ["</3", "</ p>", "</>", "</", "<3", "< ", "<é", ">", "i", "</i>", "<i>", " x ", "é", "1"]
+    for _ in range(2000):
+        page = "".join(r.choices(pieces, k=r.randint(1, 12)))
+        assert " ".join(x for x in hx.parse(page).text if x) == brute_text(page), page
+
+
+def test_text_after_typos_and_in_formulas_stays(model):
+    body = "<p>Some words of the story, long enough to count as one.</p>"
+    for typo in ("I </3 it", "a </ p> b", "a </> b", "a <é b"):
+        text = model.texts([f"<article>{body}<p>{typo}</p>{body * 2000}</article>"])[0]
+        assert text.count("Some words") >= 2000, typo
+    math = "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=a>x = 1</annotation></math>"
+    page = f"<article>{body}<p>We know that {math} holds in all of these cases.</p><xmp><b>bold</b> &amp; <p>more</xmp>{body}</article>"
+    text = model.texts([page])[0].split("\n")
+    assert "We know that x=1 holds in all of these cases." in text and "<b>bold</b> &amp; <p>more" in text
+    assert len(text) == 4
+
+
 # 4. URL filter
 
 
