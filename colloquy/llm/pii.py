@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +45,10 @@ _WIDE_EMAIL = re.compile(
 )
 _AT_WORD = re.compile(r"＠|[(\[{]at[)\]}]| dot ", re.I)
 _WIDE_IP = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{0,4}|(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}(?![0-9.])")
-_WIDE_NUMBER = re.compile(r"(?<![0-9A-Za-z+])(?:\(?[0-9]{1,5}\)?[ ./\-–_]{0,2}){2,10}[0-9]{1,5}(?![0-9A-Za-z])")
+# Numbers are groups of digits; what may stand between two groups, and before and after a number that goes on.
+_GROUP, _GAP = re.compile("[0-9]+"), re.compile(r"\)?[ ./\-–_]{0,2}\(?")
+_JOINED_BEFORE, _JOINED_AFTER = re.compile(r"[0-9](\)?[ ./\-–_]{0,2}\(?)$"), re.compile(r"(\)?[ ./\-–_]{0,2}\(?)[0-9]")
+CARD_DIGITS, PHONE_DIGITS = range(12, 20), range(7, 16)
 _HINTS = {
     "phone": re.compile(r"(?:phone|tel|call|mobile|cell|fax|whatsapp|telefon|téléphone|teléfono)\W{0,3}$", re.I),
     "card": re.compile(r"(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta)\W{0,3}$", re.I),
@@ -98,18 +103,52 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that could be personal data; they may overlap, also with base spans."""
-    out = []
+    return list(_candidates(text))
+
+
+def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
     if "@" in text or _AT_WORD.search(text):
-        out += [("email", *m.span()) for m in _WIDE_EMAIL.finditer(text)]
+        yield from (("email", *m.span()) for m in _WIDE_EMAIL.finditer(text))
     if ":" in text or "." in text:
-        out += [("ip", *m.span()) for m in _WIDE_IP.finditer(text)]
-    for m in _WIDE_NUMBER.finditer(text):
-        n = len(_digits(m[0]))
-        if 12 <= n <= 19:
-            out.append(("card", *m.span()))
-        if 7 <= n <= 15:
-            out.append(("phone", *m.span()))
-    return out
+        yield from (("ip", *m.span()) for m in _WIDE_IP.finditer(text))
+    yield from _numbers(text)
+
+
+def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """Every run of whole neighbouring digit groups with the digits of a card or a phone.
+
+    A group has a digit at least, so at most ``CARD_DIGITS[-1]`` runs end at a group.
+    """
+    groups: deque[tuple[int | None, int]] = deque(maxlen=CARD_DIGITS[-1])
+    last = 0
+    for m in _GROUP.finditer(text):
+        start, end = m.span()
+        if groups and not _GAP.fullmatch(text, last, start):
+            groups.clear()
+        last = end
+        # A number begins at its bracket, and not inside of a word.
+        begins = [i for i in (start - 1, start) if (i == start or i >= 0 and text[i] == "(") and not (i and _within(text[i - 1], "+"))]
+        groups.append((begins[0] if begins else None, end - start))
+        if end < len(text) and _within(text[end]):
+            continue
+        digits = 0
+        for begin, size in reversed(groups):
+            digits += size
+            if digits > CARD_DIGITS[-1]:
+                break
+            if begin is not None and digits in CARD_DIGITS:
+                yield "card", begin, end
+            if begin is not None and digits in PHONE_DIGITS:
+                yield "phone", begin, end
+
+
+def _within(c: str, more: str = "") -> bool:
+    return c.isascii() and c.isalnum() or c in more and c != ""
+
+
+def _joined(gap: re.Match | None) -> float:
+    """0 without a neighbouring number, 1 with one apart by space, 2 by anything else."""
+    return 0.0 if gap is None else 1.0 if gap[1].strip(" ") in ("", "(") and gap[1] != "(" else 2.0
 
 
 def features(text: str, span: tuple[str, int, int]) -> list[float]:
@@ -119,6 +158,10 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
     digits = _digits(body)
     groups = re.findall("[0-9]+", body)
     separators = re.findall(r"[^0-9A-Za-z]+", body)
+    number = kind in ("card", "phone")
+    joined = _joined(_JOINED_BEFORE.search(before)) if number else 0.0
+    if joined:  # a word before several numbers says something of each
+        before = text[max(0, start - 64) : start].rstrip("0123456789 ./-–_()")
     quads = kind == "ip" and len(groups) == 4 and all(int(g) <= 255 for g in groups)
     return [
         KINDS.index(kind),
@@ -148,6 +191,10 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
         float(bool(re.fullmatch(r"(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}.*", body))),
         float(start > 0 and text[start - 1].isalnum()),
         float(end < len(text) and text[end].isalnum()),
+        len(groups[0]) if groups else 0,
+        len(groups[-1]) if groups else 0,
+        joined,
+        _joined(_JOINED_AFTER.match(text, end)) if number else 0.0,
     ]
 
 
@@ -250,6 +297,12 @@ def _card(r: random.Random) -> str:
     return next(body + c for c in "0123456789" if luhn(body + c))
 
 
+def _again(r: random.Random, body: str, kind: str) -> str:
+    """Another number written like ``body``."""
+    new = body[:1] + "".join(_number(r, 1) if "0" <= c <= "9" else c for c in body[1:])
+    return next((new[:-1] + c for c in "0123456789" if luhn(_digits(new[:-1] + c))), new) if kind == "card" else new
+
+
 def made_examples(count: int, seed: int = SEED) -> tuple[list[list[float]], list[int]]:
     """Candidates made by rule, with their labels."""
     r, rows, labels = random.Random(seed), [], []
@@ -282,17 +335,45 @@ def made_examples(count: int, seed: int = SEED) -> tuple[list[list[float]], list
             if not good:
                 body = r.choice((f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}.{r.randint(10, 12)}.{r.randint(1990, 2030)}", _number(r, r.randint(7, 15)), f"{_number(r, 1)} {_number(r, 3)} {_number(r, 3)} {_number(r, 3)}", f"{_number(r, 4)} {_number(r, 4)}", f"{_number(r, 3)}.{_number(r, 3)}.{_number(r, 2)}"))
                 hint = r.choice(("total ", "version ", "order no. ", "", "", "", "page ", "€ "))
-        text = f"{word()} {word()} {hint}{body} {word()}"
-        start = text.index(body, len(text) - len(body) - 12 if len(text) > len(body) + 12 else 0)
-        rows.append(features(text, (kind, start, start + len(body))))
+        before, after = f"{word()} {word()} ", f" {word()}"
+        if kind in ("card", "phone") and r.random() < 0.5:
+            # Numbers side by side: each is one, what reaches from one into another is none.
+            twin = _again(r, body, kind) if good else body
+            other = r.choice((twin, twin, f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(10, 12)}/{r.randint(24, 32)} {_number(r, 3)}"))
+            if r.random() < 0.5:
+                before += other + " "
+            elif other == twin and r.random() < 0.5:
+                before, hint = before + hint + other + " ", ""
+            else:
+                after = f" {other}{after}"
+        text = f"{before}{hint}{body}{after}"
+        start = len(before) + len(hint)
+        span = (kind, start, start + len(body))
+        across = [c for c in candidates(text) if c[0] == kind and c != span and c[1] < span[2] and span[1] < c[2]] if kind in ("card", "phone") else []
+        if across and r.random() < 0.4:
+            span, good = r.choice(across), False
+        rows.append(features(text, span))
         labels.append(int(good))
     return rows, labels
 
 
-def _apart(spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def _apart(spans: Iterable[tuple[str, int, int]], others: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """Those of ``spans`` that overlap none of ``others``."""
     taken = set().union(*(range(s, e) for _, s, e in others))
-    return [x for x in spans if taken.isdisjoint(range(x[1], x[2]))]
+    return (x for x in spans if taken.isdisjoint(range(x[1], x[2])))
+
+
+def _closest(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> set[tuple[str, int, int]]:
+    """Of the spans that overlap a base span of their kind, that closest to its ends."""
+    out = set()
+    for k in KINDS:
+        own = sorted((x for x in spans if x[0] == k), key=lambda x: x[1])
+        starts, longest = [x[1] for x in own], max((x[2] - x[1] for x in own), default=0)
+        for _, s, e in (b for b in base if b[0] == k):
+            near = [x for x in own[bisect_left(starts, s - longest) : bisect_left(starts, e)] if x[2] > s]
+            if near:
+                out.add(min(near, key=lambda x: (abs(x[1] - s) + abs(x[2] - e), x)))
+    return out
 
 
 def training_rows(docs: DataFrame, key: str, text: str) -> tuple[list[list[float]], list[int]]:
@@ -309,9 +390,9 @@ def training_rows(docs: DataFrame, key: str, text: str) -> tuple[list[list[float
             rows, labels = [], []
             for body in batch.column(0).to_pylist():
                 base, found_spans = base_spans(body or ""), candidates(body or "")
-                apart = {s for k in KINDS for s in _apart([x for x in found_spans if x[0] == k], [x for x in base if x[0] == k])}
+                told = _closest(found_spans, base)
                 rows += [features(body, span) for span in found_spans]
-                labels += [int(span not in apart) for span in found_spans]
+                labels += [int(span in told) for span in found_spans]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["x", "y"])
 
     sample = found.mapInArrow(run, "x array<double>, y int").orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_ROWS).collect()
@@ -354,7 +435,7 @@ def personal_data(docs: DataFrame, judge: Judge | None = None, key: str = "doc_i
 def added(judge: Judge, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates apart from base spans that the judge selects, without overlaps."""
     out: list[tuple[str, int, int]] = []
-    rows = [(span, features(text, span)) for span in _apart(candidates(text), base)]
+    rows = ((span, features(text, span)) for span in _apart(_candidates(text), base))
     scored = sorted(((-judge.probability(x), span) for span, x in rows if judge.selects(x)), key=lambda v: (v[0], v[1][1], v[1]))
     # A place is taken by at most one span; places are characters of candidates only.
     taken: set[int] = set()

@@ -418,6 +418,53 @@ def test_added_spans_are_likely_ones(judge):
     assert [text[s:e] for _, s, e in found] == ["jo.doe (at) mail (dot) example"]
 
 
+def brute_numbers(text):
+    """Every stretch of whole digit groups, tried at all pairs of places."""
+    out = set()
+    for s, e in itertools.combinations(range(len(text) + 1), 2):
+        body, before, after = text[s:e], text[s - 1 : s] if s else "", text[e : e + 1]
+        if not re.fullmatch(r"\(?[0-9]+(?:(?:\)[ ./\-–_]{0,2}\(?|[ ./\-–_]{1,2}\(?|\()[0-9]+)*", body):
+            continue
+        if re.match("[0-9A-Za-z+]", before) or re.match("[0-9A-Za-z]", after):
+            continue
+        if before == "(" != body[0] and not (s > 1 and re.match("[0-9A-Za-z+]", text[s - 2])):
+            continue  # the bracket belongs to it
+        n = sum(c in "0123456789" for c in body)
+        out |= {("card", s, e)} if 12 <= n <= 19 else set()
+        out |= {("phone", s, e)} if 7 <= n <= 15 else set()
+    return out
+
+
+def test_every_run_of_digit_groups_is_proposed():
+    r = random.Random(29)
+    pieces = ["1", "22", "333", "4444", "55555", "1234567", " ", "-", ".", "/", "(", ")", "+", "x", " ", "-", "é"]
+    for _ in range(600):
+        text = "".join(r.choices(pieces, k=r.randint(3, 16)))
+        found = list(pii._numbers(text))
+        assert len(found) == len(set(found)) and set(found) == brute_numbers(text), text
+    assert ("phone", 0, 23) in pii.candidates("1 2 3 4 5 6 7 8 9 0 1 2")
+
+
+def test_neighbouring_numbers_are_found():
+    judge = pii.fit(*pii.made_examples(pii.MADE_ROWS))
+    card = "4111.1111.1111.1111"
+    for text, kind, bodies in (
+        ("call (555) 123-4567 (555) 123-9999 now", "phone", ["(555) 123-4567", "(555) 123-9999"]),
+        ("call 555-123-4567 555-123-9999 now", "phone", ["555-123-4567", "555-123-9999"]),
+        ("tel. 2024-05-01 555-123-4567", "phone", ["555-123-4567"]),
+        (f"card: {card} 12/26 123", "card", [card]),
+    ):
+        places = [(kind, text.index(b), text.index(b) + len(b)) for b in bodies]
+        assert set(places) <= set(pii.candidates(text))
+        assert sorted(pii.added(judge, text, pii.base_spans(text))) == places, text
+
+
+def test_parts_of_a_base_span_are_no_examples_of_it():
+    text = "4111 1111 1111 1111 and +1 (234) 567-8901"
+    told = pii._closest(pii.candidates(text), pii.base_spans(text))
+    assert sorted(text[s:e] for _, s, e in told) == ["(234) 567-8901", "4111 1111 1111 1111"]
+
+
 def test_training_takes_a_bounded_sample(spark, monkeypatch):
     monkeypatch.setattr(pii, "MADE_ROWS", 400)
     texts = [f"call +1 (234) 567-89{i:02d} or 4111 1111 1111 11{i:02d}" for i in range(40)] + [None, ""]
