@@ -1,14 +1,13 @@
 """URL filter by association rules.
 
 A list of rules decides the urls it covers. Those urls, with their verdicts as labels,
-are the transactions that FP-growth mines: combinations of url tokens that go with one
+are the transactions that are mined level by level: combinations of url tokens that go with one
 verdict. Rules with enough support and confidence, and better than any of their parts,
 judge the other urls. They are found by an inverted index from each rule's rarest token.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.llm.common import durable, prepared, table
@@ -22,10 +21,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.01, 0.8, "allow"
-#: A combination has at least so many urls, and a url takes part in combinations of its
-#: so many most frequent tokens: a few equal urls of a thousand parts have 2^1000.
-MIN_URLS, BASKET_TOKENS = 2, 12
-_LABEL = "="
+#: A combination has at least so many urls.
+MIN_URLS = 2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,6 +67,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     Rare tokens are left out before mining; so at most 1 / ``min_support`` times the
     tokens of a url remain, which bounds what the driver gets. A rule stays if no part of it gives the same verdict with as
     much confidence; ties go to the smaller rule.
+
+    So a combination counts only if each part of it occurs more often: what an equally
+    frequent part says, the whole cannot say better. Parts of such a combination are such
+    combinations too, hence they grow token by token, level by level, counted by joins on
+    whole baskets. Tokens that always go together, or one only with the other, never
+    combine; a few equal urls of a thousand parts end at pairs.
     """
     rows = labelled.where("verdict is not null")
     total = rows.count()
@@ -78,21 +81,51 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return labelled.sparkSession.createDataFrame([], schema)
     least = max(MIN_URLS, min_support * total)
     often = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
-    frequent = [r["token"] for r in often.orderBy(F.desc("count"), "token").collect()]
-    ordered = F.array_intersect(F.array(*[F.lit(t) for t in frequent]).cast("array<string>"), "tokens")
-    kept = F.slice(ordered, 1, BASKET_TOKENS)
-    baskets = rows.select(F.concat(kept, F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
-    rules = durable(
-        rules.select(
-            F.array_sort("antecedent").alias("antecedent"),
-            F.substring(F.col("consequent")[0], 2, 1 << 20).alias("verdict"),
-            "confidence",
-            "support",
-        ),
-        "url-rules",
+    frequent = [r["token"] for r in often.orderBy("token").collect()]
+    kept = F.array_sort(F.array_intersect("tokens", F.array(*[F.lit(t) for t in frequent]).cast("array<string>")))
+    # Equal baskets count together, and each keeps its urls by verdict.
+    baskets = durable(
+        rows.select(kept.alias("basket"), "verdict").where(F.size("basket") > 0).groupBy("basket", "verdict").agg(F.count("*").alias("n")).groupBy("basket")
+        .agg(F.map_from_entries(F.collect_list(F.struct("verdict", "n"))).alias("urls")).select(F.monotonically_increasing_id().alias("b"), "*"),
+        "url-baskets",
     )
+    tokens_of = baskets.select("b", F.posexplode("basket").alias("at", "token"), "urls")
+    found, size = tokens_of.select("b", F.array("token").alias("items"), "at", "urls"), 1
+    smaller, rules = None, None
+    while True:
+        counts = (
+            found.select("items", F.explode("urls").alias("verdict", "n")).groupBy("items", "verdict").agg(F.sum("n").alias("n"))
+            .groupBy("items").agg(F.sum("n").alias("total"), F.collect_list(F.struct("verdict", "n")).alias("by"))
+            .where(F.exists("by", lambda x: x["n"] >= least))
+        )
+        if smaller is not None:
+            # Each part has to be left over, and to occur more often than the whole.
+            parts = counts.select("items", "total", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
+            free = (
+                parts.join(smaller.select(F.col("items").alias("part"), F.col("total").alias("of_part")), "part").where(F.col("of_part") > F.col("total"))
+                .groupBy("items").count().where(F.col("count") == size).select("items")
+            )
+            counts = counts.join(free, "items", "left_semi")
+        counts = durable(counts, "url-sets")
+        told = counts.select(
+            F.col("items").alias("antecedent"), F.explode("by").alias("of"), "total"
+        ).select("antecedent", "of.verdict", (F.col("of.n") / F.col("total")).alias("confidence"), (F.col("of.n") / F.lit(total)).alias("support"), F.col("of.n").alias("n"))
+        told = told.where((F.col("n") >= least) & (F.col("confidence") >= min_confidence)).drop("n")
+        rules = told if rules is None else rules.unionByName(told)
+        # What has one verdict only cannot become surer.
+        smaller = counts.where(F.size("by") > 1)
+        if not smaller.head(1):
+            break
+        left = found.join(smaller.select("items"), "items", "left_semi")
+        last = left.select("b", "items", "at", "urls", F.slice("items", 1, size - 1).alias("head"))
+        more = left.select("b", F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("next"), F.col("at").alias("next_at"))
+        found = durable(
+            last.join(more, ["b", "head"]).where(F.col("next_at") > F.col("at"))
+            .select("b", F.concat("items", F.array("next")).alias("items"), F.col("next_at").alias("at"), "urls"),
+            "url-sets-found",
+        )
+        size += 1
+    rules = durable(rules, "url-rules")
     # A rule's parts share a token with it: an equi-join on tokens meets them all.
     a = rules.select(F.explode("antecedent").alias("t"), "antecedent", "verdict", "confidence")
     b = rules.select(F.col("antecedent")[0].alias("t"), F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("as_good"))

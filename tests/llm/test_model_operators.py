@@ -184,6 +184,27 @@ def test_mined_rules_and_their_use(spark):
         assert judged.get(tuple(s)) in ({w for v, w in fits if v == max(fits)[0]} if fits else {None})
 
 
+def test_whole_baskets_are_mined(spark):
+    """Fourteen tokens a url; the telling ones are the rarest of the frequent."""
+    r = random.Random(25)
+    common = [f"c{i:02d}" for i in range(12)]
+    baskets = []
+    for _ in range(80):
+        tokens = [c for c in common if r.random() < 0.97] + [t for t in ("x", "y") if r.random() < 0.4]
+        baskets.append((tokens, "block" if {"x", "y"} <= set(tokens) else "allow"))
+    rows = spark.createDataFrame(baskets, "tokens array<string>, verdict string")
+    got = {(tuple(x["antecedent"]), x["verdict"]): x["confidence"] for x in ur.mine(rows, 0.1, 0.9).collect()}
+    assert got[("x", "y"), "block"] == 1.0
+    assert got == pytest.approx(brute_mine(baskets, 0.1, 0.9))
+
+
+def test_equal_and_nested_long_urls_are_mined(spark):
+    long = [f"t{i:03d}" for i in range(120)]
+    baskets = [(long, "block"), (long, "allow"), (long, "block")] + [(long[: 10 * i], "allow" if i % 2 else "block") for i in range(1, 12)]
+    rows = spark.createDataFrame(baskets, "tokens array<string>, verdict string")
+    assert ur.mine(rows, 0.01, 0.6).count() > 0
+
+
 # 5. Embedding near-duplicates
 
 
