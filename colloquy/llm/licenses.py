@@ -12,7 +12,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.functions.text import let
 from colloquy.llm.common import prepared, table
 
 # Sentences of well-known licences and licence notices, by identifier.
@@ -92,6 +91,12 @@ def normal(sentence: str) -> str:
 KNOWN = {normal(sentence): name for name, sentence in SENTENCES.items()}
 
 
+# Comment marks that begin a line, and known sentences inside of normalised words. A
+# version that goes on ("version 2.1") is another one.
+_MARKS = r"(^|\n)[ \t]*(?:#+|//+|/?\*+/?|;+|--+|%+)(?=[ \t\r\n]|$)"
+_WITHIN = "(?<![a-z0-9])(" + "|".join(k + ("(?! [0-9])" if k[-1].isdigit() else "") for k in sorted(KNOWN, key=lambda k: (-len(k), k))) + ")(?![a-z0-9])"
+
+
 def _normal(text: Column) -> Column:
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
@@ -100,20 +105,16 @@ def _normal(text: Column) -> Column:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    A sentence ends at . ! ? before white space, at a colon that ends a line, or at an
-    empty line. One that is not
-    known as a whole is tried line by line, so a notice on a line of its own is found
-    after text without a full stop, and a wrapped one is found too.
+    A text is cut at . ! ? before white space and at empty lines; a line of comment marks
+    alone is empty. Known sentences are looked up inside the words of each piece, the
+    longest first, so they may be wrapped, commented, or follow other words.
     """
     known = F.create_map(*[F.lit(x) for pair in sorted(KNOWN.items()) for x in pair])
-    cut = F.regexp_replace(text, "([.!?])[ \t\r\n\f]+|(:)[ \t\r\f]*\n|\n[ \t\r\f]*\n", "$1$2\x01")
-
-    def lookup(unit: Column) -> Column:
-        return F.try_element_at(known, _normal(unit))
+    bare = F.regexp_replace(text, _MARKS, "$1")
+    cut = F.regexp_replace(bare, "([.!?])[ \t\r\n\f]+|\n[ \t\r\f]*\n", "$1\x01")
 
     def of(unit: Column) -> Column:
-        lines = F.filter(F.transform(F.split(unit, "\n", -1), lookup), lambda x: x.isNotNull())
-        return let(lookup(unit), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(lines))
+        return F.transform(F.regexp_extract_all(_normal(unit), F.lit(_WITHIN), F.lit(1)), lambda x: F.element_at(known, x))
 
     return F.flatten(F.transform(F.split(cut, "\x01", -1), of))
 

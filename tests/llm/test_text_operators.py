@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -153,6 +154,37 @@ def test_every_known_sentence_has_a_trigger_and_a_rule():
         assert any(t in sentence.lower() for t in licenses.TRIGGERS)
 
 
+def brute_sentences(text):
+    """Known sentences among the words of a text without other sentence ends than theirs."""
+    words, out, i = licenses.normal(re.sub(r"(?m)^[#*/ ]+", "", text)).split(" "), [], 0
+    known = sorted(((k.split(" "), name) for k, name in licenses.KNOWN.items()), key=lambda k: -len(k[0]))
+    while i < len(words):
+        fits = next(((k, name) for k, name in known if words[i : i + len(k)] == k), None)
+        out += [fits[1]] if fits else []
+        i += len(fits[0]) if fits else 1
+    return out
+
+
+def test_wrapped_and_commented_sentences_are_found(spark):
+    s, r = licenses.SENTENCES, random.Random(31)
+
+    def wrapped(text, mark, width):
+        return "\n".join(f"{mark}{x}" for x in textwrap.wrap(text, width))
+
+    apache = ["Copyright 2020 Me", f"{s['apache-notice']}", s["apache-copy"], s["apache-unless"] + " " + s["apache-see"]]
+    texts = [f"\n{mark.strip()}\n".join(wrapped(x, mark, 70) for x in apache) for mark in ("# ", " * ", "// ", "", "-- ")]
+    texts += [f"MIT License\n{wrapped(s['mit-grant'], '', 60)}\n\n{wrapped(s['mit-notice'], '', 60)}"]
+    for _ in range(40):
+        picked = [s[n] for n in r.sample(sorted(s), r.randint(1, 4))]
+        texts.append(wrapped(" and so on ".join(["words", *picked]), r.choice(("# ", "", "* ")), r.randint(20, 90)))
+    out = {x["doc_id"]: x for x in licenses.licenses(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        assert out[i]["sentences"] == brute_sentences(text), text
+    assert all(out[i]["licenses"] == ["Apache-2.0"] for i in range(5)) and out[5]["licenses"] == ["MIT"]
+    other = licenses.licenses(documents(spark, ["This work is licensed under the GNU General Public License, version 2.1 of mine"])).head()
+    assert other["sentences"] == []
+
+
 # 8. Line de-duplication
 
 
