@@ -76,8 +76,8 @@ RULES = (
     ("MPL-2.0", ("mpl-notice",)),
     ("Unlicense", ("unlicense",)),
 )
-#: Every known sentence holds one of these; texts without any are not cut up.
-TRIGGERS = ("licen", "redistribut", "copyright", "permission", "warrant", "public domain", "endorse")
+#: Every known sentence holds one of these, each inside of one word; texts without any are not cut up.
+TRIGGERS = ("licen", "redistribut", "copyright", "permission", "warrant", "unencumbered", "endorse")
 #: Licences that need more sentences than another one replace it.
 REPLACES = {"BSD-3-Clause": ("BSD-2-Clause",)}
 

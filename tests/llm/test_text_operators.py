@@ -185,6 +185,12 @@ def test_wrapped_and_commented_sentences_are_found(spark):
     assert other["sentences"] == []
 
 
+def test_wrapped_sentences_pass_the_prefilter(spark):
+    texts = [s.replace(" ", gap) for gap in ("\n", "  ") for s in licenses.SENTENCES.values()]
+    out = {x["doc_id"]: x["sentences"] for x in licenses.licenses(documents(spark, texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == [[name] for name in licenses.SENTENCES] * 2
+
+
 # 8. Line de-duplication
 
 
