@@ -1,6 +1,19 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, embedding_dedup, html_extract, licenses, lines, order_minhash, packing, pii, toxicity, url_rules
+from colloquy.llm import (
+    decontaminate,
+    embedding_dedup,
+    html_extract,
+    lexical_search,
+    licenses,
+    lines,
+    order_minhash,
+    packing,
+    pii,
+    toxicity,
+    url_rules,
+    whitening,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,9 +26,12 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_pii": pii.op9_pii,
     "op10_pack": packing.op10_pack,
+    "op12_ranked_search": lexical_search.op12_ranked_search,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_licenses": licenses.ORACLE,
     "op8_line_dedup": lines.ORACLE,
+    "op12_ranked_search": lexical_search.ORACLE,
 }
