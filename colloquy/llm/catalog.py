@@ -10,6 +10,7 @@ from colloquy.llm import (
     order_minhash,
     packing,
     pii,
+    suffix_runs,
     toxicity,
     url_rules,
     whitening,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_pii": pii.op9_pii,
     "op10_pack": packing.op10_pack,
+    "op11_suffix_dedup": suffix_runs.op11_suffix_dedup,
     "op12_ranked_search": lexical_search.op12_ranked_search,
     "op13_whitening": whitening.op13_whitening,
 }
