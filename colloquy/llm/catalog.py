@@ -35,5 +35,6 @@ ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_licenses": licenses.ORACLE,
     "op8_line_dedup": lines.ORACLE,
+    "op11_suffix_dedup": suffix_runs.ORACLE,
     "op12_ranked_search": lexical_search.ORACLE,
 }

@@ -477,3 +477,24 @@ def op11_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated strings of 400 bytes."""
     docs = table(prepared(spark), sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", sha256_of(F.col("kept")).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT r, unnest(range(0, (length(h) // 2 - 399)::BIGINT)) AS p, h FROM docs WHERE length(h) >= 800),
+strings AS (SELECT r, p, md5(substr(h, 2 * p + 1, 800)) AS s FROM places),
+twice AS (SELECT r, p FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+starts AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS step FROM twice),
+runs AS (SELECT r, p, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM starts),
+spans AS (SELECT r, k, min(p) AS b, max(p) + 400 AS e FROM runs GROUP BY ALL),
+edged AS (SELECT r, b, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY b) AS since FROM spans),
+kept AS (
+  SELECT d.r, any_value(d.doc_id) AS doc_id, any_value(length(h)) // 2 AS n_bytes, coalesce(sum(e - b), 0) AS n_removed,
+         count(b) AS n_spans, coalesce(string_agg(substr(h, 2 * since + 1, 2 * (b - since)), '' ORDER BY b), '')
+           || substr(any_value(h), 2 * coalesce(max(e), 0) + 1) AS rest
+  FROM docs d LEFT JOIN edged s ON s.r = d.r GROUP BY d.r
+)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+       sha256(unhex(rest)) AS kept_sha256
+FROM kept
+"""

@@ -37,6 +37,8 @@ SCALE, SHIFT = 64, 1_000_000
 LARGEST = float(2**55)
 #: Quadrature points on the half circle, eigenvalues meant for one interval, repetitions.
 POINTS, PER_INTERVAL, ROUNDS = 8, 8, 60
+#: Eigenvalues up to here, in radii of an interval, are part of its subspace.
+MARGIN = 1.4
 #: Eigenvalues nearer than this share of the largest one are not cut apart.
 LEAST_GAP = 1e-9
 #: A component needs this share of the trace; below it, only rounding is left.
@@ -109,13 +111,19 @@ class Spectrum:
         return out
 
 
-def feast(v: np.ndarray, low: float, high: float, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``wanted`` eigenpairs of ``v`` with values in ``(low, high)``."""
-    d = len(v)
+def feast(v: np.ndarray, spectrum: Spectrum, low: float, high: float, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``wanted`` eigenpairs of ``v`` with values in ``(low, high)``.
+
+    Quadrature does not end sharply at the circle: the subspace has room for all
+    eigenvalues near it as well, of which the inertia counts tell the number.
+    """
+    d, reach = len(v), MARGIN * (high - low) / 2
+    below, beyond = spectrum.above([(low + high) / 2 - reach, (low + high) / 2 + reach])
+    size = min(d, max(2 * wanted, int(below - beyond)) + 4)
     at, weight = np.polynomial.legendre.leggauss(POINTS)
     turn = np.exp(1j * np.pi / 2 * (1 - at))
     shifts = (low + high) / 2 + (high - low) / 2 * turn
-    start = np.random.default_rng(d).normal(size=(d, min(d, 2 * wanted + 4)))
+    start = np.random.default_rng(d).normal(size=(d, size))
     best = None
     for _ in range(ROUNDS):
         total = np.zeros(start.shape)
@@ -147,7 +155,7 @@ def components_of(v: np.ndarray, most: int = COMPONENTS) -> tuple[np.ndarray, np
     most = min(most, int(spectrum.above(LEAST_SHARE)[0]))
     if not most:
         return np.zeros(0), np.zeros((len(v), 0))
-    found = [feast(v / scale, *interval) for interval in spectrum.intervals(most)]
+    found = [feast(v / scale, spectrum, *interval) for interval in spectrum.intervals(most)]
     # One last Rayleigh-Ritz step over all intervals makes the vectors orthogonal.
     q, _ = np.linalg.qr(np.hstack([vectors for _, vectors in found]))
     values, inner = np.linalg.eigh(q.T @ (v / scale) @ q)
