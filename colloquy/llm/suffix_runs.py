@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +51,9 @@ LENGTH, GRAM = 400, 32
 #: Places that the first gram of a string can have before its anchor.
 REACH = LENGTH - GRAM
 #: Bytes of text meant for one target, the most targets, sampled suffixes for each.
-TARGET_BYTES, MAX_TARGETS, SAMPLED = 1 << 24, 1 << 15, 8
+TARGET_BYTES, MAX_TARGETS, SAMPLED = 1 << 23, 1 << 15, 8
 #: Records of a run, of a front-coded block of it, and of a batch of merged suffixes.
-RUN_RECORDS, BLOCK_RECORDS, BATCH_RECORDS = 100_000, 2_000, 8_192
+RUN_RECORDS, BLOCK_RECORDS, BATCH_RECORDS = 32_000, 1_000, 4_096
 #: Bytes of a buffer that is searched for anchors; places in it take 24 bits.
 BUFFER_BYTES = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
@@ -383,13 +384,14 @@ def sorted_runs(texts: DataFrame, ends: list[tuple]) -> DataFrame:
                 for seq, b in enumerate(blocks)
             ]
             yield _rows(("target", "run", "seq", "block"), rows, _RUNS_ARROW)
-            spans = {
-                (target, key, place, place + len(left) + len(suffix))
-                for suffix, _, _, left, repeated in records[low:high] if repeated
-                for key, place in held[suffix, left]
-            }
-            if spans:
-                yield _rows(("target", "key", "begin", "end"), list(spans), _RUNS_ARROW)
+        # What is known already goes along in parts of its own, evenly by text and place.
+        spans = {
+            (-1 - zlib.crc32(key, place & 0xFFFFFFFF) % (len(ends) + 1), key, place, place + len(left) + len(suffix))
+            for (suffix, left), at in held.items() if len(at) > 1
+            for key, place in at
+        }
+        if spans:
+            yield _rows(("target", "key", "begin", "end"), list(spans), _RUNS_ARROW)
 
     return texts.mapInArrow(per_task, _RUNS)
 
