@@ -51,7 +51,7 @@ LENGTH, GRAM = 400, 32
 #: Places that the first gram of a string can have before its anchor.
 REACH = LENGTH - GRAM
 #: Bytes of text meant for one target, the most targets, sampled suffixes for each.
-TARGET_BYTES, MAX_TARGETS, SAMPLED = 1 << 23, 1 << 15, 8
+TARGET_BYTES, MAX_TARGETS, SAMPLED = 1 << 23, 1 << 15, 16
 #: Records of a run, of a front-coded block of it, and of a batch of merged suffixes.
 RUN_RECORDS, BLOCK_RECORDS, BATCH_RECORDS = 32_000, 1_000, 4_096
 #: Bytes of a buffer that is searched for anchors; places in it take 24 bits.
@@ -384,9 +384,9 @@ def sorted_runs(texts: DataFrame, ends: list[tuple]) -> DataFrame:
                 for seq, b in enumerate(blocks)
             ]
             yield _rows(("target", "run", "seq", "block"), rows, _RUNS_ARROW)
-        # What is known already goes along in parts of its own, evenly by text and place.
+        # What is known already is dealt evenly, by text and place.
         spans = {
-            (-1 - zlib.crc32(key, place & 0xFFFFFFFF) % (len(ends) + 1), key, place, place + len(left) + len(suffix))
+            (zlib.crc32(key, place & 0xFFFFFFFF) % (len(ends) + 1), key, place, place + len(left) + len(suffix))
             for (suffix, left), at in held.items() if len(at) > 1
             for key, place in at
         }
@@ -396,15 +396,16 @@ def sorted_runs(texts: DataFrame, ends: list[tuple]) -> DataFrame:
     return texts.mapInArrow(per_task, _RUNS)
 
 
-def merge_target(rows: pa.Table) -> pa.Table:
-    """Spans and open strings of one target."""
+def merge_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and open strings of one target, which is one partition."""
     runs: dict[int, list] = {}
     spans: set = set()
-    for run, seq, block, key, begin, end in zip(*[rows.column(c).to_pylist() for c in ("run", "seq", "block", "key", "begin", "end")]):
-        if block is None:
-            spans.add((key, begin, end))
-        else:
-            runs.setdefault(run, []).append((seq, block))
+    for rows in batches:
+        for run, seq, block, key, begin, end in zip(*[rows.column(c).to_pylist() for c in ("run", "seq", "block", "key", "begin", "end")]):
+            if block is None:
+                spans.add((key, begin, end))
+            else:
+                runs.setdefault(run, []).append((seq, block))
     opened: list[tuple] = []
     # What lies beyond a target's ends is not known: any interval may go on there.
     batch: list[tuple] = []
@@ -422,19 +423,18 @@ def merge_target(rows: pa.Table) -> pa.Table:
         batch.append(record)
     if batch:
         look(LENGTH)
-    out = []
     if spans:
-        out.append(_rows(("key", "begin", "end"), list(spans), _FOUND_ARROW))
+        yield _rows(("key", "begin", "end"), list(spans), _FOUND_ARROW)
     if opened:
-        out.append(_rows(("left_hash", "right_hash", "key", "begin", "times"), opened, _FOUND_ARROW))
-    return pa.Table.from_batches(out, _FOUND_ARROW)
+        yield _rows(("left_hash", "right_hash", "key", "begin", "times"), opened, _FOUND_ARROW)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(key, spans) of every text ``t`` of digest ``key`` with repeated strings."""
     n_bytes = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    runs = sorted_runs(texts, splitters(texts, n_bytes))
-    found = durable(runs.groupBy("target").applyInArrow(merge_target, _FOUND), "repeated")
+    ends = splitters(texts, n_bytes)
+    dealt = sorted_runs(texts, ends).repartitionById(len(ends) + 1, F.col("target"))
+    found = durable(dealt.mapInArrow(merge_target, _FOUND), "repeated")
     opened = found.where("left_hash is not null")
     twice = opened.groupBy("left_hash", "right_hash").agg(F.sum("times").alias("n")).where("n > 1")
     closed = opened.where("key is not null").join(twice, ["left_hash", "right_hash"], "left_semi")
