@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions import ids, text as tx
@@ -541,25 +543,28 @@ def _turn_stream(kb: KnowledgeBase) -> DataFrame:
     return normalize_turns(stream).where(F.col("speaker").isin("user", "assistant"))
 
 
-STREAM_FILES = 3
+STREAM_PARTS = 3
 
 
-def _shuffled_stream(kb: KnowledgeBase, columns: list[str]) -> DataFrame:
-    """Visible turns in three files, later turns partly before earlier ones, one file a batch."""
-    path = new_path(kb.spark, "stream-source")
+def _fed(kb: KnowledgeBase, columns: list[str], sink: Callable[[DataFrame, int], None], log: str, copies: int = 1) -> None:
+    """Run visible turns through a sink in three batches, later turns partly before earlier
+    ones. Each batch is a folder that Spark writes and reads with its own parallelism."""
+    source = new_path(kb.spark, "stream-source")
     turns = kb.turns.where(F.col("speaker").isin("user", "assistant")).select(*columns)
-    for n in range(STREAM_FILES):
-        turns.where(F.col("ordinal") % STREAM_FILES == STREAM_FILES - 1 - n).coalesce(1).write.mode("append").parquet(path)
-    return kb.spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = kb.spark.readStream.schema(turns.schema).parquet(f"{source}/part=*").withColumn("arrival", F.col("ordinal"))
+    for n in range(STREAM_PARTS):
+        part = turns.where(F.col("ordinal") % STREAM_PARTS == STREAM_PARTS - 1 - n)
+        for _ in range(copies):
+            part.write.mode("append").parquet(f"{source}/part={n}")
+        sj.run_available(stream, sink, log)
 
 
 @query("stream_messages", "SELECT conv_id, message_id, speaker, ordinal FROM messages")
 def stream_messages(kb):
     """Messages streamed twice over in several batches, out of order; ids are stored once."""
     out = new_path(kb.spark, "stream")
-    stream = _shuffled_stream(kb, ["conv_id", "message_id", "speaker", "ordinal", "created_at"])
-    twice = stream.unionByName(stream).withColumn("arrival", F.col("ordinal"))
-    sj.run_available(twice, sj.insert_ignore_sink(out, ["conv_id", "message_id"], "arrival"), f"{out}/log")
+    columns = ["conv_id", "message_id", "speaker", "ordinal", "created_at"]
+    _fed(kb, columns, sj.insert_ignore_sink(out, ["conv_id", "message_id"], "arrival"), f"{out}/log", copies=2)
     return sj.stored_rows(kb.spark, out).select("conv_id", "message_id", "speaker", "ordinal")
 
 
@@ -573,9 +578,8 @@ WHERE EXISTS (SELECT 1 FROM messages e WHERE e.conv_id = m.conv_id AND e.ordinal
 def stream_late_messages(kb):
     """Messages older than what their conversation had before their batch."""
     out = new_path(kb.spark, "stream")
-    stream = _shuffled_stream(kb, ["conv_id", "message_id", "ordinal", "created_at"]).withColumn("arrival", F.col("ordinal"))
     sink = sj.insert_ignore_sink(out, ["conv_id", "message_id"], "arrival", late=("conv_id", "created_at"))
-    sj.run_available(stream, sink, f"{out}/log")
+    _fed(kb, ["conv_id", "message_id", "ordinal", "created_at"], sink, f"{out}/log")
     return sj.late_rows(kb.spark, out).select("conv_id", "message_id")
 
 
