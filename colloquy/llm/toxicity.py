@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from colloquy.llm.common import Words, durable, hash_of, prepared, slices, table, words_of
@@ -110,9 +111,12 @@ def design(column: pa.Array, swap: bool) -> list[np.ndarray]:
 
 def _evidence(rows: np.ndarray, slots: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """G statistic of each slot: how unlike the labels are in whether they have it."""
-    total = np.array([len(y) - y.sum(), y.sum()])
-    out = np.zeros(size)
-    have = [np.bincount(slots[y[rows] == k], minlength=size).astype(float) for k in (0, 1)]
+    have = np.array([np.bincount(slots[y[rows] == k], minlength=size) for k in (0, 1)], float)
+    return _statistic(have, np.array([len(y) - y.sum(), y.sum()]))
+
+
+def _statistic(have: np.ndarray, total: np.ndarray) -> np.ndarray:
+    out = np.zeros(have.shape[1])
     share = (have[0] + have[1]) / total.sum()
     for k in (0, 1):
         for seen, expected in ((have[k], share * total[k]), (total[k] - have[k], (1 - share) * total[k])):
@@ -136,21 +140,32 @@ def fit_slots(
     is a constant: the share of label 1, or 0 if there are no texts.
     """
     y = np.array(labels, float)
-    size = 1 << SLOTS_BITS
     if not len(y) or y.min() == y.max():
-        share = y.mean() if len(y) else 0.0
-        return Model(np.zeros(size), float(np.clip(np.log((share + 1e-4) / (1 - share + 1e-4)), -9, 9)))
-    rows_of = lambda slots: (np.repeat(np.arange(len(slots), dtype=np.int32), [len(x) for x in slots]), np.concatenate(slots))
-    designs = {False: rows_of(plain), True: rows_of(swapped)}
-    used = np.flatnonzero(_evidence(*designs[False], y, size) >= EVIDENCE)
-    column = np.full(size, -1)
-    column[used] = np.arange(len(used))
-
-    def narrow(design: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        keep = column[design[1]] >= 0
-        return design[0][keep], column[design[1][keep]]
-
-    (r, c), (rs, cs) = narrow(designs[False]), narrow(designs[True])
+        return constant(y)
+    rows = np.repeat(np.arange(len(plain), dtype=np.int32), [len(x) for x in plain])
+    used = np.flatnonzero(_evidence(rows, np.concatenate(plain), y, 1 << SLOTS_BITS) >= EVIDENCE)
+    return fit_columns([narrow(x, used) for x in plain], [narrow(x, used) for x in swapped], labels, used, swap_weight)
+
+
+def constant(y: np.ndarray) -> Model:
+    share = y.mean() if len(y) else 0.0
+    return Model(np.zeros(1 << SLOTS_BITS), float(np.clip(np.log((share + 1e-4) / (1 - share + 1e-4)), -9, 9)))
+
+
+def narrow(slots: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The places in ``used`` (sorted) of those slots that are there."""
+    at = np.searchsorted(used, slots)
+    at[at == len(used)] = 0
+    return at[used[at] == slots].astype(np.int32) if len(used) else np.zeros(0, np.int32)
+
+
+def fit_columns(
+    plain: list[np.ndarray], swapped: list[np.ndarray], labels: list[int], used: np.ndarray, swap_weight: float = SWAP_WEIGHT
+) -> Model:
+    """The fit itself, on the columns of the slots ``used`` that each text has."""
+    y = np.array(labels, float)
+    rows_of = lambda columns: (np.repeat(np.arange(len(columns), dtype=np.int32), [len(x) for x in columns]), np.concatenate(columns))
+    (r, c), (rs, cs) = rows_of(plain), rows_of(swapped)
     n, d = len(y), len(used)
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     w, b = np.zeros(d), 0.0
@@ -175,7 +190,7 @@ def fit_slots(
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) * (1 - step / (STEPS + 1))
         w = w - move[:-1]
         b -= move[-1]
-    weights = np.zeros(size)
+    weights = np.zeros(1 << SLOTS_BITS)
     weights[used] = w
     return Model(weights, float(b))
 
@@ -194,30 +209,50 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     )
-    # A share of each label by hash first, with room to spare: the rank then sees about
-    # ``rows`` rows, however many labels there are.
+    # A share of each label by hash first, with room to spare: what is ordered then has
+    # about ``rows`` rows, however many labels there are.
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    share = F.lit(1.0)
-    for label, count in sorted(counts.items()):
-        share = F.when(F.col("toxic") == label, (1.5 * rows + 100) / count).otherwise(share)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(drawn, "doc_id"))
-    chosen = durable(
-        usable.where(drawn < share).withColumn("rank", rank).where(F.col("rank") <= rows)
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")),
-        "sample",
-    )
-    # At most 2 * rows ids are broadcast; texts stay where they are, their slots come back.
+    lowest = [
+        usable.where((F.col("toxic") == label) & (drawn < (1.5 * rows + 100) / count)).orderBy(drawn, "doc_id").limit(rows)
+        for label, count in sorted(counts.items())
+    ]
+    if not lowest:
+        return constant(np.zeros(0))
+    chosen = durable(reduce(DataFrame.unionByName, lowest).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "sample")
+    # At most 2 * rows ids are broadcast; texts stay where they are. Of several texts of an
+    # id the one of the least digest counts, so there are no more texts than ids.
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    least = F.min(F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text", "toxic")).alias("one")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             both = [pa.array(design(batch.column(0), swap), pa.list_(pa.int32())) for swap in (False, True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *both], names=["key", "toxic", "plain", "swapped"])
 
-    keyed = found.select("text", F.xxhash64("doc_id", "text").alias("key"), "toxic")
-    data = keyed.mapInArrow(slots, "key bigint, toxic int, plain array<int>, swapped array<int>").toArrow().sort_by("key")
-    return fit_slots(_lists(data.column("plain")), _lists(data.column("swapped")), data.column("toxic").to_pylist())
+    keyed = found.groupBy("doc_id").agg(least).select("one.text", F.xxhash64("doc_id", "one.text").alias("key"), "one.toxic")
+    design_rows = durable(keyed.mapInArrow(slots, "key bigint, toxic int, plain array<int>, swapped array<int>"), "slots")
+    # Evidence is counted on Spark: the driver sees two counts a slot, then the few slots
+    # of each text that have evidence.
+    totals = design_rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    n, toxic = totals[0], totals[1] or 0
+    if toxic in (0, n):
+        return constant(np.repeat([0.0, 1.0], [n - toxic, toxic]))
+    per_slot = design_rows.select(F.explode("plain").alias("slot"), "toxic").groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    seen = per_slot.toArrow()
+    have = np.zeros((2, 1 << SLOTS_BITS))
+    at = seen.column("slot").to_numpy()
+    have[1, at] = seen.column("t").to_numpy()
+    have[0, at] = seen.column("n").to_numpy() - have[1, at]
+    used = np.flatnonzero(_statistic(have, np.array([n - toxic, toxic], float)) >= EVIDENCE)
+
+    def evident(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [pa.array([narrow(np.array(x, np.int64), used) for x in batch.column(c).to_pylist()], pa.list_(pa.int32())) for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *both], names=["key", "toxic", "plain", "swapped"])
+
+    data = design_rows.mapInArrow(evident, design_rows.schema).toArrow().sort_by("key")
+    return fit_columns(_lists(data.column("plain")), _lists(data.column("swapped")), data.column("toxic").to_pylist(), used)
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:

@@ -406,3 +406,21 @@ def test_query_equals_sql(spark, name):
     assert columns == sorted(want.columns)
     got = sorted(map(tuple, out.select(*columns).collect()))
     assert got == sorted(want.project(", ".join(columns)).fetchall())
+
+
+def test_rows_that_repeat_an_id_are_one_text(spark):
+    """However many rows and texts an id has, one of them is fitted; a table without labels gives a constant."""
+    docs = spark.createDataFrame([(i, f"good text {i % 5}" if i % 2 else f"vile text {i % 5}", "en", "s", 1) for i in range(1, 200)] + [(2, f"extra {k}", "en", "s", 1) for k in range(50)] * 2, SCHEMA)
+    labels = spark.createDataFrame([(i, 0, 1 - i % 2) for i in range(1, 200)] + [(2, 0, 1)] * 7, "doc_id bigint, quality int, toxic int")
+    seen = []
+    held = tx.fit_columns
+    tx.fit_columns = lambda plain, *rest: (seen.append(len(plain)), held(plain, *rest))[1]
+    try:
+        model = tx.train(docs, labels)
+    finally:
+        tx.fit_columns = held
+    usable = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 200))
+    assert seen == [usable]
+    scores = model.scores(pa.array(["good text 1", "vile text 2"]))
+    assert scores[0] < 0.5 < scores[1]
+    assert tx.train(docs, labels.limit(0)).scores(pa.array(["x"]))[0] < 0.5
