@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from colloquy.llm.common import durable
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, and their number and sum of hashes as the write itself saw them."""
+    seen = Observation()
+    out = durable(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "edges")
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -25,13 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
     round. Minima are aggregated before the shuffle, and the join with a hot node's
     neighbours is an equi-join, which adaptive execution splits.
     """
-    now = durable(
+    now, before = _written(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "edges",
+        .distinct()
     )
-    before = _state(now)
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         large = (
@@ -44,8 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(low.select("u", "m"))
             .distinct()
         )
-        now = durable(small, "edges")
-        after = _state(now)
+        now, after = _written(small)
         if after == before:
             break
         before = after
