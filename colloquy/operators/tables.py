@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from colloquy.schemas import JOB_STATUSES, TABLES
 from colloquy.session import durable
@@ -26,8 +26,8 @@ def insert_ignore(
     """Rows of ``batch`` to append: no unique key is taken yet; first row wins.
 
     With one key set this is one aggregation and one anti-join. With several, a row
-    that loses on one key must not block others, so rows are accepted in rounds:
-    those first on every key, then what does not clash with them.
+    that loses on one key must not block others: see ``greedy_rows``. A key with a null
+    part is nobody's copy.
     """
     fresh = batch
     for key in keys:
@@ -37,20 +37,69 @@ def insert_ignore(
         fresh = fresh.join(taken, key, "left_anti")
     if len(keys) == 1:
         return first_per_key(fresh, keys[0], arrival).drop(arrival)
-    left = durable(fresh, "insert")
+    return greedy_rows(fresh.select(*batch.columns), keys, arrival).drop(arrival)
+
+
+def greedy_rows(batch: DataFrame, keys: list[list[str]], arrival: str) -> DataFrame:
+    """The rows that are kept when each in turn goes if it shares a key with a kept one.
+
+    Decided in rounds on a narrow table of row numbers and keys. Each round accepts the
+    rows that come first for all of their keys. A row that only one earlier row can still
+    keep out is decided by that one: such rows point at it, and pointer doubling follows
+    whole chains of them, so a chain takes the logarithm of its length. What shares a key
+    with an accepted row goes; the rest is the next round's. Each group of a key hands on
+    its first two rows only, cut before the shuffle.
+    """
+    rows = durable(batch.withColumn("_id", F.struct(F.col(arrival).alias("at"), F.monotonically_increasing_id().alias("n"))), "insert")
+    known = lambda key: reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+    names = [f"_k{j}" for j in range(len(keys))]
+    left = rows.select("_id", *[F.when(known(key), F.struct(*key)).alias(n) for n, key in zip(names, keys)])
     accepted: list[DataFrame] = []
     while not left.isEmpty():
-        leading = left
-        for key in keys:
-            heads = left.groupBy(*key).agg(F.min(arrival).alias(arrival))
-            leading = leading.join(heads, [*key, arrival], "left_semi")
-        leading = durable(leading, "insert")
-        accepted.append(leading)
-        for key in keys:
-            left = left.join(leading.select(*key), key, "left_anti")
-        left = durable(left, "insert")
-    rows = reduce(DataFrame.unionByName, accepted, fresh.limit(0)) if accepted else fresh.limit(0)
-    return rows.drop(arrival)
+        seen = left
+        for n in names:
+            rank = F.row_number().over(Window.partitionBy(n).orderBy("_id"))
+            heads = (
+                left.where(F.col(n).isNotNull()).select(n, "_id").withColumn("_rank", rank).where("_rank <= 2")
+                .groupBy(n).agg(F.min("_id").alias(f"_first{n}"), F.max("_id").alias(f"_second{n}"))
+            )
+            seen = seen.join(heads, n, "left")
+        behind = [F.when(F.col("_id") != F.col(f"_first{n}"), F.col(f"_first{n}")) for n in names]
+        deep = [F.coalesce((F.col("_id") != F.col(f"_first{n}")) & (F.col("_id") != F.col(f"_second{n}")), F.lit(False)) for n in names]
+        ahead = F.array_distinct(F.array_compact(F.array(*behind)))
+        state = durable(
+            seen.select("_id", *names, ahead.alias("_ahead"), reduce(Column.__or__, deep).alias("_deep")).select(
+                "_id", *names, (F.size("_ahead") == 0).alias("_free"),
+                F.when((F.size("_ahead") == 1) & ~F.col("_deep"), F.element_at("_ahead", 1)).alias("_to"),
+            ),
+            "insert",
+        )
+        free = state.where("_free").select("_id")
+        ends = _chain_ends(state.where("_to is not null").select("_id", "_to"))
+        even = ends.where("not _odd").join(free.withColumnRenamed("_id", "_to"), "_to", "left_semi").select("_id")
+        taken = durable(state.join(free.unionByName(even), "_id", "left_semi").select("_id", *names), "insert")
+        accepted.append(taken.select("_id"))
+        for n in names:
+            state = state.join(taken.where(F.col(n).isNotNull()).select(n), n, "left_anti")
+        left = durable(state.join(taken, "_id", "left_anti").select("_id", *names), "insert")
+    if not accepted:
+        return batch.limit(0)
+    return rows.join(reduce(DataFrame.unionByName, accepted), "_id", "left_semi").select(*batch.columns)
+
+
+def _chain_ends(steps: DataFrame) -> DataFrame:
+    """``_id, _to, _odd``: where following ``_to`` ends, and whether after an odd number of steps."""
+    jump, moved = steps.withColumn("_odd", F.lit(True)), True
+    while moved:
+        further = jump.select(F.col("_id").alias("_to"), F.col("_to").alias("_far"), F.col("_odd").alias("_more"))
+        seen = Observation()
+        joined = jump.join(further, "_to", "left").observe(seen, F.count("_far").alias("moved"))
+        jump = durable(
+            joined.select("_id", F.coalesce("_far", "_to").alias("_to"), (F.col("_odd") != F.coalesce("_more", F.lit(False))).alias("_odd")),
+            "insert",
+        )
+        moved = seen.get["moved"]
+    return jump
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], arrival: str = "arrival") -> DataFrame:

@@ -357,8 +357,8 @@ def ingest_tables(kb):
     parts = {
         "conversations": tables["conversations"].select(F.col("conv_id").alias("id"), F.col("message_count").alias("n")),
         "messages": tables["messages"].select(F.col("message_id").alias("id"), F.col("position").alias("n")),
-        "source_files": tables["source_files"].select(
-            F.sha2("raw_export_path", 256).alias("id"), F.element_at(F.split("raw_export_path", "/"), 3).cast("bigint").alias("n")
+        "source_files": tables["source_files"].where("source_kind = 'raw_export'").select(
+            F.sha2("storage_path", 256).alias("id"), F.element_at(F.split("storage_path", "/"), 3).cast("bigint").alias("n")
         ),
     }
     named = [df.select(F.lit(name).alias("table"), "id", "n") for name, df in parts.items()]

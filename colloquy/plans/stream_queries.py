@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions import ids, text
+from colloquy.plans.ingest_queries import FILES_SQL, _export_files, _in_files
 from colloquy.plans.registry import query
 from colloquy.plans.stages import KnowledgeBase
 from colloquy.plans.table_queries import JOBS_SQL
 from colloquy.session import durable, new_path
 from colloquy.streaming import jobs as sj
 from colloquy.streaming import stateful as sf
+from colloquy.streaming.ingest import IngestStore, export_stream
 
 PARTS = 3
 
@@ -118,3 +122,36 @@ def unique_message_stream(kb):
     rows = kb.spark.read.schema(turns.schema).parquet(f"{out}/rows").withColumn("arrival", F.col("ordinal"))
     everything, _ = sf.reconciled(rows, late, keys, "arrival")
     return everything.select("conv_id", "message_id", "speaker", "ordinal")
+
+
+@query(
+    "ingest_stream",
+    FILES_SQL
+    + """
+, files AS (SELECT file, count(*) AS n FROM infile GROUP BY file)
+SELECT 'conversations' AS "table", file AS id, n FROM files
+UNION ALL SELECT 'messages', message_id, n FROM infile
+UNION ALL SELECT 'raw_export', file, 2 FROM files
+UNION ALL SELECT 'normalized', file, CASE WHEN n > 2 THEN 2 ELSE 1 END FROM files
+UNION ALL SELECT 'known file ids', file, 2 FROM files
+""",
+)
+def ingest_stream(kb):
+    """Tables after a stream of export files: first messages, then all, then the same files
+    under other names, which bring nothing new."""
+    rows, root, out = _in_files(kb), new_path(kb.spark, "exports"), new_path(kb.spark, "ingested")
+    store = IngestStore(kb.spark, out, 8)
+    for version, part in ((1, rows.where("n < 2")), (2, rows), (3, None)):
+        named = _export_files(rows if part is None else part, min(version, 2))
+        named.select("file_name", "value").write.partitionBy("file_name").text(f"{root}/v{version}")
+        sj.run_available(export_stream(kb.spark, root, "*.txt"), store.sink(), f"{out}/log")
+    tables = store.tables()
+    conversations, sources = tables["conversations"], tables["source_files"]
+    ids_of = conversations.select("conv_id", F.explode(F.array("raw_source_file_id", "normalized_source_file_id")).alias("source_file_id"))
+    parts = [
+        conversations.select(F.lit("conversations").alias("table"), F.col("conv_id").alias("id"), F.col("message_count").alias("n")),
+        tables["messages"].select(F.lit("messages"), "message_id", "position"),
+        sources.groupBy("source_kind", "conv_id").count(),
+        ids_of.join(sources.select("source_file_id"), "source_file_id").groupBy(F.lit("known file ids"), "conv_id").count(),
+    ]
+    return reduce(DataFrame.union, parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,6 +12,7 @@ from colloquy.operators import messages as ms
 from colloquy.operators import reports as rp
 from colloquy.operators import segments as sg
 from colloquy.operators import tables as tb
+from colloquy.operators.buckets import Store
 from colloquy.plans.registry import query
 from colloquy.plans.stages import KnowledgeBase
 from colloquy.session import durable, new_path
@@ -162,6 +164,49 @@ def delete_extracts(kb):
     return rows
 
 
+@query(
+    "stored_deletes",
+    f"""
+SELECT 'extracts' AS "table", extract_id AS id FROM extracts WHERE extract_id NOT IN {GONE}
+UNION ALL SELECT 'fragments', fragment_id FROM fragments WHERE extract_id NOT IN {GONE}
+UNION ALL SELECT 'links', l.fragment_id || '/' || l.statement_id FROM links l JOIN fragments f USING (fragment_id) WHERE f.extract_id NOT IN {GONE}
+UNION ALL SELECT 'points', 'pt_' || fragment_id FROM fragments WHERE fragment_index % 3 <> 0 AND extract_id IN {GONE}
+UNION ALL SELECT 'statements', statement_id FROM statements WHERE extract_id NOT IN {GONE}
+""",
+)
+def stored_deletes(kb):
+    """The same cascade on tables stored in key buckets, of which it rewrites the touched ones."""
+    tables, gone = _cascade(kb)
+    names = ("extracts", "fragments", "statements", "links")
+    store = Store.of(kb.spark, new_path(kb.spark, "store"), {name: tables[name] for name in names}, 16)
+    after = {"points": store.delete_extracts(gone), **{name: store[name].read() for name in names}}
+    key = {
+        "extracts": F.col("extract_id"), "fragments": F.col("fragment_id"), "statements": F.col("statement_id"),
+        "links": F.concat("fragment_id", F.lit("/"), "statement_id"), "points": F.col("point_id"),
+    }
+    return reduce(DataFrame.unionByName, [after[name].select(F.lit(name).alias("table"), column.alias("id")) for name, column in key.items()])
+
+
+@query(
+    "stored_upsert",
+    """
+SELECT segment_id, CASE WHEN segment_index % 2 = 1 THEN 'v3' ELSE 'v1' END AS version FROM segments
+UNION ALL SELECT 'new_' || segment_id, 'v3' FROM segments WHERE segment_index = 0
+""",
+)
+def stored_upsert(kb):
+    """Upserts into a table in key buckets: new rows, and replacements of every second one."""
+    rows = kb.segments.select("conv_id", "segment_id", "segment_index")
+    target = rows.select("conv_id", "segment_id", F.lit("v1").alias("version"))
+    store = Store.of(kb.spark, new_path(kb.spark, "store"), {"segments": target}, 16)
+    for version in ("v2", "v3"):
+        odd = rows.where(F.col("segment_index") % 2 == 1).select("conv_id", "segment_id")
+        first = rows.where("segment_index = 0").select("conv_id", F.concat(F.lit("new_"), "segment_id").alias("segment_id"))
+        batch = odd.unionByName(first).select("*", F.lit(version).alias("version"), F.lit(1).alias("arrival"))
+        store["segments"].upsert(batch, ["segment_id"])
+    return store["segments"].read().select("segment_id", "version")
+
+
 @query(
     "delete_fragments",
     f"""

@@ -1,6 +1,7 @@
 """Visibility, keys, retries, merge, trees, exports and segmentation."""
 
 import itertools
+import hashlib
 import json
 import random
 
@@ -244,7 +245,17 @@ def test_exports_of_one_conversation_are_merged_in_import_order(spark, tmp_path)
     flat = lambda t, name: sorted(map(repr, t[name].select(*sorted(t[name].columns)).collect()))
     for name in tables:
         assert flat(tables, name) == flat(again, name)
-    assert tables["source_files"].count() == 4 and tables["conversations"].count() == 2
+    # Three raw files: two of the four are the same under other names. Conversation c was
+    # kept in two states, x in one.
+    assert sorted(r.source_kind for r in tables["source_files"].collect()) == ["normalized"] * 3 + ["raw_export"] * 3
+    assert tables["source_files"].select("sha256", "source_kind").distinct().count() == 6
+    for r in tables["conversations"].collect():
+        own = {(f.source_file_id, f.source_kind): f for f in tables["source_files"].collect()}
+        raw, normal = own[r.raw_source_file_id, "raw_export"], own[r.normalized_source_file_id, "normalized"]
+        assert raw.sha256 == hashlib.sha256((tmp_path / raw.original_filename).read_bytes()).hexdigest()
+        assert raw.size_bytes == (tmp_path / raw.original_filename).stat().st_size and normal.size_bytes > 0
+        assert str(r.conversation_date) == "2023-11-14 22:13:20.250000"
+    assert tables["conversations"].count() == 2
     assert {r.conv_id: r.message_count for r in tables["conversations"].collect()} == {"c": 2, "x": 2}
     assert tables["segments"].count() == 2
 
@@ -358,3 +369,35 @@ def session_stages():
     from colloquy import session
 
     return session._STAGES
+
+
+def test_stream_of_exports_equals_the_batch(spark, tmp_path):
+    """Files arrive over three runs; equal content is imported once, under whatever name."""
+    from colloquy.session import new_path
+    from colloquy.streaming.ingest import IngestStore, export_stream
+    from colloquy.streaming.jobs import run_available
+
+    folder, out = tmp_path / "in", new_path(spark, "ingested")
+    folder.mkdir()
+    store, seen = IngestStore(spark, out, 4), []
+    held = store.ingest
+    store.ingest = lambda files: seen.append(held(files))
+    stream = export_stream(spark, str(folder), "*.json")
+    bodies = [
+        {"a.json": export("q", conversation_id="c", update_time=1.0), "b.json": export("a1"), "bad.json": None},
+        {"sub_c.json": export("a2", conversation_id="c", update_time=2.0), "copy.json": export("q", conversation_id="c", update_time=1.0)},
+        {"again.json": export("a2", conversation_id="c", update_time=2.0)},
+    ]
+    for part in bodies:
+        for name, body in part.items():
+            (folder / name).write_text("{nope" if body is None else json.dumps(body))
+        run_available(stream, store.sink(), f"{out}/log")
+    run_available(stream, store.sink(), f"{out}/log")
+    # The copies and the last file bring nothing; a run without files reads none.
+    assert seen == [2, 1, 0]
+    first = ex.ingest(ex.read_exports(spark, [str(folder / n) for n in ("a.json", "b.json")]))
+    want = ex.ingest(ex.read_exports(spark, str(folder / "sub_c.json")), first)
+    got = store.tables()
+    flat = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    for name in want:
+        assert flat(got[name]) == flat(want[name]), name
