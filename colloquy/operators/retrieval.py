@@ -219,17 +219,49 @@ def hybrid_cutoff(hits: DataFrame, min_results: int = MIN_RESULTS, min_score: fl
     return hits.where((F.col("rank") <= min_results) | (F.col("score") >= min_score))
 
 
+def reduced_tables(wanted: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The rows of all tables that belong to the fragments ``wanted`` (distinct fragment_id).
+
+    Keys walk down the references: fragments, their extracts, segments and conversations,
+    and links and statements. Each step cuts a table by the keys of the step before it and
+    writes what is left; its size is then known, so the next cut is a broadcast as long as
+    the keys are few, and the large tables are scanned where they lie, without a shuffle.
+    No text of a row that was not asked for goes further than its scan.
+    """
+    cut = lambda name, keys, column: durable(
+        tables[name].join(keys.select(column).distinct(), column, "left_semi").select(*HYDRATED[name]), f"hit-{name}"
+    )
+    fragments = cut("fragments", wanted, "fragment_id")
+    links = cut("links", wanted, "fragment_id")
+    extracts = cut("extracts", fragments, "extract_id")
+    segments = cut("segments", extracts, "segment_id")
+    return {
+        "fragments": fragments, "links": links, "extracts": extracts, "segments": segments,
+        "statements": cut("statements", links, "statement_id"), "conversations": cut("conversations", segments, "conv_id"),
+    }
+
+
+#: The columns of each table that a hydrated fragment shows, or that lead on to the next.
+HYDRATED = {
+    "fragments": ["fragment_id", "extract_id", "fragment_index", "title", "retrieval_text", "status"],
+    "links": ["fragment_id", "statement_id", "position_in_fragment"],
+    "extracts": ["extract_id", "segment_id", "created_at", "status", "provider", "model"],
+    "segments": ["segment_id", "conv_id", "segment_index", "segment_text", "conversation_date", "start_position", "end_position"],
+    "statements": ["statement_id", "statement_index", "speaker", "text"],
+    "conversations": ["conv_id", "title", "source_platform"],
+}
+
+
 def hydrate_fragments(requests: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Fragments with their lineage and ordered statements, per request row.
 
     ``requests`` has fragment_id and any columns that say who asked and in which
     order; they come back on every row, so order and repeats are kept. Unknown ids
-    are left out. Requested ids are made distinct before the joins.
+    are left out. Only rows of requested fragments are joined, see ``reduced_tables``.
     """
-    wanted = requests.select("fragment_id").distinct()
+    hit = reduced_tables(durable(requests.select("fragment_id").distinct(), "wanted"), tables)
     linked = (
-        tables["links"].join(wanted, "fragment_id", "left_semi")
-        .join(tables["statements"].select("statement_id", "statement_index", "speaker", "text"), "statement_id")
+        hit["links"].join(hit["statements"], "statement_id")
         .groupBy("fragment_id")
         .agg(
             F.array_sort(
@@ -238,11 +270,10 @@ def hydrate_fragments(requests: DataFrame, tables: dict[str, DataFrame]) -> Data
         )
     )
     rows = (
-        tables["fragments"].join(wanted, "fragment_id", "left_semi")
-        .select("fragment_id", "extract_id", "fragment_index", "title", "retrieval_text", F.col("status").alias("fragment_status"))
-        .join(tables["extracts"].select("extract_id", "segment_id", "created_at", F.col("status").alias("extract_status"), "provider", "model"), "extract_id")
-        .join(tables["segments"].select("segment_id", "conv_id", "segment_index", "segment_text", "conversation_date", "start_position", "end_position"), "segment_id")
-        .join(tables["conversations"].select("conv_id", F.col("title").alias("conversation_title"), "source_platform"), "conv_id")
+        hit["fragments"].withColumnRenamed("status", "fragment_status")
+        .join(hit["extracts"].withColumnRenamed("status", "extract_status"), "extract_id")
+        .join(hit["segments"], "segment_id")
+        .join(hit["conversations"].withColumnRenamed("title", "conversation_title"), "conv_id")
         .join(linked, "fragment_id", "left")
     )
     none = F.array().cast(linked.schema["statements"].dataType)

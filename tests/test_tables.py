@@ -118,3 +118,29 @@ def test_cascades_in_a_store(spark):
         "extracts": ["e2"], "statements": ["s2"], "fragments": ["f3"], "links": ["s2"],
         "segments": ["s_2", "s_3"], "segment_summaries": ["y"], "topics": ["t2"], "topic_segments": ["s_3"],
     }
+
+
+def test_hydration_joins_hits_only(spark):
+    from colloquy.operators import retrieval as rt
+
+    n = 200
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    tables = {
+        "fragments": make([(f"f{i}", f"e{i}", 0, "t", "r", "ok") for i in range(n)], "fragment_id string, extract_id string, fragment_index bigint, title string, retrieval_text string, status string"),
+        "links": make([(f"f{i}", f"s{i}_{k}", k) for i in range(n) for k in (1, 0)], "fragment_id string, statement_id string, position_in_fragment bigint"),
+        "statements": make([(f"s{i}_{k}", k, "user", f"said {k}") for i in range(n) for k in (0, 1)], "statement_id string, statement_index bigint, speaker string, text string"),
+        "extracts": make([(f"e{i}", f"g{i}", None, "ok", "p", "m") for i in range(n)], "extract_id string, segment_id string, created_at timestamp, status string, provider string, model string"),
+        "segments": make([(f"g{i}", f"c{i % 5}", i, f"text {i}", None, 0, 1) for i in range(n)], "segment_id string, conv_id string, segment_index bigint, segment_text string, conversation_date timestamp, start_position bigint, end_position bigint"),
+        "conversations": make([(f"c{i}", "T", "x") for i in range(5)], "conv_id string, title string, source_platform string"),
+    }
+    wanted = make([("f3",), ("f8",), ("absent",)], "fragment_id string")
+    hit = rt.reduced_tables(wanted, tables)
+    assert {name: df.count() for name, df in hit.items()} == {"fragments": 2, "links": 4, "extracts": 2, "segments": 2, "statements": 4, "conversations": 1}
+    # The cut of the texts is a broadcast of written keys: the table itself is not shuffled.
+    plan = tables["segments"].join(hit["extracts"].select("segment_id").distinct(), "segment_id", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    asked = make([("q", "f8", 1), ("q", "f3", 2), ("r", "f8", 1), ("r", "absent", 2)], "query_id string, fragment_id string, rank int")
+    rows = rt.hydrate_fragments(asked, tables).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["fragment_id"], r["segment_text"], [s["text"] for s in r["statements"]]) for r in rows] == [
+        ("q", "f8", "text 8", ["said 0", "said 1"]), ("q", "f3", "text 3", ["said 0", "said 1"]), ("r", "f8", "text 8", ["said 0", "said 1"]),
+    ]
