@@ -221,11 +221,16 @@ def fragments_with_model(
     that fails leaves the others alone. An item that is no statement is a member
     without speaker and text; a group without statements is one such member.
     """
-    from colloquy.operators.statements import read_model_output
     from colloquy.session import durable
 
     prompts = fragment_prompts(statements, template)
-    answers = durable(run_text_model(prompts, factory), "grouping")
+    return grouped_answers(durable(run_text_model(prompts, factory), "grouping"), prompts)
+
+
+def grouped_answers(answers: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, runs) of a model's answers (id, raw, error, latency_ms) to ``fragment_prompts``."""
+    from colloquy.operators.statements import read_model_output
+
     parsed = read_model_output(answers).join(prompts.select("id", "extract_id", "batch"), "id")
     whole = F.try_variant_get("parsed", "$", "array<variant>")
     groups = F.coalesce(whole, F.try_variant_get("parsed", "$.fragments", "array<variant>"))

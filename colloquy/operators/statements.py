@@ -318,13 +318,28 @@ def extract_prompts(
 def extract_with_model(
     segments: DataFrame, factory: Callable[[], TextModel], template: str
 ) -> tuple[DataFrame, DataFrame]:
+    """(extracts, statements) of the three-step ladder; see ``ladder``."""
+    found = ladder(segments, factory, template)
+    return found["picked"], found["statements"]
+
+
+def ladder(
+    segments: DataFrame,
+    factory: Callable[[], TextModel],
+    template: str,
+    describe: Callable[[DataFrame], DataFrame] = bl.describe_blocks,
+) -> dict[str, DataFrame]:
     """The three-step ladder: inventory view, archival view, message by message.
 
-    Returns (extracts, statements). Each step runs over all segments that the step
-    before left without a usable answer. ``template`` holds ``{segment_text}``.
+    Each step runs over all segments that the step before left without a usable answer.
+    ``template`` holds ``{segment_text}``; ``describe`` adds the descriptions of blocks
+    that the second step shows. Returns ``picked``, ``statements``, ``latency``
+    (latency_ms of all attempts by segment) and ``blocks``, described where the second
+    step was reached.
     """
-    def attempt(todo: DataFrame, number: int, mode: str) -> DataFrame:
-        viewed = archived_segments(todo, mode)
+    def attempt(todo: DataFrame, number: int, mode: str, found: DataFrame) -> DataFrame:
+        named = todo.withColumn("id", F.col("segment_id"))
+        viewed = bl.working_view(named, found, "id", "segment_text", mode).drop("id")
         asked = extract_prompts(viewed, template).withColumnRenamed("user", "prompt")
         answers = durable(run_text_model(asked, factory), "answers").withColumnRenamed("id", "segment_id")
         joined = answers.join(viewed.select("segment_id", "working_view"), "segment_id")
@@ -337,9 +352,12 @@ def extract_with_model(
 
     # Repeated turns go once, before the ladder: no attempt sees them again.
     segments = durable(without_repeats(segments), "deduped")
-    first = attempt(segments, 1, "inventory")
-    second = attempt(unanswered(segments, first), 2, "archival")
-    left = unanswered(unanswered(segments, first), second)
+    blocks = durable(bl.archive_blocks(segments.withColumn("id", F.col("segment_id")), "id", "segment_text"), "blocks")
+    first = attempt(segments, 1, "inventory", blocks)
+    again = durable(unanswered(segments, first), "again")
+    described = durable(describe(blocks.join(again.select(F.col("segment_id").alias("id")), "id", "left_semi")), "described")
+    second = attempt(again, 2, "archival", described)
+    left = unanswered(again, second)
     turns = bl.split_by_message(left, "segment_id", "segment_text").withColumn(
         "id", F.concat_ws("#", "segment_id", F.col("turn_index").cast("string"))
     )
@@ -355,10 +373,20 @@ def extract_with_model(
         left.select("segment_id", F.col("segment_text").alias("working_view")), "segment_id"
     )
     third = validate_statements(read_model_output(merged), ["segment_id"]).drop("parsed", "working_view")
-    picked = pick_attempt(
-        first.unionByName(second, allowMissingColumns=True).unionByName(third, allowMissingColumns=True)
+    picked = durable(
+        pick_attempt(first.unionByName(second, allowMissingColumns=True).unionByName(third, allowMissingColumns=True)), "picked"
+    )
+    taken = first.select("segment_id", "latency_ms").unionByName(second.select("segment_id", "latency_ms")).unionByName(
+        per_turn.select("segment_id", "latency_ms")
     )
-    return picked, clean_model_statements(picked)
+    kind = described.schema["archival_description"].dataType
+    plain = blocks.join(again.select(F.col("segment_id").alias("id")), "id", "left_anti")
+    return {
+        "picked": picked,
+        "statements": clean_model_statements(picked),
+        "latency": taken.groupBy("segment_id").agg(F.sum("latency_ms").alias("latency_ms")),
+        "blocks": described.unionByName(plain.withColumn("archival_description", F.lit(None).cast(kind))),
+    }
 
 
 def resolve_status(skipped: Column, partial: Column, degraded: Column) -> Column:
