@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,8 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "optgroup"}),
 }
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+# A quote opens a string only right after "="; anywhere else it is a plain character.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>")
 _LETTER = re.compile("[a-zA-Z]")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -73,6 +74,16 @@ def parse(page: str | None) -> Tree:
     t = Tree([-1], [0], ["#page"], [""], [None], [0])
     page = page or ""
     stack, run, linked, links, at, size = [0], [], 0, 0, 0, len(page)
+    # Where in the stack the open elements of each name are: a look-up never walks the stack.
+    places: dict[str, list[int]] = {}
+
+    def nearest(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def cut(depth: int) -> None:
+        for node in stack[depth:]:
+            places[t.tag[node]].pop()
+        del stack[depth:]
 
     def add(tag: str, attrs: str, text: str | None = None, inside: int = 0) -> int:
         t.parent.append(stack[-1])
@@ -141,28 +152,26 @@ def parse(page: str | None) -> Tree:
         flush()
         links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == name:
-                    del stack[k:]
-                    break
+            open_at = nearest((name,))
+            if open_at > 0:
+                cut(open_at)
             continue
         if t.tag[stack[-1]] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if name in CLOSES:
             closed, bounds = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] in bounds:
-                    break
-                if t.tag[stack[k]] in closed:
-                    del stack[k:]
-                    break
-        stack.append(add("pre" if name == VERBATIM else name, m[3]))
+            open_at = nearest(closed)
+            if open_at > nearest(bounds):
+                cut(open_at)
+        shown = "pre" if name == VERBATIM else name
+        places.setdefault(shown, []).append(len(stack))
+        stack.append(add(shown, m[3]))
         if name == VERBATIM:
             stop = _END[name].search(page, at)
             end = stop.start() if stop else size
             run.append(html.escape(page[at:end], quote=False))
             flush()
-            stack.pop()
+            cut(len(stack) - 1)
             at = stop.end() if stop else size
     flush()
     return t
@@ -321,7 +330,7 @@ def extract(pages: DataFrame, model: ContentModel | None = None, key: str = "pag
     model (some hundred kB) is sent to each executor once.
     """
     spark = prepared(pages.sparkSession)
-    shared = spark.sparkContext.broadcast(model or train(labelled_pages(TRAIN_PAGES, SEED)))
+    shared = spark.sparkContext.broadcast(model or default_model())
     found = pages.select(F.struct(*[F.col(f"`{c}`") for c in ([key] if isinstance(key, str) else key)]).alias("key"), F.col(source).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +342,12 @@ def extract(pages: DataFrame, model: ContentModel | None = None, key: str = "pag
     return found.mapInArrow(run, f"key {kind}, text string").select("key.*", "text")
 
 
+@cache
+def default_model() -> ContentModel:
+    """The model of the generated pages, trained once in a driver: its pages are always the same."""
+    return train(labelled_pages(TRAIN_PAGES, SEED))
+
+
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:
     """Main text of every page and its length in characters."""
     found = extract(table(prepared(spark), sf_dir, "pages"), key=["page_id", "url"])
