@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.llm.common import durable, prepared, slices, table
 
-#: Groups of large lengths, and the share of a sequence up to which a length is small.
-GROUPS = 128
+#: Numbers of groups of large lengths that are tried, and the share of a sequence up to
+#: which a length is small.
+GROUPS = (64, 128, 256, 1024)
 SMALL = 8
-#: Rows of one length are ranked in parts: so many at least and at most, and rows of a part.
-RANK_PARTS = (64, 1024)
-PART_ROWS = 200_000
+#: Rows of one length are ranked in parts: so many at least, and the rows of a part.
+RANK_PARTS, PART_ROWS = 64, 200_000
+#: Rows of a plan up to which it is broadcast; it depends on the counts by length alone.
+PLAN_ROWS = 1 << 19
 END_TOKEN = 2
 # Text for which both tokenizer libraries are known to cut words alike.
 _PLAIN = re.compile(r"[^\n\r\t -~¡-ɏ‐-‧€]")
@@ -191,13 +193,21 @@ def _hand_out(slots: list[int], times: int, queues: dict[int, list[list[int]]])
         times -= run
 
 
-def plan(counts: dict[int, int], size: int = 1024, groups: int = GROUPS) -> list[tuple[list[int], int]]:
+def plan(counts: dict[int, int], size: int = 1024, groups: tuple[int, ...] = GROUPS) -> list[tuple[list[int], int]]:
     """(lengths of one sequence, how many such sequences), using every count up.
 
-    ``counts`` has how many pieces there are of each length from 1 to ``size``.
+    ``counts`` has how many pieces there are of each length from 1 to ``size``. No number
+    of groups is best for all distributions: each of ``groups`` is tried, then all lengths
+    by best fit alone (0 groups), and the plan of the fewest sequences is taken.
     """
+    made = (grouped_plan(counts, size, n) for n in (*groups, 0))
+    return min(made, key=lambda p: sum(n for _, n in p))
+
+
+def grouped_plan(counts: dict[int, int], size: int, groups: int) -> list[tuple[list[int], int]]:
+    """The plan of one number of groups; without groups every length counts as small."""
     bins: dict[tuple[int, ...], int] = defaultdict(int)
-    large = {l: n for l, n in counts.items() if n and size // SMALL < l < size}
+    large = {l: n for l, n in counts.items() if n and size // SMALL < l < size} if groups else {}
     if counts.get(size):
         bins[(size,)] = counts[size]
     grouped = _groups(large, groups)
@@ -210,7 +220,7 @@ def plan(counts: dict[int, int], size: int = 1024, groups: int = GROUPS) -> list
     rooms: dict[int, list[list]] = defaultdict(list)
     for lengths, n in bins.items():
         rooms[size - sum(lengths)].append([lengths, n])
-    for length in sorted((l for l in counts if l <= size // SMALL), reverse=True):
+    for length in sorted((l for l in counts if l < size and l not in large), reverse=True):
         left = counts[length]
         while left:
             room = next((r for r in range(length, size + 1) if rooms.get(r)), None)
@@ -219,8 +229,9 @@ def plan(counts: dict[int, int], size: int = 1024, groups: int = GROUPS) -> list
                 rooms[size].append([(), -(-left // fit)])
                 continue
             lengths, n = rooms[room].pop()
-            # A run of equal sequences gets as many as fit into each, most of all evenly.
-            each = min(room // length, max(1, left // n)) if room < size else min(room // length, left)
+            # A run of equal sequences gets as many as fit into each; with groups, evenly.
+            even = groups and room < size
+            each = min(room // length, max(1, left // n) if even else left)
             some = min(n, left // each)
             rooms[room - each * length].append([lengths + (length,) * each, some])
             if n > some:
@@ -257,36 +268,37 @@ def pack(found: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id",
     """``found`` (rows with a ``length``) with ``sequence_id`` and ``offset``.
 
     All rows keep; lengths lie between 1 and ``size``. Sequences are gapless from 0 and
-    never longer than ``size``. The driver sees counts by length only; the plan has at
-    most a few rows for each length and part of a sequence, so Spark may broadcast it.
+    never longer than ``size``. The driver sees counts by length only. Rows of a length are
+    ranked in parts of bounded size, whose sums a window over the parts carries on. Whole
+    rows are carried in one struct, so other columns may have any names, but those of the
+    result, which are replaced.
     """
     spark = found.sparkSession
-    least, most = RANK_PARTS
-    parts = max(least, min(most, found.count() // PART_ROWS))
-    salted = found.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    # At most size * parts rows, however many pieces there are.
-    tally = salted.groupBy("length", "part").count().collect()
-    counts: dict[int, int] = defaultdict(int)
-    before = []
-    for row in sorted(tally, key=lambda r: (r["length"], r["part"])):
-        before.append((row["length"], row["part"], counts[row["length"]]))
-        counts[row["length"]] += row["count"]
+    kept = [c for c in found.columns if c not in ("sequence_id", "offset")]
+    parts = max(RANK_PARTS, found.count() // PART_ROWS)
+    salted = found.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("length").cast("bigint").alias("length"),
+        F.struct(*[F.col(f"`{c}`") for c in order]).alias("key"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(parts)).alias("part"),
+    )
+    tally = durable(salted.groupBy("length", "part").count(), "tally")
+    counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     rows = places(plan(counts, size))
-    starts = spark.createDataFrame(before, "length bigint, part bigint, skipped bigint")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tally.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("skipped"))
     where = spark.createDataFrame(rows, PLAN)
-    within = Window.partitionBy("length", "part").orderBy(*order)
+    within = Window.partitionBy("length", "part").orderBy("key")
     ranked = (
         salted.withColumn("rank", F.row_number().over(within).cast("bigint") - 1)
-        .join(F.broadcast(starts), ["length", "part"])
+        .join(starts, ["length", "part"])
         .withColumn("rank", F.col("rank") + F.col("skipped"))
     )
     slot = F.col("rank") - F.col("low")
     return (
-        ranked.join(F.broadcast(where), "length")
+        ranked.join(F.broadcast(where) if len(rows) <= PLAN_ROWS else where, "length")
         .where("rank between low and high")
-        .withColumn("sequence_id", F.col("base") + F.floor(slot / F.col("per")).cast("bigint"))
-        .withColumn("offset", F.col("at") + slot % F.col("per") * F.col("length"))
-        .select(*found.columns, "sequence_id", "offset")
+        .withColumn("sequence", F.col("base") + F.floor(slot / F.col("per")).cast("bigint"))
+        .withColumn("place", F.col("at") + slot % F.col("per") * F.col("length"))
+        .select("row.*", F.col("sequence").alias("sequence_id"), F.col("place").alias("offset"))
     )
 
 
