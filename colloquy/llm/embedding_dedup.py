@@ -112,10 +112,17 @@ def _local_links(near: np.ndarray, a: list, b: list) -> list[tuple]:
     return out
 
 
+def _name_of(rows: DataFrame, label: str) -> F.Column:
+    """A label of any type as text; equal labels, such as 0.0 and -0.0, have equal texts."""
+    plain = F.col(label)
+    fraction = rows.select(plain).schema[0].dataType.typeName() in ("float", "double")
+    return (plain + F.lit(0.0) if fraction else plain).cast("string")
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", near: float = NEAR) -> DataFrame:
     """One row per id: ``key``, ``n_links``, ``component_id``, ``kept``.
 
-    Vectors are linked if their labels are equal and not null and their cosine is at
+    Vectors are linked if their labels, of any type, are equal and not null and their cosine is at
     least ``near``. Null, zero and empty vectors, and those with null or non-finite
     components, link with nothing; nor do vectors of different widths. Ids are taken to
     be unique: a repeated id stands for each of its rows; rows with a null id go.
@@ -123,7 +130,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """
     spark = prepared(vectors.sparkSession)
     rows = unit_vectors(
-        vectors.select(F.col(key).alias("id"), F.col(label).cast("bigint").alias("label"), F.col(vector).alias("vector")).where("id is not null"),
+        vectors.select(F.col(key).alias("id"), _name_of(vectors, label).alias("label"), F.col(vector).alias("vector")).where("id is not null"),
         "vector",
     )
     rows = durable(rows.withColumn("same", F.when(F.col("unit").isNotNull() & F.col("label").isNotNull(), F.sha2(F.to_json("vector").cast("binary"), 256))).drop("vector"), "units")

@@ -424,3 +424,40 @@ def test_rows_that_repeat_an_id_are_one_text(spark):
     scores = model.scores(pa.array(["good text 1", "vile text 2"]))
     assert scores[0] < 0.5 < scores[1]
     assert tx.train(docs, labels.limit(0)).scores(pa.array(["x"]))[0] < 0.5
+
+
+def test_quotes_open_strings_after_equals_only():
+    page = (
+        '<p>Start.</p><img alt="5" screen"><p>one</p><p>two</p><img alt="6" screen"><p>End.</p><p title=it\'s>Don\'t stop.</p>'
+        '<p class=\'a>b\' data="c>d" >q</p><p data=x="y>z</p><p id = "e>f">last</p><p title="open>r</p>'
+    )
+    assert [x for x in hx.parse(page).text if x] == ["Start.", "one", "two", "End.", "Don't stop.", "q", "z", "last", "r"]
+
+
+def test_end_tags_without_a_start_are_cheap():
+    import time
+
+    def took(n):
+        page = "<div>" * n + "</section>" * (7 * n) + "<ul>" + "<div>" * n + "<li>x</li>" * n
+        started = time.process_time()
+        hx.parse(page)
+        return time.process_time() - started
+
+    took(500)
+    assert took(16_000) < 40 * max(took(1_000), 0.005)
+
+
+def test_labels_are_compared_in_their_own_type(spark):
+    v = [1.0, 2.0]
+    for ddl, labels, groups in (
+        ("string", ["a", "a", "b", None], [[0, 1], [2], [3]]),
+        ("double", [1.2, 1.7, 1.2, None], [[0, 2], [1], [3]]),
+        ("double", [0.0, -0.0, 3.0, 3.5], [[0, 1], [2], [3]]),
+        ("boolean", [True, False, True, None], [[0, 2], [1], [3]]),
+    ):
+        rows = [(i, v, x) for i, x in enumerate(labels)]
+        got = ed.near_duplicates(spark.createDataFrame(rows, f"vec_id int, embedding array<float>, label {ddl}")).collect()
+        classes = collections.defaultdict(list)
+        for r in sorted(got):
+            classes[r["component_id"]].append(r["vec_id"])
+        assert sorted(classes.values()) == groups

@@ -509,3 +509,57 @@ def test_training_takes_a_bounded_sample(spark, monkeypatch):
     rows, labels = pii.training_rows(documents(spark, texts), "doc_id", "text")
     assert set(labels) == {0, 1} and len(rows) <= pii.SAMPLE_ROWS
     assert pii.train(documents(spark, texts)).selects is not None
+
+
+def test_packing_never_takes_more_than_best_fit_decreasing():
+    import bisect
+    from collections import Counter
+
+    from colloquy.llm import packing
+
+    def best_fit(lengths, size=1024):
+        rooms, n = [], 0
+        for length in sorted(lengths, reverse=True):
+            i = bisect.bisect_left(rooms, length)
+            room = rooms.pop(i) if i < len(rooms) else size
+            n += room == size
+            if room > length:
+                bisect.insort(rooms, room - length)
+        return n
+
+    r = random.Random(41)
+    cut = lambda x: min(1024, max(1, int(x)))
+    draws = [
+        lambda: r.randint(1, 1024), lambda: cut(r.expovariate(1 / 500)), lambda: cut(r.lognormvariate(5.5, 1)),
+        lambda: r.randint(129, 512), lambda: r.randint(330, 345), lambda: r.choice([300, 400, 725, 1000, 1024]),
+    ]
+    for draw in draws:
+        lengths = [draw() for _ in range(8000)]
+        made, used = packing.plan(dict(Counter(lengths))), Counter()
+        for sequence, n in made:
+            assert sum(sequence) <= 1024
+            for length in sequence:
+                used[length] += n
+        assert used == Counter(lengths) and sum(n for _, n in made) <= best_fit(lengths)
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    from colloquy.llm import packing
+
+    r = random.Random(42)
+    names = ["part", "low", "high", "per", "base", "at", "rank", "skipped", "row", "key", "offset"]
+    rows = [(i, 0, 0, i, r.randint(1, 1024), *[f"{n}{i}" for n in names]) for i in range(500)]
+    ddl = "doc_id bigint, piece int, start bigint, ids_crc32 bigint, length bigint, " + ", ".join(f"`{n}` string" for n in names)
+    got = packing.pack(spark.createDataFrame(rows + rows[:3], ddl)).collect()
+    assert len(got) == 503
+    ends = {}
+    for x in got:
+        assert all(x[n] == f"{n}{x['doc_id']}" for n in names[:-1])
+        ends.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for held in ends.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert sorted(ends) == list(range(len(ends)))
