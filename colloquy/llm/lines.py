@@ -1,15 +1,17 @@
 """Line de-duplication with levelled sorted runs of line hashes.
 
-A run is a table of line hashes, sorted, with the number of documents that hold each
-line. Every batch of documents adds one run to level 0. A level with ``fanout`` runs is
-compacted: they are merged into one run of the next level. A lookup merges the batch's
-hashes with the few runs there are. Nothing is ever updated in place.
+A run is a table of line hashes, bucketed and sorted by hash, with the number of
+documents that hold each line. Every batch of documents merge-anti-joins the runs: what
+is new becomes a run of level 0, what is known adds to the counts. A level with
+``fanout`` runs is compacted: they are merged into one run of the next level. Nothing is
+ever updated in place.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -56,43 +58,75 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
 
 @dataclass
 class LineRuns:
-    """The runs, by level, as paths in the shared folder. The list itself is the state."""
+    """The runs, by level, as bucketed tables in the shared folder, and what was added to them.
+
+    A run is disjoint from all others: a batch's hashes that are in no run yet become its
+    own run, those that are add to the counts (``added``). All tables are bucketed and
+    sorted by hash alike, so a batch is merge-anti-joined bucket by bucket and a
+    compaction is a union by bucket: no run is ever shuffled.
+    """
 
     spark: SparkSession
     fanout: int = 4
     levels: list[list[str]] = field(default_factory=list)
+    added: list[str] = field(default_factory=list)
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        path = new_path(self.spark, f"line-run-{level}")
-        counts.sortWithinPartitions("hash").write.parquet(path)
-        self.levels[level].append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("hash binary, n_docs bigint").parquet(*paths)
-
-    def add(self, batch: DataFrame) -> None:
-        """Add a run for ``batch(hash)``, which has each hash once for each document."""
-        self._write(batch.groupBy("hash").agg(F.count("*").alias("n_docs")), 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            paths, self.levels[level] = self.levels[level], []
-            self._write(self._merged(self._read(paths)), level + 1)
-            level += 1
-
-    @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
+    def __post_init__(self) -> None:
+        # As many buckets as an aggregation has partitions: each bucket is then one file.
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def counts(self) -> DataFrame:
-        """Documents by line over all runs."""
-        paths = [p for level in self.levels for p in level]
-        return self._merged(self._read(paths)) if paths else self.spark.createDataFrame([], "hash binary, n_docs bigint")
+    def _write(self, counts: DataFrame, kind: str) -> str:
+        path = new_path(self.spark, f"line-{kind}")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        writer = counts.select("hash", "n_docs").write.format("parquet").option("path", path)
+        writer.bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
+        return name
+
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` (with a ``hash``) that are in no run: a merge-anti-join."""
-        return batch.join(self.counts(), "hash", "left_anti")
+        for name in self.runs():
+            batch = batch.join(self.spark.table(name).hint("merge"), "hash", "left_anti")
+        return batch
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Add ``batch(hash)``, which has each hash once for each document; returns the
+        hashes that were new."""
+        counted = batch.groupBy("hash").agg(F.count("*").alias("n_docs"))
+        if self.runs():
+            counted = self.spark.table(self._write(counted, "batch"))
+            fresh = self._write(self.unseen(counted), "run")
+            again = counted.join(self.spark.table(fresh).hint("merge"), "hash", "left_anti")
+            self.added.append(self._write(again, "added"))
+        else:
+            fresh = self._write(counted, "run")
+        self._place(fresh, 0)
+        return self.spark.table(fresh).select("hash")
+
+    def _place(self, run: str, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
+            names, self.levels[level] = self.levels[level], []
+            self._place(self._write(self._union(names), f"run-{level + 1}"), level + 1)
+
+    def _union(self, names: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
+
+    def counts(self) -> DataFrame:
+        """Documents by line: each run's, and what later batches added to them."""
+        if not self.runs():
+            return self.spark.createDataFrame([], "hash binary, n_docs bigint")
+        if not self.added:
+            return self._union(self.runs())
+        more = self._union(self.added).groupBy("hash").agg(F.sum("n_docs").alias("more"))
+        more = self.spark.table(self._write(more.withColumnRenamed("more", "n_docs"), "sums")).withColumnRenamed("n_docs", "more")
+        total = (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs")
+        each = [self.spark.table(n).join(more, "hash", "left").select("hash", total) for n in self.runs()]
+        return reduce(DataFrame.unionByName, each)
 
 
 def _documents(docs: DataFrame, text: str) -> DataFrame:
@@ -102,9 +136,7 @@ def _documents(docs: DataFrame, text: str) -> DataFrame:
 
 def add_new_lines(runs: LineRuns, docs: DataFrame, text: str = "text") -> DataFrame:
     """Hashes of this batch's lines that no earlier batch has; the batch joins the runs."""
-    fresh = durable(runs.unseen(_documents(docs, text).distinct()), "fresh-lines")
-    runs.add(_documents(docs, text))
-    return fresh
+    return runs.add(_documents(docs, text))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", batches: int = 4) -> DataFrame:
