@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions import ids, text as tx, vectors as vx
 from colloquy.operators import fragments as fr
-from colloquy.operators import models
+from colloquy.operators import idf, models, vector_index
 from colloquy.operators import reports as rp
 from colloquy.operators import retrieval as rt
 from colloquy.operators import segments as sg
@@ -15,7 +15,7 @@ from colloquy.operators import summaries as sm
 from colloquy.operators import topics as tp
 from colloquy.plans.registry import hashed_vectors, query
 from colloquy.plans.stages import VECTOR_SIZE, KnowledgeBase
-from colloquy.session import durable
+from colloquy.session import durable, new_path
 
 # The stored vectors are nearly orthogonal, so topics split at a low similarity.
 THRESHOLD = 0.0
@@ -178,6 +178,44 @@ def search_approx(kb):
     )
 
 
+@query("search_ivf", HITS_SQL + "\nSELECT query_id, item_id, round(score, 6) AS score, rank FROM hits")
+def search_ivf(kb):
+    """The inverted file, kept as tables and read back, with all cells looked into and half a
+    thousand hits scored exactly: what is quantised then no longer shows."""
+    path = new_path(kb.spark, "vector-index")
+    vector_index.build_index(_items(kb)).save(path)
+    index, queries = vector_index.VectorIndex.load(kb.spark, path), durable(_centroids(kb), "centroids")
+    found = vector_index.search_index(index, queries, _items(kb), probes=len(index.centres), reranked=512)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "embed_idf",
+    r""",
+terms AS (SELECT statement_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM statements),
+placed AS (
+  SELECT id, CAST(('0x' || substr(md5(w), 1, 4)) AS INT) AS slot, CASE WHEN CAST(('0x' || substr(md5(w), 5, 1)) AS INT) >= 8 THEN -1 ELSE 1 END AS s FROM terms
+),
+total AS (SELECT count(DISTINCT id) AS n FROM placed),
+idf AS (SELECT slot, ln((n + 1) / (count(DISTINCT id) + 1)) AS w FROM placed, total GROUP BY slot, n),
+counts AS (SELECT id, slot % 64 AS d, sum(s * w) AS c FROM placed JOIN idf USING (slot) GROUP BY id, slot % 64),
+norms AS (SELECT id, sqrt(sum(c * c)) AS n FROM counts GROUP BY id),
+vec AS (
+  SELECT i.id, list(CAST(CAST(round(CASE WHEN i.n > 0 THEN coalesce(c.c, 0) / i.n ELSE 0.0 END * 10000) AS BIGINT) AS VARCHAR) ORDER BY r.d) AS vector
+  FROM norms i CROSS JOIN (SELECT unnest(range(64)) AS d) r LEFT JOIN counts c ON c.id = i.id AND c.d = r.d GROUP BY i.id
+)
+SELECT s.statement_id, coalesce(array_to_string(v.vector, ','), '') AS vector FROM statements s LEFT JOIN vec v ON v.id = s.statement_id
+""",
+)
+def embed_idf(kb):
+    """Vectors weighted by fitted frequencies, which were kept as a table before."""
+    path = new_path(kb.spark, "idf")
+    idf.write_idf(idf.fit_idf(kb.statements, "text"), path)
+    vectors = idf.embed_idf(kb.statements, idf.read_idf(kb.spark, path), "text", VECTOR_SIZE)
+    shown = F.transform("vector", lambda x: F.round(x * 10_000).cast("bigint").cast("string"))
+    return vectors.select("statement_id", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("vector"))
+
+
 @query(
     "hybrid_cutoff",
     HITS_SQL + "\nSELECT query_id, item_id, rank FROM hits WHERE rank <= 3 OR score >= 0.5",
