@@ -13,16 +13,18 @@ through is decided by the words themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import Words, code_points, mixed, prepared, sha256_of, slices, table, words_of
+from colloquy.llm.common import Words, code_points, durable, mixed, prepared, sha256_of, slices, table, words_of
 
 #: Words of test items that one automaton may hold; more items get further automata.
-INDEX_WORDS = 500_000
+INDEX_WORDS = 200_000
 MATCH = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 _PAIR = np.uint64(0xD1B54A32D192ED03)
 
@@ -164,23 +166,94 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def automata(benchmark: DataFrame, window: int = 10, item: str = "item_id", text: str = "text") -> list[SuffixAutomaton]:
-    """Automata over all items, each of at most ``INDEX_WORDS`` words (or one item).
+def automata(
+    benchmark: DataFrame, window: int = 10, item: str = "item_id", text: str = "text", most: int | None = None
+) -> Iterator[SuffixAutomaton]:
+    """Automata over all items, one after the other, each of at most ``most`` words.
 
-    Items are read in turn, so the driver holds one automaton's words at a time.
-    Rows with equal ids are parts of one item's evidence; a null id is named "".
+    The driver holds the items of one automaton at a time. A longer item goes in pieces
+    that share ``window - 1`` words, so each of its windows is in one of them. Rows with
+    equal ids are parts of one item's evidence; a null id is named "".
     """
-    out, part, size = [], [], 0
+    most = max(most or INDEX_WORDS, 2 * window)
+    part, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text)).toLocalIterator()
     for name, body in rows:
         words = words_of(pa.array([body], pa.string()))
-        tokens = [words.text(i) for i in range(len(words.hashes))]
-        if part and size + len(tokens) > INDEX_WORDS:
-            out.append(SuffixAutomaton(part, window))
-            part, size = [], 0
-        part.append((name, tokens))
-        size += len(tokens)
-    return [*out, SuffixAutomaton(part, window)]
+        n = len(words.hashes)
+        for begin in range(0, max(1, n - window + 1), most - window + 1):
+            tokens = [words.text(i) for i in range(begin, min(n, begin + most))]
+            if part and size + len(tokens) > most:
+                yield SuffixAutomaton(part, window)
+                part, size = [], 0
+            part.append((name, tokens))
+            size += len(tokens)
+    yield SuffixAutomaton(part, window)
+
+
+Matcher = Callable[[pa.RecordBatch], tuple[Words, np.ndarray, list[set[str]]]]
+
+
+def matching(docs: DataFrame, benchmark: DataFrame, window: int, text: str) -> tuple[DataFrame, Matcher]:
+    """Rows ``(text, runs, items, doc)`` of ``docs``, and what tells a batch's words, hits and items.
+
+    One automaton is broadcast and the documents are streamed once. Of several, one at a
+    time is: each pass keeps the hits of texts that have some, under a digest of the
+    text, then the automaton is dropped everywhere; hits of all passes meet their rows
+    in a join. So no more than two automata are ever held, however large the benchmark.
+    """
+    spark = docs.sparkSession
+    made = automata(benchmark, window)
+    first, second = next(made), next(made, None)
+    body = F.col(f"`{text}`").cast("string")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    runs_kind, items_kind = "array<struct<begin:bigint,end:bigint>>", "array<string>"
+    if second is None:
+        shared = spark.sparkContext.broadcast(first)
+        rows = docs.select(body.alias("text"), F.lit(None).cast(runs_kind).alias("runs"), F.lit(None).cast(items_kind).alias("items"), doc)
+        return rows, lambda batch: match_batch(shared.value, batch.column(0))
+    digest = F.unhex(F.md5(body.cast("binary"))).alias("key")
+    texts = docs.where(body.isNotNull()).select(body.alias("text"), digest)
+    passes = [_pass(texts, automaton) for automaton in chain([first, second], made)]
+    # Copies of a text say the same: one of them is kept before anything is collected.
+    each = [p.groupBy("key").agg(F.first("runs").alias("runs"), F.first("items").alias("items")) for p in passes]
+    hits = reduce(DataFrame.unionByName, each).groupBy("key").agg(
+        F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+    rows = docs.select(body.alias("text"), digest, doc).join(hits, "key", "left").select("text", "runs", "items", "doc")
+
+    def told(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, list[set[str]]]:
+        words = words_of(batch.column(0))
+        hit = np.zeros(len(words.hashes), bool)
+        for at, runs in zip(words.first.tolist(), batch.column(1).to_pylist()):
+            for run in runs or []:
+                hit[at + run["begin"] : at + run["end"]] = True
+        return words, hit, [set(x or []) for x in batch.column(2).to_pylist()]
+
+    return rows, told
+
+
+def _pass(texts: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
+    """Hit words, as runs, and items of those ``texts(text, key)`` that have some."""
+    shared = texts.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            words, hit, items = match_batch(shared.value, batch.column(0))
+            some = [t for t, names in enumerate(items) if names]
+            runs = [[{"begin": int(a), "end": int(b)} for a, b in zip(*_runs(hit[words.first[t] : words.first[t + 1]]))] for t in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(1).take(pa.array(some, pa.int64())),
+                    pa.array(runs, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([sorted(items[t]) for t in some], pa.list_(pa.string())),
+                ],
+                ["key", "runs", "items"],
+            )
+
+    found = durable(texts.mapInArrow(run, "key binary, runs array<struct<begin:bigint,end:bigint>>, items array<string>"), "hits")
+    shared.destroy()
+    return found
 
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,25 +262,21 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "d
     Returns one row per row of ``docs``: ``key``, ``n_words``, ``n_hit``, ``items``
     (sorted as strings), ``spans`` (code points, end exclusive). A null or empty
     text has no words; an item without words occurs nowhere; other columns are not
-    looked at. Each automaton is sent to the tasks once; its size is bounded.
+    looked at. See ``matching`` for benchmarks of any size.
     """
-    spark = prepared(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(automata(benchmark, window))
-    found = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    prepared(docs.sparkSession)
+    rows, matched = matching(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), benchmark, window, "text")
+    found = rows.select("text", "runs", "items", "doc.key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            hit, items = None, None
-            for automaton in shared.value:
-                words, more, names = match_batch(automaton, batch.column(1))
-                hit = more if hit is None else hit | more
-                items = names if items is None else [a | b for a, b in zip(items, names)]
+        for batch in slices(batches, 0):
+            words, hit, items = matched(batch)
             spans = _spans(words, hit)
             counts = np.diff(words.first)
             sums = np.concatenate([[0], np.cumsum(hit)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    batch.column(3),
                     pa.array(counts, pa.int64()),
                     pa.array(sums[words.first[1:]] - sums[words.first[:-1]], pa.int64()),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())),
@@ -254,18 +323,15 @@ def decontaminate(
     kept as they are, whatever their names; clean documents, null and empty texts stay
     unchanged. Rows are independent, so repeated rows are treated alike.
     """
-    spark = prepared(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(automata(benchmark, window))
-    at = docs.columns.index(text)
+    prepared(docs.sparkSession)
+    rows, matched = matching(docs, benchmark, window, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
-            column, hit = batch.column(at), None
-            for automaton in shared.value:
-                words, more, _ = match_batch(automaton, column)
-                hit = more if hit is None else hit | more
+        for batch in slices(batches, 0):
+            column = batch.column(0)
+            words, hit, _ = matched(batch)
             if not hit.any():
-                yield batch
+                yield pa.RecordBatch.from_arrays([column, batch.column(3)], ["text", "doc"])
                 continue
             sums = np.concatenate([[0], np.cumsum(hit)])
             counts = sums[words.first[1:]] - sums[words.first[:-1]]
@@ -280,10 +346,12 @@ def decontaminate(
                     begin = words.begin[low + a] - words.offsets[t]
                     stay[begin : words.begin[last] + words.size[last] - words.offsets[t]] = False
                 texts[t] = raw[stay].tobytes().decode()
-            columns = [pa.array(texts, column.type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(kept))
+            cut = pa.RecordBatch.from_arrays([pa.array(texts, column.type), batch.column(3)], ["text", "doc"])
+            yield cut.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    clean = rows.mapInArrow(run, f"text string, doc {rows.schema['doc'].dataType.simpleString()}")
+    # The text of a row is what was cut; all else is in the row as it came.
+    return clean.select(*[F.col("text").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -103,6 +103,20 @@ def test_several_automata_and_an_empty_benchmark(spark, monkeypatch):
     monkeypatch.setattr(dc, "INDEX_WORDS", 30)
     assert sorted(map(tuple, dc.match(docs, bench).select("doc_id", "n_hit").collect())) == whole
     assert [n for _, n in whole] == [14] * 8 + [0]
+    # One item of many automata, texts that repeat, and items that share a text's words.
+    long = prose(r, 200)
+    texts = [long, " ".join(long.split()[25:60]), items[0][1] + " zz " + items[1][1], None, "", prose(r, 40)] * 2
+    more = spark.createDataFrame(items + [(50, long), (51, None), (52, "a b"), (53, " ".join(long.split()[30:45]))], "item_id bigint, text string")
+    docs = clashing(documents(spark, texts), ["key", "runs", "items", "doc"])
+    parts = {x["doc_id"]: x for x in dc.match(docs, more).collect()}
+    # None of them holds more states than its words allow, so the driver stays flat.
+    states = [len(a.link) for a in dc.automata(more)]
+    assert len(states) > 8 and max(states) <= 2 * 30 + 1
+    cut = sorted(map(tuple, dc.decontaminate(docs, more, max_coverage=0.9).select("doc_id", "text", "runs").collect()), key=repr)
+    monkeypatch.setattr(dc, "INDEX_WORDS", 10_000)
+    one = {x["doc_id"]: x for x in dc.match(docs, more).collect()}
+    assert parts == one and all((one[i]["n_words"], one[i]["n_hit"], one[i]["items"]) == brute_hits(t, [tuple(x) for x in more.collect()]) for i, t in enumerate(texts))
+    assert cut == sorted(map(tuple, dc.decontaminate(docs, more, max_coverage=0.9).select("doc_id", "text", "runs").collect()), key=repr)
     assert {x["n_hit"] for x in dc.match(docs, bench.limit(0)).collect()} == {0}
     assert dc.match(docs.limit(0), bench).count() == 0
 
