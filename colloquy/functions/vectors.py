@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from colloquy.functions.text import let
@@ -62,3 +67,34 @@ def hashed_terms(tokens: Column, dim: int) -> Column:
         )
 
     return unit(let(slots, counts))
+
+
+def hashed_vectors(tokens: Column, dim: int, weights: np.ndarray | None = None) -> Column:
+    """``hashed_terms`` for whole batches in Arrow; null for a list without tokens.
+
+    ``weights`` has a weight for each value of the four digits, one each without it. A
+    task keeps the places of the tokens it has seen, up to a million of them.
+    """
+
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, tuple[int, float]] = {}
+
+        def place(token: str) -> tuple[int, float]:
+            digits = int(hashlib.md5(token.encode()).hexdigest()[:5], 16)
+            sign = -1.0 if digits & 15 >= 8 else 1.0
+            found = places[token] = ((digits >> 4) % dim, sign if weights is None else sign * weights[digits >> 4])
+            return found
+
+        for batch in batches:
+            size = np.array([0 if found is None else len(found) for found in batch], np.int64)
+            if len(places) > 1_000_000:
+                places.clear()
+            at = [places.get(t) or place(t) for found in batch if found is not None for t in found]
+            slots = np.repeat(np.arange(len(batch)), size) * dim + np.array([d for d, _ in at], np.int64)
+            sums = np.bincount(slots, [w for _, w in at], len(batch) * dim).reshape(-1, dim)
+            length = np.sqrt((sums * sums).sum(1, keepdims=True))
+            unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
+            yield pd.Series([v if n else None for v, n in zip(unit, size)], dtype=object)
+
+    return vectors(tokens)

@@ -7,15 +7,12 @@ then made in one pass. A term's weight is that of its hash slot, so the table ha
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.functions import text
+from colloquy.functions.vectors import hashed_vectors
 
 #: Slots that the frequencies of terms are counted in: four hex digits of a term's MD5.
 SLOTS = 1 << 16
@@ -66,28 +63,5 @@ def embed_idf(texts: DataFrame, idf: DataFrame, text_column: str = "text", dim:
     known = idf.select("slot", "texts", "idf").toPandas()
     weights = np.full(SLOTS, known["idf"].max() if len(known) else 1.0)
     weights[known["slot"].to_numpy()] = known["idf"].to_numpy()
-
-    @F.pandas_udf("array<double>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        places: dict[str, tuple[int, float]] = {}
-
-        def place(word: str) -> tuple[int, float]:
-            digits = int(hashlib.md5(word.encode()).hexdigest()[:5], 16)
-            slot, sign = digits >> 4, -1.0 if digits & 15 >= 8 else 1.0
-            found = places[word] = (slot % dim, sign * weights[slot])
-            return found
-
-        for batch in batches:
-            size = np.array([len(words) for words in batch], np.int64)
-            if len(places) > 1_000_000:
-                places.clear()
-            at = [places.get(w) or place(w) for words in batch for w in words]
-            rows = np.repeat(np.arange(len(batch)), size)
-            slots = np.array([d for d, _ in at], np.int64)
-            sums = np.bincount(rows * dim + slots, [w for _, w in at], len(batch) * dim).reshape(-1, dim) if at else np.zeros((len(batch), dim))
-            length = np.sqrt((sums * sums).sum(1, keepdims=True))
-            unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
-            yield pd.Series([v if n else None for v, n in zip(unit, size)])
-
     words = text.words(F.coalesce(text_column, F.lit("")))
-    return texts.withColumn("vector", vectors(words))
+    return texts.withColumn("vector", hashed_vectors(words, dim, weights))

@@ -79,23 +79,26 @@ def _with_retry_marks(messages: DataFrame) -> DataFrame:
     )
 
 
-def _without_retries(marked: DataFrame) -> DataFrame:
+def _without_retries(marked: DataFrame, kept: bool = True) -> DataFrame:
+    """The marks of what stays, or of what goes."""
     following = {f"_next{m}": F.col(m) for m in RETRY_MARKS}
     seen = ordered_scan(marked, ["conv_id"], "ordinal", following=following)
     retried = F.col("_user") == 1
     for mark in RETRY_MARKS:
         retried = retried & F.col(f"_next{mark}").eqNullSafe(F.col(mark))
-    return seen.where(~retried).select(*marked.columns)
+    return seen.where(~retried if kept else retried).select(*marked.columns)
 
 
 def collapse_retries(messages: DataFrame) -> DataFrame:
     """Drop a user message followed by a user message with the same words.
 
-    Chains collapse to the last one. The order is settled on narrow marks, written once.
+    Chains collapse to the last one. The order is settled on narrow marks, written once;
+    the few that go are written too, so that as a rule the messages need no shuffle.
     """
     key = ["conv_id", "ordinal"]
     marks = durable(_with_retry_marks(messages).select(*key, *RETRY_MARKS), "marks")
-    return messages.join(_without_retries(marks).select(*key), key).select(*messages.columns)
+    gone = durable(_without_retries(marks, kept=False).select(*key), "retries")
+    return messages.join(gone, key, "left_anti").select(*messages.columns)
 
 
 def linear_messages(messages: DataFrame) -> DataFrame:

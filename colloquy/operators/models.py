@@ -100,6 +100,6 @@ def embed(
     tokens = F.col("_tokens")
     return texts.withColumn("_tokens", text.words(F.coalesce(text_column, F.lit("")))).select(
         *texts.columns,
-        F.when(F.size(tokens) > 0, vectors.hashed_terms(tokens, dim)).alias("vector"),
+        vectors.hashed_vectors(tokens, dim).alias("vector"),
         F.when(F.size(tokens) == 0, "empty text").alias("error"),
     )

@@ -445,12 +445,12 @@ def _flat(summaries: DataFrame, *keys: str) -> DataFrame:
     SEGMENT_SUMMARY_SQL + "\nSELECT segment_id, summary, bullets, action_items, confidence, status FROM ss",
 )
 def segment_summary(kb):
-    return _flat(sm.summarize_segments(kb.segments), "segment_id")
+    return _flat(kb.summaries, "segment_id")
 
 
 def _summarized(kb: KnowledgeBase) -> DataFrame:
     """Segments with their summary and the topic of their summary's vector."""
-    found = durable(sm.summarize_segments(kb.segments), "summaries").select("segment_id", "summary", "bullets", "action_items", "confidence", "status")
+    found = kb.summaries.select("segment_id", "summary", "bullets", "action_items", "confidence", "status")
     rows = kb.segments.select("conv_id", "segment_id", "segment_index").join(found, "segment_id")
     vector = models.embed(rows, "summary", dim=VECTOR_SIZE).select("conv_id", "segment_id", "segment_index", "summary", "vector")
     return durable(tp.topic_boundaries(vector, 0.3), "topics")
@@ -691,7 +691,7 @@ ROLLING_SQL = (
 
 
 def _with_summaries(kb: KnowledgeBase) -> DataFrame:
-    found = sm.summarize_segments(kb.segments).select("segment_id", "summary")
+    found = kb.summaries.select("segment_id", "summary")
     return durable(kb.segments.join(found, "segment_id", "left"), "summarized")
 
 

@@ -14,6 +14,7 @@ from colloquy.operators import messages as ms
 from colloquy.operators import models
 from colloquy.operators import segments as sg
 from colloquy.operators import statements as st
+from colloquy.operators import summaries as sm
 from colloquy.session import configure, input_version, staged
 from colloquy.sources.messages import read_messages
 
@@ -24,7 +25,7 @@ VECTOR_SIZE = 64
 class KnowledgeBase:
     """Stage tables derived from the turns of ``conversations``.
 
-    Messages, segments, statements, grouped statements and fragment vectors are written
+    Messages, segments, statements, grouped statements, fragment vectors and summaries are written
     as stage tables when first asked for in a session, once for each version of the input:
     later stages and queries read the columns they need instead of deriving them again.
     All else is lazy.
@@ -119,6 +120,10 @@ class KnowledgeBase:
         """Fragments with their vector."""
         return self._stage("indexed", lambda: models.embed(self.fragments, "retrieval_text", dim=VECTOR_SIZE))
 
+    @cached_property
+    def summaries(self) -> DataFrame:
+        return self._stage("summaries", lambda: sm.summarize_segments(self.segments))
+
     @cached_property
     def questions(self) -> DataFrame:
         """Questions nobody has answered yet: the pending tails, embedded."""
