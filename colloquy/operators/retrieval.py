@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,6 @@ UNNAMED_USER = "In the context excerpts, 'user' refers to the person who owns th
 # Queries up to this many travel to every task; more are met block by block.
 # Bytes of the query matrix that is sent to the tasks.
 LOCAL_BYTES = 16 << 20
-# A block of vectors holds at most this many numbers, so wide vectors come in fewer.
-BLOCK_NUMBERS = 16_000_000
 SCORE_DIGITS = 9
 
 
@@ -103,55 +102,36 @@ def search(
     local_queries = max(1, local_bytes // (8 * widest))
     head = asked.limit(local_queries + 1).toArrow()
     if head.num_rows <= local_queries:
-        query_ids = head.column("query_id").to_pylist()
-        matrix = _unit_matrix(head.column("vector").combine_chunks())
-        shared = items.sparkSession.sparkContext.broadcast((query_ids, matrix))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, rows = shared.value
-            yield from _top_k(names, rows, batches, k).to_batches()
-
-        partial = stored.mapInArrow(score, HITS)
+        partial = _near(stored, head, k)
     else:
-        dim = len(head.column("vector")[0])
-        partial = _search_blocks(asked, stored, k, local_queries, max(1, BLOCK_NUMBERS // max(1, dim)))
+        # Vectors stay where they are and are scanned once for each block of queries; of a
+        # block the driver holds one matrix, its hits are written before the next one.
+        asked = durable(asked, "queries")
+        blocks = -(-asked.count() // max(1, local_queries * 3 // 4))
+        number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        parts = (asked.where(number == b).toArrow() for b in range(blocks))
+        partial = reduce(DataFrame.unionByName, [durable(_near(stored, part, k), "hits") for part in parts if part.num_rows])
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "item_id", "score", F.col("rank").cast("bigint").alias("rank")
     )
 
 
-def _numbers(count: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+def _near(stored: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """Each task's k nearest stored vectors of every query of a bounded table."""
+    query_ids = asked.column("query_id").to_pylist()
+    matrix = _unit_matrix(asked.column("vector").combine_chunks())
+    shared = stored.sparkSession.sparkContext.broadcast((query_ids, matrix))
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rows = shared.value
+        yield from _top_k(names, rows, batches, k).to_batches()
 
-def _search_blocks(
-    asked: DataFrame, stored: DataFrame, k: int, local_queries: int, block_vectors: int
-) -> DataFrame:
-    """Exact search for many queries: blocks of queries meet blocks of vectors.
+    return stored.mapInArrow(score, HITS)
 
-    Ids spread evenly over the blocks, so no block grows with a hot value.
-    """
-    query_blocks = -(-asked.count() // local_queries)
-    item_blocks = max(1, -(-stored.count() // block_vectors))
-    left = asked.select(
-        "query_id",
-        "vector",
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("q"),
-        F.explode(_numbers(item_blocks)).alias("v"),
-    )
-    right = stored.select(
-        "item_id",
-        "vector",
-        F.explode(_numbers(query_blocks)).alias("q"),
-        F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).alias("v"),
-    )
 
-    def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        matrix = _unit_matrix(a.column("vector").combine_chunks())
-        return _top_k(a.column("query_id").to_pylist(), matrix, iter(b.combine_chunks().to_batches(10_000)), k)
-
-    return left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(score, HITS)
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
 
 
 def search_approx(
@@ -371,13 +351,19 @@ def answer_extractive(questions: DataFrame, hydrated: DataFrame, dim: int = 64)
 
     Questions have query_id, text and vector; no hits give an empty answer.
     """
-    from colloquy.operators.models import hashed_vector
-
-    options = hydrated.select("query_id", "rank", F.explode("statements").alias("_s")).select(
-        "query_id", "rank", "_s.statement_id", "_s.text", "_s.position_in_fragment"
+    options = durable(
+        hydrated.select("query_id", "rank", F.explode("statements").alias("_s")).select(
+            "query_id", "rank", "_s.statement_id", "_s.text", "_s.position_in_fragment"
+        ),
+        "options",
     )
-    scored = options.join(questions.select("query_id", F.col("vector").alias("_q")), "query_id").withColumn(
-        "score", F.round(vx.dot(F.col("_q"), hashed_vector(F.col("text"), dim)), 6)
+    # A statement is embedded once, however many hits and questions show it.
+    shown = options.select("statement_id", "text").dropDuplicates(["statement_id"])
+    vectors = shown.select("statement_id", vx.hashed_vectors(tx.words(F.col("text")), dim).alias("_v"))
+    scored = (
+        options.join(vectors, "statement_id")
+        .join(questions.select("query_id", F.col("vector").alias("_q")), "query_id")
+        .withColumn("score", F.round(F.coalesce(vx.dot(F.col("_q"), F.col("_v")), F.lit(0.0)), 6))
     )
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank", "position_in_fragment")
     chosen = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1")

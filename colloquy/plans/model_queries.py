@@ -9,6 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from colloquy.operators import model_runs as mr
+from colloquy.operators import models
 from colloquy.plans.registry import query
 from colloquy.session import durable, new_path
 
@@ -103,3 +104,24 @@ def model_summaries(kb):
     first, context = mr.summarize_range(kb.segments.where("segment_index < 2"), factory)
     second, _ = mr.summarize_range(kb.segments.where("segment_index >= 2"), factory, durable(context, "seed"))
     return first.unionByName(second).select("segment_id", "summary")
+
+
+def counted_letters(texts: list[str]) -> list[list[float]]:
+    """Stub: a text's length and how often a few letters are in it."""
+    return [[float(len(t)), *[float(t.count(c)) for c in "aeo "]] for t in texts]
+
+
+@query(
+    "embedder",
+    """
+SELECT statement_id, array_to_string([CAST(length(text) AS VARCHAR),
+  CAST(length(text) - length(replace(text, 'a', '')) AS VARCHAR), CAST(length(text) - length(replace(text, 'e', '')) AS VARCHAR),
+  CAST(length(text) - length(replace(text, 'o', '')) AS VARCHAR), CAST(length(text) - length(replace(text, ' ', '')) AS VARCHAR)], ',') AS vector
+FROM statements
+""",
+)
+def embedder(kb):
+    """Vectors by a plugged-in embedder, called with batches of texts."""
+    found = models.run_embedder(kb.statements, lambda: counted_letters).where("error is null")
+    whole = F.transform("vector", lambda x: x.cast("bigint").cast("string"))
+    return found.select("statement_id", F.array_join(whole, ",").alias("vector"))
