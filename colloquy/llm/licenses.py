@@ -91,32 +91,37 @@ def normal(sentence: str) -> str:
 KNOWN = {normal(sentence): name for name, sentence in SENTENCES.items()}
 
 
-# Comment marks that begin a line, and known sentences inside of normalised words. A
-# version that goes on ("version 2.1") is another one.
-_MARKS = r"(^|\n)[ \t]*(?:#+|//+|/?\*+/?|;+|--+|%+)(?=[ \t\r\n]|$)"
-_WITHIN = "(?<![a-z0-9])(" + "|".join(k + ("(?! [0-9])" if k[-1].isdigit() else "") for k in sorted(KNOWN, key=lambda k: (-len(k), k))) + ")(?![a-z0-9])"
-
-
-def _normal(text: Column) -> Column:
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
+# Marks that begin a line: of comments, and of list items.
+_MARKS = r"^[ \t]*(?:#+|//+|/?\*+/?|;+|--+|%+|[-•]|\(?[0-9a-z]{1,2}\))(?:[ \t]+|\r?$)"
+# Ends of sentences and paragraphs, and borders that a sentence may go over: ends of lines
+# and colons. What follows one of the words is no sentence of its own, wherever it begins.
+_HARD, _SOFT = r"[.!?][ \t\r\n\f]+|\n[ \t\r\f]*\n", r":[ \t\r\f]|\r?\n"
+_DENIED = "(^|[ \x04\x05])(not|never|nor|neither|without|no longer|isn t|aren t|wasn t)\x04"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x02\x03\x04\x05", "abcdefghijklmnopqrstuvwxyz    "
+#: A known sentence from border to border; its words may be apart by a space or a soft border.
+_KNOWN = "\x02(" + "|".join(k.replace(" ", "(?: |\x02\x02)") for k in sorted(KNOWN, key=lambda k: (-len(k), k))) + ")\x02"
+#: Patterns and what they are replaced by, one after the other.
+_STEPS = (
+    (_HARD, "\x03"), (_SOFT, "\x02"), ("[^a-z0-9\x02\x03]+", " "), (" ?\x02[ \x02]*", "\x04"),
+    ("[ \x04]*\x03[ \x03\x04]*", "\x05"), (_DENIED, r"{1}{2} "), ("\x04", "\x02\x02"), ("\x05", "\x02\x03\x02"),
+)
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    A text is cut at . ! ? before white space and at empty lines; a line of comment marks
-    alone is empty. Known sentences are looked up inside the words of each piece, the
-    longest first, so they may be wrapped, commented, or follow other words.
+    Words are lower-cased; borders between them stay. A known sentence begins and ends at
+    a border: of a sentence, paragraph, line, comment or list item, or after a colon. So it
+    may be wrapped or commented, but what is said of it inside of another sentence, or
+    after a ``not`` at the end of the line before, is not it. The longest one is taken.
     """
     known = F.create_map(*[F.lit(x) for pair in sorted(KNOWN.items()) for x in pair])
-    bare = F.regexp_replace(text, _MARKS, "$1")
-    cut = F.regexp_replace(bare, "([.!?])[ \t\r\n\f]+|\n[ \t\r\f]*\n", "$1\x01")
-
-    def of(unit: Column) -> Column:
-        return F.transform(F.regexp_extract_all(_normal(unit), F.lit(_WITHIN), F.lit(1)), lambda x: F.element_at(known, x))
-
-    return F.flatten(F.transform(F.split(cut, "\x01", -1), of))
+    out = F.regexp_replace(F.translate(text, _UPPER, _LOWER), "(?md)" + _MARKS, "")
+    for pattern, instead in _STEPS:
+        out = F.regexp_replace(out, pattern, instead.replace("{", "$").replace("}", ""))
+    whole = F.concat(F.lit("\x02"), F.trim(out), F.lit("\x02"))
+    found = F.regexp_extract_all(whole, F.lit(_KNOWN), F.lit(1))
+    return F.transform(found, lambda x: F.element_at(known, F.replace(x, F.lit("\x02\x02"), F.lit(" "))))
 
 
 def _pattern(rule: tuple[str, ...]) -> str:
@@ -179,23 +184,19 @@ def _oracle() -> str:
         for w in weaker:
             fits[w] = f"({fits[w]} AND NOT {fits[name]})"
     matched = ", ".join(f"CASE WHEN {fits[n]} THEN '{n}' END" for n in sorted(fits))
-    norm = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    code = lambda x: x.replace("'", "''")
+    steps = f"regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '(?m){_MARKS}', '', 'g')"
+    for pattern, instead in _STEPS:
+        steps = f"regexp_replace({steps}, '{code(pattern)}', '{instead.replace('{', chr(92)).replace('}', '')}', 'g')"
     return rf"""
 WITH known(k, id) AS (VALUES {known}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (
-  SELECT r, string_split(regexp_replace(text, '([.!?])[ \t\r\n\f]+|(:)[ \t\r\f]*\n|\n[ \t\r\f]*\n', '\1\2' || chr(1), 'g'), chr(1)) AS units FROM docs
-),
-units AS (SELECT r, unnest(units) AS unit, generate_subscripts(units, 1) AS u FROM cut),
-whole AS (SELECT r, u, unit, id FROM units LEFT JOIN known ON k = {norm.format('unit')}),
-lines AS (
-  SELECT r, u, unnest(string_split(unit, chr(10))) AS line, generate_subscripts(string_split(unit, chr(10)), 1) AS l FROM whole WHERE id IS NULL
-),
-ids AS (
-  SELECT r, u, 0 AS l, id FROM whole WHERE id IS NOT NULL
-  UNION ALL SELECT r, u, l, known.id FROM lines JOIN known ON k = {norm.format('line')}
-),
-sequences AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY u, l) AS ids, '<' || string_agg(id, '><' ORDER BY u, l) || '>' AS sequence FROM ids GROUP BY r)
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+found AS (SELECT r, regexp_extract_all(chr(2) || trim({steps}, ' ') || chr(2), '{_KNOWN}', 1) AS said FROM docs),
+units AS (SELECT r, replace(unnest(said), chr(2) || chr(2), ' ') AS k, generate_subscripts(said, 1) AS u FROM found),
+sequences AS (
+  SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY u) AS ids, '<' || string_agg(id, '><' ORDER BY u) || '>' AS sequence
+  FROM units JOIN known USING (k) GROUP BY r
+)
 SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentences,
        CASE WHEN ids IS NULL THEN '' ELSE array_to_string(list_filter([{matched}], lambda x: x IS NOT NULL), ',') END AS licenses
 FROM docs LEFT JOIN sequences USING (r)

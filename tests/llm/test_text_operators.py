@@ -169,11 +169,26 @@ def test_every_known_sentence_has_a_trigger_and_a_rule():
 
 
 def brute_sentences(text):
-    """Known sentences among the words of a text without other sentence ends than theirs."""
-    words, out, i = licenses.normal(re.sub(r"(?m)^[#*/ ]+", "", text)).split(" "), [], 0
+    """Known sentences between borders, by a walk over the words and what stands between them."""
+    lines = [re.sub(r"^[ \t]*(#+|//+|/?\*+/?|;+|--+|%+|[-•]|\(?[0-9a-z]{1,2}\))([ \t]+|$)", "", x) for x in text.lower().split("\n")]
+    pieces = re.split("([a-z0-9]+)", "\n".join(lines))
+    words, gaps = pieces[1::2], pieces[::2]
+
+    def kind(gap):
+        if re.search(r"[.!?][ \t\r\n\f]|\n[ \t\r\f]*\n", gap):
+            return 2
+        return 1 if "\n" in gap or re.search(r":[ \t\r\f]", gap) else 0
+
+    border = [2, *[kind(g) for g in gaps[1:-1]], 2]
+    denied = ("not", "never", "nor", "neither", "without", "longer")
     known = sorted(((k.split(" "), name) for k, name in licenses.KNOWN.items()), key=lambda k: -len(k[0]))
+    out, i = [], 0
     while i < len(words):
-        fits = next(((k, name) for k, name in known if words[i : i + len(k)] == k), None)
+        begins = border[i] == 2 or border[i] and words[i - 1] not in denied
+        fits = next(
+            ((k, name) for k, name in known if begins and words[i : i + len(k)] == k and border[i + len(k)] and 2 not in border[i + 1 : i + len(k)]),
+            None,
+        )
         out += [fits[1]] if fits else []
         i += len(fits[0]) if fits else 1
     return out
@@ -188,9 +203,13 @@ def test_wrapped_and_commented_sentences_are_found(spark):
     apache = ["Copyright 2020 Me", f"{s['apache-notice']}", s["apache-copy"], s["apache-unless"] + " " + s["apache-see"]]
     texts = [f"\n{mark.strip()}\n".join(wrapped(x, mark, 70) for x in apache) for mark in ("# ", " * ", "// ", "", "-- ")]
     texts += [f"MIT License\n{wrapped(s['mit-grant'], '', 60)}\n\n{wrapped(s['mit-notice'], '', 60)}"]
-    for _ in range(40):
+    for _ in range(80):
         picked = [s[n] for n in r.sample(sorted(s), r.randint(1, 4))]
-        texts.append(wrapped(" and so on ".join(["words", *picked]), r.choice(("# ", "", "* ")), r.randint(20, 90)))
+        parts = [wrapped(x, "", r.randint(20, 90)) for x in ["Some words", *picked]]
+        between = [r.choice(("\n", "\n\n", " and ", ": ", ". ", " - ", "\n- ", "\n1) ", " not\n", " never ")) for _ in parts[1:]]
+        body = parts[0] + "".join(g + x for g, x in zip(between, parts[1:]))
+        mark = r.choice(("# ", "", "* "))
+        texts.append("\n".join(mark + x for x in body.split("\n")))
     out = {x["doc_id"]: x for x in licenses.licenses(documents(spark, texts)).collect()}
     for i, text in enumerate(texts):
         assert out[i]["sentences"] == brute_sentences(text), text
@@ -199,6 +218,21 @@ def test_wrapped_and_commented_sentences_are_found(spark):
     assert other["sentences"] == []
 
 
+def test_what_is_said_of_a_licence_is_no_licence(spark):
+    texts = [
+        "This file is not licensed under the MIT License and must not be copied.",
+        "This file is not\nlicensed under the MIT License.",
+        "It was never Released under the MIT License.",
+        "// It is no longer\n// licensed under the MIT License.",
+        "We ask: is it Licensed under the MIT License",
+        "Not all files count. Licensed under the MIT License.",
+        "Licence: Licensed under the MIT License.",
+        "# not\n#\n# Licensed under the MIT License.",
+    ]
+    out = {x["doc_id"]: x["licenses"] for x in licenses.licenses(documents(spark, texts)).collect()}
+    assert [out[i] for i in range(8)] == [[]] * 5 + [["MIT"]] * 3
+
+
 def test_wrapped_sentences_pass_the_prefilter(spark):
     texts = [s.replace(" ", gap) for gap in ("\n", "  ") for s in licenses.SENTENCES.values()]
     out = {x["doc_id"]: x["sentences"] for x in licenses.licenses(documents(spark, texts)).collect()}
