@@ -141,25 +141,27 @@ def validate_statements(answers: DataFrame, key: list[str], view: str = "working
     keys = F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>"))
     unexpected = F.array_sort(F.array_except(keys, F.array(F.lit("statements"))))
     listed = _kind(F.try_variant_get(parsed, "$.statements", "variant")) == "array"
-    items = model_statements(answers, key)
+    listed_items = answers.withColumn("_n", F.coalesce(F.size(_items(parsed)), F.lit(0)))
+    items = durable(model_statements(listed_items, [*key, "_n"]), "items")
 
     speakers = items.groupBy(*key).agg(
         F.count_if(F.col("is_object") & ~F.coalesce(F.col("speaker").isin("user", "assistant"), F.lit(False))).alias("_bad")
     )
-    texts = durable(
-        items.where(F.col("text").isNotNull()).withColumn(
-            "_id", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key])
-        ),
-        "items",
-    )
-    names = texts.select("_id", *key).distinct()
-    pairs = (
-        similarity.near_dup_pairs(texts, "_id", "item_index", "text")
-        .groupBy("_id")
+    # Answers of too few statements for a rule do not enter its joins: n texts have at most
+    # n (n - 1) / 2 pairs.
+    least = next(n for n in range(2, 100) if n * (n - 1) // 2 >= similarity.MAX_NEAR_DUPLICATE_PAIRS)
+    texts = items.where(F.col("text").isNotNull())
+    one = key[0] if len(key) == 1 else "_id"
+    if len(key) > 1:
+        texts = texts.withColumn("_id", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key]))
+    named = lambda rows: rows if len(key) == 1 else rows.join(texts.select("_id", *key).distinct(), "_id")
+    pairs = named(
+        similarity.near_dup_pairs(texts.where(F.col("_n") >= least), one, "item_index", "text")
+        .groupBy(one)
         .agg(F.sum("pairs").alias("_pairs"))
-        .join(names, "_id")
     )
-    grams = similarity.dominant_ngram(texts, "_id", "text").join(names, "_id").select(
+    many = texts.where(F.col("_n") >= similarity.MIN_STATEMENTS_FOR_GRAM)
+    grams = named(similarity.dominant_ngram(many, one, "text")).select(
         *key, "gram", "statements_with", F.col("statement_count").alias("_texts")
     )
 

@@ -10,6 +10,7 @@ from colloquy.operators import segments as sg
 from colloquy.operators import tree
 from colloquy.plans.registry import query
 from colloquy.plans.stages import KnowledgeBase
+from colloquy.session import new_path
 from colloquy.sources import exports as ex
 from colloquy.sources import files as fl
 
@@ -391,6 +392,22 @@ def read_messages(kb):
     return kb.turns.select("conv_id", "message_id", "speaker", "ordinal", "content")
 
 
+@query(
+    "fingerprint_texts",
+    FILES_SQL
+    + """
+, texts AS (SELECT file, file || ' has ' || count(*) || ' é' || chr(10) AS content FROM infile GROUP BY file)
+SELECT sha256(content) AS source_file_id, 'normalized' AS source_kind, strlen(content) AS size_bytes FROM texts
+""",
+)
+def fingerprint_texts(kb):
+    """Fingerprints of one small text file for each conversation."""
+    path = new_path(kb.spark, "texts")
+    value = F.concat("file", F.lit(" has "), F.count("*").cast("string"), F.lit(" é")).alias("value")
+    _in_files(kb).groupBy("file").agg(value).write.partitionBy("file").text(path)
+    return fl.fingerprint_files(kb.spark, f"{path}/*/*.txt", "normalized").select("source_file_id", "source_kind", "size_bytes")
+
+
 @query("fingerprint_files")
 def fingerprint_files(kb):
     return fl.fingerprint_files(kb.spark, f"{kb.sf_dir}/conversations.parquet", "raw_export").select(

@@ -124,6 +124,18 @@ def unique_message_stream(kb):
     return everything.select("conv_id", "message_id", "speaker", "ordinal")
 
 
+@query("stream_once_ever", "SELECT conv_id, message_id, content FROM messages")
+def stream_once_ever(kb):
+    """All messages in each of three batches; the state store lets each of them through once."""
+    source, out = new_path(kb.spark, "stream-source"), new_path(kb.spark, "stream")
+    rows = durable(kb.messages.select("conv_id", "message_id", "content"), "arrivals")
+    stream = sf.once_ever(sf.part_stream(kb.spark, source, rows.schema), ["conv_id", "message_id"])
+    for n in range(PARTS):
+        rows.write.parquet(f"{source}/batch={n}")
+        sf.run_to_table(stream, f"{out}/rows", f"{out}/log")
+    return kb.spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
 @query(
     "ingest_stream",
     FILES_SQL

@@ -344,6 +344,17 @@ def without_repeats(messages: DataFrame, keys: list[str], time: str, delay: str)
     return messages.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def once_ever(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once, for as long as the stream runs: the idempotent insert as a stream.
+
+    The keys that were seen lie in the state store, of which a batch reads and writes its
+    own: its work does not grow with what is stored. The first row of a key wins; of rows
+    with one key in one batch any may be it. Nothing is ever too late, or forgotten.
+    """
+    stateful(rows.sparkSession)
+    return rows.dropDuplicates(keys)
+
+
 def reconciled(rows: DataFrame, late: DataFrame, keys: list[str], arrival: str) -> tuple[DataFrame, DataFrame]:
     """(all rows, new late rows): what was put aside joins the rows unless known.
 
