@@ -92,7 +92,7 @@ def hashed_vectors(tokens: Column, dim: int, weights: np.ndarray | None = None)
                 places.clear()
             at = [places.get(t) or place(t) for found in batch if found is not None for t in found]
             slots = np.repeat(np.arange(len(batch)), size) * dim + np.array([d for d, _ in at], np.int64)
-            sums = np.bincount(slots, np.array([w for _, w in at], float), len(batch) * dim).reshape(-1, dim)
+            sums = np.bincount(slots, np.array([w for _, w in at], float), len(batch) * dim).astype(float).reshape(-1, dim)
             length = np.sqrt((sums * sums).sum(1, keepdims=True))
             unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
             yield pd.Series([v if n else None for v, n in zip(unit, size)], dtype=object)
