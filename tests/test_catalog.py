@@ -12,6 +12,7 @@ SMALL = pathlib.Path("/root/testdata/sf0.001")
 CHECKED = [
     "visible_messages", "message_key", "active_path", "segments", "manifest", "statements", "fragments", "near_dup_pairs",
     "working_view", "topic_boundaries", "topk", "retrieve", "hydrate", "lineage", "delete_extracts", "job_state", "reimport_exports", "ingest_tables", "stream_messages", "stream_late_messages", "force_rerun_cascade",
+    "segment_machine", "job_machine", "stored_upsert", "model_fragments", "model_summaries", "embed_idf", "search_ivf",
 ]
 ROWS_ONLY = {"fingerprint_files", "describe_blocks", "search_approx"}
 
