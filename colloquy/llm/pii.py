@@ -107,11 +107,16 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 
 def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
+    yield from _written(text)
+    yield from _numbers(text)
+
+
+def _written(text: str) -> Iterator[tuple[str, int, int]]:
+    """Candidates that are no numbers: addresses, as they may be written out."""
     if "@" in text or _AT_WORD.search(text):
         yield from (("email", *m.span()) for m in _WIDE_EMAIL.finditer(text))
     if ":" in text or "." in text:
         yield from (("ip", *m.span()) for m in _WIDE_IP.finditer(text))
-    yield from _numbers(text)
 
 
 def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
@@ -229,6 +234,20 @@ class Tree:
         self._grow(2 * node + 1, x, g, h, rows[left], depth - 1)
         self._grow(2 * node + 2, x, g, h, rows[~left], depth - 1)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """``score`` of every row of a matrix."""
+        size = 2 ** (DEPTH + 1) - 1
+        feature, at, value = np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size)
+        for node, (f, threshold) in self.split.items():
+            feature[node], at[node] = f, threshold
+        # Below a leaf all nodes have its value; every row then goes down to the last level.
+        for node in range(size):
+            value[node] = self.value[node] if node in self.value else value[(node - 1) // 2] if node else 0.0
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for _ in range(DEPTH):
+            node = 2 * node + 2 - (x[rows, feature[node]] <= at[node])
+        return value[node]
+
     def score(self, row: list[float]) -> float:
         node = 0
         while node in self.split:
@@ -250,6 +269,13 @@ class Judge:
     def probability(self, row: list[float]) -> float:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(row) + self.shift, -30, 30)))
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """``probability`` of every row of a matrix."""
+        total = np.zeros(len(x))
+        for tree in self.trees:
+            total += tree.scores(x)
+        return 1 / (1 + np.exp(-np.clip(self.slope * (RATE * total) + self.shift, -30, 30)))
+
     def selects(self, row: list[float]) -> bool:
         return self.probability(row) >= self.thresholds[int(row[0])]
 
@@ -432,11 +458,140 @@ def personal_data(docs: DataFrame, judge: Judge | None = None, key: str = "doc_i
     return found.mapInArrow(run, f"key {kind}, base array<string>, spans array<string>").withColumnRenamed("key", key)
 
 
+def _before(text: str, start: int) -> list[float]:
+    """What the place a number starts at tells: hints by kind, wrong words, and neighbours."""
+    before = text[max(0, start - 24) : start]
+    joined = _joined(_JOINED_BEFORE.search(before))
+    if joined:
+        before = text[max(0, start - 64) : start].rstrip("0123456789 ./-–_()")
+    hints = [float(bool(_HINTS[kind].search(before))) for kind in KINDS] if before else [0.0] * len(KINDS)
+    wrong = float(bool(before and _WRONG.search(before)))
+    return [*hints, wrong, joined, float(start > 0 and text[start - 1].isalnum())]
+
+
+def number_tables(text: str, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(begin, end, features) of the candidates of ``_numbers``, for blocks of digit groups.
+
+    The features are those of ``features``, in the same order. What depends on a group, a
+    gap or a place in the text is found once; a candidate is a pair of groups.
+    """
+    found = [m.span() for m in _GROUP.finditer(text)]
+    if not found:
+        return
+    begins, ends = np.array(found).T
+    n, most = len(found), CARD_DIGITS[-1]
+    sizes = ends - begins
+    before = np.concatenate([[0], np.cumsum(sizes)])  # digits before each group
+    digits = np.frombuffer("".join(text[a:b] for a, b in found).encode(), np.uint8).astype(np.int64) - 48
+    doubled = np.where(digits > 4, 2 * digits - 9, 2 * digits)
+    even = np.arange(len(digits)) % 2 == 0
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (np.where(even, digits, doubled), np.where(even, doubled, digits))]
+    masks = np.bitwise_or.reduceat(1 << digits, before[:-1])
+    names: dict[str, int] = {"(": 0}
+    gap, run, start = np.full(n, -1), np.zeros(n, np.int64), np.full(n, -1)
+    single = np.zeros(n, np.int64)  # 1 for a gap of one of " -./", 2 for one of these that is no space
+    paren = np.zeros(n, bool)
+    for i, (a, b) in enumerate(found):
+        if i:
+            between = text[found[i - 1][1] : a]
+            joined = bool(_GAP.fullmatch(between))
+            run[i] = run[i - 1] + (not joined)
+            if joined:
+                gap[i] = names.setdefault(between, len(names))
+                single[i] = (1 if between == " " else 2) if between in (" ", "-", ".", "/") else 0
+                paren[i] = "(" in between
+        if a and text[a - 1] == "(" and not (a > 1 and _within(text[a - 2], "+")):
+            start[i] = a - 1
+        elif not (a and _within(text[a - 1], "+")):
+            start[i] = a
+    closed = np.array([not (b < len(text) and _within(text[b])) for _, b in found])
+    lead = np.minimum(before[:-1] + 1, len(digits) - 1)
+    first, second = digits[before[:-1]], digits[lead]
+    year = (sizes >= 4) & ((first == 1) & (second == 9) | (first == 2) & (second == 0))
+    short = sizes <= 2
+    later = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), x.dtype)])
+    dated = (year & (sizes == 4) & (later(single, 1) > 0) & later(short, 1) & (later(single, 2) > 0)) | (
+        short & (later(single, 1) == 2) & later(short, 1) & (later(single, 2) == 2) & later(year, 2)
+    )
+    dated &= start == begins
+    contexts: dict[int, list[float]] = {}
+    afters: dict[int, tuple[float, float]] = {}
+
+    for low in range(0, n, block):
+        j = np.arange(low, min(n, low + block))
+        mask, largest, least = np.zeros(len(j), np.int64), np.zeros(len(j), np.int64), np.full(len(j), 1 << 40)
+        distinct, bracket, opened = np.zeros(len(j), np.int64), np.zeros(len(j), bool), np.zeros(len(j), bool)
+        parts = []
+        for back in range(min(most, low + len(j))):
+            i = j - back
+            at = np.maximum(i, 0)
+            alive = (i >= 0) & (run[at] == run[j])
+            mask |= masks[at]
+            largest, least = np.maximum(largest, sizes[at]), np.minimum(least, sizes[at])
+            if back:  # the gap behind group i joins the number
+                new, own = gap[np.minimum(at + 1, n - 1)], np.ones(len(j), bool)
+                for k in range(1, back):
+                    own &= gap[np.minimum(at + 1 + k, n - 1)] != new
+                distinct = distinct + own
+                bracket = bracket | paren[np.minimum(at + 1, n - 1)]
+                opened = opened | (new == 0)
+            count = before[j + 1] - before[at]
+            good = alive & closed[j] & (start[at] >= 0) & (count <= most)
+            for kind, wanted in ((2, CARD_DIGITS), (3, PHONE_DIGITS)):
+                rows = np.flatnonzero(good & (count >= wanted[0]) & (count <= wanted[-1]))
+                if not len(rows):
+                    continue
+                gi, gj, nd = at[rows], j[rows], count[rows]
+                begin, end = start[gi], ends[gj]
+                led = begin < begins[gi]
+                odd = (before[gj + 1] - 1) % 2
+                luhn_sum = np.where(odd == 0, sums[0][before[gj + 1]] - sums[0][before[gi]], sums[1][before[gj + 1]] - sums[1][before[gi]])
+                for g in np.unique(gi).tolist():
+                    if g not in contexts:
+                        contexts[g] = _before(text, int(start[g]))
+                for g in np.unique(gj).tolist():
+                    if g not in afters:
+                        e = int(ends[g])
+                        afters[g] = (float(e < len(text) and text[e].isalnum()), _joined(_JOINED_AFTER.match(text, e)))
+                told = np.array([contexts[g] for g in gi.tolist()])
+                after = np.array([afters[g] for g in gj.tolist()])
+                zero, length = np.zeros(len(rows)), end - begin
+                values = np.bitwise_count(mask[rows])
+                x = np.stack(
+                    [
+                        zero + kind, length, nd, nd / length, zero + back + 1, largest[rows], least[rows],
+                        distinct[rows] + (led & ~opened[rows]), luhn_sum % 10 == 0, (first[gi] >= 3) & (first[gi] <= 6), led | bracket[rows],
+                        zero, zero, zero, zero, zero, zero, zero,
+                        (first[gi] == 0) & (second[gi] == 0), first[gi] == 0, values <= 3,
+                        told[:, kind], told[:, [k for k in range(4) if k != kind]].any(1), told[:, 4], dated[gi] & (back >= 2),
+                        told[:, 6], after[:, 0], sizes[gi], sizes[gj], told[:, 5], after[:, 1],
+                    ],
+                    axis=1,
+                ).astype(float)
+                parts.append((begin, end, x))
+        contexts = {g: c for g, c in contexts.items() if g > low + len(j) - 2 * most}
+        afters.clear()
+        if parts:
+            yield tuple(np.concatenate(column) for column in zip(*parts))
+
+
 def added(judge: Judge, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates apart from base spans that the judge selects, without overlaps."""
     out: list[tuple[str, int, int]] = []
-    rows = ((span, features(text, span)) for span in _apart(_candidates(text), base))
-    scored = sorted(((-judge.probability(x), span) for span, x in rows if judge.selects(x)), key=lambda v: (v[0], v[1][1], v[1]))
+    rows = ((span, features(text, span)) for span in _apart(_written(text), base))
+    scored = [(-judge.probability(x), span) for span, x in rows if judge.selects(x)]
+    covered = np.zeros(len(text) + 1, np.int64)
+    for _, s, e in base:
+        covered[s:e] = 1
+    covered = np.concatenate([[0], np.cumsum(covered)])
+    limits = np.array(judge.thresholds)
+    for begin, end, x in number_tables(text):
+        apart = covered[end] == covered[begin]
+        begin, end, x = begin[apart], end[apart], x[apart]
+        p = judge.probabilities(x)
+        for k in np.flatnonzero(p >= limits[x[:, 0].astype(int)]).tolist():
+            scored.append((-float(p[k]), (KINDS[int(x[k, 0])], int(begin[k]), int(end[k]))))
+    scored.sort(key=lambda v: (v[0], v[1][1], v[1]))
     # A place is taken by at most one span; places are characters of candidates only.
     taken: set[int] = set()
     for _, span in scored:

@@ -622,3 +622,40 @@ def test_packing_keeps_columns_of_any_name(spark):
             at += length
         assert at <= 1024
     assert sorted(ends) == list(range(len(ends)))
+
+
+def plain_added(judge, text, base):
+    """Every candidate scored by itself."""
+    rows = [(span, pii.features(text, span)) for span in pii._apart(pii._candidates(text), base)]
+    out, taken = [], set()
+    for _, span in sorted(((-judge.probability(x), s) for s, x in rows if judge.selects(x)), key=lambda v: (round(v[0], 12), v[1][1], v[1])):
+        if taken.isdisjoint(range(span[1], span[2])):
+            taken.update(range(span[1], span[2]))
+            out.append(span)
+    return out
+
+
+def test_number_tables_equal_single_candidates(judge):
+    r = random.Random(51)
+    pieces = ["1", "22", "333", "4444", "55555", "1234567", "2024", "19", "0", "00", " ", "-", ".", "/", "(", ")", "+", "x", " ", "- ", "é", "call ", "order ", "card: ", "\n", "_", "–"]
+    for n in range(500):
+        text = "".join(r.choices(pieces, k=r.randint(3, 60)))
+        tables = list(pii.number_tables(text, r.choice((3, 7, 4096))))
+        got = {(pii.KINDS[int(x[0])], int(b), int(e)): x.tolist() for begin, end, rows in tables for b, e, x in zip(begin, end, rows)}
+        want = {span: list(map(float, pii.features(text, span))) for span in pii._numbers(text)}
+        assert got == want, text
+        if want:
+            x = np.array(list(want.values()))
+            assert np.allclose(judge.probabilities(x), [judge.probability(v) for v in want.values()], rtol=1e-12, atol=0)
+        base = pii.base_spans(text)
+        assert sorted(pii.added(judge, text, base)) == sorted(plain_added(judge, text, base))
+
+
+def test_number_tables_of_any_length_take_linear_time(judge):
+    import time
+
+    r = random.Random(52)
+    text = " ".join(str(r.randrange(10)) for _ in range(100_000))
+    started = time.process_time()
+    pii.added(judge, text, [])
+    assert time.process_time() - started < 15
