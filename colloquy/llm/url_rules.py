@@ -1,14 +1,20 @@
 """URL filter by association rules.
 
 A list of rules decides the urls it covers. Those urls, with their verdicts as labels,
-are the transactions that are mined level by level: combinations of url tokens that go with one
+are the transactions that FP-growth mines: combinations of url tokens that go with one
 verdict. Rules with enough support and confidence, and better than any of their parts,
 judge the other urls. They are found by an inverted index from each rule's rarest token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import itertools
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.ml.fpm import FPGrowth
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.llm.common import durable, prepared, table
 
@@ -65,14 +71,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """Rules ``(antecedent, verdict, confidence, support)`` from ``labelled(tokens, verdict)``.
 
     Rare tokens are left out before mining; so at most 1 / ``min_support`` times the
-    tokens of a url remain, which bounds what the driver gets. A rule stays if no part of it gives the same verdict with as
-    much confidence; ties go to the smaller rule.
-
-    So a combination counts only if each part of it occurs more often: what an equally
-    frequent part says, the whole cannot say better. Parts of such a combination are such
-    combinations too, hence they grow token by token, level by level, counted by joins on
-    whole baskets. Tokens that always go together, or one only with the other, never
-    combine; a few equal urls of a thousand parts end at pairs.
+    tokens of a url remain, which bounds what the driver gets. A rule stays if no part of
+    it gives the same verdict with as much confidence; ties go to the smaller rule.
+
+    FP-growth proposes the combinations. Of two tokens of which one never comes without
+    the other, no rule that stays needs both: without the implied one it says the same.
+    Such tokens form chains, and each url is dealt into baskets with one token of each of
+    its chains. Every combination that matters is whole in one of them; so equal or
+    nested urls of a thousand parts are a thousand small baskets, not 2^1000
+    combinations, and nothing is cut. The baskets of a url may propose a combination more
+    often than it is there: what is proposed is counted on the whole urls.
     """
     rows = labelled.where("verdict is not null")
     total = rows.count()
@@ -81,50 +89,33 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return labelled.sparkSession.createDataFrame([], schema)
     least = max(MIN_URLS, min_support * total)
     often = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
-    frequent = [r["token"] for r in often.orderBy("token").collect()]
+    frequent = [r["token"] for r in often.orderBy("count", "token").collect()]
+    if not frequent:
+        return labelled.sparkSession.createDataFrame([], schema)
     kept = F.array_sort(F.array_intersect("tokens", F.array(*[F.lit(t) for t in frequent]).cast("array<string>")))
     # Equal baskets count together, and each keeps its urls by verdict.
     baskets = durable(
         rows.select(kept.alias("basket"), "verdict").where(F.size("basket") > 0).groupBy("basket", "verdict").agg(F.count("*").alias("n")).groupBy("basket")
-        .agg(F.map_from_entries(F.collect_list(F.struct("verdict", "n"))).alias("urls")).select(F.monotonically_increasing_id().alias("b"), "*"),
+        .agg(F.map_from_entries(F.collect_list(F.struct("verdict", "n"))).alias("urls"), F.sum("n").alias("n")),
         "url-baskets",
     )
-    tokens_of = baskets.select("b", F.posexplode("basket").alias("at", "token"), "urls")
-    found, size = tokens_of.select("b", F.array("token").alias("items"), "at", "urls"), 1
-    smaller, rules = None, None
-    while True:
-        counts = (
-            found.select("items", F.explode("urls").alias("verdict", "n")).groupBy("items", "verdict").agg(F.sum("n").alias("n"))
-            .groupBy("items").agg(F.sum("n").alias("total"), F.collect_list(F.struct("verdict", "n")).alias("by"))
-            .where(F.exists("by", lambda x: x["n"] >= least))
-        )
-        if smaller is not None:
-            # Each part has to be left over, and to occur more often than the whole.
-            parts = counts.select("items", "total", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
-            free = (
-                parts.join(smaller.select(F.col("items").alias("part"), F.col("total").alias("of_part")), "part").where(F.col("of_part") > F.col("total"))
-                .groupBy("items").count().where(F.col("count") == size).select("items")
-            )
-            counts = counts.join(free, "items", "left_semi")
-        counts = durable(counts, "url-sets")
-        told = counts.select(
-            F.col("items").alias("antecedent"), F.explode("by").alias("of"), "total"
-        ).select("antecedent", "of.verdict", (F.col("of.n") / F.col("total")).alias("confidence"), (F.col("of.n") / F.lit(total)).alias("support"), F.col("of.n").alias("n"))
-        told = told.where((F.col("n") >= least) & (F.col("confidence") >= min_confidence)).drop("n")
-        rules = told if rules is None else rules.unionByName(told)
-        # What has one verdict only cannot become surer.
-        smaller = counts.where(F.size("by") > 1)
-        if not smaller.head(1):
-            break
-        left = found.join(smaller.select("items"), "items", "left_semi")
-        last = left.select("b", "items", "at", "urls", F.slice("items", 1, size - 1).alias("head"))
-        more = left.select("b", F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("next"), F.col("at").alias("next_at"))
-        found = durable(
-            last.join(more, ["b", "head"]).where(F.col("next_at") > F.col("at"))
-            .select("b", F.concat("items", F.array("next")).alias("items"), F.col("next_at").alias("at"), "urls"),
-            "url-sets-found",
-        )
-        size += 1
+    dealt = durable(small_baskets(baskets, chains(baskets, frequent)), "url-chains")
+    size = dealt.count()
+    mined = FPGrowth(itemsCol="items", minSupport=(math.ceil(least) - 0.5) / size, minConfidence=1.0).fit(dealt)
+    proposed = durable(mined.freqItemsets.select(F.array_sort("items").alias("antecedent")), "url-sets")
+    # Counted on whole urls, which each set meets through its rarest token.
+    rank = F.create_map(*[F.lit(x) for pair in ((t, i) for i, t in enumerate(frequent)) for x in pair])
+    rarest = F.array_min(F.transform("antecedent", lambda t: F.struct(F.element_at(rank, t).alias("r"), t.alias("t"))))["t"]
+    counted = (
+        baskets.select("basket", F.explode("basket").alias("token"), "urls").join(proposed.withColumn("token", rarest), "token")
+        .where(F.size(F.array_except("antecedent", "basket")) == 0)
+        .select("antecedent", F.explode("urls").alias("verdict", "n"))
+        .groupBy("antecedent", "verdict").agg(F.sum("n").alias("n"))
+    )
+    of_all = F.sum("n").over(Window.partitionBy("antecedent"))
+    rules = counted.withColumn("of_all", of_all).select(
+        "antecedent", "verdict", (F.col("n") / F.col("of_all")).alias("confidence"), (F.col("n") / F.lit(total)).alias("support"), "n"
+    ).where((F.col("n") >= least) & (F.col("confidence") >= min_confidence)).drop("n")
     rules = durable(rules, "url-rules")
     # A rule's parts share a token with it: an equi-join on tokens meets them all.
     a = rules.select(F.explode("antecedent").alias("t"), "antecedent", "verdict", "confidence")
@@ -138,6 +129,44 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return rules.join(beaten, ["antecedent", "verdict"], "left_anti").select("antecedent", "verdict", "confidence", "support")
 
 
+def chains(baskets: DataFrame, frequent: list[str]) -> dict[str, int]:
+    """The chain of every frequent token: of two tokens of a chain, the rarer implies the other.
+
+    ``frequent`` is in order of how often tokens are there, rarest first. The driver gets
+    the pairs of which one token implies the other.
+    """
+    tokens = baskets.select(F.explode("basket").alias("a"), "basket", "n")
+    alone = tokens.groupBy("a").agg(F.sum("n").alias("n_a"))
+    both = tokens.select("a", F.explode("basket").alias("b"), "n").where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found = both.join(alone, "a").where("n = n_a").select("a", "b").toArrow().to_pydict()
+    implied: dict[str, set[str]] = {}
+    for a, b in zip(found["a"], found["b"]):
+        implied.setdefault(a, set()).add(b)
+    out, ends = {}, []
+    for token in frequent:
+        at = next((i for i, end in enumerate(ends) if token in implied.get(end, ())), len(ends))
+        ends[at : at + 1] = [token]
+        out[token] = at
+    return out
+
+
+def small_baskets(baskets: DataFrame, chain: dict[str, int]) -> DataFrame:
+    """``items`` of all baskets with one token of each chain of a url, once for each url."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for basket, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_chain: dict[int, list[str]] = {}
+                for token in basket:
+                    by_chain.setdefault(chain[token], []).append(token)
+                picks = itertools.product(*by_chain.values())
+                while some := list(itertools.islice(picks, 1024)):
+                    yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in some]), pa.array([n] * len(some), pa.int64())], ["items", "n"])
+
+    dealt = baskets.select("basket", "n").mapInArrow(deal, "items array<string>, n bigint")
+    return dealt.select("items", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy")).drop("copy")
+
+
 def judge(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """``sets(tokens)`` with the ``verdict`` of the best rule that each holds, if any.
 

@@ -205,6 +205,35 @@ def test_equal_and_nested_long_urls_are_mined(spark):
     assert ur.mine(rows, 0.01, 0.6).count() > 0
 
 
+def test_nested_tokens_are_mined_exactly(spark):
+    r = random.Random(26)
+    part = [f"p{i}" for i in range(6)]
+    baskets = []
+    for _ in range(120):
+        tokens = part[: r.randint(0, 6)] + [x for x in ("u", "v", "w") if r.random() < 0.5] + (["h1", "h0"] if r.random() < 0.5 else ["h0"])
+        baskets.append((tokens, "block" if {"p2", "u"} <= set(tokens) or r.random() < 0.1 else "allow"))
+    rows = spark.createDataFrame(baskets, "tokens array<string>, verdict string")
+    got = {(tuple(x["antecedent"]), x["verdict"]): x["confidence"] for x in ur.mine(rows, 0.05, 0.7).collect()}
+    assert got == pytest.approx(brute_mine(baskets, 0.05, 0.7))
+    # Chains hold tokens that imply each other; a basket has one of each chain.
+    table = rows.select(F.col("tokens").alias("basket"), F.lit(1).cast("bigint").alias("n"))
+    counts = collections.Counter(t for tokens, _ in baskets for t in tokens)
+    chain = ur.chains(table, sorted(counts, key=lambda t: (counts[t], t)))
+    assert len({chain[t] for t in part}) == 1 and len(set(chain.values())) < len(chain)
+    assert all(len({chain[t] for t in x["items"]}) == len(x["items"]) for x in ur.small_baskets(table, chain).collect())
+
+
+def test_long_and_independent_tokens_end(spark):
+    """A thousand nested parts, and twelve keys of which each is in every second url."""
+    r = random.Random(27)
+    long = [f"t{i:04d}" for i in range(1000)]
+    baskets = [(long[: r.randint(900, 1000)], r.choice(("allow", "block"))) for _ in range(20)]
+    assert ur.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.1, 0.6).count() > 0
+    keys = [f"k{i:02d}" for i in range(12)]
+    baskets = [([k for k in keys if r.random() < 0.5], "block" if r.random() < 0.2 else "allow") for _ in range(400)]
+    assert ur.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.01, 0.9).count() > 0
+
+
 # 5. Embedding near-duplicates
 
 
