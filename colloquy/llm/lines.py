@@ -74,6 +74,8 @@ class LineRuns:
     def __post_init__(self) -> None:
         # As many buckets as an aggregation has partitions: each bucket is then one file.
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # A bucket of one file is read in its order: joins then merge runs without sorting them.
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _write(self, counts: DataFrame, kind: str) -> str:
         path = new_path(self.spark, f"line-{kind}")
