@@ -294,6 +294,16 @@ def test_a_batch_meets_the_runs_without_a_shuffle(spark):
     assert sum(spark.table(n).count() for n in runs.runs()) == 4 and sum(spark.table(n).count() for n in runs.added) == 1
 
 
+def test_lines_that_come_in_several_batches_have_one_count(spark):
+    texts = [f"line {n}\nrow {i} of {n}" for n in range(40) for i in range(8 + n % 4)]
+    out = lines.drop_frequent_lines(documents(spark, texts)).collect()
+    assert {x["doc"]["doc_id"]: (x["n_lines"], x["kept"]) for x in out} == dict(enumerate(brute_lines(texts, 10)))
+    runs = lines.LineRuns(spark)
+    for batch in (["a\nb"], ["b\nc"], ["b\nc"], ["a\nb\nc"], ["b"]):
+        lines.add_new_lines(runs, documents(spark, batch))
+    assert sorted(x["n_docs"] for x in runs.counts().collect()) == [2, 3, 5]
+
+
 # 6. Order MinHash
 
 
