@@ -9,9 +9,26 @@ from colloquy.operators.tables import in_range
 SEGMENT_SUMMARY_KIND = "ai_chat_segment"
 
 
-def fingerprint_files(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:
-    """source_files rows: SHA-256, size, name and path. Keyed by (sha256, kind)."""
-    files = spark.read.format("binaryFile").load(paths)
+#: Small files kept as rows of a table: a file of a few bytes costs a folder, a commit and a
+#: listing of its own, which for many of them takes longer than the work on their contents.
+PACKED = "path string, content binary"
+
+
+def pack_files(files: DataFrame, path: str) -> None:
+    """Write files (path, and value as text) as one table of paths and UTF-8 bytes."""
+    files.select("path", F.col("value").cast("binary").alias("content")).write.parquet(path)
+
+
+def fingerprint_files(spark: SparkSession, paths: str | list[str], kind: str, packed: bool = False) -> DataFrame:
+    """source_files rows: SHA-256, size, name and path. Keyed by (sha256, kind).
+
+    ``packed`` files are rows of the tables at ``paths``, as ``pack_files`` writes them.
+    """
+    if packed:
+        reading = spark.read.schema(PACKED).parquet(*([paths] if isinstance(paths, str) else paths))
+        files = reading.withColumn("length", F.octet_length("content").cast("bigint"))
+    else:
+        files = spark.read.format("binaryFile").load(paths)
     return files.select(
         F.sha2("content", 256).alias("source_file_id"),
         F.lit(kind).alias("source_kind"),

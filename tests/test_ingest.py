@@ -401,3 +401,17 @@ def test_stream_of_exports_equals_the_batch(spark, tmp_path):
     flat = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
     for name in want:
         assert flat(got[name]) == flat(want[name]), name
+
+
+def test_packed_files_have_the_fingerprints_of_files(spark, tmp_path):
+    texts = {f"{i}.txt": f"text {i} é\n" for i in range(30)}
+    (tmp_path / "plain").mkdir()
+    for name, value in texts.items():
+        (tmp_path / "plain" / name).write_bytes(value.encode())
+    rows = spark.createDataFrame(list(texts.items()), "path string, value string").coalesce(2)
+    fl.pack_files(rows, str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) <= 2
+    columns = ["source_file_id", "source_kind", "original_filename", "sha256", "size_bytes"]
+    plain = fl.fingerprint_files(spark, str(tmp_path / "plain"), "normalized").select(*columns)
+    packed = fl.fingerprint_files(spark, str(tmp_path / "packed"), "normalized", packed=True).select(*columns)
+    assert sorted(packed.collect()) == sorted(plain.collect())
