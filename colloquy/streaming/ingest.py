@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from colloquy.operators.buckets import BUCKETS, BucketTable, Store
 from colloquy.session import durable
 from colloquy.sources import exports as ex
+from colloquy.sources.files import PACKED
 
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 MANIFEST = "sha256 string, conv_id string, path string"
@@ -24,6 +25,12 @@ def export_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
     return ex.file_contents(files)
 
 
+def packed_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """New rows of the tables of packed files directly below ``folder``."""
+    files = spark.readStream.schema(PACKED).parquet(f"{folder}/*")
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
+
+
 class IngestStore:
     """The tables of an ingest in buckets, and a manifest of the files that went in."""
 
@@ -48,6 +55,7 @@ class IngestStore:
         Only the buckets of the conversations that come in are read and written. The
         manifest is written last: an import that fails is done again, with the same result.
         """
+        files = durable(files.select("path", "file_name", "content"), "arrived")
         new = durable(self.new_files(files), "new-files")
         n = new.count()
         if not n:

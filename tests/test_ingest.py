@@ -415,3 +415,27 @@ def test_packed_files_have_the_fingerprints_of_files(spark, tmp_path):
     plain = fl.fingerprint_files(spark, str(tmp_path / "plain"), "normalized").select(*columns)
     packed = fl.fingerprint_files(spark, str(tmp_path / "packed"), "normalized", packed=True).select(*columns)
     assert sorted(packed.collect()) == sorted(plain.collect())
+
+
+def test_stream_of_packed_exports_equals_the_batch(spark, tmp_path):
+    """Files come as rows of tables; equal content is imported once, under whatever name."""
+    from colloquy.session import new_path
+    from colloquy.streaming.ingest import IngestStore, packed_stream
+    from colloquy.streaming.jobs import run_available
+
+    out, bodies = new_path(spark, "ingested"), [export("q", conversation_id=f"c{i}", update_time=1.0) for i in range(20)]
+    store, seen = IngestStore(spark, out, 4), []
+    held = store.ingest
+    store.ingest = lambda files: seen.append(held(files))
+    (tmp_path / "plain").mkdir()
+    for version in (1, 2):
+        rows = [(f"v{version}/{i}.json", json.dumps(body)) for i, body in enumerate(bodies)]
+        fl.pack_files(spark.createDataFrame(rows, "path string, value string").coalesce(1), str(tmp_path / "in" / f"v{version}"))
+        run_available(packed_stream(spark, str(tmp_path / "in")), store.sink(), f"{out}/log")
+    assert seen == [20, 0]
+    for i, body in enumerate(bodies):
+        (tmp_path / "plain" / f"{i}.json").write_text(json.dumps(body))
+    want, got = ex.ingest(ex.read_exports(spark, str(tmp_path / "plain"))), store.tables()
+    flat = lambda df: sorted(map(repr, df.drop("storage_path", "raw_export_path").collect()))
+    for name in want:
+        assert flat(got[name]) == flat(want[name].select(*got[name].columns)), name
