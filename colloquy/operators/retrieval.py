@@ -33,6 +33,9 @@ UNNAMED_USER = "In the context excerpts, 'user' refers to the person who owns th
 # Bytes of the query matrix that is sent to the tasks.
 LOCAL_BYTES = 16 << 20
 SCORE_DIGITS = 9
+# Scores that one task is meant to compute, in few enough tasks: each gives out k hits a query.
+PAIRS_PER_TASK = 1 << 28
+TASKS_PER_CORE = 4
 
 
 def _unit_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -98,11 +101,12 @@ def search(
     """
     asked = queries.where("query_id is not null and vector is not null").select("query_id", "vector")
     stored = items.where("item_id is not null and vector is not null").select("item_id", "vector")
+    rows = stored.count()
     widest = asked.agg(F.max(F.size("vector"))).first()[0] or 1
     local_queries = max(1, local_bytes // (8 * widest))
     head = asked.limit(local_queries + 1).toArrow()
     if head.num_rows <= local_queries:
-        partial = _near(stored, head, k)
+        partial = _near(stored, rows, head, k)
     else:
         # Vectors stay where they are and are scanned once for each block of queries; of a
         # block the driver holds one matrix, its hits are written before the next one.
@@ -110,16 +114,20 @@ def search(
         blocks = -(-asked.count() // max(1, local_queries * 3 // 4))
         number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
         parts = (asked.where(number == b).toArrow() for b in range(blocks))
-        partial = reduce(DataFrame.unionByName, [durable(_near(stored, part, k), "hits") for part in parts if part.num_rows])
+        partial = reduce(DataFrame.unionByName, [durable(_near(stored, rows, part, k), "hits") for part in parts if part.num_rows])
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "item_id", "score", F.col("rank").cast("bigint").alias("rank")
     )
 
 
-def _near(stored: DataFrame, asked: pa.Table, k: int) -> DataFrame:
-    """Each task's k nearest stored vectors of every query of a bounded table."""
+def _near(stored: DataFrame, rows: int, asked: pa.Table, k: int) -> DataFrame:
+    """Each task's k nearest of ``rows`` stored vectors for every query of a bounded table."""
     query_ids = asked.column("query_id").to_pylist()
+    # Vectors of few terms are small as files: by size alone one task may read all of them.
+    tasks = -(-asked.num_rows * rows // PAIRS_PER_TASK)
+    if tasks > 1:
+        stored = stored.repartition(min(tasks, TASKS_PER_CORE * stored.sparkSession.sparkContext.defaultParallelism), "item_id")
     matrix = _unit_matrix(asked.column("vector").combine_chunks())
     shared = stored.sparkSession.sparkContext.broadcast((query_ids, matrix))
 

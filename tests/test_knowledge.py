@@ -64,6 +64,24 @@ def test_search_is_exact_with_many_copies(spark, local_bytes):
         assert [r.item_id for r in mine] == [f"v{i:04d}" for i in want]
 
 
+def test_search_is_spread_by_its_pairs(spark, monkeypatch):
+    """Vectors in one small file are scored by several tasks, with the same hits."""
+    rng = np.random.default_rng(2)
+    items = vectors(spark, rng.normal(size=(200, 8)), "item_id", "v").coalesce(1)
+    queries, parts = vectors(spark, rng.normal(size=(10, 8)), "query_id", "q"), []
+    near = rt._near
+
+    def counted(*args):
+        found = near(*args)
+        parts.append(found.rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(rt, "_near", counted)
+    alone = sorted(rt.search(queries, items).collect())
+    monkeypatch.setattr(rt, "PAIRS_PER_TASK", 400)
+    assert sorted(rt.search(queries, items).collect()) == alone and parts == [1, 5]
+
+
 def test_search_edges(spark):
     good = vectors(spark, np.eye(3), "query_id", "q")
     none = good.limit(0)
