@@ -96,6 +96,14 @@ def test_hot_passage_over_many_batches(spark, small_parts):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == want
 
 
+def test_texts_are_shuffled_once_with_their_rows(spark, capsys):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(rng, 500)) for i in range(3)], "doc_id int, text string")
+    sr.remove_repeats(docs).explain()
+    cut_out = [line for line in capsys.readouterr().out.splitlines() if " AS t#" in line]
+    assert cut_out and all("doc#" in line.split(" AS t#")[0].rsplit("[", 1)[1] for line in cut_out)
+
+
 def test_no_text(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     assert sr.remove_repeats(docs).count() == 0
