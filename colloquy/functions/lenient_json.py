@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from colloquy.functions.text import strip
+from colloquy.functions.text import NOT_BLANK, strip
 
 # The fence lines a model may put around its JSON, and the warning.
 LEADING_FENCE = r"(?md)^```(?:json)?\s*\n?"
@@ -21,7 +21,7 @@ def strip_fences(raw: Column) -> Column:
 
 def parse_strict(raw: Column) -> Column:
     """VARIANT of a JSON text, null when it is none."""
-    return F.try_parse_json(F.when(strip(raw) != "", raw))
+    return F.try_parse_json(F.when(raw.rlike(NOT_BLANK), raw))
 
 
 def loads(raw: str) -> dict:

@@ -25,21 +25,30 @@ MIN_GRAM_STATEMENTS = 5
 def hashed_shingles(text: Column) -> Column:
     """Sorted 64-bit hashes of a text's shingles: a set is moved and compared as numbers.
 
-    Sets are only compared inside one group, where a collision is out of reach.
+    Sets are only compared inside one group, where a collision is out of reach. The
+    words of a shingle are hashed one after the other; a shorter text is one shingle.
     """
-    found = tx.shingles(tx.words(text), SHINGLE_WORDS)
-    return F.array_sort(F.transform(found, lambda s: F.xxhash64(s)))
+
+    def hashes(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE_WORDS, F.lit(0)))
+        return F.when(
+            F.size(w) > 0,
+            F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE_WORDS)])),
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    return F.sort_array(F.array_distinct(tx.let(tx.words(text), hashes)))
 
 
 def shingle_classes(rows: DataFrame, group: list[str], order: str, text: str) -> DataFrame:
     """One row per distinct shingle set of a group: its size, first and last row."""
+    # A filter on the shingles would compute them once more.
     return (
-        rows.select(
+        rows.where(tx.has_words(F.col(text)))
+        .select(
             *group,
             F.col(order).alias("_at"),
             hashed_shingles(F.col(text)).alias("shingles"),
         )
-        .where(F.size("shingles") > 0)
         .groupBy(*group, "shingles")
         .agg(
             F.count("*").alias("members"),
@@ -52,22 +61,26 @@ def shingle_classes(rows: DataFrame, group: list[str], order: str, text: str) ->
 def _prefixes(classes: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """The rarest shingles of each class, enough of them to meet any near copy.
 
-    Any order shared by all classes is exact; rare ones first give few candidates.
+    Any order shared by all classes is exact; rare ones first give few candidates. The
+    rarest are those of one class alone: they meet nobody, so they are only counted.
     """
     terms = classes.select(*group, "first_at", F.size("shingles").alias("_size"), F.explode("shingles").alias("_term"))
-    ranked = terms.withColumn("_uses", F.count("*").over(Window.partitionBy(*group, "_term"))).withColumn(
-        "_rank",
-        F.row_number().over(Window.partitionBy(*group, "first_at").orderBy("_uses", "_term")),
+    own = Window.partitionBy(*group, "first_at")
+    shared = (
+        terms.withColumn("_uses", F.count("*").over(Window.partitionBy(*group, "_term")))
+        .where("_uses > 1")
+        .withColumn("_rank", F.row_number().over(own.orderBy("_uses", "_term")))
+        .withColumn("_rank", F.col("_rank") + F.col("_size") - F.count("*").over(own))
     )
     keep = F.col("_size") - F.ceil(F.lit(threshold) * F.col("_size") - 1e-9) + 1
-    return ranked.where(F.col("_rank") <= keep).select(*group, "first_at", "_size", "_term")
+    return shared.where(F.col("_rank") <= keep).select(*group, "first_at", "_size", "_term")
 
 
 def near_duplicate_classes(
     classes: DataFrame, group: list[str], threshold: float = NEAR_DUPLICATE
 ) -> DataFrame:
     """Pairs of different classes with J >= ``threshold``: (group, a, b, jaccard)."""
-    left = _prefixes(classes, group, threshold)
+    left = durable(_prefixes(classes, group, threshold), "prefixes")
     right = left.withColumnsRenamed({"first_at": "_b", "_size": "_b_size"})
     smaller, larger = F.least("_size", "_b_size"), F.greatest("_size", "_b_size")
     candidates = (
@@ -171,14 +184,14 @@ def _assistant_runs(turns: DataFrame, key: str, order) -> DataFrame:
         turns.withColumn("_run", F.sum(F.when(F.col("speaker") != "assistant", 1).otherwise(0)).over(order))
         .where("speaker = 'assistant'")
         .withColumn("_run_size", F.count("*").over(Window.partitionBy(key, "_run")))
-        .where("_run_size > 1")
+        .where(F.col("_run_size") > 1)
+        .where(tx.has_words(F.col("body")))
         .select(
             key,
             "_run",
             "turn_index",
             hashed_shingles(F.col("body")).alias("_shingles"),
         )
-        .where(F.size("_shingles") > 0)
     )
 
 

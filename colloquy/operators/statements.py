@@ -135,14 +135,25 @@ def validate_statements(answers: DataFrame, key: list[str], view: str = "working
 
     Adds ``reasons`` (empty = accepted), ``is_valid`` and ``statement_count``.
     """
-    answers = durable(answers, "answers")
-    parsed = F.col("parsed")
-    is_object = _kind(parsed) == "object"
+    columns, parsed = answers.columns, F.col("parsed")
     keys = F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>"))
-    unexpected = F.array_sort(F.array_except(keys, F.array(F.lit("statements"))))
-    listed = _kind(F.try_variant_get(parsed, "$.statements", "variant")) == "array"
-    listed_items = answers.withColumn("_n", F.coalesce(F.size(_items(parsed)), F.lit(0)))
-    items = durable(model_statements(listed_items, [*key, "_n"]), "items")
+    listed = _items(parsed).isNotNull()
+    # What the rules ask of an answer itself is settled here: the joins move no texts.
+    answers = durable(
+        answers.withColumns(
+            {
+                "_id": F.col(key[0]) if len(key) == 1 else F.concat(*[c for k in key for c in (F.col(k).cast("string"), F.lit("\u0001"))]),
+                "_n": F.coalesce(F.size(_items(parsed)), F.lit(0)),
+                "_unread": parsed.isNull(),
+                "_unexpected": F.array_sort(F.array_except(keys, F.array(F.lit("statements")))),
+                "_listed": listed,
+                "_lines": bl.line_count(F.col(view)),
+                "_filled": F.when(listed & (F.size(_items(parsed)) == 0), F.length(tx.strip(F.col(view))) > NON_EMPTY_CHARS),
+            }
+        ),
+        "answers",
+    )
+    items = durable(model_statements(answers, [*key, "_id", "_n"]), "items")
 
     speakers = items.groupBy(*key).agg(
         F.count_if(F.col("is_object") & ~F.coalesce(F.col("speaker").isin("user", "assistant"), F.lit(False))).alias("_bad")
@@ -151,28 +162,23 @@ def validate_statements(answers: DataFrame, key: list[str], view: str = "working
     # n (n - 1) / 2 pairs.
     least = next(n for n in range(2, 100) if n * (n - 1) // 2 >= similarity.MAX_NEAR_DUPLICATE_PAIRS)
     texts = items.where(F.col("text").isNotNull())
-    one = key[0] if len(key) == 1 else "_id"
-    if len(key) > 1:
-        texts = texts.withColumn("_id", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key]))
-    named = lambda rows: rows if len(key) == 1 else rows.join(texts.select("_id", *key).distinct(), "_id")
-    pairs = named(
-        similarity.near_dup_pairs(texts.where(F.col("_n") >= least), one, "item_index", "text")
-        .groupBy(one)
+    pairs = (
+        similarity.near_dup_pairs(texts.where(F.col("_n") >= least), "_id", "item_index", "text")
+        .groupBy("_id")
         .agg(F.sum("pairs").alias("_pairs"))
     )
     many = texts.where(F.col("_n") >= similarity.MIN_STATEMENTS_FOR_GRAM)
-    grams = named(similarity.dominant_ngram(many, one, "text")).select(
-        *key, "gram", "statements_with", F.col("statement_count").alias("_texts")
+    grams = similarity.dominant_ngram(many, "_id", "text").select(
+        "_id", "gram", "statements_with", F.col("statement_count").alias("_texts")
     )
 
     rows = (
         answers.join(speakers, key, "left")
-        .join(pairs.select(*key, "_pairs"), key, "left")
-        .join(grams, key, "left")
-        .withColumn("statement_count", F.coalesce(F.size(_items(parsed)), F.lit(0)).cast("bigint"))
-        .withColumn("_lines", bl.line_count(F.col(view)))
+        .join(pairs, "_id", "left")
+        .join(grams, "_id", "left")
+        .withColumn("statement_count", F.col("_n").cast("bigint"))
     )
-    count = F.col("statement_count")
+    count, unexpected, listed = F.col("statement_count"), F.col("_unexpected"), F.col("_listed")
     ceiling = F.greatest(F.lit(MIN_PLAUSIBLE), F.floor(F.col("_lines") / 2))
     gram_limit = F.greatest(
         F.lit(similarity.MIN_GRAM_STATEMENTS), F.floor(F.col("_texts") / 2)
@@ -190,7 +196,7 @@ def validate_statements(answers: DataFrame, key: list[str], view: str = "working
             F.format_string(TOO_MANY, count, ceiling, "_lines"),
         ),
         rule(
-            listed & (count == 0) & (F.length(tx.strip(F.col(view))) > NON_EMPTY_CHARS),
+            listed & (count == 0) & F.col("_filled"),
             F.lit(ZERO_STATEMENTS),
         ),
         rule(
@@ -203,14 +209,14 @@ def validate_statements(answers: DataFrame, key: list[str], view: str = "working
         ),
     ]
     reasons = (
-        F.when(parsed.isNull(), F.array(F.lit(NOT_JSON)))
-        .when(~is_object, F.array(F.lit(NOT_OBJECT)))
+        F.when(F.col("_unread"), F.array(F.lit(NOT_JSON)))
+        .when(unexpected.isNull(), F.array(F.lit(NOT_OBJECT)))
         .otherwise(F.array_compact(F.array(*in_list)))
     )
     return (
         rows.withColumn("reasons", reasons)
         .withColumn("is_valid", F.size("reasons") == 0)
-        .select(*answers.columns, "statement_count", "reasons", "is_valid")
+        .select(*columns, "statement_count", "reasons", "is_valid")
     )
 
 

@@ -315,3 +315,33 @@ def test_model_summaries_from_prompts(spark):
     assert [got[f"c_t{i:03d}#0"].status for i in range(4)] == ["ok", "degraded", "partial", "skipped"]
     assert got["c_t000#0"].bullets == ["a", "b"] and got["c_t000#0"].lang == "en" and got["c_t002#0"].summary == ""
     assert got["c_t003#0"].warnings == ["TimeoutError: late"]
+
+
+def test_near_copies_are_sought_by_shared_shingles_only(spark, capsys):
+    said = ["a b c d e f g h i j k l", "a b c d e f g h i j k l m", "A b c d e f g h i j k l!", "one two three four five six", "n o p", "n o, p", "...", None, ""]
+    rows = spark.createDataFrame([("x", i, t) for i, t in enumerate(said)] + [("y", 0, said[0])], "extract_id string, statement_index bigint, text string")
+    pairs = {(r.a, r.b): (round(r.jaccard, 6), r.pairs) for r in sim.near_dup_pairs(rows).collect()}
+    assert pairs == {(0, 0): (1.0, 1), (0, 1): (round(8 / 9, 6), 2), (4, 4): (1.0, 1)}
+    classes = sim.shingle_classes(rows, ["extract_id"], "statement_index", "text")
+    classes.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 1
+    # What no other class of the group has meets nobody, and is not handed on.
+    left = sim._prefixes(classes, ["extract_id"], 0.7).collect()
+    assert {r.first_at for r in left} == {0, 1} and all(r.extract_id == "x" for r in left)
+
+
+def test_validation_joins_move_no_texts(spark, capsys):
+    listed = [json.dumps({"statements": [{"speaker": "user", "text": f"{w} said so in all of the words that he had"} for w in "abcdef"]}), "[1]", "3", "null", "x"]
+    rows = [(f"s{i}", a, raw, "view\n" * 60) for i, raw in enumerate(listed) for a in (1, 2)] + [(None, 1, listed[0], "v")]
+    df = spark.createDataFrame(rows, "segment_id string, attempt int, raw string, working_view string")
+    checked = st.validate_statements(st.read_model_output(df), ["segment_id", "attempt"])
+    narrow = checked.select("segment_id", "attempt", "statement_count", "reasons")
+    narrow.explain()
+    plan = capsys.readouterr().out
+    assert "schema_of_variant" not in plan and "working_view" not in plan
+    got = {(r.segment_id, r.attempt): (r.statement_count, r.reasons) for r in narrow.collect()}
+    near = ["found 15 near-duplicate statement pair(s)"]
+    gram = ["4-gram 'all of the words' appears in 6/6 statements"]
+    odd = [(0, [st.NOT_OBJECT]), (0, [st.NOT_OBJECT]), (0, [st.NOT_OBJECT]), (0, [st.NOT_JSON])]
+    assert all(got["s0", a] == (6, near + gram) for a in (1, 2)) and all(got[f"s{i}", 2] == w for i, w in enumerate(odd, 1))
+    assert got[None, 1] == (6, [])  # a null key meets nothing
