@@ -12,6 +12,8 @@ from colloquy.operators.models import TextModel, run_text_model
 from colloquy.session import durable
 
 SUMMARY_SENTENCES = 3
+#: A word is common that is one of so many words of all documents: there are no more of them.
+COMMON_WORDS = 100_000
 
 # List limits and confidence bands of a summary.
 MAX_BULLETS = 10
@@ -23,25 +25,40 @@ WEAK_CONFIDENCE = 0.4
 ACTION = r"(?i)^(todo|action|please|remember to|make sure|do|add|fix|check|send|write|update|create|review)(?:[^\p{L}\p{N}_]|$)"
 
 
-def sentence_scores(sentences: DataFrame, group: list[str], order: str, text: str = "text") -> DataFrame:
+def sentence_scores(
+    sentences: DataFrame, group: list[str], order: str, text: str = "text", documents: DataFrame | None = None
+) -> DataFrame:
     """Mean inverse document frequency of each sentence's words.
 
-    A document is one group. Counting is partial before every shuffle; the join on
-    words has one row per word on its right side, so skewed words are split.
+    A document is one group. ``documents`` may bring its distinct words (``words``, one
+    row per document); else they are brought together. Counting is partial before every shuffle. Common words
+    make up most of the terms: their weights go to every task, so these terms and
+    skewed words stay where they are. Only terms of the other words are shuffled.
     """
     terms = sentences.select(
         *group, order, F.explode(F.array_distinct(tx.words(F.col(text)))).alias("_word")
     )
-    documents = terms.select(*group, "_word").distinct()
-    frequency = documents.groupBy("_word").agg(F.count("*").alias("_df"))
+    if documents is None:
+        held = terms.select(*group, "_word").distinct()
+    else:
+        # Without "outer" a filter would compute the words once more.
+        held = documents.select(F.explode_outer("words").alias("_word")).where("_word is not null")
+    frequency = durable(held.groupBy("_word").agg(F.count("*").alias("_df")), "frequency")
     total = sentences.select(*group).distinct().agg(F.count("*")).scalar()
-    weights = frequency.select("_word", F.log(1 + total / F.col("_df")).alias("_weight"))
-    return terms.join(weights, "_word").groupBy(*group, order).agg(
-        F.round(F.avg("_weight"), 6).alias("score")
-    )
-
-
-def summarize(sentences: DataFrame, group: list[str], order: str, text: str = "text") -> DataFrame:
+    words, uses = frequency.agg(F.count("*"), F.sum("_df")).first()
+    weights = frequency.select("_word", "_df", F.log(1 + total / F.col("_df")).alias("_weight"))
+    is_common = F.lit(words <= COMMON_WORDS) | (F.col("_df") * COMMON_WORDS >= F.lit(uses))
+    common = F.broadcast(weights.where(is_common).drop("_df"))
+    weighted = terms.join(common, "_word")
+    if words > COMMON_WORDS:
+        rare = weights.where(~is_common).drop("_df")
+        weighted = weighted.unionByName(terms.join(common, "_word", "left_anti").join(rare, "_word"))
+    return weighted.groupBy(*group, order).agg(F.round(F.avg("_weight"), 6).alias("score"))
+
+
+def summarize(
+    sentences: DataFrame, group: list[str], order: str, text: str = "text", documents: DataFrame | None = None
+) -> DataFrame:
     """Summary, bullets, action items and confidence per group.
 
     The best ten sentences by score are the bullets and the best three the summary,
@@ -49,7 +66,7 @@ def summarize(sentences: DataFrame, group: list[str], order: str, text: str = "t
     task before the shuffle, so a large group is not brought together.
     """
     scored = sentences.select(*group, order, F.col(text).alias("_text")).join(
-        sentence_scores(sentences, group, order, text), [*group, order], "left"
+        sentence_scores(sentences, group, order, text, documents), [*group, order], "left"
     )
     best = Window.partitionBy(*group).orderBy(F.col("score").desc_nulls_last(), order)
     top = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= MAX_BULLETS)
@@ -86,7 +103,17 @@ def segment_sentences(segments: DataFrame, key: str = "segment_id", text: str =
 
 
 def summarize_segments(segments: DataFrame) -> DataFrame:
-    return summarize(segment_sentences(segments), ["segment_id"], "sentence_index")
+    """Sentences are cut out of a segment's text once; its row also gives its words."""
+    from colloquy.operators.statements import statement_array
+
+    cut = F.transform(statement_array(F.col("segment_text")), lambda s: s["text"])
+    cut = durable(segments.select("segment_id", cut.alias("_sentences")), "sentences")
+    sentences = cut.select("segment_id", F.posexplode("_sentences").alias("sentence_index", "text"))
+    # Where ids repeat, a document is several rows.
+    rows, ids = cut.agg(F.count("*"), F.count_distinct("segment_id")).first()
+    words = F.array_distinct(F.flatten(F.transform("_sentences", tx.words)))
+    documents = cut.select(words.alias("words")) if rows == ids else None
+    return summarize(sentences, ["segment_id"], "sentence_index", documents=documents)
 
 
 def summarize_topics(members: DataFrame) -> DataFrame:

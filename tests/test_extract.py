@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,3 +346,37 @@ def test_validation_joins_move_no_texts(spark, capsys):
     odd = [(0, [st.NOT_OBJECT]), (0, [st.NOT_OBJECT]), (0, [st.NOT_OBJECT]), (0, [st.NOT_JSON])]
     assert all(got["s0", a] == (6, near + gram) for a in (1, 2)) and all(got[f"s{i}", 2] == w for i, w in enumerate(odd, 1))
     assert got[None, 1] == (6, [])  # a null key meets nothing
+
+
+def test_scores_of_common_and_rare_words(spark, monkeypatch):
+    said = [("g0", 0, "the cat and the dog"), ("g0", 1, "the end"), ("g1", 0, "the cat"), ("g2", 0, "the bird flew"), ("g2", 1, "...")]
+    rows = spark.createDataFrame(said, "g string, n int, text string")
+
+    def scores():
+        return sorted((r.g, r.n, r.score) for r in sm.sentence_scores(rows, ["g"], "n").collect())
+
+    whole = scores()
+    monkeypatch.setattr(sm, "COMMON_WORDS", 4)  # of nine uses of seven words: 'the' three times, 'cat' twice
+    assert scores() == whole
+    weight = {w: np.log(1 + 3 / n) for w, n in dict(the=3, cat=2, dog=1, end=1, bird=1, flew=1).items()} | {"and": np.log(4)}
+    want = {("g0", 0): "the cat and dog", ("g0", 1): "the end", ("g1", 0): "the cat", ("g2", 0): "the bird flew"}
+    assert whole == [(*k, pytest.approx(np.mean([weight[w] for w in t.split()]), abs=2e-6)) for k, t in sorted(want.items())]
+
+
+def test_segment_rows_give_the_words_of_their_documents(spark, monkeypatch):
+    said = ["user: The cat sat. The cat ran.\n\nassistant: A dog. The end!", "user: A cat? The dog.", "user: The sun.", ""]
+    rows = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(said)], "segment_id string, segment_text string")
+    given, real = [], sm.sentence_scores
+
+    def scores(*args):
+        given.append(args[-1])
+        return real(*args)
+
+    monkeypatch.setattr(sm, "sentence_scores", scores)
+    got = sorted(sm.summarize_segments(rows).collect())
+    assert got == sorted(sm.summarize(sm.segment_sentences(rows), ["segment_id"], "sentence_index").collect())
+    # Ids that repeat: one document of several rows.
+    twice = rows.unionByName(rows.withColumn("segment_text", F.concat("segment_text", F.lit(" More."))))
+    for r in (sm.summarize_segments(twice), sm.summarize(sm.segment_sentences(twice), ["segment_id"], "sentence_index")):
+        assert sorted(x.segment_id for x in r.collect()) == ["s0", "s1", "s2"]
+    assert [g is None for g in given] == [False, True, True, True]
