@@ -29,13 +29,14 @@ NAMED_USER = (
 )
 UNNAMED_USER = "In the context excerpts, 'user' refers to the person who owns this assistant."
 
-# Queries up to this many travel to every task; more are met block by block.
-# Bytes of the query matrix that is sent to the tasks.
+# Bytes of the query matrix that is sent to the tasks; more queries are met block by block.
 LOCAL_BYTES = 16 << 20
 SCORE_DIGITS = 9
 # Scores that one task is meant to compute, in few enough tasks: each gives out k hits a query.
 PAIRS_PER_TASK = 1 << 28
 TASKS_PER_CORE = 4
+# Queries and vectors of one matrix product: its scores stay in the processor's cache.
+TILE = 512
 
 
 def _unit_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -50,41 +51,70 @@ def _unit_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _best(scores: np.ndarray, at_least: float, k: int) -> np.ndarray:
-    """Places of the k best of one query's scores; equal scores by place."""
-    places = np.flatnonzero(scores >= at_least)
-    if len(places) > k:
-        limit = np.partition(scores[places], len(places) - k)[len(places) - k]
-        places = places[scores[places] >= limit]
-    return places[np.argsort(-scores[places], kind="stable")][:k]
+def _k_best(query: np.ndarray, score: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best hits of every query, with their places; of equal scores the smallest ids."""
+    order = np.lexsort((-score, query))
+    query, score, item = query[order], score[order], item[order]
+    first = np.searchsorted(query, query)
+    # Ids are compared only where the first hit that goes scores like the last one that stays.
+    out = np.minimum(first + k, len(query) - 1)
+    tied = np.flatnonzero((out == first + k) & (query[out] == query) & (score[out] == score))
+    item[tied] = item[tied][np.lexsort((item[tied].astype(str), query[tied]))]
+    place = np.arange(len(query)) - first
+    stay = place < k
+    return query[stay], score[stay], item[stay], place[stay]
 
 
 def _top_k(query_ids: list[str], matrix: np.ndarray, batches: Iterator[pa.RecordBatch], k: int) -> pa.Table:
-    """Run over vector batches, holding only k hits per query.
+    """Run over vector batches, holding k hits per query and about as many that wait.
 
-    Once a query has k hits, only scores that reach its last one are looked at.
+    All pairs are scored in single precision, which is off by less than ``slack``. Those
+    that may reach the last of a query's k hits are scored again in double precision.
     """
-    kept: list[list[tuple[float, str]]] = [[] for _ in query_ids]
+    coarse = matrix.astype(np.float32)
+    slack = (matrix.shape[1] + 8) * 2.0**-24 + 10.0**-SCORE_DIGITS
     floor = np.full(len(query_ids), -np.inf)
+    found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))]
+    waiting = 0
+
+    def settle() -> None:
+        query, score, item, place = _k_best(*map(np.concatenate, zip(*found)), k)
+        found[:] = [(query, score, item)]
+        floor[query[place == k - 1]] = score[place == k - 1]
+
     for batch in batches:
         if batch.num_rows == 0 or not query_ids:
             continue
-        items = batch.column("item_id").to_numpy(zero_copy_only=False).astype(str)
-        order = np.argsort(items, kind="stable")
-        items, rows = items[order], _unit_matrix(batch.column("vector"), matrix.shape[1])[order]
-        for first in range(0, len(query_ids), 256):
-            scores = np.round(matrix[first : first + 256] @ rows.T, SCORE_DIGITS) + 0.0
-            for q in np.flatnonzero(scores.max(axis=1) >= floor[first : first + 256]):
-                mine = kept[first + q]
-                mine += [(float(scores[q, p]), items[p]) for p in _best(scores[q], floor[first + q], k)]
-                mine.sort(key=lambda h: (-h[0], h[1]))
-                del mine[k:]
-                if len(mine) == k:
-                    floor[first + q] = mine[-1][0]
-    flat = [(q, i, s) for q, hits in zip(query_ids, kept) for s, i in hits]
-    names = ["query_id", "item_id", "score"]
-    types = [pa.string(), pa.string(), pa.float64()]
-    return pa.table([pa.array([row[n] for row in flat], t) for n, t in enumerate(types)], names=names)
+        items = batch.column("item_id").cast(pa.string()).to_numpy(zero_copy_only=False)
+        rows = _unit_matrix(batch.column("vector"), matrix.shape[1])
+        sound = ~np.isnan(rows).any(axis=1)  # the others have no score
+        items, rows = items[sound], rows[sound]
+        for at in range(0, len(rows), TILE):
+            part, names = rows[at : at + TILE], items[at : at + TILE]
+            turned = part.astype(np.float32).T
+            for first in range(0, len(query_ids), TILE):
+                scores = coarse[first : first + TILE] @ turned
+                least = (floor[first : first + TILE] - slack).astype(np.float32)
+                near = np.flatnonzero(scores.max(axis=1) >= least)
+                if not len(near):
+                    continue
+                scores, least = scores[near], least[near]
+                if len(part) > k and np.isneginf(least).any():
+                    # No query takes more than k of a block, but for equal scores.
+                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k] - np.float32(2 * slack))
+                q, i = np.divmod(np.flatnonzero(scores >= least[:, None]), len(part))
+                q = near[q] + first
+                exact = np.round(np.einsum("ij,ij->i", matrix[q], part[i]), SCORE_DIGITS) + 0.0
+                stay = exact >= floor[q]
+                found.append((q[stay], exact[stay], names[i[stay]]))
+                waiting += int(stay.sum())
+                if waiting >= k * len(query_ids):
+                    settle()
+                    waiting = 0
+    settle()
+    query, score, item = found[0]
+    columns = [pa.array(query_ids, pa.string()).take(pa.array(query)), pa.array(item, pa.string()), pa.array(score)]
+    return pa.table(columns, names=["query_id", "item_id", "score"])
 
 
 HITS = "query_id string, item_id string, score double"
@@ -99,35 +129,41 @@ def search(
     keeps k hits per query and only those are shuffled. Scores are rounded to nine
     digits, and equal scores are ranked by id.
     """
-    asked = queries.where("query_id is not null and vector is not null").select("query_id", "vector")
+    # Queries are read several times, what makes them runs once: also a filter would run it again.
+    asked = durable(queries.select("query_id", "vector"), "queries").where("query_id is not null and vector is not null")
     stored = items.where("item_id is not null and vector is not null").select("item_id", "vector")
-    rows = stored.count()
-    widest = asked.agg(F.max(F.size("vector"))).first()[0] or 1
-    local_queries = max(1, local_bytes // (8 * widest))
-    head = asked.limit(local_queries + 1).toArrow()
-    if head.num_rows <= local_queries:
-        partial = _near(stored, rows, head, k)
+    count, widest = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    most = max(1, local_bytes // (8 * (widest or 1)))
+    stored, spread = _spread(stored, min(count, most) * stored.count())
+    if count <= most:
+        partial = _near(stored, asked.toArrow(), k)
     else:
-        # Vectors stay where they are and are scanned once for each block of queries; of a
-        # block the driver holds one matrix, its hits are written before the next one.
-        asked = durable(asked, "queries")
-        blocks = -(-asked.count() // max(1, local_queries * 3 // 4))
+        # Vectors are scanned once for each block of queries; of a block the driver holds one
+        # matrix, its hits are written before the next one.
+        stored = durable(stored, "vectors") if spread else stored
+        blocks = -(-count // max(1, most * 3 // 4))
         number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
         parts = (asked.where(number == b).toArrow() for b in range(blocks))
-        partial = reduce(DataFrame.unionByName, [durable(_near(stored, rows, part, k), "hits") for part in parts if part.num_rows])
+        partial = reduce(DataFrame.unionByName, [durable(_near(stored, part, k), "hits") for part in parts if part.num_rows])
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "item_id", "score", F.col("rank").cast("bigint").alias("rank")
     )
 
 
-def _near(stored: DataFrame, rows: int, asked: pa.Table, k: int) -> DataFrame:
-    """Each task's k nearest of ``rows`` stored vectors for every query of a bounded table."""
-    query_ids = asked.column("query_id").to_pylist()
+def _spread(stored: DataFrame, pairs: int) -> tuple[DataFrame, bool]:
+    """The stored vectors in as many parts as their ``pairs`` ask for, and whether that moved them."""
     # Vectors of few terms are small as files: by size alone one task may read all of them.
-    tasks = -(-asked.num_rows * rows // PAIRS_PER_TASK)
-    if tasks > 1:
-        stored = stored.repartition(min(tasks, TASKS_PER_CORE * stored.sparkSession.sparkContext.defaultParallelism), "item_id")
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    tasks = min(-(-pairs // PAIRS_PER_TASK), TASKS_PER_CORE * cores)
+    if tasks > cores:
+        tasks = -(-tasks // cores) * cores  # no core waits for a last few tasks
+    return (stored.repartition(tasks, "item_id"), True) if tasks > 1 else (stored, False)
+
+
+def _near(stored: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """Each task's k nearest stored vectors for every query of a bounded table."""
+    query_ids = asked.column("query_id").to_pylist()
     matrix = _unit_matrix(asked.column("vector").combine_chunks())
     shared = stored.sparkSession.sparkContext.broadcast((query_ids, matrix))
 

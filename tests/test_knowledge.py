@@ -1,6 +1,7 @@
 """Topics, retrieval, tables, jobs and streams."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from colloquy.operators import reports as rp
 from colloquy.operators import retrieval as rt
 from colloquy.operators import tables as tb
 from colloquy.operators import topics as tp
+from colloquy.plans import catalog
 from colloquy.sources import files as fl
 from colloquy.streaming import jobs as sj
 
@@ -82,6 +84,59 @@ def test_search_is_spread_by_its_pairs(spark, monkeypatch):
     assert sorted(rt.search(queries, items).collect()) == alone and parts == [1, 5]
 
 
+def test_search_scores_few_pairs_in_double_precision(monkeypatch):
+    """Scores closer than single precision tells apart, and equal ones, are ranked as by brute force."""
+    rng = np.random.default_rng(3)
+    items = rng.normal(size=(3000, 16))
+    items[1000:1500] = items[7] + rng.normal(size=(500, 16)) * 1e-8
+    items[2000:2300] = items[7]
+    ids = [f"v{i:04d}" for i in rng.permutation(3000)]
+    queries = np.vstack([items[7], rng.normal(size=(599, 16)), np.zeros(16)])
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    asked, stored, scored = unit(queries), unit(items), []
+    batches = pa.table({"item_id": ids, "vector": pa.array(list(items), pa.list_(pa.float64()))}).to_batches(max_chunksize=700)
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: scored.append(len(a)) or einsum(how, a, b))
+    got = rt._top_k([f"q{i}" for i in range(601)], asked, iter(batches), 5).to_pylist()
+    assert 0 < sum(scored) < 0.1 * 601 * 3000
+    exact = np.round(einsum("qd,id->qi", asked, stored), 9) + 0.0
+    for q in range(601):
+        want = sorted(zip(-exact[q], ids))[:5]
+        mine = sorted((-r["score"], r["item_id"]) for r in got if r["query_id"] == f"q{q}")
+        assert [i for _, i in mine] == [i for _, i in want] and np.allclose([s for s, _ in mine], [s for s, _ in want])
+
+
+def test_search_makes_its_queries_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embedded(n):
+        made.add(1)
+        return [float(n == d) for d in range(4)]
+
+    queries = spark.range(4).select(F.concat(F.lit("q"), "id").alias("query_id"), embedded("id").alias("vector"))
+    for local_bytes in (1 << 20, 2 * 32):
+        made.value = 0
+        assert rt.search(queries, vectors(spark, np.eye(4), "item_id", "v"), 1, local_bytes).count() == 4
+        assert made.value == 4
+
+
+def test_fragments_of_hits_are_read_from_the_index(spark, tmp_path, monkeypatch):
+    """What is found is not put together again from all statements."""
+    turns = [(c, t, ("user", "assistant")[t % 2], f"Word{c} and word{t}. Some more of word{c}!") for c in range(6) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    hydrate, plans = rt.hydrate_fragments, []
+
+    def seen(requests, tables):
+        plans.append(tables["fragments"]._jdf.queryExecution().executedPlan().toString())
+        return hydrate(requests, tables)
+
+    monkeypatch.setattr(rt, "hydrate_fragments", seen)
+    rows = {n: {r.query_id for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("context_block", "snippet", "answer")}
+    assert all(found == {f"c{c}_m0002" for c in range(6)} for found in rows.values())
+    assert len(plans) == 3 and not any("Exchange" in p for p in plans)
+
+
 def test_search_edges(spark):
     good = vectors(spark, np.eye(3), "query_id", "q")
     none = good.limit(0)
