@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from colloquy.functions.text import let
@@ -76,8 +77,8 @@ def hashed_vectors(tokens: Column, dim: int, weights: np.ndarray | None = None)
     task keeps the places of the tokens it has seen, up to a million of them.
     """
 
-    @F.pandas_udf("array<double>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places: dict[str, tuple[int, float]] = {}
 
         def place(token: str) -> tuple[int, float]:
@@ -87,14 +88,18 @@ def hashed_vectors(tokens: Column, dim: int, weights: np.ndarray | None = None)
             return found
 
         for batch in batches:
-            size = np.array([0 if found is None else len(found) for found in batch], np.int64)
+            size = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
             if len(places) > 1_000_000:
                 places.clear()
-            at = [places.get(t) or place(t) for found in batch if found is not None for t in found]
-            slots = np.repeat(np.arange(len(batch)), size) * dim + np.array([d for d, _ in at], np.int64)
-            sums = np.bincount(slots, np.array([w for _, w in at], float), len(batch) * dim).astype(float).reshape(-1, dim)
+            # Each different token of a batch is looked up once.
+            terms = batch.flatten().dictionary_encode()
+            at = [places.get(t) or place(t) for t in terms.dictionary.to_pylist()]
+            term = terms.indices.to_numpy(zero_copy_only=False)
+            slots = np.repeat(np.arange(len(batch)), size) * dim + np.array([d for d, _ in at], np.int64)[term]
+            sums = np.bincount(slots, np.array([w for _, w in at], float)[term], len(batch) * dim).astype(float).reshape(-1, dim)
             length = np.sqrt((sums * sums).sum(1, keepdims=True))
             unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
-            yield pd.Series([v if n else None for v, n in zip(unit, size)], dtype=object)
+            ends = pa.array(np.arange(len(batch) + 1) * dim, pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.array(unit.ravel()), mask=pa.array(size == 0))
 
     return vectors(tokens)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import vectors as vx
 from colloquy.operators import idf, vector_index as vi
 from colloquy.operators import retrieval as rt
 from colloquy.session import new_path
@@ -76,3 +77,11 @@ def test_weights_are_fitted_once_and_kept(spark):
     assert sorted(map(abs, unseen))[-1] == pytest.approx(1.0)
     empty = idf.embed_idf(texts, idf.fit_idf(texts.limit(0)))
     assert empty.where("id = 1").first()["vector"] is not None
+
+
+def test_hashed_vectors_equal_the_expression(spark):
+    tokens = [["a", "b", "a", "é"], [], None, [""], [f"w{i % 700}" for i in range(5000)]] * 3
+    table = spark.createDataFrame(list(enumerate(tokens)), "i int, t array<string>").coalesce(1)
+    rows = table.select("t", vx.hashed_vectors(F.col("t"), 16).alias("v"), vx.hashed_terms(F.col("t"), 16).alias("u")).collect()
+    assert len(rows) == 15 and all((r.v is None) == (not r.t) for r in rows)
+    assert all(np.allclose(r.v, r.u) for r in rows if r.t)
